@@ -1,0 +1 @@
+"""Reading and writing of clips, labels, logs and reports."""

@@ -1,0 +1,11 @@
+"""Running class counts and accuracy over a stream of predictions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def live_confusion(preds: DataFrame, time: str = "ts", window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Confusion counts by event-time window; rows later than ``late`` are dropped by the watermark."""
+    return preds.withWatermark(time, late).groupBy(F.window(time, window), F.col("gloss_gt").alias("y"), F.col("gloss_pred").alias("yhat")).agg(F.count("*").alias("n"))
