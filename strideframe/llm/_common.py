@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 LOCAL_ROOT = "/tmp/checkpoints"
 
 
+#: Rows of long texts that travel to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def text_rows(docs: DataFrame, text: str, **columns: str) -> DataFrame:
+    """The named id columns as longs and the text as ``text``, for a Python worker.
+
+    Texts can be long, so fewer rows than the session's default go to a worker at a time: memory
+    of executors then follows the texts of a small batch.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs.select(*[column(c).cast("long").alias(n) for n, c in columns.items()], column(text).cast("string").alias("text"))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

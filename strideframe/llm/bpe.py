@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strideframe.llm._common import column
+from strideframe.llm._common import text_rows
 
 #: Characters of text that a worker encodes at a time, and chunks that it remembers.
 BATCH_CHARS = 4_000_000
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 120_000
 CACHE_CHARS = 48
 #: A single blank between two other characters always begins a match of the pattern.
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -195,6 +195,6 @@ def encode_documents(
                 yield pa.RecordBatch.from_arrays(cols, ["id", *outputs])
                 at = to
 
-    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, text_col, id=id_col)
     schema = "id long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs)
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

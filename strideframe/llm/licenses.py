@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column
+from strideframe.llm._common import text_rows
 
 #: Notices as their publishers word them.
 TEMPLATES = {
@@ -178,7 +178,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([r[n] for r in rows], t) for n, t in types]], ["id", *[n for n, _ in types]])
 
-    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, text_col, id=id_col)
     # Texts without any license word never leave the JVM; their whole text is searched.
     low = F.lower("text")
     rows = rows.filter(F.contains(low, F.lit(CUES[0])) | F.contains(low, F.lit(CUES[1])) | F.contains(low, F.lit(CUES[2])) | F.contains(low, F.lit(CUES[3])))

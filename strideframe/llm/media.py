@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strideframe.llm._common import column
+from strideframe.llm._common import text_rows
 
 RATE = 8000
 UNIT = 64
@@ -133,5 +133,5 @@ def text_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 made = [values(x.as_py()) for x in some.column(1)]
                 yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array([m[c] for m in made], OUTPUTS[c][1]) for c in outputs]], ["id", *outputs])
 
-    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, text_col, id=id_col)
     return rows.mapInArrow(run, "id long, " + ", ".join(f"{c} {OUTPUTS[c][0]}" for c in outputs)).withColumnRenamed("id", id_col)

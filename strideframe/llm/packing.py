@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column, stage
+from strideframe.llm._common import stage, text_rows
 
 #: Distinct chunks of text whose ids a Python worker remembers between batches.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 120_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 48
 #: Partitions whose leftover windows meet in one task.
@@ -193,7 +193,7 @@ def pack_documents(
         made["id"] = pd.array([None if pd.isna(x) else int(x) for x in made["id"]], "Int64")
         return made
 
-    rows_in = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    rows_in = text_rows(docs, text_col, id=id_col)
     placed = stage(rows_in.mapInArrow(place, _SCHEMA), "pieces")
     group = F.floor(F.col("part") / MERGE_PARTITIONS).cast("long")
     merged = placed.filter("left").groupBy(group.alias("merged_in")).applyInPandas(merge, _SCHEMA)

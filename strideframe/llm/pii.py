@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column, fresh
+from strideframe.llm._common import column, fresh, text_rows
 
 #: Kinds in the order in which spans of one start are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -236,10 +236,6 @@ def fit_spans(counts: dict[int, int], rounds: int = 50) -> SpanModel:
 # --- over Spark --------------------------------------------------------------------------------
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(column(text_col).cast("string").alias("text"))
-
-
 def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     """How often each combination of votes and features occurs on base and proposed spans."""
 
@@ -254,7 +250,7 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
                     seen[code] = seen.get(code, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
 
-    rows = _texts(docs, text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = text_rows(docs, text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return {r.code: r.n for r in rows.collect()}
 
 

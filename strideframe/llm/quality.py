@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column, fresh, stage
+from strideframe.llm._common import column, fresh, stage, text_rows
 
 #: Rows of labels, by hash of the id, on which the classifier is fitted at most.
 FIT_ROWS = 20_000
@@ -105,7 +105,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             made = [text_features(x.as_py()).tolist() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["good", "features"])
 
-    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    texts = text_rows(docs, text_col, id=id_col)
     got = texts.join(F.broadcast(chosen), "id").select("good", "text").mapInArrow(run, "good int, features array<double>").collect()
     got = sorted((r.good, r.features) for r in got)
     return Classifier.fit(np.array([f for _, f in got]).reshape(len(got), -1), np.array([g for g, _ in got], float))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column, stage
+from strideframe.llm._common import stage, text_rows
 from strideframe.llm.components import connected_components
 
 WORD = 64
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             high = got[:, 1].copy() if words > 1 else np.zeros(len(got), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].copy()), pa.array(high)], ["id", "fp", "fp_high"])
 
-    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, text_col, id=id_col)
     return rows.mapInArrow(run, "id long, fp long, fp_high long").withColumnRenamed("id", id_col)
 
 
