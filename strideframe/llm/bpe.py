@@ -130,13 +130,13 @@ class MergeReplay:
         ids = dict(zip(distinct, self.replay([m.encode("utf-8", "surrogatepass") for m in distinct]), strict=True))
         for kind, chunk, found in matches:
             own = [i for m in found for i in ids[m]]
-            self.known[kind][chunk] = (len(own), ",".join(map(str, own)), self.decode(own), own)
+            self.known[kind][chunk] = (len(own), ",".join(map(str, own)), self.decode(own))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes, list[int]]]]:
-        """For each text the entries of its chunks: count, ids as text, decoded bytes, ids."""
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes]]]:
+        """For each text the entries of its chunks: count, ids as text, decoded bytes."""
         split = [SPLIT.split(x) if x else [] for x in texts]
         new = ({c[0] for c in split if c} - self.known[0].keys(), {y for c in split for y in c[1:]} - self.known[1].keys())
         if sum(map(len, (*new, *self.known))) > CACHE_CHUNKS:
@@ -171,13 +171,13 @@ def encode_documents(
     empty result. Other columns are ignored, whatever their names.
     """
 
-    def made(name: str, parts: list[tuple[int, str, bytes, list[int]]]):
+    def made(name: str, parts: list[tuple[int, str, bytes]]):
         if name == "n_tokens":
             return sum(p[0] for p in parts)
         if name == "ids_sha256":
             return hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest()
         if name == "ids":
-            return [i for p in parts for i in p[3]]
+            return [int(i) for p in parts if p[1] for i in p[1].split(",")]
         whole = b"".join([p[2] for p in parts])
         return whole if name == "decoded" else hashlib.sha256(whole).hexdigest()
 

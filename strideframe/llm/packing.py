@@ -130,9 +130,9 @@ _FIELDS = [
     ("sequence", pa.int64()),
     ("offset", pa.int64()),
     ("left", pa.bool_()),
-    ("ids", pa.binary()),
+    ("ids", pa.list_(pa.int32())),
 ]
-_SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, part long, sequence long, offset long, left boolean, ids binary"
+_SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, part long, sequence long, offset long, left boolean, ids array<int>"
 
 
 def pack_documents(
@@ -159,7 +159,7 @@ def pack_documents(
     closing = int(end_id).to_bytes(ID_BYTES, "little")
 
     def rows(windows: list[list], part: int, left: bool) -> pa.RecordBatch:
-        flat = [(i, s, n, zlib.crc32(ids), total, part, seq, off, left, ids if left or with_ids else None) for seq, _, pieces in windows for i, s, ids, total, n, off in pieces]
+        flat = [(i, s, n, zlib.crc32(ids), total, part, seq, off, left, np.frombuffer(ids, "<i4") if left or with_ids else None) for seq, _, pieces in windows for i, s, ids, total, n, off in pieces]
         cols = list(zip(*flat, strict=True)) if flat else [[]] * len(_FIELDS)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
@@ -181,12 +181,12 @@ def pack_documents(
         pdf = pdf.sort_values(["part", "sequence", "offset"])
         seq, used, out = 0, 0, []
         for r in pdf.itertuples(index=False):
-            start, ids, rest = r.start, r.ids, r.length
+            start, ids, rest = r.start, np.asarray(r.ids, "<i4"), r.length
             while rest:
                 take = min(rest, window - used)
-                part = ids[: ID_BYTES * take]
-                out.append((r.id, start, take, zlib.crc32(part), r.doc_tokens, -1 - int(key[0]), seq, used, True, part if with_ids else None))
-                start, ids, rest, used = start + take, ids[ID_BYTES * take :], rest - take, used + take
+                part = ids[:take]
+                out.append((r.id, start, take, zlib.crc32(part.tobytes()), r.doc_tokens, -1 - int(key[0]), seq, used, True, part if with_ids else None))
+                start, ids, rest, used = start + take, ids[take:], rest - take, used + take
                 if used == window:
                     seq, used = seq + 1, 0
         made = pd.DataFrame(out, columns=[n for n, _ in _FIELDS])
@@ -202,10 +202,5 @@ def pack_documents(
     both = both.withColumn("sequence_id", F.col("part") * F.lit(1 << 32) + F.col("sequence"))
     columns = [F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     if with_ids:
-
-        @F.pandas_udf("array<int>")
-        def numbers(packed: pd.Series) -> pd.Series:
-            return packed.map(lambda x: np.frombuffer(x, "<u4").astype(np.int32))
-
-        columns.append(numbers("ids").alias("ids"))
+        columns.append("ids")
     return both.select(*columns)
