@@ -10,6 +10,7 @@ partitions in bounded groups.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from strideframe.llm._common import stage, text_rows
 
 #: Distinct chunks of text whose ids a Python worker remembers between batches.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 350_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 48
 #: Partitions whose leftover windows meet in one task.
@@ -46,6 +47,16 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _word_and_mark(chunk: str) -> tuple[str, str]:
+    """An ASCII chunk in lower case, parted before a last full stop or comma that follows a letter; others whole."""
+    if not chunk.isascii() or "<" in chunk:
+        return chunk, ""
+    low = chunk.lower()
+    if low[-1:] in (".", ",") and low[-2:-1].isalpha():
+        return low[:-1], low[-1]
+    return low, ""
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit words.
 
@@ -59,10 +70,15 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
         known.clear()
         new = list({c for chunks in split for c in chunks})
     coder = _tokenizer(path)
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
+    # The vocabulary lowers case and parts letters from the mark after them, so most new chunks are a known word and a mark.
+    halves = [_word_and_mark(c) for c in new]
+    plain = list({h for pair in halves for h in pair if h not in known})
+    for at in range(0, len(plain), 4096):
+        part = plain[at : at + 4096]
         for chunk, got in zip(part, coder.encode_batch(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(got.ids, "<u4").tobytes()
+            known[chunk] = array("I", got.ids).tobytes()
+    for chunk, (word, mark) in zip(new, halves, strict=True):
+        known[chunk] = known[word] + known[mark]
     out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
     for chunk in new:
         if len(chunk) > CACHE_CHARS:
