@@ -108,7 +108,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = text_rows(docs, text_col, id=id_col)
     got = texts.join(F.broadcast(chosen), "id").select("good", "text").mapInArrow(run, "good int, features array<double>").collect()
     got = sorted((r.good, r.features) for r in got)
-    return Classifier.fit(np.array([f for _, f in got]).reshape(len(got), -1), np.array([g for g, _ in got], float))
+    return Classifier.fit(np.array([f for _, f in got]).reshape(len(got), N_FEATURES), np.array([g for g, _ in got], float))
 
 
 def _strength(mean: Column, spread: Column) -> Column:

@@ -8,9 +8,10 @@ Links between fingerprints are found in three steps:
    distances within the block tell block contents apart, and equal distances in three blocks make
    a bucket. With 64 bits there are ``bits + 3`` blocks and every choice of three is used:
    fingerprints that differ in at most ``bits`` places agree in at least three blocks, and no link
-   is lost. With 128 bits, made for wide radii that no such count can cover, a fixed number of
-   choices of three out of many blocks is used; a link is missed with a small probability, which
-   the tests measure.
+   is lost. With 128 bits, made for wide radii that no such count can cover, the blocks are wide
+   draws of places, and a fingerprint enters each block's table under its own row and under the
+   rows of its nearest alternatives, those with the least decided bits of the block flipped: near
+   copies differ mostly there. A link is missed with a small probability, which the tests measure.
 2. Within a bucket, pairs whose distances to the full-width references differ by more than
    ``bits`` in any coordinate are discarded (triangle inequality).
 3. Survivors are verified bit by bit. A bucket emits a spanning forest, never all its pairs.
@@ -38,15 +39,15 @@ SEED = 42
 STEP = 1 << 16
 #: Full-width reference fingerprints: fixed pseudo-random words.
 PIVOTS = np.random.default_rng(2024).integers(0, 2**64, (16, 2), dtype=np.uint64)
-#: With 128 bits: blocks, and choices of three of them.
-WIDE_BLOCKS, WIDE_CHOICES = 24, 100
+#: With 128 bits: blocks, places of a block, and the least decided of them that are flipped.
+WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 24, 20, 3
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
-    """SimHash of one text as 64-bit words, lowest first; no words (or null) gives zero, fewer words than a shingle one shingle."""
+def majority(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """For each bit of a text's SimHash, votes for one less votes for zero; no words (or null) gives zeros, fewer words than a shingle one shingle."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return [0] * words
+        return np.zeros(WORD * words, np.int64)
     size = min(shingle, len(tokens))
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -64,35 +65,41 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]
             hashes = np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in spans]), np.uint8)
         bits = np.unpackbits(hashes.reshape(-1, 8 * words), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    value = sum(1 << i for i in np.flatnonzero(2 * votes > len(starts)).tolist())
-    return [value >> (WORD * i) & (1 << WORD) - 1 for i in range(words)]
+    return 2 * votes - len(starts)
+
+
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
+    """SimHash of one text as 64-bit words, lowest first: a bit is 1 where the votes for it are over half."""
+    return _as_words(majority(text, shingle, words))
+
+
+def _as_words(votes: np.ndarray) -> list[int]:
+    return np.packbits(votes > 0, bitorder="little").view("<u8").tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """One row per document: ``id_col``, ``fp`` and ``fp_high`` (words as signed longs; the second is 0 for 64 bits)."""
+    """One row per document: ``id_col``, ``fp`` and ``fp_high`` (words as signed longs; the second is 0 for 64 bits).
+
+    With two words also ``weak``: the places of all bits, one byte each, the least decided first.
+    """
+    names = ["id", "fp", "fp_high", "weak"][: 3 if words == 1 else 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(x.as_py(), shingle, words) for x in batch.column(1)], np.uint64).reshape(-1, words).view(np.int64)
+            votes = [majority(x.as_py(), shingle, words) for x in batch.column(1)]
+            got = np.array([_as_words(v) for v in votes], np.uint64).reshape(-1, words).view(np.int64)
             high = got[:, 1].copy() if words > 1 else np.zeros(len(got), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].copy()), pa.array(high)], ["id", "fp", "fp_high"])
+            weak = [np.argsort(np.abs(v), kind="stable").astype(np.uint8).tobytes() for v in votes] if words > 1 else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].copy()), pa.array(high), pa.array(weak, pa.binary())][: len(names)], names)
 
     rows = text_rows(docs, text_col, id=id_col)
-    return rows.mapInArrow(run, "id long, fp long, fp_high long").withColumnRenamed("id", id_col)
-
+    return rows.mapInArrow(run, "id long, fp long, fp_high long" + (", weak binary" if words > 1 else "")).withColumnRenamed("id", id_col)
 
-def _block_masks(blocks: int, words: int) -> list[list[tuple[int, int]]]:
-    """For each block its places as (word, bit)."""
-    edges = [WORD * words * i // blocks for i in range(blocks + 1)]
-    return [[divmod(i, WORD) for i in range(a, b)] for a, b in zip(edges, edges[1:], strict=False)]
 
-
-def _choices(bits: int, words: int) -> tuple[int, list[tuple[int, int, int]]]:
-    if words == 1:
-        return bits + 3, list(combinations(range(bits + 3), 3))
-    every = list(combinations(range(WIDE_BLOCKS), 3))
-    picked = np.random.default_rng(7).permutation(len(every))[:WIDE_CHOICES]
-    return WIDE_BLOCKS, [every[i] for i in sorted(picked.tolist())]
+def _block_masks(blocks: int) -> list[list[int]]:
+    """For each block of a 64-bit word its places."""
+    edges = [WORD * i // blocks for i in range(blocks + 1)]
+    return [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -102,24 +109,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(fps: np.ndarray, bits: int) -> np.ndarray:
-    """Keys [row, choice of blocks] made from the distances to the references of three blocks; ``fps`` is [row, word]."""
-    words = fps.shape[1]
-    blocks, choices = _choices(bits, words)
+    """Keys [row, choice of blocks] made from the distances of 64-bit words to the references of three blocks."""
+    blocks = bits + 3
     cells = []
-    for places in _block_masks(blocks, words):
+    for places in _block_masks(blocks):
         cell = np.zeros(len(fps), np.uint64)
-        for unit in [None, *places]:
-            distance = np.zeros(len(fps), np.uint64)
-            for w in {w for w, _ in places}:
-                mask = np.uint64(sum(1 << b for v, b in places if v == w))
-                ref = np.uint64(1 << unit[1] if unit and unit[0] == w else 0)
-                distance += np.bitwise_count((fps[:, w] ^ ref) & mask)
+        mask = np.uint64(sum(1 << b for b in places))
+        for unit in [0, *(1 << b for b in places)]:
+            distance = np.bitwise_count((fps[:, 0] ^ np.uint64(unit)) & mask).astype(np.uint64)
             cell = _mix(cell * np.uint64(0x9E3779B97F4A7C15) + distance + np.uint64(1))
         cells.append(cell)
+    choices = combinations(range(blocks), 3)
     keys = [_mix(_mix(_mix(cells[i] + np.uint64(n + 1)) + cells[j]) + cells[k]) for n, (i, j, k) in enumerate(choices)]
     return np.stack(keys, axis=1)
 
 
+def probe_keys(fps: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """Keys [row, probe] of 128-bit fingerprints [row, word] and the order ``weak`` [row, bit] of their bits, least decided first.
+
+    A block's key is its row of distances to the block's references: the distance to a unit word
+    is that to the zero word, less one where the bit is set and one more where it is not, so the
+    row is written as those bits. Every subset of the least decided places gives one more row.
+    """
+    width = WORD * fps.shape[1]
+    on = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    order = np.empty((len(fps), width), np.uint8)
+    np.put_along_axis(order, weak.astype(np.int64), np.arange(width, dtype=np.uint8)[None, :], axis=1)
+    units = np.int64(1) << np.arange(WIDE_PLACES)
+    rng, keys, drawn = np.random.default_rng(7), [], []
+    while len(drawn) < WIDE_BLOCKS:  # every place comes into as many blocks as any other, or one less
+        shuffled = rng.permutation(width)
+        drawn += [shuffled[i * WIDE_PLACES : (i + 1) * WIDE_PLACES] for i in range(width // WIDE_PLACES)]
+    for block, places in enumerate(drawn[:WIDE_BLOCKS]):
+        row = on[:, places] @ units + (np.int64(block) << WIDE_PLACES)
+        flips = units[np.argpartition(order[:, places], WIDE_FLIPS, axis=1)[:, :WIDE_FLIPS]]
+        for subset in range(1 << WIDE_FLIPS):
+            chosen = [flips[:, i] for i in range(WIDE_FLIPS) if subset >> i & 1]
+            keys.append(row ^ sum(chosen, np.zeros(len(fps), np.int64)))
+    return np.stack(keys, axis=1)
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
@@ -139,13 +168,12 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarr
             v = parent[v]
         return v
 
-    lag, left = 1, np.arange(max(0, len(fps) - 1))
-    while len(left):
-        left = left[left + lag < len(fps)]
-        left = left[keys[left] == keys[left + lag]]
-        for at in range(0, len(left), STEP):
-            i = left[at : at + STEP]
-            j = i + lag
+    def compare(lefts: np.ndarray, rights: np.ndarray) -> None:
+        apart = parent[lefts] != parent[rights]
+        lefts, rights = lefts[apart], rights[apart]
+        before = len(made_a)
+        for at in range(0, len(lefts), STEP):
+            i, j = lefts[at : at + STEP], rights[at : at + STEP]
             near = np.abs(table[i] - table[j]).max(axis=1) <= bits
             i, j = i[near], j[near]
             near = _distance(fps[i], fps[j]) <= bits
@@ -155,6 +183,18 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarr
                     parent[max(a, b)] = min(a, b)
                     made_a.append(a)
                     made_b.append(b)
+        if len(made_a) > before:  # every row points at its root again, so that joined pairs are skipped
+            while (up := parent[parent] != parent).any():
+                parent[up] = parent[parent[up]]
+
+    # First every row with its bucket's first row, which joins most copies; then all other pairs.
+    firsts = np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1])[: len(keys)], np.arange(len(keys)), 0))
+    compare(firsts, np.arange(len(keys)))
+    lag, left = 1, np.arange(max(0, len(fps) - 1))
+    while len(left):
+        left = left[left + lag < len(fps)]
+        left = left[keys[left] == keys[left + lag]]
+        compare(left, left + lag)
         lag += 1
     return rows[np.array(made_a, np.int64)], rows[np.array(made_b, np.int64)]
 
@@ -162,7 +202,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarr
 def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: int = 2048) -> DataFrame:
     """Links ``a``, ``b`` (first words) whose closure joins all fingerprints within ``bits`` bits.
 
-    ``distinct`` holds each ``fp`` once, with ``fp_high``. Only links between different
+    ``distinct`` holds each ``fp`` once, with ``fp_high`` and, with two words, ``weak``. Only links between different
     fingerprints appear, each bucket gives at most its rows less one.
     """
     names = ["fp", "fp_high"][:words]
@@ -173,10 +213,15 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = longs(batch)
-            for at in range(0, rows.shape[1], 8192):
-                part = rows[:, at : at + 8192]
-                keys = bucket_keys(np.ascontiguousarray(part.T).view(np.uint64), bits)
+            rows = longs(batch.select(names))
+            for at in range(0, rows.shape[1], 1024):
+                part = rows[:, at : at + 1024]
+                fps = np.ascontiguousarray(part.T).view(np.uint64)
+                if words == 1:
+                    keys = bucket_keys(fps, bits)
+                else:
+                    weak = b"".join(batch.column("weak").slice(at, 1024).to_pylist())
+                    keys = probe_keys(fps, np.frombuffer(weak, np.uint8).reshape(len(fps), -1))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.repeat(x, keys.shape[1])) for x in part]], ["key", *names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +245,7 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
         if held.shape[1]:
             yield links(held)
 
-    keys = distinct.select(*names).mapInArrow(explode, f"key long, {typed}")
+    keys = distinct.select(*names, *["weak"][: words - 1]).mapInArrow(explode, f"key long, {typed}")
     hot = stage(keys.groupBy("key").count().filter(F.col("count") > cell_rows), "hot")
     if hot.limit(1).count():
         # A member of a hot bucket goes to one cell with every chunk of the bucket.
@@ -226,9 +271,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a component. Other columns are ignored, whatever their names. An empty table gives an
     empty result. Texts of any length are hashed whole.
     """
-    marks = stage(fingerprints(docs, id_col, text_col, shingle, words).toDF("id", "fp", "fp_high"), "fingerprints")
-    firsts = stage(marks.groupBy("fp").agg(F.min("id").alias("first"), F.min("fp_high").alias("fp_high")), "firsts")
-    roots = connected_components(stage(near_links(firsts.select("fp", "fp_high"), bits, words), "links"))
+    marks = stage(fingerprints(docs, id_col, text_col, shingle, words).toDF("id", "fp", "fp_high", *["weak"][: words - 1]), "fingerprints")
+    least_of = F.min(F.struct(*marks.columns[2:])).alias("least")
+    firsts = stage(marks.groupBy("fp").agg(F.min("id").alias("first"), least_of).select("fp", "first", "least.*"), "firsts")
+    roots = connected_components(stage(near_links(firsts.drop("first"), bits, words), "links"))
     grouped = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     of = grouped.join(least, "root").select("fp", "component_id")
