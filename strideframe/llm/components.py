@@ -2,11 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm._common import release, stage
 
+#: Edges that a task holds at a time when it thins them.
+HELD_EDGES = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the same components as ``a``, ``b``: every node with the smallest of its component, itself left out."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(nodes))
+    while True:
+        ends = parent[x], parent[y]
+        low, high = np.minimum(*ends), np.maximum(*ends)
+        open_ = low < high
+        if not open_.any():
+            break
+        np.minimum.at(parent, high[open_], low[open_])
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    other = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[parent[other]], nodes[other]
+
+
+def starred(edges: Iterable[tuple[np.ndarray, np.ndarray]], most: int = HELD_EDGES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The edges of a task as stars; about ``most`` edges are held at a time, whatever the task reads."""
+    held, count = [], 0
+    for a, b in edges:
+        for at in range(0, len(a), most):
+            held.append((a[at : at + most], b[at : at + most]))
+            count += len(held[-1][0])
+            if count >= most:
+                made = stars(*map(np.concatenate, zip(*held, strict=True)))
+                held, count = [made], len(made[0])
+                if count > most // 2:
+                    yield made
+                    held, count = [], 0
+    if count:
+        yield stars(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def thin_edges(edges: DataFrame, most: int = HELD_EDGES) -> DataFrame:
+    """A staged edge table (longs ``a``, ``b``, no nulls) with the components of ``edges`` and fewer edges.
+
+    Every task turns about ``most`` edges into stars, without a shuffle, for as long as that halves
+    the table; what is left goes on to ``connected_components``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = (tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns) for batch in batches if batch.num_rows)
+        for a, b in starred(ends, most):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    n = edges.count()
+    while n:
+        tasks = -(-n // most)
+        thin = stage(edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long"), "thin")
+        release(edges)
+        before, n, edges = n, thin.count(), thin
+        if tasks == 1 or 2 * n > before:
+            break
+    return edges
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Label every node of ``edges`` (two long columns) with the smallest node it can reach.

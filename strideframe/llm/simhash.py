@@ -14,7 +14,8 @@ Links between fingerprints are found in three steps:
    copies differ mostly there. A link is missed with a small probability, which the tests measure.
 2. Within a bucket, pairs whose distances to the full-width references differ by more than
    ``bits`` in any coordinate are discarded (triangle inequality).
-3. Survivors are verified bit by bit. A bucket emits a spanning forest, never all its pairs.
+3. Survivors are verified bit by bit. A bucket gives a spanning forest, never all its pairs, and a
+   task joins the forests of its buckets, as near copies meet in many of them.
 
 Buckets beyond ``cell_rows`` are dealt out as cells (pairs of hash chunks) over many tasks.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm._common import stage, text_rows
-from strideframe.llm.components import connected_components
+from strideframe.llm.components import connected_components, starred, thin_edges
 
 WORD = 64
 SEED = 42
@@ -203,7 +204,7 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
     """Links ``a``, ``b`` (first words) whose closure joins all fingerprints within ``bits`` bits.
 
     ``distinct`` holds each ``fp`` once, with ``fp_high`` and, with two words, ``weak``. Only links between different
-    fingerprints appear, each bucket gives at most its rows less one.
+    fingerprints appear, and a task gives no more of them than the fingerprints it reads.
     """
     names = ["fp", "fp_high"][:words]
     typed = ", ".join(f"{n} long" for n in names)
@@ -225,13 +226,17 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.repeat(x, keys.shape[1])) for x in part]], ["key", *names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in starred(pairs(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # Rows come sorted by (key, cell); the last run of a batch waits for the next batch.
         held = np.zeros((2 + words, 0), np.int64)
 
-        def links(rows: np.ndarray) -> pa.RecordBatch:
+        def links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             run = _mix(rows[0].view(np.uint64)) + rows[1].view(np.uint64)
             a, b = bucket_links(run, np.ascontiguousarray(rows[2:].T).view(np.uint64), bits)
-            return pa.RecordBatch.from_arrays([pa.array(rows[2][a]), pa.array(rows[2][b])], ["a", "b"])
+            return rows[2][a], rows[2][b]
 
         for batch in batches:
             rows = np.concatenate([held, longs(batch)], axis=1)
@@ -274,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = stage(fingerprints(docs, id_col, text_col, shingle, words).toDF("id", "fp", "fp_high", *["weak"][: words - 1]), "fingerprints")
     least_of = F.min(F.struct(*marks.columns[2:])).alias("least")
     firsts = stage(marks.groupBy("fp").agg(F.min("id").alias("first"), least_of).select("fp", "first", "least.*"), "firsts")
-    roots = connected_components(stage(near_links(firsts.drop("first"), bits, words), "links"))
+    roots = connected_components(thin_edges(stage(near_links(firsts.drop("first"), bits, words), "links")))
     grouped = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     of = grouped.join(least, "root").select("fp", "component_id")

@@ -3,6 +3,8 @@ import re
 import numpy as np
 import xxhash
 
+from strideframe.llm._common import stage
+from strideframe.llm.components import connected_components, thin_edges
 from strideframe.llm.queries import op1_simhash_pivot
 from strideframe.llm.simhash import bucket_keys, fingerprint, majority, near_duplicates, probe_keys
 
@@ -111,3 +113,27 @@ def test_wide_mode_runs_and_groups_copies(odd_docs):
 
 def test_empty_table(no_docs):
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_thinned_edges_keep_components(spark):
+    rng = np.random.default_rng(11)
+    edges = rng.integers(-400, 400, (600, 2))
+    edges = np.concatenate([edges, edges[:50], np.stack([edges[:20, 0]] * 2, axis=1)])  # repeated edges, loops
+    want = {}
+    for v in np.unique(edges).tolist():
+        want[v] = v
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges.tolist():
+            low = min(want[a], want[b])
+            changed |= want[a] != low or want[b] != low
+            want[a] = want[b] = low
+    table = stage(spark.createDataFrame(edges.tolist(), "a long, b long").repartition(7), "test")
+    for most in (16, 1 << 20):
+        thin = thin_edges(stage(table, "test"), most)
+        got = {r.node: r.root for r in connected_components(thin).collect()}
+        assert all(got.get(v, v) == root for v, root in want.items())
+        if most > 1000:
+            assert thin.count() == len(want) - len(set(want.values()))
+    assert thin_edges(stage(table.filter("a > 1000"), "test")).count() == 0
