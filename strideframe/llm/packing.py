@@ -9,6 +9,7 @@ partitions in bounded groups.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,14 +24,20 @@ from pyspark.sql import functions as F
 from strideframe.llm._common import stage, text_rows
 
 #: Distinct chunks of text whose ids a Python worker remembers between batches.
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 500_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 48
+#: Letters that normalization turns into one letter: a token never crosses the place between one of them and a mark or blank.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+#: A full stop or comma between such a letter, or a digit, and white space or the end.
+LAST_MARK = re.compile(f"(?<=[{LETTERS}0-9])[.,](?!\\S)")
+WORD = re.compile(f"[{LETTERS}]+").fullmatch
 #: Partitions whose leftover windows meet in one task.
-MERGE_PARTITIONS = 64
+MERGE_PARTITIONS = 8
 ID_BYTES = 4
 
 _tokenizers: dict[str, object] = {}
+_word_ends: dict[str, np.ndarray] = {}
 _chunks: dict[str, dict[str, bytes]] = {}
 
 
@@ -44,41 +51,50 @@ def _tokenizer(path: str):
         found = Tokenizer.from_file(path)
         found.encode_special_tokens = True
         _tokenizers[path] = found
+        # The vocabulary marks the token at the end of a word.
+        vocabulary = found.get_vocab()
+        _word_ends[path] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _word_ends[path][[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     return _tokenizers[path]
 
 
-def _word_and_mark(chunk: str) -> tuple[str, str]:
-    """An ASCII chunk in lower case, parted before a last full stop or comma that follows a letter; others whole."""
-    if not chunk.isascii() or "<" in chunk:
-        return chunk, ""
-    low = chunk.lower()
-    if low[-1:] in (".", ",") and low[-2:-1].isalpha():
-        return low[:-1], low[-1]
-    return low, ""
+def _chunks_of(text: str | None) -> list[str]:
+    """A text between blanks and line ends, with a full stop or comma after a letter or digit as a chunk of its own."""
+    if not text:
+        return []
+    if text.isascii() and "<" not in text:
+        text = text.lower()  # as the vocabulary does; copies of a chunk then meet in one
+    return LAST_MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit words.
 
-    The vocabulary drops white space and no token crosses it, so a text's ids are those of its
-    chunks between blanks and line ends; chunks repeat and are looked up.
+    The vocabulary drops white space and no token crosses it, nor the place between a letter or
+    digit and a mark, so a text's ids are those of its chunks; chunks repeat and are looked up.
     """
     known = _chunks.setdefault(path, {})
-    split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-    new = list({c for chunks in split for c in chunks if c not in known})
+    split = [_chunks_of(x) for x in texts]
+    every = set().union(*split)
+    new = list(every - known.keys())
     if len(known) + len(new) > CACHE_CHUNKS:
         known.clear()
-        new = list({c for chunks in split for c in chunks})
+        new = list(every)
     coder = _tokenizer(path)
-    # The vocabulary lowers case and parts letters from the mark after them, so most new chunks are a known word and a mark.
-    halves = [_word_and_mark(c) for c in new]
-    plain = list({h for pair in halves for h in pair if h not in known})
-    for at in range(0, len(plain), 4096):
-        part = plain[at : at + 4096]
-        for chunk, got in zip(part, coder.encode_batch(part, add_special_tokens=False), strict=True):
+    # Words go many to a call, as most of a short call is its overhead; their ids part at the ends of words.
+    words = [c for c in new if WORD(c)]
+    for at in range(0, len(words), 512):
+        part = words[at : at + 512]
+        ids = np.array(coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(_word_ends[path][ids]) + 1).tolist()
+        raw = ids.tobytes()
+        for word, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
+            known[word] = raw[ID_BYTES * a : ID_BYTES * b]
+    rest = [c for c in new if not WORD(c)]
+    for at in range(0, len(rest), 4096):
+        part = rest[at : at + 4096]
+        for chunk, got in zip(part, coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[chunk] = array("I", got.ids).tobytes()
-    for chunk, (word, mark) in zip(new, halves, strict=True):
-        known[chunk] = known[word] + known[mark]
     out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
     for chunk in new:
         if len(chunk) > CACHE_CHARS:

@@ -4,9 +4,11 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strideframe.llm.packing import OpenWindows, pack_documents
+from strideframe.llm.packing import OpenWindows, encode_texts, pack_documents
 from strideframe.llm.queries import op2_bounded_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -70,3 +72,9 @@ def test_bounded_space():
 
 def test_empty_table(no_docs):
     assert pack_documents(no_docs, PATH).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abÉßẞİΣक़ AB.,.,\n\t 's12²_<|日\u0301 "), st.characters(codec="utf-8")), max_size=60))
+def test_ids_of_any_text(coder, text):
+    assert np.frombuffer(encode_texts([text], PATH)[0], "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
