@@ -3,7 +3,7 @@
 The distinct words of a batch of documents are laid out as one array of tokens with links to the
 left and right neighbour. An index maps the rank of every mergeable pair to the places where it
 stands. Ranks are taken in order from a heap; a merge is applied at all its places, and only the
-two touched neighbours get new index entries. Words keep their ids for later batches.
+two touched neighbours get new index entries. Words keep their ids for later batches, as bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,10 @@ from pyspark.sql import DataFrame
 
 from strideframe.llm._common import text_rows
 
-#: Characters of text that a worker encodes at a time, and chunks that it remembers.
-BATCH_CHARS = 4_000_000
-CACHE_CHUNKS = 120_000
+#: Characters of text that a worker encodes at a time, and words (matches of the pattern) that it remembers.
+BATCH_CHARS = 2_000_000
+CACHE_WORDS = 600_000
 CACHE_CHARS = 48
-#: A single blank between two other characters always begins a match of the pattern.
-SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 OUTPUTS = {"ids": "array<int>", "decoded": "binary", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 _ARROW = {"ids": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -44,7 +41,11 @@ class MergeReplay:
         self.find = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs: dict[int, int] = {}  # pair of ids -> rank of the merge, -1 for none
-        self.known: tuple[dict, dict] = ({}, {})  # chunks at a text's start, chunks after a blank
+        self.known: dict[str, bytes] = {}  # word -> its ids, 32 bits each
+        most = max(self.words) + 1
+        self.bytes_of, self.shown = np.empty(most, object), np.empty(most, object)
+        for i, b in self.words.items():
+            self.bytes_of[i], self.shown[i] = b, str(i)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> MergeReplay:
@@ -63,7 +64,7 @@ class MergeReplay:
             found = self.pairs[code] = self.ranks.get(self.words[a] + self.words[b], -1)
         return found
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
+    def replay(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, all words at once."""
         if not words:
             return []
@@ -121,36 +122,27 @@ class MergeReplay:
                     break
         token = np.array(token, np.int64)
         kept = np.flatnonzero(token >= 0)
-        return [x.tolist() for x in np.split(token[kept], np.searchsorted(kept, ends)[:-1])]
-
-    def learn(self, chunks: tuple[set, set]) -> None:
-        """Encode chunks of text that are not known yet."""
-        matches = [(kind, c, self.find(c if not kind else " " + c)) for kind in (0, 1) for c in chunks[kind]]
-        distinct = list({m for _, _, found in matches for m in found})
-        ids = dict(zip(distinct, self.replay([m.encode("utf-8", "surrogatepass") for m in distinct]), strict=True))
-        for kind, chunk, found in matches:
-            own = [i for m in found for i in ids[m]]
-            self.known[kind][chunk] = (len(own), ",".join(map(str, own)), self.decode(own))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
-
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text the entries of its chunks: count, ids as text, decoded bytes."""
-        split = [SPLIT.split(x) if x else [] for x in texts]
-        new = ({c[0] for c in split if c} - self.known[0].keys(), {y for c in split for y in c[1:]} - self.known[1].keys())
-        if sum(map(len, (*new, *self.known))) > CACHE_CHUNKS:
-            for known in self.known:
-                known.clear()
-            new = ({c[0] for c in split if c}, {y for c in split for y in c[1:]})
-        self.learn(new)
-        get0, get1 = self.known[0].__getitem__, self.known[1].__getitem__
-        for chunks in split:
-            yield [get0(chunks[0]), *map(get1, chunks[1:])] if chunks else []
-        for known, part in zip(self.known, new, strict=True):
-            for c in part:
-                if len(c) > CACHE_CHARS:
-                    known.pop(c, None)
+        ids, upto = token[kept].astype(np.uint32), np.searchsorted(kept, ends).tolist()
+        return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes_of[ids].tolist())
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        known, split = self.known, [self.find(x) for x in texts]
+        every = set().union(*split)
+        new = list(every - known.keys())
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list(every)
+        for word, ids in zip(new, self.replay([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
+            known[word] = ids.tobytes()
+        for words in split:
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+        for word in new:
+            if len(word) > CACHE_CHARS:
+                known.pop(word, None)
 
 
 def encode_documents(
@@ -171,14 +163,14 @@ def encode_documents(
     empty result. Other columns are ignored, whatever their names.
     """
 
-    def made(name: str, parts: list[tuple[int, str, bytes]]):
+    def made(coder: MergeReplay, name: str, ids: np.ndarray):
         if name == "n_tokens":
-            return sum(p[0] for p in parts)
+            return len(ids)
         if name == "ids_sha256":
-            return hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest()
+            return hashlib.sha256(",".join(coder.shown[ids].tolist()).encode()).hexdigest()
         if name == "ids":
-            return [int(i) for p in parts if p[1] for i in p[1].split(",")]
-        whole = b"".join([p[2] for p in parts])
+            return ids.astype(np.int32)
+        whole = coder.decode(ids)
         return whole if name == "decoded" else hashlib.sha256(whole).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +182,7 @@ def encode_documents(
                 while to < len(texts) and chars + len(texts[to]) <= BATCH_CHARS:
                     chars += len(texts[to])
                     to += 1
-                rows = [[made(name, parts) for name in outputs] for parts in coder.encode(texts[at:to])]
+                rows = [[made(coder, name, ids) for name in outputs] for ids in coder.encode(texts[at:to])]
                 cols = [batch.column(0).slice(at, to - at), *[pa.array([r[i] for r in rows], _ARROW[name]) for i, name in enumerate(outputs)]]
                 yield pa.RecordBatch.from_arrays(cols, ["id", *outputs])
                 at = to
