@@ -1,6 +1,7 @@
 """License notices found by conditional compression and confirmed by their wording.
 
-Candidate blocks are runs of lines around license words. A block is compressed alone and, with
+Candidate blocks are the words around license words, as many to each side as the longest template
+with its permitted differences has, so that line breaks don't matter. A block is compressed alone and, with
 zstandard, given each template as a raw dictionary; the templates are ranked by how much of the
 block's compressed size they save. The best are aligned with the block word by word, and a match
 counts when the words missing, added or changed are few; it is returned with those differences.
@@ -40,8 +41,6 @@ TEMPLATES = {
 #: Words one of which every template contains.
 CUES = ("licens", "permission", "copyright", "redistribut")
 CUE = re.compile("|".join(CUES), re.IGNORECASE)
-#: Lines without license words that a block bridges.
-BRIDGE = 1
 #: Words of a block that are compared at a time, and their overlap.
 SPAN, LAP = 400, 120
 #: Templates confirmed for each window, in order of their reductions.
@@ -51,21 +50,21 @@ MAX_DIFFERENCE = 0.15
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Code-point ranges of the candidate blocks of a text."""
-    if not CUE.search(text):
+def blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
+    """The words of the candidate blocks of a text, as code-point ranges: all words within ``reach`` words of one with a cue, however lines are broken."""
+    cues = [m.start() for m in CUE.finditer(text)]
+    if not cues:
         return []
-    out, start, number, last = [], 0, 0, None
-    for line in text.split("\n"):
-        end = start + len(line)
-        if CUE.search(line):
-            if out and number - last <= BRIDGE + 1:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((start, end))
-            last = number
-        start, number = end + 1, number + 1
-    return out
+    spans = [m.span() for m in _WORD.finditer(text)]
+    places = np.searchsorted(np.array([s for s, _ in spans]), cues, side="right") - 1
+    out: list[list[int]] = []
+    for place in places.tolist():
+        first, end = max(0, place - reach), min(len(spans), place + reach + 1)
+        if out and first <= out[-1][1]:
+            out[-1][1] = end
+        else:
+            out.append([first, end])
+    return [spans[first:end] for first, end in out]
 
 
 def align(words: list[str], template: list[str]) -> tuple[int, int, int]:
@@ -103,6 +102,8 @@ class Scanner:
         self.templates = {
             name: ([w.lower() for w in _WORD.findall(text)], zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates.items()
         }
+        #: Words of the longest stretch that can match a template.
+        self.reach = max((len(t) + int(MAX_DIFFERENCE * len(t)) for t, _ in self.templates.values()), default=0)
 
     def reductions(self, block: bytes) -> list[tuple[int, str]]:
         """(bytes saved, template), best first."""
@@ -112,8 +113,8 @@ class Scanner:
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices of a text: at each place the template with the fewest differences, then the longest."""
         found = []
-        for start, end in blocks(text):
-            words = [(m[0].lower(), start + m.start(), start + m.end()) for m in _WORD.finditer(text[start:end])]
+        for spans in blocks(text, self.reach):
+            words = [(text[s:e].lower(), s, e) for s, e in spans]
             for at in range(0, max(1, len(words)), SPAN - LAP):
                 part = words[at : at + SPAN]
                 if not part or not CUE.search(text, part[0][1], part[-1][2]):

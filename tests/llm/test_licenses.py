@@ -1,3 +1,5 @@
+import textwrap
+
 from strideframe.llm.licenses import TEMPLATES, align, scan_licenses
 from strideframe.llm.queries import op7_license_scan
 
@@ -49,3 +51,10 @@ def test_query_against_search(spark, sf_dir):
     got = {(r.doc_id, r.license) for r in op7_license_scan(spark, sf_dir).collect() if r.differences == 0}
     want = {(r.doc_id, n) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for n, t in TEMPLATES.items() if t in r.text}
     assert want <= got and {d for d, _ in want} == {d for d, _ in got}
+
+
+def test_every_template_is_found_however_it_is_wrapped(spark):
+    names, widths = list(TEMPLATES), range(40, 81, 4)
+    rows = [(1000 * i + w, "Some words before.\n\n" + textwrap.fill(TEMPLATES[n], w, break_long_words=False, break_on_hyphens=False) + "\n\nSome after.") for i, n in enumerate(names) for w in widths]
+    got = {(r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.differences == 0}
+    assert got == {(1000 * i + w, n) for i, n in enumerate(names) for w in widths}
