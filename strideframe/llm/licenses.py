@@ -1,14 +1,17 @@
-"""License notices found by conditional compression and confirmed by their wording.
+"""License notices found by their wording, with what conditional compression saves on them.
 
 Candidate blocks are the words around license words, as many to each side as the longest template
-with its permitted differences has, so that line breaks don't matter. A block is compressed alone and, with
-zstandard, given each template as a raw dictionary; the templates are ranked by how much of the
-block's compressed size they save. The best are aligned with the block word by word, and a match
-counts when the words missing, added or changed are few; it is returned with those differences.
+with its permitted differences has, so that line breaks don't matter. Every template is aligned
+with the block word by word, and a match counts when the words missing, added or changed are few;
+it is returned with those differences. The best match is cut out and the rest is compared again,
+until nothing matches. A notice and its surroundings are compressed alone and, with zstandard,
+given the template as a raw dictionary: the bytes saved come with the row.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -41,10 +44,8 @@ TEMPLATES = {
 #: Words one of which every template contains.
 CUES = ("licens", "permission", "copyright", "redistribut")
 CUE = re.compile("|".join(CUES), re.IGNORECASE)
-#: Words of a block that are compared at a time, and their overlap.
-SPAN, LAP = 400, 120
-#: Templates confirmed for each window, in order of their reductions.
-CONFIRMED = 3
+#: Words of a block whose ends are compared at a time.
+SPAN = 4096
 #: Part of a template's words that may differ.
 MAX_DIFFERENCE = 0.15
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
@@ -67,8 +68,8 @@ def blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
     return [spans[first:end] for first, end in out]
 
 
-def align(words: list[str], template: list[str]) -> tuple[int, int, int]:
-    """The stretch of ``words`` nearest to ``template``: differing words, first word, end.
+def ends(words: list[str], template: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each end (0 to ``len(words)``) of a stretch of ``words`` the fewest words that differ from ``template``, and the stretch's first word.
 
     Word edit distance with free ends in ``words``, row by row over the template.
     """
@@ -88,6 +89,12 @@ def align(words: list[str], template: list[str]) -> tuple[int, int, int]:
         least = np.minimum.accumulate(shifted)
         source = np.maximum.accumulate(np.where(shifted == least, steps, 0))
         cost, start = least + steps, begin[source]
+    return cost, start
+
+
+def align(words: list[str], template: list[str]) -> tuple[int, int, int]:
+    """The stretch of ``words`` nearest to ``template``: differing words, first word, end."""
+    cost, start = ends(words, template)
     end = int(np.argmin(cost))
     return int(cost[end]), int(start[end]), end
 
@@ -105,50 +112,63 @@ class Scanner:
         #: Words of the longest stretch that can match a template.
         self.reach = max((len(t) + int(MAX_DIFFERENCE * len(t)) for t, _ in self.templates.values()), default=0)
 
-    def reductions(self, block: bytes) -> list[tuple[int, str]]:
-        """(bytes saved, template), best first."""
-        own = len(self.alone.compress(block))
-        return sorted(((own - len(given.compress(block)), name) for name, (_, given) in self.templates.items()), key=lambda x: (-x[0], x[1]))
+    def saving(self, block: bytes, name: str) -> int:
+        """Bytes that a template saves in compressing a block."""
+        return len(self.alone.compress(block)) - len(self.templates[name][1].compress(block))
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices of a text: at each place the template with the fewest differences, then the longest."""
         found = []
         for spans in blocks(text, self.reach):
-            words = [(text[s:e].lower(), s, e) for s, e in spans]
-            for at in range(0, max(1, len(words)), SPAN - LAP):
-                part = words[at : at + SPAN]
-                if not part or not CUE.search(text, part[0][1], part[-1][2]):
-                    continue
-                found += self.confirm(text, part)
-                if at + SPAN >= len(words):
-                    break
-        found.sort(key=lambda x: (x["differences"] / x["words"], -x["words"], x["start"], x["license"]))
-        kept: list[dict] = []
-        for x in found:
-            if all(x["end"] <= y["start"] or x["start"] >= y["end"] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x["start"])
+            found += self.confirm(text, [(text[s:e].lower(), s, e) for s, e in spans])
+        return found
+
+    def hits(self, words: list[str], names: list[str]) -> Iterator[tuple]:
+        """(part of differences, -words, first, end, template, differences) of every stretch near enough to a template."""
+        for name in names:
+            template = self.templates[name][0]
+            cost, start = ends(words, template)
+            for end in np.flatnonzero((cost <= MAX_DIFFERENCE * len(template)) & (start < np.arange(len(cost)))).tolist():
+                yield int(cost[end]) / len(template), -len(template), int(start[end]), end, name, int(cost[end])
+
+    def near(self, words: list[str], lo: int, hi: int, after: int) -> Iterator[tuple]:
+        """The ``hits`` within words ``lo`` to ``hi`` that end after ``after``, their places counted from the block's start.
+
+        A template is left out only where so many of its words are missing that no stretch can match.
+        """
+        part = words[lo:hi]
+        there = set(part)
+        names = [n for n, (t, _) in self.templates.items() if t and sum(w not in there for w in t) <= MAX_DIFFERENCE * len(t)]
+        for ratio, size, first, end, name, differ in self.hits(part, names):
+            if lo + end > after:
+                yield ratio, size, lo + first, lo + end, name, differ
 
     def confirm(self, text: str, part: list[tuple[str, int, int]]) -> list[dict]:
-        """Notices in a window of words; what was found is cut out and the rest is compared again."""
-        out = []
-        hits = []
-        raw = text[part[0][1] : part[-1][2]].encode("utf-8", "surrogatepass")
+        """Notices in a block of words, best first; what was found is cut out and the rest is compared again."""
         plain = [w for w, _, _ in part]
-        # Ranks use the window around each cue, so that long lines don't drown a short notice.
-        places = [i for i, w in enumerate(plain) if CUE.search(w)]
-        for place in places:
-            lo, hi = max(0, place - 60), min(len(part), place + 60)
-            near = text[part[lo][1] : part[hi - 1][2]].encode("utf-8", "surrogatepass") if len(part) > 120 else raw
-            for saved, name in self.reductions(near)[:CONFIRMED]:
-                template = self.templates[name][0]
-                differ, first, end = align(plain[lo:hi], template)
-                if saved > 0 and end > first and differ <= MAX_DIFFERENCE * len(template):
-                    hits.append((differ, -len(template), lo + first, lo + end, name, saved))
-        for differ, size, first, end, name, saved in sorted(set(hits)):
+        heap: list[tuple] = []
+        # A stretch that ends in a span of words begins at most ``reach`` words before the span.
+        for at in range(0, len(plain), SPAN):
+            heap += self.near(plain, max(0, at - self.reach), at + SPAN, at)
+        heapq.heapify(heap)
+        taken: list[tuple[int, int]] = []
+        out = []
+        while heap:
+            ratio, size, first, end, name, differ = heapq.heappop(heap)
+            at = bisect.bisect_left(taken, (first + 1,))
+            if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
+                continue
+            if not any(CUE.search(w) for w in plain[first:end]):
+                continue
+            taken.insert(at, (first, end))
             s, e = part[first][1], part[end - 1][2]
-            out.append({"license": name, "start": s, "end": e, "words": -size, "differences": differ, "saved": saved})
-        return out
+            around = text[part[max(0, first - self.reach)][1] : part[min(len(part), end + self.reach) - 1][2]].encode("utf-8", "surrogatepass")
+            out.append({"license": name, "start": s, "end": e, "words": -size, "differences": differ, "saved": self.saving(around, name)})
+            # Stretches that began within the notice begin behind it now; all others are as they were.
+            stop = min(end + self.reach, taken[at + 1][0] if at + 1 < len(taken) else len(plain))
+            for hit in self.near(plain, end, stop, end):
+                heapq.heappush(heap, hit)
+        return sorted(out, key=lambda x: x["start"])
 
 
 _scanners: dict[tuple, Scanner] = {}
@@ -162,7 +182,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Overlapping notices give way to the one with the smaller part of differences, then the longer.
 
     Null, empty and notice-free texts give no rows. Null ids and repeated rows give rows each. The
-    blocks of long texts are compared in overlapping windows. An empty table gives an empty
+    blocks of long texts are compared in overlapping spans. An empty table gives an empty
     result. Other columns are ignored, whatever their names.
     """
     templates = TEMPLATES if templates is None else templates

@@ -1,6 +1,7 @@
+import random
 import textwrap
 
-from strideframe.llm.licenses import TEMPLATES, align, scan_licenses
+from strideframe.llm.licenses import TEMPLATES, Scanner, align, ends, scan_licenses
 from strideframe.llm.queries import op7_license_scan
 
 
@@ -58,3 +59,49 @@ def test_every_template_is_found_however_it_is_wrapped(spark):
     rows = [(1000 * i + w, "Some words before.\n\n" + textwrap.fill(TEMPLATES[n], w, break_long_words=False, break_on_hyphens=False) + "\n\nSome after.") for i, n in enumerate(names) for w in widths]
     got = {(r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.differences == 0}
     assert got == {(1000 * i + w, n) for i, n in enumerate(names) for w in widths}
+
+
+def test_lists_of_notices_are_found_whole(spark):
+    credits = [n for n in TEMPLATES if n != "CC-BY-4.0-short"]
+    texts = [
+        [n for n in ("Apache-2.0", "GPL-3.0", "CC-BY-4.0-short", "MIT")],
+        ["MIT-short", "MIT-short"],
+        ["CC-BY-4.0-short"] * 40,
+        ["MIT"] * 3,
+        credits * 30,
+    ]
+    rows = [(i, "\n".join(TEMPLATES[n] for n in names)) for i, names in enumerate(texts)]
+    got = {}
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "start").collect():
+        assert r.differences == 0
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got == dict(enumerate(texts))
+
+
+def test_notices_against_cutting_out_one_at_a_time():
+    rng = random.Random(3)
+    short = {"a": "license x y z u v w", "b": "x y license z u v w q", "c": "license license x y z y x"}
+    scanner = Scanner(short)
+
+    def plain(words, offset):
+        best = []
+        for name, text in short.items():
+            t = text.split()
+            cost, start = ends(words, t)
+            best += [(int(c) / len(t), -len(t), offset + int(s), offset + e, name) for e, (c, s) in enumerate(zip(cost, start, strict=True)) if c <= 0.15 * len(t) and s < e and "license" in words[s:e]]
+        if not best:
+            return []
+        _, _, first, end, name = best = min(best)
+        return plain(words[: first - offset], offset) + [(name, first, end)] + plain(words[end - offset :], end)
+
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 9)):
+            some = rng.choice(list(short.values())).split()
+            if rng.random() < 0.6:
+                some[rng.randrange(len(some))] = rng.choice(["x", "license", "other"])
+            words += some[rng.randrange(2) :] + ["pad"] * rng.randrange(2)
+        text = " ".join(words)
+        at = {sum(len(w) + 1 for w in words[:i]): i for i in range(len(words))}
+        got = [(x["license"], at[x["start"]], at[x["start"]] + len(text[x["start"] : x["end"]].split())) for x in scanner.scan(text)]
+        assert got == plain(words, 0)
