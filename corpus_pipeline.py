@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import fresh, stage
+from strideframe.llm._common import fresh, keyed, stage
 from strideframe.llm.lines import remove_repeated_lines
 from strideframe.llm.packing import pack_documents
 from strideframe.llm.pii import redact
@@ -35,17 +35,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.
+    """The row with the smallest (id, row number) of each group of near copies, a null id after all others.
 
     Documents whose text is empty or null (emptied by the line stage) are one group of their own.
-    Rows with a null id stay unless their group has a document with an id; of rows that repeat an
-    id one stays.
+    Rows are told apart by their row number where ids are null or repeated, so that rows of
+    different groups stay whatever their ids.
     """
-    (component,) = fresh(docs, "component")
-    groups = near_duplicates(docs, shingle=SHINGLE, bits=BITS, words=WORDS)
-    chosen = groups.select(F.col("component_id").alias(component)).distinct()
-    first = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(component)), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    (key,) = fresh(docs, "row_key")
+    rows = keyed(docs, "doc_id", key)
+    groups = near_duplicates(rows, id_col=key, shingle=SHINGLE, bits=BITS, words=WORDS)
+    ids = rows.select(key, F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("own"))
+    least = groups.join(ids, key).groupBy("component_id").agg(F.min(F.struct("unnamed", "own", key)).alias("least"))
+    return rows.join(least.select(F.col(f"least.{key}").alias(key)), key, "left_semi").drop(key)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

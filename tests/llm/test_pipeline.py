@@ -63,3 +63,10 @@ def test_odd_rows(spark, sf_dir, odd_docs, no_docs, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(out.columns) and out.count() > 100
+
+
+def test_near_dedup_keeps_texts_of_null_and_reused_ids(spark, sf_dir):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(80)) for c in "abcd")
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (None, three), (9, four), (8, three)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, one), (None, two), (7, three), (7, four)], key=str)
