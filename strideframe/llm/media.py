@@ -12,6 +12,7 @@ import io
 import wave
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ RATE = 8000
 UNIT = 64
 FRAME = 512
 HOP = 256
-PEAKS = 2
-AHEAD = 1
+#: Strongest local maxima of a frame, and frames of the target zone of a peak.
+PEAKS = 3
+AHEAD = 3
 #: Frames transformed at a time.
 STEP = 4096
 
@@ -52,12 +54,20 @@ def read_wav(stored: bytes) -> bytes:
         return f.readframes(f.getnframes())
 
 
+def framed(samples: bytes) -> np.ndarray:
+    """Frames [frame, sample] of a signal between a hop of silence before and one or more after it.
+
+    Every sample lies in two frames, whose windows add up to about one, the first and last too.
+    """
+    x = np.frombuffer(samples, np.uint8)
+    quiet = lambda n: np.full(n, 128, np.uint8)
+    x = np.concatenate([quiet(HOP), x, quiet(HOP + -len(x) % HOP)])
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
 def peak_pairs(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frame numbers and hashes of the peak pairs; a silent or flat signal has none."""
-    x = np.frombuffer(samples, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = framed(samples)
     bins, heights = [], []
     for at in range(0, len(frames), STEP):
         power = np.abs(np.fft.rfft((frames[at : at + STEP].astype(np.float64) - 128.0) * _WINDOW, axis=1))
@@ -67,9 +77,12 @@ def peak_pairs(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
         bins.append(top + 1)
         heights.append(np.take_along_axis(local, top, axis=1))
     peak, height = np.concatenate(bins), np.concatenate(heights)
+    times, hashes = [], []
     # Two peaks of one frame are a pair as well, so that a single frame has a fingerprint.
-    both = np.flatnonzero((height > 0).all(axis=1))
-    times, hashes = [both], [(peak[both, 0] << 16) | (peak[both, 1] << 4)]
+    for a, b in combinations(range(PEAKS), 2):
+        at = np.flatnonzero((height[:, a] > 0) & (height[:, b] > 0))
+        times.append(at)
+        hashes.append((peak[at, a] << 16) | (peak[at, b] << 4))
     for gap in range(1, AHEAD + 1):
         for a in range(PEAKS):
             for b in range(PEAKS):

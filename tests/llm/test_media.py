@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from strideframe.llm.media import peak_pairs, read_wav, text_as_audio, to_payload, write_wav
+from strideframe.llm.media import FRAME, framed, peak_pairs, read_wav, text_as_audio, to_payload, write_wav
 from strideframe.llm.queries import op5_wav_peaks
 
 
@@ -52,3 +52,25 @@ def test_round_trip_and_tone():
 
 def test_empty_table(no_docs):
     assert text_as_audio(no_docs).count() == 0
+
+
+def test_every_byte_reaches_the_transform():
+    rng = np.random.default_rng(1)
+    for size in (64, 448, 512, 576, 704, 768, 832, 2048, 2112):
+        data = rng.integers(32, 127, size, dtype=np.uint8)
+        for at in (0, size // 2, size - 1):
+            one = np.zeros(size, np.uint8)
+            one[at] = 100
+            weight = ((framed((data + one).tobytes()).astype(float) - framed(data.tobytes())) * np.hanning(FRAME)).sum()
+            assert 95 < weight < 105
+        changed = data.copy()
+        changed[-64:] = 128 + 90 * np.sin(2 * np.pi * np.arange(64) / 5)
+        features = [[x.tolist() for x in peak_pairs(d.tobytes())] for d in (data, changed)]
+        assert features[0] != features[1], size
+
+
+def test_targets_lie_in_several_frames():
+    noise = np.random.default_rng(2).integers(0, 256, 8192, dtype=np.uint8).tobytes()
+    time, code = peak_pairs(noise)
+    assert set((code & 15).tolist()) == {0, 1, 2, 3}
+    assert np.bincount(time[code & 15 == 0]).min() == 3
