@@ -1,13 +1,20 @@
 """Exact top-k by inner product with distributed histogram selection.
 
-Every query is scored against every row, in blocks. Each round histograms the scores of every
-query over equal bins of the range that holds its kth value, adds the histograms up over the
-cluster, and narrows the range to the bin with the kth value, until a bin is one score wide. A
-last pass keeps the scores above that value and, of those equal to it, the smallest ids.
+Every query is scored against every row: blocks of queries meet blocks of rows, many cells a task.
+Each round histograms the scores of every query over equal bins of the range that holds its kth
+value, adds the histograms up over the cluster, and narrows the range to the bin with the kth
+value, until a bin is one score wide. A last pass keeps the scores above that value and, of those
+equal to it, the smallest ids.
+
+Components are integers of any size. Blocks hold vectors of one length and one class of size: with
+small ones products are exact in doubles, with medium ones in 64-bit integers, and the few vectors
+beyond are multiplied as Python integers. Scores beyond 2**62 share one value in the histograms and
+are told apart by a text of fixed length that sorts like the number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,53 +27,76 @@ from strideframe.llm._common import column, release, stage
 BINS = 4096
 #: Rows of a block of candidates, of a block of queries.
 ROWS, QUERIES = 4096, 512
-#: Components stay below this, and products of vectors are exact in doubles below 2**53.
-LARGEST = 2.0**31
+#: Scores at or beyond this, either side, count as this in histograms.
+MOST = (1 << 62) - 1
+#: Classes of vectors by their largest component after scaling: below 2**20, below 2**26, any.
+SMALL, MEDIUM = 2.0**20, 2.0**26
+#: Hexadecimal digits of the sortable text of a score: products of two doubles, scaled, and their sums.
+DIGITS = 640
 
 
-def quantized(rows: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """``id``, ``vec`` (array of long): floor(scale * x); rows that take no part are left out."""
-    vec = column(vec_col).cast("array<double>")
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < LARGEST)
-    rows = rows.select(column(id_col).cast("long").alias("id"), vec.alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL")
-    return rows.filter(F.forall("vec", fine)).select("id", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale)))).alias("vec"))
+def finite(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``id``, ``vec`` (array of double) of the rows that take part: no null or non-finite component, an id."""
+    rows = rows.select(column(id_col).cast("long").alias("id"), column(vec_col).cast("array<double>").alias("vec"))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return rows.filter("id IS NOT NULL AND vec IS NOT NULL").filter(F.forall("vec", fine))
 
 
-def _blocks(rows: DataFrame, most: int, extra: str | None = None) -> DataFrame:
-    """Rows of each partition as blocks of one dimension: ``dim``, ids, vectors (doubles), ``extra`` (longs)."""
+def integers(vecs: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as Python integers, also where the product is beyond the doubles."""
+
+    def one(x: float) -> int:
+        y = x * scale
+        return math.floor(y) if math.isfinite(y) else math.floor(x) * math.floor(scale)
+
+    return np.array([[one(x) for x in v] for v in vecs.tolist()], dtype=object).reshape(vecs.shape)
+
+
+def sortable(score: int) -> str:
+    """A text that sorts like the number."""
+    return format(score + (1 << (4 * DIGITS - 1)), f"0{DIGITS}x")
+
+
+def _blocks(rows: DataFrame, most: int, scale: float, extra: str | None = None) -> DataFrame:
+    """Rows of each partition as blocks of one length and class: ``dim``, ``size``, ids, vectors (unscaled for the last class), ``extra`` (longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        held: dict[tuple[int, int], list[tuple]] = {}
 
-        def block(dim: int, part: list[tuple]) -> pa.RecordBatch:
+        def block(dim: int, size: int, part: list[tuple]) -> pa.RecordBatch:
             ids, vecs, more = zip(*part, strict=True)
             vecs = np.array(vecs, np.float64).reshape(len(part), dim)
-            cols = [[dim], [np.array(ids, np.int64).tobytes()], [vecs.tobytes()], [np.array(more, np.int64).tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["dim", "ids", "vecs", "extra"])
+            vecs = vecs if size == 2 else np.floor(vecs * scale)
+            cols = [pa.array([x], t) for x, t in ((dim, pa.int32()), (size, pa.int32()), (np.array(ids, np.int64).tobytes(), pa.binary()), (vecs.tobytes(), pa.binary()), (np.array(more, np.int64).tobytes(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, ["dim", "size", "ids", "vecs", "extra"])
 
         for batch in batches:
-            extras = batch.column(2).to_pylist()
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), extras, strict=True):
-                own = held.setdefault(len(row[1]), [])
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                largest = max(map(abs, row[1]), default=0.0) * scale
+                kind = len(row[1]), 0 if largest < SMALL else 1 if largest < MEDIUM else 2
+                own = held.setdefault(kind, [])
                 own.append(row)
                 if len(own) == most:
-                    yield block(len(row[1]), own)
+                    yield block(*kind, own)
                     own.clear()
-        for dim, own in held.items():
+        for kind, own in held.items():
             if own:
-                yield block(dim, own)
+                yield block(*kind, own)
 
     more = F.col(extra) if extra else F.lit(0).cast("long")
-    return rows.select("id", "vec", more.alias("extra")).mapInArrow(run, "dim int, ids binary, vecs binary, extra binary")
+    return rows.select("id", "vec", more.alias("extra")).mapInArrow(run, "dim int, size int, ids binary, vecs binary, extra binary")
 
 
-def _scores(q_vecs: bytes, c_vecs: bytes, dim: int, nq: int, nc: int) -> np.ndarray:
-    q = np.frombuffer(q_vecs, np.float64).reshape(nq, dim)
-    c = np.frombuffer(c_vecs, np.float64).reshape(nc, dim)
-    bound = dim * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0))
-    if bound < 2.0**53:
-        return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+def scores(q: np.ndarray, c: np.ndarray, sizes: tuple[int, int], scale: float) -> np.ndarray:
+    """Inner products [query, candidate]: longs, or Python integers where a vector of the last class takes part."""
+    if max(sizes) < 2:
+        bound = q.shape[1] * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0))
+        if bound < 2.0**53:
+            return (q @ c.T).astype(np.int64)
+        if bound < 2.0**62:
+            return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = [integers(v, scale if size == 2 else 1.0) for v, size in zip((q, c), sizes, strict=True)]
+    return np.array([[sum(map(int.__mul__, a, b)) for b in whole[1].tolist()] for a in whole[0].tolist()], dtype=object).reshape(len(q), len(c))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -75,36 +105,47 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     Vectors are quantized to floor(``scale`` * x). Ties go to the smaller id. Rows with the
     query's own id are no candidates for it. A query with fewer candidates than ``k`` gets all.
 
-    Vectors (of rows or queries) that are null, or hold a null, a NaN, an infinity or a component
-    of 2**31 or more after scaling, take no part, and neither do rows with a null id. Vectors of
-    another length than the query's are no candidates for it. Repeated rows are candidates each on
-    their own; a repeated query id is asked once, with its smallest vector. Empty tables give an
-    empty result. Other columns are ignored, whatever their names.
+    Vectors (of rows or queries) that are null, or hold a null, a NaN or an infinity, take no part,
+    and neither do rows with a null id; finite components of any size do. Ranks follow the exact
+    scores; one beyond the range of a long is returned as the nearest long. Vectors of another
+    length than the query's are no candidates for it. Repeated rows are candidates each on their
+    own; a repeated query id is asked once, with its smallest vector. Empty tables give an empty
+    result. Other columns are ignored, whatever their names.
     """
-    asked = quantized(queries, id_col, vec_col, scale)
+    asked = finite(queries, id_col, vec_col)
     asked = stage(asked.groupBy("id").agg(F.min("vec").alias("vec")), "queries")
-    body = stage(_blocks(quantized(rows, id_col, vec_col, scale), ROWS), "blocks")
-    largest = lambda df: df.agg(F.max(F.array_max(F.transform("vec", F.abs))).alias("m"), F.max(F.size("vec")).alias("d")).first()
-    a, b = largest(asked), largest(quantized(rows, id_col, vec_col, scale))
-    bound = int((a.m or 0) * (b.m or 0) * max(a.d or 0, 1)) + 1
+    body = stage(_blocks(finite(rows, id_col, vec_col), ROWS, scale), "blocks")
+
+    def largest(df: DataFrame) -> tuple[float, int]:
+        one = df.agg(F.max(F.array_max(F.transform("vec", F.abs))).alias("m"), F.max(F.size("vec")).alias("d")).first()
+        return (one.m or 0.0) * scale + 1, one.d or 0
+
+    (a, dim), (b, _) = largest(asked), largest(finite(rows, id_col, vec_col))
+    bound = int(min(float(MOST), a * b * max(dim, 1))) + 1
+    bound = min(bound, MOST)
 
     def paired(state: DataFrame) -> DataFrame:
-        blocks = _blocks(asked.join(state, "id"), QUERIES, "low").toDF("q_dim", "q_ids", "q_vecs", "q_low")
-        # The stated query set meets all rows block by block.
-        return body.crossJoin(blocks).filter("dim = q_dim")
+        blocks = stage(_blocks(asked.join(state, "id"), QUERIES, scale, "low"), "asked").toDF("q_dim", "q_size", "q_ids", "q_vecs", "q_low")
+        # The stated query set meets all rows block by block. Lengths are compared in the task: as a
+        # condition here they would be a join key, and all vectors of one length one task.
+        return body.drop("extra").crossJoin(blocks)
 
     def each(batch: pa.RecordBatch):
         for r in batch.to_pylist():
+            if r["dim"] != r["q_dim"]:
+                continue
             q_ids, c_ids, low = (np.frombuffer(r[x], np.int64) for x in ("q_ids", "ids", "q_low"))
-            scores = _scores(r["q_vecs"], r["vecs"], r["dim"], len(q_ids), len(c_ids))
-            yield q_ids, c_ids, low, scores, q_ids[:, None] != c_ids[None, :]
+            q, c = (np.frombuffer(r[x], np.float64).reshape(n, r["dim"]) for x, n in (("q_vecs", len(q_ids)), ("vecs", len(c_ids))))
+            exact = scores(q, c, (r["q_size"], r["size"]), scale)
+            short = exact if exact.dtype == np.int64 else np.array([[min(MOST, max(-MOST, x)) for x in own] for own in exact.tolist()], np.int64).reshape(exact.shape)
+            yield q_ids, c_ids, low, exact, short, q_ids[:, None] != c_ids[None, :]
 
     def histogram(span: int, width: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for q_ids, _, low, scores, other in each(batch):
-                    place = scores - low[:, None]
-                    bins = np.where(other & (place >= 0) & (place < span), place // width, -1)
+                for q_ids, _, low, _, short, other in each(batch):
+                    place = short - low[:, None]
+                    bins = np.where(other & (short >= low[:, None]) & (place < span), place // width, -1)
                     # No bin below a block's own kth score can hold the kth of all.
                     if bins.shape[1] > k:
                         floor = np.partition(bins, bins.shape[1] - k, axis=1)[:, bins.shape[1] - k]
@@ -131,15 +172,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, c_ids, low, scores, other in each(batch):
+            for q_ids, c_ids, low, exact, short, other in each(batch):
                 order = np.argsort(c_ids, kind="stable")
-                scores, other, c_ids = scores[:, order], other[:, order], c_ids[order]
-                tied = other & (scores == low[:, None])
-                keep = (other & (scores > low[:, None])) | (tied & (np.cumsum(tied, axis=1) <= k))
-                q, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(c_ids[c]), pa.array(scores[q, c])], ["id", "other", "score"])
-
-    best = paired(state).mapInArrow(last, "id long, other long, score long")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+                exact, short, other, c_ids = exact[:, order], short[:, order], other[:, order], c_ids[order]
+                tied = other & (short == low[:, None])
+                first = np.cumsum(tied, axis=1) <= k
+                # Scores that share the end of the range are not ties: all of them go on.
+                first |= (np.abs(low) >= MOST)[:, None]
+                q, c = np.nonzero((other & (short > low[:, None])) | (tied & first))
+                score = short[q, c]
+                far = [sortable(int(x)) if abs(s) >= MOST else None for s, x in zip(score.tolist(), exact[q, c].tolist(), strict=True)]
+                shown = [min((1 << 63) - 1, max(-(1 << 63), int(x))) for x in exact[q, c].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(c_ids[c]), pa.array(score), pa.array(far, pa.string()), pa.array(shown, pa.int64())], ["id", "other", "short", "far", "score"])
+
+    best = paired(state).mapInArrow(last, "id long, other long, short long, far string, score long")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("short"), F.desc("far"), "other"))
     best = best.withColumn("rank", place).filter(F.col("rank") <= k)
     return best.select(F.col("id").alias("query_id"), "rank", F.col("other").alias(id_col), "score")
