@@ -38,6 +38,7 @@ ID_BYTES = 4
 
 _tokenizers: dict[str, object] = {}
 _word_ends: dict[str, np.ndarray] = {}
+_specials: dict[str, re.Pattern] = {}
 _chunks: dict[str, dict[str, bytes]] = {}
 
 
@@ -49,8 +50,9 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
         _tokenizers[path] = found
+        # A special token in a text is matched as it stands, before anything else; a text with one is not cut into chunks.
+        _specials[path] = re.compile("|".join(re.escape(t.content) for t in found.get_added_tokens_decoder().values()) or r"(?!)")
         # The vocabulary marks the token at the end of a word.
         vocabulary = found.get_vocab()
         _word_ends[path] = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -74,13 +76,15 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     digit and a mark, so a text's ids are those of its chunks; chunks repeat and are looked up.
     """
     known = _chunks.setdefault(path, {})
-    split = [_chunks_of(x) for x in texts]
+    coder = _tokenizer(path)
+    special = _specials[path].search
+    whole = {i: array("I", coder.encode(x, add_special_tokens=False).ids).tobytes() for i, x in enumerate(texts) if x and "<" in x and special(x)}
+    split = [[] if i in whole else _chunks_of(x) for i, x in enumerate(texts)]
     every = set().union(*split)
     new = list(every - known.keys())
     if len(known) + len(new) > CACHE_CHUNKS:
         known.clear()
         new = list(every)
-    coder = _tokenizer(path)
     # Words go many to a call, as most of a short call is its overhead; their ids part at the ends of words.
     words = [c for c in new if WORD(c)]
     for at in range(0, len(words), 512):
@@ -95,7 +99,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
         part = rest[at : at + 4096]
         for chunk, got in zip(part, coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[chunk] = array("I", got.ids).tobytes()
-    out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+    out = [whole[i] if i in whole else b"".join(map(known.__getitem__, chunks)) for i, chunks in enumerate(split)]
     for chunk in new:
         if len(chunk) > CACHE_CHARS:
             known.pop(chunk, None)
@@ -184,7 +188,8 @@ def pack_documents(
     ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``,
     and ``ids`` (array of int) unless ``with_ids`` is false. Offsets are gapless from 0.
 
-    Null and empty texts are just ``end_id``. Null ids and repeated rows are packed as they come,
+    Ids are those of the tokenizer's ``encode`` without added special tokens; the name of a special
+    token within a text becomes that token, as there. Null and empty texts are just ``end_id``. Null ids and repeated rows are packed as they come,
     each row on its own. A text of any length is encoded whole and cut into as many windows as it
     fills. An empty table gives no pieces. Other columns are ignored, whatever their names.
     """

@@ -78,3 +78,10 @@ def test_empty_table(no_docs):
 @given(st.text(alphabet=st.one_of(st.sampled_from("abÉßẞİΣक़ AB.,.,\n\t 's12²_<|日\u0301 "), st.characters(codec="utf-8")), max_size=60))
 def test_ids_of_any_text(coder, text):
     assert np.frombuffer(encode_texts([text], PATH)[0], "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_a_text(coder):
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "A. <|ENDOFTEXT|> b", "a<|endoftext|>.", "<|endoftext|", "one two. <|endoftext|>three, " * 3, None, "<"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encode_texts(texts, PATH)]
+    assert got == [coder.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert got[0] == [320, 49407, 321]
