@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where staged tables go when the session names no shared folder (tests on one machine).
+#: Where staged tables go when a local session names no shared folder (tests on one machine).
 LOCAL_ROOT = "/tmp/checkpoints"
+#: A key with more than one in so many rows is hot: fewer than ``HOT`` keys can be.
+HOT = 200
 
 
 #: Rows of long texts that travel to a Python worker at a time.
@@ -28,8 +30,10 @@ def text_rows(docs: DataFrame, text: str, **columns: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; only a local session may leave it unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or LOCAL_ROOT).rstrip("/")
 
 
@@ -72,14 +76,37 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def keyed(df: DataFrame, id_col: str, key: str) -> DataFrame:
-    """``df`` with a column ``key`` that tells its rows apart.
+def keyed(df: DataFrame, id_col: str, key: str, text_col: str | None = None) -> DataFrame:
+    """``df`` with a long column ``key`` that tells its rows apart and grows with (id, text hash).
 
-    Where ``id_col`` is unique and never null it is the key. Otherwise (nulls, repeated rows) the
-    rows are staged once with a generated number, which later readers then share.
+    Where ``id_col`` is unique and never null it is the key. Otherwise (nulls, repeated ids) the
+    rows are staged once with a number in the order of (id, hash of the text), null ids last, so
+    that what else the table holds and how its files are laid out don't change the order.
     """
     ids = df.select(column(id_col).cast("long").alias("id"))
     clash = ids.groupBy("id").count().filter("count > 1 OR id IS NULL").limit(1).count()
     if not clash:
         return df.withColumn(key, column(id_col).cast("long"))
-    return stage(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    # Rows equal in id and text may stand in any order; a third key spreads them over partitions.
+    own, mark, tie = fresh(df, "order_id", "order_text", "order_row")
+    text = F.xxhash64(column(text_col).cast("string")) if text_col else F.lit(0).cast("long")
+    rows = df.withColumns({own: column(id_col).cast("long"), mark: text, tie: F.monotonically_increasing_id()})
+    order = [F.col(own).asc_nulls_last(), F.col(mark), F.col(tie)]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(rows.withColumn(key, F.monotonically_increasing_id()).drop(own, mark, tie), "keyed")
+
+
+def join_hot(many: DataFrame, one: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has each key once and, as ``weight``, about how many rows of ``many`` it meets.
+
+    Keys with more than one in ``HOT`` of ``total`` rows (the sum of the weights by default) would
+    fill one task each. There are fewer than ``HOT`` of them whatever the data, so their rows are
+    broadcast; all others are exchanged by key. Both tables are read more than once: stage them.
+    """
+    total = total if total is not None else one.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT > F.lit(total)
+    if not one.filter(is_hot).limit(1).count():
+        return many.join(one, on)
+    hot = F.broadcast(one.filter(is_hot))
+    rest = many.join(F.broadcast(one.filter(is_hot).select(*on)), on, "left_anti")
+    return many.join(hot, on).unionByName(rest.join(one.filter(~is_hot), on))

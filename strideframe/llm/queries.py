@@ -84,13 +84,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
-#: A line run counts from its first line on until it has 50 words; a later copy of those lines goes.
+#: A line goes where a run of lines with 50 or more words around it began earlier elsewhere: every run
+#: is the union of the shortest windows from its first line on and up to each of its later lines.
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d),
 w AS (SELECT doc_id, ls, pos, len(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+')) AS words FROM l),
 c AS (SELECT doc_id, ls, pos, words, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w),
-k AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.pos),
+f AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.pos),
+t AS (SELECT b.doc_id, max(a.pos) AS pos, b.pos AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.pos),
+k AS (SELECT doc_id, pos, last FROM f UNION SELECT doc_id, pos, last FROM t),
 g AS (SELECT k.doc_id, k.pos, k.last, array_to_string(c.ls[k.pos:k.last], chr(10)) AS run FROM k JOIN c ON c.doc_id = k.doc_id AND c.pos = k.pos),
 r AS (SELECT doc_id, pos, last, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS copy FROM g),
 x AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM r WHERE copy > 1),

@@ -8,21 +8,20 @@ from strideframe.llm.queries import op3_line_runs, oracle_sql
 
 
 def plain(rows, min_words):
-    """Lines that stay, by (row, line) order: a run is deleted where an equal run began earlier."""
+    """Lines that stay, by (row, line) order: a line goes where any run around it with enough words began earlier."""
     lines = [(i, t.split("\n")) for i, t in rows if t is not None]
     seen, out = set(), {}
     for i, own in lines:
         gone = set()
+        counts = [len(x.encode().split()) for x in own]
         for p in range(len(own)):
-            words, q = 0, p
-            while q < len(own) and words < min_words:
-                words += len(own[q].encode().split())
-                q += 1
-            if words >= min_words:
-                run = tuple(own[p:q])
-                if run in seen:
-                    gone |= set(range(p, q))
-                seen.add(run)
+            new = []
+            for q in range(p, len(own)):
+                run = tuple(own[p : q + 1])
+                if run in seen and sum(counts[p : q + 1]) >= min_words:
+                    gone |= set(range(p, q + 1))
+                new.append(run)
+            seen |= set(new)
         out[i] = "\n".join(x for p, x in enumerate(own) if p not in gone)
     return out
 
@@ -58,3 +57,31 @@ def test_query_against_sql(spark, sf_dir):
 @pytest.mark.parametrize("words", [1, 50])
 def test_empty_table(no_docs, words):
     assert remove_repeated_lines(no_docs, min_words=words).count() == 0
+
+
+def test_order_of_copies_does_not_follow_other_rows(spark):
+    run = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, f"nine\n{run}"), (1, f"one\n{run}")]
+    for more in ([], [(50, "a"), (50, "b")], [(None, f"none\n{run}")], [(1, "x"), (9, f"again\n{run}")]):
+        for order in (1, -1):
+            out = remove_repeated_lines(spark.createDataFrame((rows + more)[::order], "doc_id long, text string").coalesce(1), min_words=50)
+            texts = sorted(r.text for r in out.collect())
+            assert f"one\n{run}" in texts and "nine" in texts and sum(run in t for t in texts) == 1
+
+
+def test_maximal_runs_go_whole(spark):
+    words = lambda n, c: " ".join(f"{c}{i}" for i in range(n))
+    passage = [words(60, "a"), words(40, "b"), "", words(3, "c")]
+    rows = [(1, "\n".join(["x", *passage, "y"])), (2, "\n".join(["u", *passage, "v"])), (3, "\n".join([words(40, "b"), "", words(3, "c")]))]
+    out = {r.doc_id: r.text for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=50).collect()}
+    assert out == {1: rows[0][1], 2: "u\nv", 3: rows[2][1]}
+
+
+def test_hot_lines_and_windows(spark, monkeypatch):
+    import strideframe.llm._common as common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    run = "\n".join(" ".join(f"p{i}w{j}" for j in range(12)) for i in range(6))
+    rows = [(i, f"own {i}\n\n{run}\n\nend {i}" if i % 3 else f"alone {i}\n\n\n") for i in range(60)]
+    out = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=50)
+    assert {r.doc_id: r.text for r in out.collect()} == plain(rows, 50)
