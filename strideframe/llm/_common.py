@@ -96,17 +96,23 @@ def keyed(df: DataFrame, id_col: str, key: str, text_col: str | None = None) ->
     return stage(rows.withColumn(key, F.monotonically_increasing_id()).drop(own, mark, tie), "keyed")
 
 
-def join_hot(many: DataFrame, one: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
-    """Inner join of ``many`` with ``one``, which has each key once and, as ``weight``, about how many rows of ``many`` it meets.
+def hot_limit(one: DataFrame, weight: str) -> float | None:
+    """The weight above which a key holds more than one in ``HOT`` of all rows; None where no key does."""
+    got = one.agg(F.sum(weight).alias("total"), F.max(weight).alias("most")).first()
+    return got.total / HOT if got.total and got.most > max(1, got.total / HOT) else None
 
-    Keys with more than one in ``HOT`` of ``total`` rows (the sum of the weights by default) would
-    fill one task each. There are fewer than ``HOT`` of them whatever the data, so their rows are
-    broadcast; all others are exchanged by key. Both tables are read more than once: stage them.
+
+def join_hot(many: DataFrame, one: DataFrame, on: list[str], weight: str, limit: float | None | str = "find") -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has each key once and, as ``weight``, how many rows of ``many`` it meets.
+
+    Keys with more than one in ``HOT`` of all rows (the sum of the weights) would fill one task
+    each. There are fewer than ``HOT`` of them whatever the data, so their rows are broadcast; all
+    others are exchanged by key. ``limit`` is the result of ``hot_limit`` where it is known. Both
+    tables are read more than once: stage them.
     """
-    total = total if total is not None else one.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * HOT > F.lit(total)
-    if not one.filter(is_hot).limit(1).count():
+    limit = hot_limit(one, weight) if limit == "find" else limit
+    if limit is None:
         return many.join(one, on)
-    hot = F.broadcast(one.filter(is_hot))
+    is_hot = F.col(weight) > F.lit(float(limit))
     rest = many.join(F.broadcast(one.filter(is_hot).select(*on)), on, "left_anti")
-    return many.join(hot, on).unionByName(rest.join(one.filter(~is_hot), on))
+    return many.join(F.broadcast(one.filter(is_hot)), on).unionByName(rest.join(one.filter(~is_hot), on))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import release, stage
+from strideframe.llm._common import hot_limit, join_hot, release, stage
 
 #: Edges that a task holds at a time when it thins them.
 HELD_EDGES = 1 << 20
@@ -83,22 +83,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     edges = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     both = stage(edges.union(edges.select("y", "x")).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("root")), "labels")
+    # ``n``: the neighbours of a node, so that those of a hub can be told from others before the join.
+    labels = stage(both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("root"), F.count("*").alias("n")), "labels")
+    hubs = hot_limit(labels, "n")
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
+        seen = join_hot(both, labels.withColumnRenamed("node", "y"), ["y"], "n", hubs)
+        near = seen.groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         # A class moves to the smallest label that any of its members sees.
-        hook = labels.join(near, "node").groupBy(F.col("root").alias("old")).agg(F.min(F.least("root", "near")).alias("to"))
+        hook = labels.join(near, "node").groupBy(F.col("root").alias("old")).agg(F.min(F.least("root", "near")).alias("to"), F.count("*").alias("members"))
         hook = stage(hook, "hook")
         jump = hook.select(F.col("old").alias("to"), F.col("to").alias("over"))
-        hooked = hook.join(jump, "to", "left").select("old", F.coalesce("over", "to").alias("to"))
-        moved = stage(
-            labels.join(hooked.withColumnRenamed("old", "root"), "root").select("node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("moved")),
-            "labels",
-        )
+        hooked = hook.join(jump, "to", "left").select(F.col("old").alias("root"), F.coalesce("over", "to").alias("to"), "members")
+        moved = join_hot(labels, hooked, ["root"], "members")
+        moved = stage(moved.select("node", F.col("to").alias("root"), "n", (F.col("to") != F.col("root")).alias("moved")), "labels")
         changed = moved.filter("moved").limit(1).count()
         release(labels)
         release(hook)
-        labels = moved
+        labels = moved.drop("moved")
+        labels._staged_path = moved._staged_path  # noqa: SLF001
         if not changed:
             release(both)
             return labels.select("node", "root")

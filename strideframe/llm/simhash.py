@@ -3,17 +3,18 @@
 A fingerprint is a majority vote of the hashes of word shingles, 64 bits (XXH64) or 128 (XXH3).
 Links between fingerprints are found in three steps:
 
-1. Every distinct fingerprint gets a *pivot table row*: its Hamming distances to reference
-   fingerprints. The references of a bit block are the block's zero word and unit words, so the
-   distances within the block tell block contents apart, and equal distances in three blocks make
-   a bucket. With 64 bits there are ``bits + 3`` blocks and every choice of three is used:
-   fingerprints that differ in at most ``bits`` places agree in at least three blocks, and no link
-   is lost. With 128 bits, made for wide radii that no such count can cover, the blocks are wide
-   draws of places, and a fingerprint enters each block's table under its own row and under the
-   rows of its nearest alternatives, those with the least decided bits of the block flipped: near
-   copies differ mostly there. A link is missed with a small probability, which the tests measure.
-2. Within a bucket, pairs whose distances to the full-width references differ by more than
-   ``bits`` in any coordinate are discarded (triangle inequality).
+1. Every distinct fingerprint gets its row of the *pivot table* once: its Hamming distances to
+   reference fingerprints. The row travels with it. What meets is decided by references of bit
+   blocks: a block's distances to its zero and unit words are the same as its bits, and equal
+   distances in three blocks make a bucket. With 64 bits there are ``bits + 3`` blocks and every
+   choice of three is used: fingerprints that differ in at most ``bits`` places agree in at least
+   three blocks, and no link is lost. With 128 bits, made for wide radii that no such count can
+   cover, the blocks are wide draws of places, and a fingerprint enters each block's table under
+   its own row and under the rows of its nearest alternatives, those with the least decided bits of
+   the block flipped: near copies differ mostly there. A link is missed with a small probability,
+   which the tests measure.
+2. Within a bucket, pairs whose table rows differ by more than ``bits`` in any coordinate are
+   discarded (triangle inequality).
 3. Survivors are verified bit by bit. A bucket gives a spanning forest, never all its pairs, and a
    task joins the forests of its buckets, as near copies meet in many of them.
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import stage, text_rows
+from strideframe.llm._common import join_hot, stage, text_rows
 from strideframe.llm.components import connected_components, starred, thin_edges
 
 WORD = 64
@@ -40,6 +41,9 @@ SEED = 42
 STEP = 1 << 16
 #: Full-width reference fingerprints: fixed pseudo-random words.
 PIVOTS = np.random.default_rng(2024).integers(0, 2**64, (16, 2), dtype=np.uint64)
+#: References of the table for 64 and for 128 bits: eight distances to a long. At 25 of 128 bits
+#: hardly any pair differs so much in a coordinate, so half as many are carried along.
+N_PIVOTS = {1: 16, 2: 8}
 #: With 128 bits: blocks, places of a block, and the least decided of them that are flipped.
 WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 24, 20, 3
 
@@ -154,12 +158,22 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among the rows of equal key (rows sorted by key) that differ in <= ``bits``, as row numbers."""
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """The rows of fingerprints [row, word] in the pivot table: distances to all references, as bytes of longs [row, long]."""
+    words = fps.shape[1]
+    near = _distance(fps[:, None, :], PIVOTS[None, : N_PIVOTS[words], :words])
+    return near.astype(np.uint8).view(np.int64)
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among the rows of equal key (rows sorted by key) that differ in <= ``bits``, as row numbers.
+
+    ``table`` has the pivot table's row of each fingerprint.
+    """
     same = np.flatnonzero(np.append(keys[1:] == keys[:-1], False))
     rows = np.unique(np.concatenate([same, same + 1]))
     keys, fps = keys[rows], fps[rows]
-    table = _distance(fps[:, None, :], PIVOTS[None, :, : fps.shape[1]])
+    table = np.ascontiguousarray(table[rows]).view(np.uint8).astype(np.int16)
     parent = np.arange(len(fps))
     made_a, made_b = [], []
 
@@ -201,12 +215,15 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarr
 
 
 def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: int = 2048) -> DataFrame:
-    """Links ``a``, ``b`` (first words) whose closure joins all fingerprints within ``bits`` bits.
+    """Links ``a``, ``b`` (nodes) whose closure joins all fingerprints within ``bits`` bits.
 
-    ``distinct`` holds each ``fp`` once, with ``fp_high`` and, with two words, ``weak``. Only links between different
+    ``distinct`` holds each fingerprint once: ``fp``; with two words also ``node`` (a long of its
+    own), ``fp_high`` and ``weak``. With one word ``fp`` is the node. Only links between different
     fingerprints appear, and a task gives no more of them than the fingerprints it reads.
     """
-    names = ["fp", "fp_high"][:words]
+    own = ["fp"] if words == 1 else ["node", "fp", "fp_high"]
+    table = [f"t{i}" for i in range(N_PIVOTS[words] // 8)]
+    names = [*own, *table]
     typed = ", ".join(f"{n} long" for n in names)
 
     def longs(batch: pa.RecordBatch) -> np.ndarray:
@@ -214,16 +231,17 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = longs(batch.select(names))
+            rows = longs(batch.select(own))
             for at in range(0, rows.shape[1], 1024):
                 part = rows[:, at : at + 1024]
-                fps = np.ascontiguousarray(part.T).view(np.uint64)
+                fps = np.ascontiguousarray(part[-words:].T).view(np.uint64)
                 if words == 1:
                     keys = bucket_keys(fps, bits)
                 else:
                     weak = b"".join(batch.column("weak").slice(at, 1024).to_pylist())
                     keys = probe_keys(fps, np.frombuffer(weak, np.uint8).reshape(len(fps), -1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.repeat(x, keys.shape[1])) for x in part]], ["key", *names])
+                carried = [*part, *pivot_table(fps).T]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.repeat(x, keys.shape[1])) for x in carried]], ["key", *names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in starred(pairs(batches)):
@@ -231,12 +249,13 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # Rows come sorted by (key, cell); the last run of a batch waits for the next batch.
-        held = np.zeros((2 + words, 0), np.int64)
+        held = np.zeros((2 + len(names), 0), np.int64)
 
         def links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             run = _mix(rows[0].view(np.uint64)) + rows[1].view(np.uint64)
-            a, b = bucket_links(run, np.ascontiguousarray(rows[2:].T).view(np.uint64), bits)
-            return rows[2][a], rows[2][b]
+            mine, dist = rows[2 : 2 + len(own)], rows[2 + len(own) :]
+            a, b = bucket_links(run, np.ascontiguousarray(mine[-words:].T).view(np.uint64), dist.T, bits)
+            return mine[0][a], mine[0][b]
 
         for batch in batches:
             rows = np.concatenate([held, longs(batch)], axis=1)
@@ -250,13 +269,13 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
         if held.shape[1]:
             yield links(held)
 
-    keys = distinct.select(*names, *["weak"][: words - 1]).mapInArrow(explode, f"key long, {typed}")
+    keys = distinct.select(*own, *["weak"][: words - 1]).mapInArrow(explode, f"key long, {typed}")
     hot = stage(keys.groupBy("key").count().filter(F.col("count") > cell_rows), "hot")
     if hot.limit(1).count():
         # A member of a hot bucket goes to one cell with every chunk of the bucket.
         hot = hot.select("key", F.ceil(F.col("count") / cell_rows).cast("long").alias("chunks"))
         keys = keys.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        keys = keys.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+        keys = keys.withColumn("own", F.pmod(F.xxhash64(own[0]), F.col("chunks")))
         keys = keys.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         keys = keys.select("key", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("cell"), *names)
     else:
@@ -268,21 +287,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Groups of documents whose fingerprints of 64 * ``words`` bits link at ``bits`` or fewer differing bits.
 
     Returns one row per input row: ``id_col``, ``fingerprint`` (16 hex digits for each word) and
-    ``component_id``, the smallest id reachable over links (itself included). With two words,
-    documents of one first word count as one fingerprint.
+    ``component_id``, the smallest id reachable over links (itself included).
 
     Null or word-less texts have fingerprint zero and link like any other. Null ids stay as rows
     with a null id; a group of null ids only has a null component. Repeated rows are kept and
     share a component. Other columns are ignored, whatever their names. An empty table gives an
     empty result. Texts of any length are hashed whole.
     """
+    mark = ["fp", "fp_high"][:words]
     marks = stage(fingerprints(docs, id_col, text_col, shingle, words).toDF("id", "fp", "fp_high", *["weak"][: words - 1]), "fingerprints")
-    least_of = F.min(F.struct(*marks.columns[2:])).alias("least")
-    firsts = stage(marks.groupBy("fp").agg(F.min("id").alias("first"), least_of).select("fp", "first", "least.*"), "firsts")
-    roots = connected_components(thin_edges(stage(near_links(firsts.drop("first"), bits, words), "links")))
-    grouped = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = grouped.join(least, "root").select("fp", "component_id")
+    least = [F.min("weak").alias("weak")] if words > 1 else []
+    firsts = marks.groupBy(*mark).agg(F.min("id").alias("first"), F.count("*").alias("n"), *least)
+    # The bits of two words don't fit a node's long: a number stands for them.
+    firsts = stage(firsts.withColumn("node", F.col("fp") if words == 1 else F.monotonically_increasing_id()), "firsts")
+    roots = connected_components(thin_edges(stage(near_links(firsts, bits, words), "links")))
+    grouped = stage(firsts.join(roots, "node", "left").select(*mark, "first", "n", F.coalesce("root", "node").alias("root")), "grouped")
+    classes = stage(grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "classes")
+    of = stage(join_hot(grouped, classes, ["root"], "members").select(*mark, "n", "component_id"), "of")
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     shown = digits("fp") if words == 1 else F.concat(digits("fp_high"), digits("fp"))
-    return marks.join(of, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+    return join_hot(marks, of, mark, "n").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")

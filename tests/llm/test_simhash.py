@@ -6,7 +6,7 @@ import xxhash
 from strideframe.llm._common import stage
 from strideframe.llm.components import connected_components, thin_edges
 from strideframe.llm.queries import op1_simhash_pivot
-from strideframe.llm.simhash import bucket_keys, fingerprint, majority, near_duplicates, probe_keys
+from strideframe.llm.simhash import bucket_keys, bucket_links, fingerprint, majority, near_duplicates, pivot_table, probe_keys
 
 
 def plain_fingerprint(text, size):
@@ -38,8 +38,8 @@ def plain_components(prints, bits):
     return [least.get(find(i)) for i in range(len(prints))]
 
 
-def check(docs, out):
-    prints = [(r.doc_id, plain_fingerprint(r.text, 4)) for r in docs.select("doc_id", "text").collect()]
+def check(docs, out, rows=None):
+    prints = [(i, plain_fingerprint(t, 4)) for i, t in rows or [tuple(r) for r in docs.select("doc_id", "text").collect()]]
     want = sorted(((i, f"{f:016x}", c) for (i, f), c in zip(prints, plain_components(prints, 4), strict=True)), key=str)
     assert sorted((tuple(r)[:3] for r in out.select("doc_id", "fingerprint", "component_id").collect()), key=str) == want
 
@@ -137,3 +137,40 @@ def test_thinned_edges_keep_components(spark):
         if most > 1000:
             assert thin.count() == len(want) - len(set(want.values()))
     assert thin_edges(stage(table.filter("a > 1000"), "test")).count() == 0
+
+
+def test_pivot_table_discards_pairs_and_loses_no_link():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**64, (400, 1), dtype=np.uint64)
+    for i in range(200, 400):  # half are within 4 bits of one of the first
+        fps[i] = fps[i - 200]
+        for b in rng.choice(64, rng.integers(1, 5), replace=False):
+            fps[i] ^= np.uint64(1) << np.uint64(b)
+    table = pivot_table(fps)
+    rows = np.ascontiguousarray(table).view(np.uint8).astype(int)
+    near = np.array([[(int(a) ^ int(b)).bit_count() for b in fps[:, 0]] for a in fps[:, 0]]) <= 4
+    passed = np.abs(rows[:, None] - rows[None]).max(axis=2) <= 4
+    assert (passed | ~near).all() and (passed & ~near).mean() < 0.01
+    a, b = bucket_links(np.zeros(400, np.uint64), fps, table, 4)
+    assert near[a, b].all() and {*zip(a.tolist(), b.tolist())} and len(a) == 200
+
+
+def test_both_words_count(spark):
+    # Two texts cannot be made to share a first word, but fingerprints can.
+    import strideframe.llm.simhash as simhash
+
+    far = (1 << 60) - 1
+    rows = [(10, 7, 0, bytes(range(128))), (11, 7, far, bytes(range(128))), (12, 7, 1, bytes(range(128)))]
+    links = simhash.near_links(spark.createDataFrame(rows, "node long, fp long, fp_high long, weak binary"), bits=25, words=2).collect()
+    assert {frozenset(r) for r in links} == {frozenset((10, 12))}
+
+
+def test_hubs_and_hot_groups(spark, monkeypatch):
+    import strideframe.llm._common as common
+
+    monkeypatch.setattr(common, "HOT", 4)
+    edges = [(0, i) for i in range(1, 50)] + [(60, 61), (61, 62), (70, 69)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(50)} | {60: 60, 61: 60, 62: 60, 69: 69, 70: 69}
+    rows = [(i, "one text that many rows share, word for word") for i in range(40)] + [(100 + i, f"text number {i} of its own {i * i}") for i in range(20)]
+    check(None, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
