@@ -3,12 +3,17 @@
 Rows are ordered by (hash of the text, id), so that equal texts stand together. Splitters between
 shards are found by counting the exact bytes below candidate key boundaries over all partitions:
 each round refines the probes around every splitter that is not within tolerance by the next bits
-of the hash, and at last by the id within a single hash. Then the rows are exchanged once, by
-range, which gives each row its place in its shard.
+of the hash, and at last by the id within a single hash. More splitters, found in the same way by
+counting rows, cut large shards into pieces that fit a task, however few bytes many rows have. Then
+the rows are exchanged once, by these splitters, which gives each row its place in its shard.
 """
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +24,14 @@ BITS = 8
 KEY_BITS = 64
 #: A splitter may miss its share by this part of a shard.
 TOLERANCE = 0.002
+#: Rows of a piece, about.
+PIECE_ROWS = 2_000_000
+#: A splitter (hash, id): rows at or above it belong to later shards; id None stands for the first.
+Splitter = tuple[int, int | None]
 
 
-def _find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int | None]]:
-    """Splitters (hash, id): rows at or above them belong to later shards; id None stands for the first."""
+def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[Splitter]:
+    """Splitters between ``shards`` parts with near equal sums of ``size`` over rows (``key``, ``id``, ``size``)."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     slack = total / shards * tolerance
     targets = [total * i / shards for i in range(1, shards)]
@@ -97,21 +106,29 @@ def _order(u: int) -> int:
     return min(u, (1 << 64) - 1) - (1 << 63)
 
 
-def _shard_of(splitters: list[tuple[int, int | None]]) -> Column:
-    out = F.lit(0)
+def _place(splitter: Splitter) -> tuple[int, float | int]:
+    return splitter[0], -np.inf if splitter[1] is None else splitter[1]
+
+
+def piece_of(keys: np.ndarray, ids: np.ndarray, known: np.ndarray, splitters: list[Splitter]) -> np.ndarray:
+    """How many splitters each row is at or above; rows of unknown id stand before all ids of their hash."""
+    out = np.searchsorted(np.array([k for k, v in splitters if v is None], np.int64), keys, side="right")
+    hot: dict[int, list[int]] = {}
     for k, v in splitters:
-        here = F.col("key") >= F.lit(k)
         if v is not None:
-            here = (F.col("key") > F.lit(k)) | ((F.col("key") == F.lit(k)) & (F.col("id") >= F.lit(v)))
-        out = out + F.coalesce(here, F.lit(False)).cast("int")
-    return out
+            hot.setdefault(k, []).append(v)
+    for k, own in hot.items():
+        within = np.where(known, np.searchsorted(np.array(sorted(own), np.int64), ids, side="right"), 0)
+        out = out + np.where(keys == k, within, np.where(keys > k, len(own), 0))
+    return out.astype(np.int32)
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, keep: dict[str, Column] | None = None) -> DataFrame:
     """Put rows into ``shards`` shards of near equal bytes: ``id_col``, ``size``, ``shard``, ``slot``.
 
     A row's size is the UTF-8 bytes of its text plus 1. ``slot`` counts from 0 in each shard
-    without gaps. ``keep`` names more columns to carry along, as expressions over ``docs``.
+    without gaps, in the order of (hash of the text, id). ``keep`` names more columns to carry
+    along, as expressions over ``docs``.
 
     Equal texts stand together; a shard's border goes through a group of equal texts only where no
     border between groups is within ``tolerance`` (a part of a shard), and then between ids. A
@@ -124,18 +141,29 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     kept = [c.alias(f"kept_{i}") for i, c in enumerate(keep.values())]
     rows = docs.select(column(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), *kept)
     rows = stage(rows, "sizes")
-    splitters = _find_splitters(rows.select("id", "key", "size"), shards, tolerance)
-    # The one exchange. A row's number holds its partition in the upper bits.
-    sorted_rows = rows.withColumn("shard", _shard_of(splitters)).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    numbered = stage(sorted_rows.withColumn("number", F.monotonically_increasing_id()), "sorted")
+    borders = find_splitters(rows.select("id", "key", "size"), shards, tolerance)
+    parts = -(-rows.count() // PIECE_ROWS)
+    inner = find_splitters(rows.select("id", "key", F.lit(1).cast("long").alias("size")), parts, 0.25) if parts > 1 else []
+    splitters = sorted([*borders, *inner], key=_place)
+    # The shard of each piece: the borders at or below its first row.
+    places = sorted(map(_place, borders))
+    shard_of = [0, *[bisect.bisect_right(places, _place(x)) for x in splitters]]
+
+    @F.arrow_udf("int")
+    def piece(keys: pa.Array, ids: pa.Array) -> pa.Array:
+        known = np.asarray(ids.is_valid())
+        return pa.array(piece_of(keys.to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), known, splitters))
+
+    # The one exchange. A row's number holds its partition, which is its piece, in the upper bits.
+    dealt = rows.withColumn("piece", piece("key", "id")).repartitionById(len(splitters) + 1, "piece").sortWithinPartitions("key", "id")
+    numbered = stage(dealt.withColumn("number", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "sorted")
     release(rows)
-    part = F.shiftright("number", 33)
-    counts = numbered.groupBy(part.cast("int").alias("part"), "shard").agg(F.count("*").alias("n"), F.min("number").alias("first"))
-    # One row for each partition and shard that meet: partitions plus shards at most.
+    # One row for each piece.
+    counts = dict(numbered.groupBy("piece").count().collect())
     starts, before = [], {}
-    for r in sorted(counts.collect(), key=lambda r: (r.part, r["shard"])):
-        starts.append((r.part, r["shard"], r["first"] - before.get(r["shard"], 0)))
-        before[r["shard"]] = before.get(r["shard"], 0) + r.n
-    offsets = docs.sparkSession.createDataFrame(starts, "part int, shard int, base long")
-    out = numbered.withColumn("part", part.cast("int")).join(F.broadcast(offsets), ["part", "shard"])
-    return out.select(F.col("id").alias(id_col), "size", "shard", (F.col("number") - F.col("base")).alias("slot"), *[F.col(f"kept_{i}").alias(n) for i, n in enumerate(keep)])
+    for at, shard in enumerate(shard_of):
+        starts.append((at, shard, before.get(shard, 0)))
+        before[shard] = before.get(shard, 0) + counts.get(at, 0)
+    offsets = docs.sparkSession.createDataFrame(starts, "piece int, shard int, base long")
+    out = numbered.join(F.broadcast(offsets), "piece")
+    return out.select(F.col("id").alias(id_col), "size", "shard", (F.col("number") + F.col("base")).alias("slot"), *[F.col(f"kept_{i}").alias(n) for i, n in enumerate(keep)])
