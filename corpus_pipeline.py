@@ -13,7 +13,7 @@ from strideframe.llm.pii import redact
 from strideframe.llm.quality import keep_good
 from strideframe.llm.simhash import near_duplicates
 
-#: Words of a shingle; 64-bit words of a fingerprint and the bits of them that may differ: a similarity of 0.8 or more.
+#: Words of a shingle; 64-bit words of a fingerprint and the bits of them that may differ: 0.8 or more of the bits are equal.
 SHINGLE, WORDS, BITS = 5, 2, 25
 
 
@@ -25,37 +25,54 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the hierarchical quality model accepts."""
+    """Documents that the hierarchical quality model accepts.
+
+    Null and empty texts are scored like others, rows of null or repeated ids each on their own;
+    null sites are a site. An empty table stays empty; all columns stay as they are.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of line runs of 50 words or more."""
+    """Texts without the later copies of line runs of 50 words or more.
+
+    Null and empty texts stay as they are, and all rows stay: a text that goes whole becomes empty.
+    Rows of equal or null ids are ordered by a hash of their texts. ``n_chars`` follows the text;
+    other columns stay. An empty table stays empty.
+    """
     return _sized(remove_repeated_lines(docs, min_words=50))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest (id, row number) of each group of near copies, a null id after all others.
+    """The row with the smallest (id, text hash) of each group of near copies, a null id after all others.
 
     Documents whose text is empty or null (emptied by the line stage) are one group of their own.
-    Rows are told apart by their row number where ids are null or repeated, so that rows of
-    different groups stay whatever their ids.
+    Rows are told apart by a number where ids are null or repeated, so that rows of different
+    groups stay whatever their ids; of repeated rows one stays. An empty table stays empty; all
+    columns stay as they are.
     """
     (key,) = fresh(docs, "row_key")
-    rows = keyed(docs, "doc_id", key)
+    rows = keyed(docs, "doc_id", key, "text")
     groups = near_duplicates(rows, id_col=key, shingle=SHINGLE, bits=BITS, words=WORDS)
-    ids = rows.select(key, F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("own"))
-    least = groups.join(ids, key).groupBy("component_id").agg(F.min(F.struct("unnamed", "own", key)).alias("least"))
-    return rows.join(least.select(F.col(f"least.{key}").alias(key)), key, "left_semi").drop(key)
+    # Row keys grow with the id, so the smallest key of a group, its component's name, is its first row.
+    return rows.join(groups.filter(F.col(key) == F.col("component_id")).select(key), key, "left_semi").drop(key)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind.
+
+    Null and empty texts stay as they are; every row stays, whatever its id. ``n_chars`` follows
+    the text; other columns stay. An empty table stays empty.
+    """
     return _sized(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens, with their ids."""
+    """Pieces of documents in sequences of 2048 tokens, with their ids.
+
+    Null and empty texts are an end id alone; rows of null or repeated ids are packed each. An
+    empty table gives no pieces; other columns are not carried along.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
