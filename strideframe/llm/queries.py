@@ -78,10 +78,8 @@ def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (op1_simhash_pivot, op2_bounded_packing, op3_line_runs, op4_merge_replay, op5_wav_peaks, op6_histogram_topk, op7_license_scan, op8_histogram_shards, op9_weak_pii, op10_bayes_quality)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 #: A line goes where a run of lines with 50 or more words around it began earlier elsewhere: every run
@@ -115,7 +113,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    out = {"op3_line_runs": _OP3_SQL, "op6_histogram_topk": _OP6_SQL}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op3_line_runs": _OP3_SQL, "op6_histogram_topk": _OP6_SQL}

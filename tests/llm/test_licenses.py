@@ -1,7 +1,7 @@
 import random
 import textwrap
 
-from strideframe.llm.licenses import TEMPLATES, Scanner, align, ends, scan_licenses
+from strideframe.llm.licenses import SHORT, TEMPLATES, Scanner, align, ends, scan_licenses
 from strideframe.llm.queries import op7_license_scan
 
 
@@ -105,3 +105,30 @@ def test_notices_against_cutting_out_one_at_a_time():
         at = {sum(len(w) + 1 for w in words[:i]): i for i in range(len(words))}
         got = [(x["license"], at[x["start"]], at[x["start"]] + len(text[x["start"] : x["end"]].split())) for x in scanner.scan(text)]
         assert got == plain(words, 0)
+
+
+def test_a_long_notice_of_ones_own(spark):
+    words = [f"clause{i}" for i in range(280)]
+    own = {"own": " ".join(words), "with": "You may ask for permission " + " ".join(words[:90])}
+    rows = [(1, own["own"]), (2, "Some text. " * 50 + own["with"] + " more text" * 80), (3, "no notice"), (4, " ".join(words[:240] + ["x"] * 20 + words[260:]))]
+    got = {(r.doc_id, r.license, r.differences) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=own).collect()}
+    assert got == {(1, "own", 0), (2, "with", 0), (4, "own", 20)}
+
+
+def test_compression_ranks_the_right_template_first_and_leaves_no_match_out():
+    rng = random.Random(8)
+    scanner = Scanner(TEMPLATES)
+    prose = [f"{a}{b}" for a in ("re", "con", "mar", "sol", "tin") for b in ("ta", "den", "vel", "ior", "am", "es")]
+    for name, (words, _) in scanner.templates.items():
+        for _ in range(4 if len(words) > 60 else 40):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), int(0.15 * len(words))):
+                changed[at] = rng.choice(prose)
+            block = rng.choices(prose, k=rng.randrange(300)) + changed + rng.choices(prose, k=rng.randrange(300))
+            ranked = scanner.savings(block, list(scanner.templates))
+            assert ranked[name] > 0 or len(words) < SHORT
+            if len(words) < 30:
+                continue
+            # What saves more than a long notice shares its words: no template of other wording stands above it.
+            above = list(ranked)[: list(ranked).index(name)]
+            assert all(len(set(words) & set(scanner.templates[n][0])) > 0.6 * min(len(set(words)), len(set(scanner.templates[n][0]))) for n in above), (name, above)
