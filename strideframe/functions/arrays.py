@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.schema import LAYOUT, META
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` added or replaced, each computed once a row however often it is used later.
+
+    The optimizer copies the expression of an array or struct into every use of its items; it
+    can't look through the generator that stands here.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*keep, made.alias("_once")).select(*keep, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def double(col: Column) -> Column:
     return col.cast("array<double>")
 

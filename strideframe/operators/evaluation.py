@@ -109,22 +109,44 @@ def agreement(preds: DataFrame, y: str = "gloss_gt", yhat: str = "gloss_pred") -
     return s.select(F.when(pe == 1, 0.0).otherwise((c / n - pe) / (1 - pe)).alias("kappa"), F.when(mcc == 0, 0.0).otherwise((c * n - pt) / mcc).alias("mcc"))
 
 
+def _ranked_above(probs: str, y: str) -> Column:
+    """How many classes rank before the true one."""
+    own = F.element_at(F.col(probs), (F.col(y) + 1).cast("int"))
+    return F.size(F.filter(F.transform(probs, lambda p, i: (p > own) | ((p == own) & (i < F.col(y)))), lambda b: b))
+
+
 def top_k_accuracy(df: DataFrame, probs: str, y: str, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
     """Share of rows whose class is among the k best; ties rank by class id."""
-    own = F.element_at(F.col(probs), (F.col(y) + 1).cast("int"))
-    above = F.size(F.filter(F.transform(probs, lambda p, i: (p > own) | ((p == own) & (i < F.col(y)))), lambda b: b))
-    rows = df.select(above.alias("above"))
+    rows = df.select(_ranked_above(probs, y).alias("above"))
     return rows.agg(*[F.avg((F.col("above") < k).cast("double")).alias(f"top{k}_accuracy") for k in ks])
 
 
+#: Cumulative Poisson(1) probabilities.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991675)
+#: A prime below 2**31: two products of numbers below it add up to less than 2**63.
+PRIME = 2147483647
+
+
+def _resampled(preds: DataFrame, right: dict[str, Column], key: str, n: int, seed: int) -> DataFrame:
+    """The accuracy of each head in each of ``n`` resamples: ``rep`` and one column a head.
+
+    A row is hashed once; its weight in a resample is then a step of a linear combination of the
+    two halves of its hash, so that the rows times resamples stay plain integers within a task,
+    which gives one sum a resample and head.
+    """
+    half = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), i, 8), 16, 10).cast("long") % PRIME
+    rows = A.once(preds.select(key, *[c.cast("int").alias(h) for h, c in right.items()]), a=half(1), b=half(9))
+    rows = rows.select("a", "b", *right, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("rep"))
+    r = F.col("rep")
+    u = (F.col("a") * ((r * 1103515245 + 12345) % PRIME) + F.col("b") * ((r * r * 69069 + r * 362437 + 1) % PRIME)) % PRIME
+    rows = rows.select("rep", *right, u.alias("u"))
+    weight = sum((F.col("u") >= int(s * PRIME)).cast("int") for s in POISSON)
+    return rows.groupBy("rep").agg(*[(F.sum(weight * F.col(h)) / F.sum(weight)).alias(h) for h in right])
+
+
 def bootstrap_ci(preds: DataFrame, key: str = "clip_id", y: str = "gloss_gt", yhat: str = "gloss_pred", n: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the accuracy over ``n`` seeded Poisson resamples."""
-    u = A.hash_unit(F.concat_ws("|", F.col(key).cast("string"), F.col("rep").cast("string")), seed) / float(2**32)
-    #: Cumulative Poisson(1) probabilities.
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991675)
-    weight = sum((u >= s).cast("int") for s in steps)
-    rows = preds.select(key, (F.col(y) == F.col(yhat)).cast("int").alias("ok"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep")).withColumn("w", weight)
-    reps = rows.groupBy("rep").agg((F.sum(F.col("w") * F.col("ok")) / F.sum("w")).alias("acc"))
+    reps = _resampled(preds, {"acc": F.col(y) == F.col(yhat)}, key, n, seed)
     tail = (1 - level) / 2
     return reps.agg(F.avg("acc").alias("mean"), F.percentile("acc", tail).alias("low"), F.percentile("acc", 1 - tail).alias("high"))
 
@@ -219,14 +241,23 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     return out.select("bin", (F.col("_lo") + F.col("bin") * width).alias("low"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def compare_models(preds: DataFrame) -> DataFrame:
-    """One row for each model: rows, gloss and category accuracy, mean confidence."""
-    return preds.groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("gloss_gt") == F.col("gloss_pred")).cast("double")).alias("gloss_accuracy"), F.avg((F.col("cat_gt") == F.col("cat_pred")).cast("double")).alias("cat_accuracy"), F.avg("gloss_prob").alias("mean_confidence"))
+def compare_models(preds: DataFrame, logits: str | None = None) -> DataFrame:
+    """One row for each model: rows, gloss and category accuracy, mean confidence.
+
+    With the name of a column of gloss ``logits`` also ``gloss_top3_accuracy``,
+    ``gloss_top5_accuracy`` and ``loss``, the mean cross-entropy.
+    """
+    right = lambda h: F.avg((F.col(f"{h}_gt") == F.col(f"{h}_pred")).cast("double")).alias(f"{h}_accuracy")
+    more = []
+    if logits:
+        preds = sample_losses(preds.withColumn("_above", _ranked_above(logits, "gloss_gt")), logits, "gloss_gt")
+        more = [*[F.avg((F.col("_above") < k).cast("double")).alias(f"gloss_top{k}_accuracy") for k in (3, 5)], F.avg("ce").alias("loss")]
+    return preds.groupBy("model").agg(F.count("*").alias("n"), right("gloss"), right("cat"), F.avg("gloss_prob").alias("mean_confidence"), *more)
 
 
 def metrics_long(compared: DataFrame) -> DataFrame:
     """``model``, ``metric``, ``value`` rows."""
-    return compared.unpivot("model", ["gloss_accuracy", "cat_accuracy", "mean_confidence"], "metric", "value")
+    return compared.unpivot("model", [c for c in compared.columns if c not in ("model", "n")], "metric", "value")
 
 
 def metrics_by_model(long: DataFrame, models: list[str]) -> DataFrame:
@@ -260,11 +291,43 @@ def top_n(df: DataFrame, col: str, n: int, ties: tuple[str, ...] = ()) -> DataFr
     return df.orderBy(F.desc(col), *ties).limit(n)
 
 
-def performance_summary(preds: DataFrame) -> DataFrame:
-    """``metric``, ``value`` and ``percentage`` text of the overall metrics and agreement."""
-    one = overall_metrics(preds).crossJoin(agreement(preds)).drop("n")  # one row each
-    long = one.select(F.lit(1).alias("_"), "*").unpivot("_", [c for c in one.columns], "metric", "value").drop("_")
-    return long.withColumn("percentage", F.format_string("%.2f%%", F.round(F.col("value") * 100, 2)))
+def performance_summary(preds: DataFrame, logits: str | None = None, key: str = "clip_id", n: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """``metric``, ``value``, ``percentage`` and ``confidence_interval`` texts of the metrics of both heads.
+
+    Loss and top-k rows need a column of gloss ``logits`` and have a null value without. The
+    interval is that of ``n`` bootstrap resamples for the accuracies, ``N/A`` for the others.
+    """
+    one = overall_metrics(preds).drop("n")
+    for h in ("gloss", "cat"):
+        one = one.crossJoin(agreement(preds, f"{h}_gt", f"{h}_pred").toDF(f"{h}_kappa", f"{h}_mcc"))  # one row each
+    tail = (1 - level) / 2
+    reps = _resampled(preds, {h: F.col(f"{h}_gt") == F.col(f"{h}_pred") for h in ("gloss", "cat")}, key, n, seed)
+    one = one.crossJoin(reps.agg(*[F.percentile(h, q).alias(f"{h}_{side}") for h in ("gloss", "cat") for side, q in (("low", tail), ("high", 1 - tail))]))
+    if logits:
+        one = one.crossJoin(top_k_accuracy(preds, logits, "gloss_gt").crossJoin(sample_losses(preds, logits, "gloss_gt").agg(F.avg("ce").alias("loss"))))
+    else:
+        one = one.withColumns({c: F.lit(None).cast("double") for c in ("loss", "top3_accuracy", "top5_accuracy")})
+    #: Names of the rows.
+    rows = (
+        ("Test Loss", "loss"),
+        ("Gloss Accuracy", "gloss_accuracy"),
+        ("Category Accuracy", "cat_accuracy"),
+        ("Gloss Top-3 Accuracy", "top3_accuracy"),
+        ("Gloss Top-5 Accuracy", "top5_accuracy"),
+        ("Gloss Cohen's Kappa", "gloss_kappa"),
+        ("Category Cohen's Kappa", "cat_kappa"),
+        ("Gloss Matthews Correlation", "gloss_mcc"),
+        ("Category Matthews Correlation", "cat_mcc"),
+    )
+
+    def row(name: str, c: str) -> Column:
+        v = F.col(c)
+        text = F.format_string("%.2f", F.round(v, 2)) if c == "loss" else F.format_string("%.2f%%", F.round(v * 100, 2))
+        head = c.removesuffix("_accuracy")
+        span = F.format_string("[%.4f, %.4f]", F.round(F.col(f"{head}_low"), 4), F.round(F.col(f"{head}_high"), 4)) if c in ("gloss_accuracy", "cat_accuracy") else F.lit("N/A")
+        return F.struct(F.lit(name).alias("metric"), v.alias("value"), F.when(v.isNotNull(), text).alias("percentage"), span.alias("confidence_interval"))
+
+    return one.select(F.explode(F.array(*[row(*r) for r in rows])).alias("one_row")).select("one_row.*")
 
 
 def format_predictions(preds: DataFrame, ref: DataFrame) -> DataFrame:
@@ -274,7 +337,7 @@ def format_predictions(preds: DataFrame, ref: DataFrame) -> DataFrame:
 
     def named(df: DataFrame, names: DataFrame, key: str, name: str, col: str) -> DataFrame:
         text = F.concat(F.coalesce(F.col("_n"), F.lit("Unknown")), F.lit(" ("), F.col(col).cast("string"), F.lit(")"))
-        return df.join(F.broadcast(names.select(F.col(key).alias("_k"), F.col(name).alias("_n"))), F.col(col) == F.col("_k"), "left").withColumn(col + "_text", text).drop("_k", "_n")
+        return df.join(names.select(F.col(key).alias("_k"), F.col(name).alias("_n")), F.col(col) == F.col("_k"), "left").withColumn(col + "_text", text).drop("_k", "_n")
 
     for col in ("gloss_gt", "gloss_pred"):
         preds = named(preds, gloss, "gloss_id", "label", col)

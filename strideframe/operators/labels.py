@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import arrays as A
 
+#: Bits of the hash that make a slice of a class.
+SLICE_BITS = 12
+
 
 def assign_ids(labels: DataFrame, ref: DataFrame) -> DataFrame:
     """``gloss`` and ``cat`` by the gloss text of ``file``, without case; null where the text is unknown."""
@@ -18,10 +21,20 @@ def _base(file: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"(?i)\.npz$", "")
 
 
-def match_files(labels: DataFrame, clips: DataFrame) -> DataFrame:
-    """Labels whose clip exists (by base name)."""
+def match_files(labels: DataFrame, clips: DataFrame, check: bool = True) -> DataFrame:
+    """Labels whose clip exists (by base name). With ``check`` it is an error if none has one (one short job)."""
     have = clips.select(_base(F.col("file")).alias("_base")).distinct()
-    return labels.withColumn("_base", _base(F.col("file"))).join(have, "_base", "left_semi").drop("_base")
+    out = labels.withColumn("_base", _base(F.col("file"))).join(have, "_base", "left_semi").drop("_base")
+    if check and out.isEmpty():
+        raise ValueError("no label has a clip of its name")
+    return out
+
+
+def match_counts(labels: DataFrame, clips: DataFrame) -> DataFrame:
+    """One row: labels before matching, those with a clip, those without."""
+    have = clips.select(_base(F.col("file")).alias("_base"), F.lit(True).alias("_has")).distinct()
+    found = labels.select(_base(F.col("file")).alias("_base")).join(have, "_base", "left")
+    return found.agg(F.count("*").alias("before"), F.count("_has").alias("after"), F.count(F.when(F.col("_has").isNull(), 1)).alias("missing"))
 
 
 def missing_files(labels: DataFrame, clips: DataFrame) -> DataFrame:
@@ -101,7 +114,9 @@ def validate_labels(labels: DataFrame, n_gloss: int, n_cat: int) -> DataFrame:
 def stratified_split(labels: DataFrame, ratio: float = 0.8, seed: int = 42, key: str = "file", by: str = "gloss") -> DataFrame:
     """``split``: train or val, stratified by class with largest-remainder quotas and a seeded hash order.
 
-    A ``split`` column that is there already is kept; rows with other values drop out.
+    A ``split`` column that is there already is kept; rows with other values drop out. It is an
+    error if a class has one row only, or a side fewer rows than there are classes. No task sorts
+    more than a slice of a class.
     """
     if "split" in labels.columns:
         return labels.filter(F.col("split").isin("train", "val"))
@@ -109,13 +124,24 @@ def stratified_split(labels: DataFrame, ratio: float = 0.8, seed: int = 42, key:
     n = F.sum("count").over(Window.partitionBy())  # over classes, not rows
     train = n - F.ceil(F.round(n * (1 - ratio), 9))
     exact = F.col("count") * train / n
-    quota = counts.withColumns({"_floor": F.floor(exact), "_rest": exact - F.floor(exact), "_train": train})
+    quota = counts.withColumns({"_floor": F.floor(exact), "_rest": exact - F.floor(exact), "_train": train, "_n": n})
+    side = quota.agg(F.min("count").alias("least"), F.count("*").alias("classes"), F.max("_train").alias("train"), F.max("_n").alias("n")).first()
+    if side.classes and side.least < 2:
+        raise ValueError(f"a class of {by} has a single row")
+    if side.classes and min(side.train, side.n - side.train) < side.classes:
+        raise ValueError(f"{side.train} and {side.n - side.train} rows are too few for {side.classes} classes")
     left = F.col("_train") - F.sum("_floor").over(Window.partitionBy())
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round("_rest", 9)), by))
     quota = quota.withColumn("_quota", F.col("_floor") + (rank <= left).cast("long")).select(by, "_quota")
-    order = Window.partitionBy(by).orderBy(A.hash_unit(F.col(key), seed), key)
-    placed = labels.withColumn("_place", F.row_number().over(order)).join(F.broadcast(quota), by)
-    return placed.withColumn("split", F.when(F.col("_place") <= F.col("_quota"), "train").otherwise("val")).drop("_place", "_quota")
+    # A row's place in the hash order of its class: the rows of lower slices of the hash, and its place in its own.
+    rows = labels.withColumn("_h", A.hash_unit(F.col(key), seed)).withColumn("_slice", F.shiftright("_h", 32 - SLICE_BITS))
+    slices = rows.groupBy(by, "_slice").agg(F.count("*").alias("_m"))
+    lower = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # over slices, not rows
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_m").over(lower), F.lit(0))).join(quota, by).select(by, "_slice", "_before", "_quota")
+    own = F.row_number().over(Window.partitionBy(by, "_slice").orderBy("_h", key))
+    placed = rows.withColumn("_own", own).join(slices, [by, "_slice"])
+    split = F.when(F.col("_before") + F.col("_own") <= F.col("_quota"), "train").otherwise("val")
+    return placed.withColumn("split", split).select(*labels.columns, "split")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -126,17 +152,28 @@ def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def number_clips(files: DataFrame, ref: DataFrame, suffix: str = ".MOV") -> DataFrame:
     """``number`` and ``name`` (clip_NNNN_label): by id, numeric stems first; unknown ids are left out and use no number.
 
-    Numbers are running offsets of the ids' counts plus a place within the id, so no window spans all rows.
+    A number is the files of earlier slices of the order plus a place within the slice. Slices are
+    an id's stems of one kind, length and beginning, so no window spans all rows, nor all of an id.
     """
     known = files.join(ref.select(F.col("id"), "label"), "id")
-    counts = known.groupBy("id").count()
-    counts = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy().orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row an id
-    order = Window.partitionBy("id").orderBy(F.col("stem").cast("string").rlike("^[0-9]+$").cast("int").desc(), F.expr("try_cast(stem AS bigint)"), "stem")
-    total = counts.agg(F.sum("count").alias("_all"))
-    out = known.withColumn("_place", F.row_number().over(order)).join(F.broadcast(counts.drop("count")), "id").crossJoin(F.broadcast(total))
-    number = F.col("_before") + F.col("_place")
-    digits = F.greatest(F.lit(4), F.length(F.col("_all").cast("string")))
-    name = F.concat(F.lit("clip_"), F.lpad(number.cast("string"), digits, F.lit("0")), F.lit("_"), A.slugify(F.col("label")), F.lit(suffix))
+    stem = F.col("stem").cast("string")
+    value = F.expr("try_cast(stem AS bigint)")
+    digits = F.coalesce(value.cast("string"), F.lit(""))
+    numeric = stem.rlike("^[0-9]+$")
+    known = known.withColumns({"_kind": (~numeric).cast("int"), "_length": F.when(numeric, F.length(digits)).otherwise(0), "_start": F.substring(F.when(numeric, digits).otherwise(stem), 1, 3)})
+    order = ["id", "_kind", "_length", "_start"]
+    slices = known.groupBy(*order).agg(F.count("*").alias("_m"))
+    before = Window.partitionBy("id").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)  # over slices, not rows
+    slices = slices.withColumn("_in_id", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    ids = slices.groupBy("id").agg(F.sum("_m").alias("_m"))
+    whole = Window.partitionBy().orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one row an id
+    ids = ids.select("id", F.coalesce(F.sum("_m").over(whole), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_all"))
+    slices = slices.join(ids, "id").select(*order, (F.col("_before") + F.col("_in_id")).alias("_before"), "_all")
+    own = F.row_number().over(Window.partitionBy(*order).orderBy(value, "stem"))
+    out = known.withColumn("_own", own).join(slices, order)
+    number = F.col("_before") + F.col("_own")
+    width = F.greatest(F.lit(4), F.length(F.col("_all").cast("string")))
+    name = F.concat(F.lit("clip_"), F.lpad(number.cast("string"), width, F.lit("0")), F.lit("_"), A.slugify(F.col("label")), F.lit(suffix))
     return out.select("id", "stem", number.alias("number"), name.alias("name"))
 
 

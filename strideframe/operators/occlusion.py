@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions import arrays as A
 from strideframe.schema import LAYOUT
 
 #: Fixed values: (x from, x to, y from, y to) in which each face landmark is plausible, by its number.
@@ -31,14 +32,11 @@ MIN_FACE, MIN_HAND, DETECT = 3, 3, 0.4
 POINT = "struct<x:double,y:double>"
 
 
-def _point(i: int) -> Column:
-    """Keypoint ``i`` where it is visible."""
+def _point(i: int, box: tuple[float, float, float, float] = (0.0, 1.0, 0.0, 1.0)) -> Column:
+    """Keypoint ``i`` where it is visible and lies in the box (x from, x to, y from, y to)."""
     x, y = F.col("x")[2 * i].cast("double"), F.col("x")[2 * i + 1].cast("double")
-    return F.when(F.col("mask")[i], F.struct(x.alias("x"), y.alias("y")))
-
-
-def _in_unit(p: Column) -> Column:
-    return F.when(p["x"].between(0, 1) & p["y"].between(0, 1), p)
+    a, b, c, d = box
+    return F.when(F.col("mask")[i] & x.between(a, b) & y.between(c, d), F.struct(x.alias("x"), y.alias("y"))).cast(POINT)
 
 
 def _seen(first: int, end: int) -> Column:
@@ -53,26 +51,22 @@ def valid_face(frames: DataFrame) -> DataFrame:
     """Adds ``face``: array by landmark of plausible points (null otherwise), null where the face is unusable."""
     first, end = LAYOUT.groups["face"]
 
-    def landmark(i: int) -> Column:
-        p, (a, b, c, d) = _in_unit(_point(first + i)), FACE_BOXES[i]
-        return F.when(p["x"].between(a, b) & p["y"].between(c, d), p).cast(POINT)
-
-    face = F.array(*[landmark(i) for i in range(end - first)])
+    face = F.array(*[_point(first + i, FACE_BOXES[i]) for i in range(end - first)])
     usable = (_seen(first, end) >= MIN_FACE) & (F.size(F.filter("face", lambda p: p.isNotNull())) >= MIN_FACE)
-    return frames.withColumn("face", face).withColumn("face", F.when(usable, F.col("face")))
+    return A.once(A.once(frames, face=face), face=F.when(usable, F.col("face")))
 
 
 def face_scale(face: Column) -> Column:
     """Mean of width and height over the usual size, from 0.5 to 2; 1 with fewer than two points."""
-    points = F.filter(face, lambda p: p.isNotNull())
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    # Nulls don't count for the least and the most.
+    xs, ys = F.transform(face, lambda p: p["x"]), F.transform(face, lambda p: p["y"])
     size = ((F.array_max(xs) - F.array_min(xs)) + (F.array_max(ys) - F.array_min(ys))) / 2 / FACE_SIZE
-    return F.when(F.size(points) < 2, 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(2.0), size)))
+    return F.when(F.size(F.filter(face, lambda p: p.isNotNull())) < 2, 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(2.0), size)))
 
 
 def head_regions(frames: DataFrame) -> DataFrame:
     """Adds ``regions``: array of (name, x, y, r) of the circles that the landmarks allow; all need the nose."""
-    frames = frames.withColumn("scale", face_scale(F.col("face")))
+    frames = A.once(frames, scale=face_scale(F.col("face")))
     at = lambda i: F.col("face")[i]
     chin = at(CHIN)
     centers = {
@@ -83,25 +77,27 @@ def head_regions(frames: DataFrame) -> DataFrame:
         "neck": F.when(chin.isNotNull(), F.struct(chin["x"].alias("x"), (chin["y"] + NECK_DROP * F.col("scale")).alias("y"))),
     }
     circle = lambda n, c: F.when(at(NOSE).isNotNull() & c.isNotNull(), F.struct(F.lit(n).alias("name"), c["x"].alias("x"), c["y"].alias("y"), (RADII[n] * F.col("scale")).alias("r")))
-    return frames.withColumn("regions", F.filter(F.array(*[circle(n, c) for n, c in centers.items()]), lambda r: r.isNotNull()))
+    return A.once(frames, regions=F.filter(F.array(*[circle(n, c) for n, c in centers.items()]), lambda r: r.isNotNull()))
 
 
 def hand_points(frames: DataFrame) -> DataFrame:
     """One row for each hand with enough visible points: ``hand``, ``palm`` (may be null), ``tips``."""
 
+    def points(name: str, places: tuple[int, ...]) -> Column:
+        first = LAYOUT.groups[name][0]
+        return F.filter(F.array(*[_point(first + i) for i in places]), lambda p: p.isNotNull())
+
     def hand(name: str) -> Column:
-        first, end = LAYOUT.groups[name]
-        mcp = F.filter(F.array(*[_in_unit(_point(first + i)).cast(POINT) for i in KNUCKLES]), lambda p: p.isNotNull())
-        tips = F.filter(F.array(*[_in_unit(_point(first + i)).cast(POINT) for i in TIPS]), lambda p: p.isNotNull())
-        mean = lambda c: F.aggregate(mcp, F.lit(0.0), lambda a, p: a + p[c]) / F.size(mcp)
-        palm = F.when(F.size(mcp) >= 2, F.struct(mean("x").alias("x"), mean("y").alias("y")).cast(POINT)).otherwise(_in_unit(_point(first + WRIST)).cast(POINT))
-        return F.when(_seen(first, end) >= MIN_HAND, F.struct(F.lit(name).alias("hand"), palm.alias("palm"), tips.alias("tips")))
-
-    hands = F.filter(F.array(hand("left_hand"), hand("right_hand")), lambda h: h.isNotNull())
+        seen = F.when(_seen(*LAYOUT.groups[name]) >= MIN_HAND, F.lit(name))
+        return F.struct(seen.alias("hand"), points(name, KNUCKLES).alias("mcp"), points(name, (WRIST,)).alias("wrist"), points(name, TIPS).alias("tips"))
+
     keep = [c for c in frames.columns if c not in ("x", "mask")]
     # An outer explode: the filter that Spark infers for an inner one would copy the whole expression below it.
-    rows = frames.select(*keep, F.explode_outer(hands).alias("one_hand")).filter("one_hand IS NOT NULL")
-    return rows.select(*keep, "one_hand.hand", "one_hand.palm", "one_hand.tips")
+    rows = frames.select(*keep, F.explode_outer(F.array(hand("left_hand"), hand("right_hand"))).alias("one_hand")).filter("one_hand.hand IS NOT NULL")
+    rows = rows.select(*keep, "one_hand.*")
+    mean = lambda c: F.aggregate("mcp", F.lit(0.0), lambda a, p: a + p[c]) / F.size("mcp")
+    palm = F.when(F.size("mcp") >= 2, F.struct(mean("x").alias("x"), mean("y").alias("y")).cast(POINT)).otherwise(F.try_element_at("wrist", F.lit(1)))
+    return A.once(rows, palm=palm).select(*keep, "hand", "palm", "tips")
 
 
 def _dist(p: Column, r: Column) -> Column:
@@ -125,24 +121,22 @@ def approach(hands: DataFrame, last: int = 5) -> DataFrame:
 
 def region_confidence(hands: DataFrame) -> DataFrame:
     """One row for each hand and region with ``confidence`` in [0, 1]."""
-    each = hands.select("*", F.explode_outer("regions").alias("circle")).filter("circle IS NOT NULL")
-    r, palm, tips = F.col("circle"), F.col("palm"), F.col("tips")
-    radius = r["r"]
-    inside = F.when(F.exists(tips, lambda t: _dist(t, r) <= radius), 0.5).otherwise(0.0)
-    d = _dist(palm, r)
+    each = hands.select("clip_id", "frame_idx", "hand", "palm", "tips", "recent", F.explode_outer("regions").alias("circle")).filter("circle IS NOT NULL")
+    r = F.col("circle")
+    away = lambda ps: F.transform(ps, lambda p: _dist(p, r))
+    each = A.once(each.withColumn("region", r["name"]).withColumn("radius", r["r"]), d=_dist(F.col("palm"), r), tip=F.array_min(away("tips")), track=away("recent"))
+    d, tip, track, radius = map(F.col, ("d", "tip", "track", "radius"))
+    inside = F.when(tip <= radius, 0.5).otherwise(0.0)
     reach = radius * 1.5
-    near = F.when(palm.isNotNull() & (d <= reach), F.greatest(F.lit(0.0), 1 - d / reach) * 0.3).otherwise(0.0)
-    track = F.transform("recent", lambda p: _dist(p, r))
-    each = each.withColumn("_d", track)
-    falls = F.size(F.filter(F.transform("_d", lambda v, i: (i > 0) & (v < F.col("_d")[F.greatest(i - 1, F.lit(0))])), lambda b: b))
-    first, now = F.col("_d")[0], F.col("_d")[4]
+    near = F.when(d <= reach, F.greatest(F.lit(0.0), 1 - d / reach) * 0.3).otherwise(0.0)
+    falls = F.size(F.filter(F.zip_with(F.slice(track, 2, 4), F.slice(track, 1, 4), lambda now, before: now < before), lambda b: b))
+    first, now = track[0], track[4]
     # A track that starts in the very centre gets no score for approaching it.
-    closing = F.when(F.col("_d").isNotNull() & (falls >= 2) & (now <= reach) & (first > 0), F.greatest(F.lit(0.0), (first - now) / first) * 0.15).otherwise(0.0)
-    points = F.transform(F.concat(F.array(palm), tips), lambda p: _dist(p, r))
-    least, wide = F.array_min(points), radius * 1.8
-    facing = F.when(palm.isNotNull() & (F.size(tips) >= 2) & (least <= wide), F.greatest(F.lit(0.0), 1 - least / wide) * 0.05).otherwise(0.0)
+    closing = F.when(track.isNotNull() & (falls >= 2) & (now <= reach) & (first > 0), F.greatest(F.lit(0.0), (first - now) / first) * 0.15).otherwise(0.0)
+    least, wide = F.least(d, tip), radius * 1.8
+    facing = F.when(d.isNotNull() & (F.size("tips") >= 2) & (least <= wide), F.greatest(F.lit(0.0), 1 - least / wide) * 0.05).otherwise(0.0)
     score = F.least(F.lit(1.0), inside + near + closing + facing)
-    return each.select("clip_id", "frame_idx", "hand", r["name"].alias("region"), score.alias("confidence"))
+    return each.select("clip_id", "frame_idx", "hand", "region", score.alias("confidence"))
 
 
 def detect_frames(frames: DataFrame) -> DataFrame:

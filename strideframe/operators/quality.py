@@ -10,6 +10,11 @@ from strideframe.functions import arrays as A
 #: Widths and keypoint order of a valid archive.
 X_WIDTH, MASK_WIDTH, CNN_WIDTH = 156, 78, 2048
 ORDER = "pose25,left_hand21,right_hand21,face11"
+#: Types of a valid archive's arrays.
+X_TYPE, MASK_TYPE, TIME_TYPE = "float32", "bool", "int64"
+
+
+#: Issue texts below are fixed values: reports of other tools are compared with them.
 
 
 def _issues(*pairs: tuple[Column, Column | str]) -> Column:
@@ -33,11 +38,17 @@ def clip_facts(frames: DataFrame) -> DataFrame:
         (F.col("t_ms") < F.lag("t_ms").over(order)).alias("down"),
         F.size(cnn).alias("c"),
         F.exists(cnn, wild).alias("cnn_wild"),
+        (F.col("x").isNull() | F.col("mask").isNull() | F.col("t_ms").isNull()).alias("ragged"),
     )
     return rows.groupBy("clip_id").agg(
         F.count("*").alias("n"),
         F.bool_or(F.col("w") != X_WIDTH).alias("bad_x"),
         F.bool_or(F.col("m") != MASK_WIDTH).alias("bad_mask"),
+        F.count("w").alias("x_n"),
+        F.count("m").alias("mask_n"),
+        F.max(F.when(F.col("w") != X_WIDTH, F.col("w"))).alias("x_w"),
+        F.max(F.when(F.col("m") != MASK_WIDTH, F.col("m"))).alias("mask_w"),
+        F.bool_or("ragged").alias("ragged"),
         F.bool_or("wild").alias("wild"),
         F.bool_or("out").alias("out"),
         F.bool_or("seen").alias("seen"),
@@ -50,14 +61,26 @@ def clip_facts(frames: DataFrame) -> DataFrame:
 
 
 def validate_clips(clips: DataFrame, frames: DataFrame, require_cnn: bool = False) -> DataFrame:
-    """``clip_id`` and ``issues``, a list of texts that is empty for a good clip."""
-    df = clips.select("clip_id", "meta").join(clip_facts(frames), "clip_id", "left").withColumn("m", A.parse_meta(F.col("meta")))
+    """``clip_id`` and ``issues``, a list of texts that is empty for a good clip.
+
+    Arrays of unlike length show as frames that lack ``x``, ``mask`` or ``t_ms``. ``clips`` may name
+    the stored types in ``x_type``, ``mask_type`` and ``t_type``, as the archive reader does.
+    """
+    stored = {n: F.coalesce(F.col(n), F.lit(t)) if n in clips.columns else F.lit(t) for n, t in (("x_type", X_TYPE), ("mask_type", MASK_TYPE), ("t_type", TIME_TYPE))}
+    df = clips.select("clip_id", "meta", *[c.alias(n) for n, c in stored.items()]).join(clip_facts(frames), "clip_id", "left").withColumn("m", A.parse_meta(F.col("meta")))
     m = F.col("m")
+
+    def shape(of: str, width: int, kind: str) -> tuple[Column, Column]:
+        text = F.format_string(f"{of} bad shape/dtype: (%d, %d) %s", F.col(f"{of.lower()}_n"), F.coalesce(F.col(f"{of.lower()}_w"), F.lit(width)), F.col(f"{of.lower()}_type"))
+        return F.col("n").isNotNull() & (F.col(f"bad_{of.lower()}") | (F.col(f"{of.lower()}_type") != kind)), text
+
     issues = _issues(
         (m.isNull(), "meta is not valid JSON"),
         (F.col("n").isNull(), "empty sequence (T == 0)"),
-        (F.col("bad_x"), "X bad shape/dtype"),
-        (F.col("bad_mask"), "mask bad shape/dtype"),
+        shape("X", X_WIDTH, X_TYPE),
+        shape("mask", MASK_WIDTH, MASK_TYPE),
+        (F.col("n").isNotNull() & (F.col("t_type") != TIME_TYPE), F.format_string("timestamps_ms bad shape/dtype: (%d,) %s", F.col("n"), F.col("t_type"))),
+        (F.col("ragged"), "T mismatch among X/mask/timestamps_ms"),
         (F.col("wild"), "X has non-finite values"),
         (F.col("out"), "X outside [0,1]"),
         (F.col("down"), "timestamps_ms not monotonic nondecreasing"),

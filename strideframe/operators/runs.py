@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,32 @@ def batch_summary(clips: DataFrame, preds: DataFrame) -> DataFrame:
     rows = clips.join(preds.select("clip_id").distinct().withColumn("has", F.lit(True)), "clip_id", "left")
     count = lambda c: F.count(F.when(c, 1))
     return rows.agg(F.count("*").alias("files"), count(F.col("has")).alias("predicted"), count(F.col("from_video")).alias("from_video"), count(F.col("transformer")).alias("transformer"), count(F.col("iv3_gru")).alias("iv3_gru"), count(F.col("occlusion_flag") == 1).alias("occluded"))
+
+
+def batch_files(clips: DataFrame, preds: DataFrame, ref: DataFrame) -> DataFrame:
+    """One row for each file of a batch: source, frames, compatible models, best labels with their probability, occlusion, status.
+
+    ``clips`` has ``clip_id``, ``n_frames``, ``from_video``, ``transformer``, ``iv3_gru``, ``occlusion_text``.
+    """
+    yes = lambda c: F.when(F.col(c), "Yes").otherwise("No")
+    gloss = ref.groupBy("gloss_id").agg(F.max("label").alias("_gloss"))
+    cats = ref.groupBy("cat_id").agg(F.max("category").alias("_cat"))
+    best = preds.groupBy("clip_id").agg(F.max_by(F.struct("gloss_pred", "cat_pred", "gloss_prob", "cat_prob"), "gloss_prob").alias("p")).select("clip_id", "p.*")
+    rows = clips.join(best, "clip_id", "left").join(gloss, F.col("gloss_pred") == F.col("gloss_id"), "left").join(cats, F.col("cat_pred") == F.col("cat_id"), "left")
+
+    def top(name: str, pred: str, prob: str) -> Column:
+        label = F.coalesce(F.col(name), F.format_string("Unknown (%d)", F.col(pred)))
+        return F.when(F.col(pred).isNull(), "Prediction Failed").otherwise(F.format_string("%s (%.1f%%)", label, F.round(F.col(prob) * 100, 1)))
+
+    return rows.select(
+        F.col("clip_id").alias("file"),
+        F.lit("NPZ").alias("type"),
+        F.when(F.col("from_video"), "Video").otherwise("Original").alias("source"),
+        F.col("n_frames").alias("frames"),
+        yes("transformer").alias("transformer"),
+        yes("iv3_gru").alias("iv3_gru"),
+        top("_gloss", "gloss_pred", "gloss_prob").alias("top_gloss"),
+        top("_cat", "cat_pred", "cat_prob").alias("top_category"),
+        F.col("occlusion_text").alias("occluded"),
+        F.when(F.col("gloss_pred").isNull(), "failed").otherwise("completed").alias("status"),
+    )

@@ -11,6 +11,8 @@ from strideframe.functions import arrays as A
 BONES = ((5, 7), (7, 9), (6, 8), (8, 10), (11, 13), (13, 15), (12, 14), (14, 16), (5, 6), (5, 11), (6, 12), (11, 12))
 LOW_VISIBLE = 10
 SPIKE_SIGMA = 3.0
+#: A step is a spike only if it is longer than its limit by more than rounding.
+SPIKE_SLACK = 1e-9
 BONE_Z = 3.5
 
 
@@ -75,7 +77,7 @@ def velocity(keypoints: DataFrame, sigma: float = SPIKE_SIGMA) -> DataFrame:
     # A clip's steps spread over its frames: a frame's list is bounded by its keypoints.
     frames = steps.groupBy("clip_id", "frame_idx").agg(F.max("v").alias("top"))
     spread = frames.groupBy("clip_id").agg((F.percentile("top", 0.5) + sigma * F.stddev_pop("top")).alias("limit"))
-    spikes = frames.join(spread, "clip_id").groupBy("clip_id").agg(F.count(F.when(F.col("top") > F.col("limit"), 1)).alias("vel_spike_frames"))
+    spikes = frames.join(spread, "clip_id").groupBy("clip_id").agg(F.count(F.when(F.col("top") > F.col("limit") + SPIKE_SLACK, 1)).alias("vel_spike_frames"))
     whole = steps.groupBy("clip_id").agg(F.coalesce(F.percentile("v", 0.95), F.lit(0.0)).alias("vel_p95"), F.coalesce(F.max("v"), F.lit(0.0)).alias("vel_max"))
     return whole.join(spikes, "clip_id")
 
@@ -187,18 +189,24 @@ def augment(frames: DataFrame, noise_std: float = 0.01, p_noise: float = 0.3, p_
     return df.withColumn("x", F.when(blank, F.transform("x", lambda v: v * 0)).otherwise(F.transform("x", noise))).drop("_t")
 
 
-def frame_summary(frames: DataFrame) -> DataFrame:
-    """For each frame: visible points, centre over all points, points that are not at the origin."""
+def frame_summary(frames: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """For each frame: visible points, centre over all points, points that are not at the origin.
+
+    With ``marks`` (``clip_id``, ``frame_idx``, ``occluded``) also ``occluded``, false where a frame has no mark.
+    """
     xs, ys = F.filter("x", lambda v, i: i % 2 == 0), F.filter("x", lambda v, i: i % 2 == 1)
     seen = F.aggregate("mask", F.lit(0), lambda a, v: a + v.cast("int"))
     shown = F.size(F.filter(F.arrays_zip(xs.alias("a"), ys.alias("b")), lambda p: ~((p["a"] == 0) & (p["b"] == 0))))
     n = F.size("mask")
-    return frames.select("clip_id", "frame_idx", seen.alias("visible_points"), n.alias("points"), (A.total(A.double(xs)) / n).alias("center_x"), (A.total(A.double(ys)) / n).alias("center_y"), shown.alias("drawn_points"))
+    out = frames.select("clip_id", "frame_idx", seen.alias("visible_points"), n.alias("points"), (A.total(A.double(xs)) / n).alias("center_x"), (A.total(A.double(ys)) / n).alias("center_y"), shown.alias("drawn_points"))
+    if marks is None:
+        return out
+    return out.join(marks.select("clip_id", "frame_idx", "occluded"), ["clip_id", "frame_idx"], "left").fillna(False, ["occluded"])
 
 
 #: Skeleton edges as keypoint pairs within each group.
 POSE_EDGES = ((11, 12), (11, 13), (12, 14), (13, 15), (14, 16), (15, 17), (15, 19), (15, 21), (17, 19), (16, 18), (16, 20), (16, 22), (18, 20), (11, 23), (12, 24), (23, 24))
-HAND_EDGES = tuple((0 if i % 4 == 1 else i - 1, i) for i in range(1, 21))
+HAND_EDGES = ((0, 1), (1, 2), (2, 3), (3, 4), (0, 5), (5, 6), (6, 7), (7, 8), (0, 9), (9, 10), (10, 11), (11, 12), (0, 13), (13, 14), (14, 15), (15, 16), (0, 17), (17, 18), (18, 19), (19, 20))
 FACE_EDGES = ((0, 10), (1, 3), (2, 4), (1, 7), (2, 8), (5, 6), (0, 5), (0, 6), (9, 5), (9, 6))
 
 

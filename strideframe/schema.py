@@ -20,26 +20,6 @@ class KeypointLayout:
 
 LAYOUT = KeypointLayout()
 
-CLIPS = T.StructType(
-    [
-        T.StructField("clip_id", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("meta", T.StringType()),
-        T.StructField("n_frames", T.IntegerType()),
-        T.StructField("has_x2048", T.BooleanType()),
-        T.StructField("bytes", T.LongType()),
-    ]
-)
-FRAMES = T.StructType(
-    [
-        T.StructField("clip_id", T.StringType()),
-        T.StructField("frame_idx", T.IntegerType()),
-        T.StructField("t_ms", T.LongType()),
-        T.StructField("x", T.ArrayType(T.FloatType())),
-        T.StructField("mask", T.ArrayType(T.BooleanType())),
-        T.StructField("x2048", T.ArrayType(T.FloatType())),
-    ]
-)
 #: ``dims_per_frame`` and ``keypoints_total`` are text because archives hold 156 as well as "156".
 META = T.StructType(
     [
@@ -55,8 +35,4 @@ META = T.StructType(
         T.StructField("occluded_flag", T.IntegerType()),
     ]
 )
-LABELS = T.StructType([T.StructField("file", T.StringType()), T.StructField("gloss", T.IntegerType()), T.StructField("cat", T.IntegerType()), T.StructField("occluded", T.IntegerType())])
 LABEL_REF = T.StructType([T.StructField("gloss_id", T.StringType()), T.StructField("label", T.StringType()), T.StructField("cat_id", T.StringType()), T.StructField("category", T.StringType())])
-EPOCHS = T.StructType(
-    [T.StructField("epoch", T.IntegerType())] + [T.StructField(n, T.DoubleType()) for n in ("train_loss", "val_loss", "val_gloss_acc", "val_cat_acc", "lr", "epoch_time")]
-)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import io
 import json
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.schema import LAYOUT
 
 VIDEO = (".mp4", ".mov", ".avi", ".mkv")
-_DECODED = "path string, issue string, n_frames int, x_width int, mask_width int, x2048_width int, bytes long, meta string, t_ms array<long>, x array<array<float>>, mask array<array<boolean>>, x2048 array<array<float>>"
+_DECODED = "path string, issue string, n_frames int, x_width int, mask_width int, x2048_width int, bytes long, meta string, x_type string, mask_type string, t_type string, t_ms array<long>, x array<array<float>>, mask array<array<boolean>>, x2048 array<array<float>>"
 
 
 def list_media(spark: SparkSession, root: str, exts: tuple[str, ...] = VIDEO) -> DataFrame:
@@ -29,7 +31,7 @@ def read_npz_clips(spark: SparkSession, path: str, with_cnn: bool = True) -> tup
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(name: str, content: bytes) -> dict:
-            out = dict.fromkeys(("issue", "x", "mask", "x2048", "t_ms", "meta"))
+            out = dict.fromkeys(("issue", "x", "mask", "x2048", "t_ms", "meta", "x_type", "mask_type", "t_type"))
             out |= {"path": name, "bytes": len(content), "n_frames": 0, "x_width": 0, "mask_width": 0, "x2048_width": 0}
             try:
                 with np.load(io.BytesIO(content), allow_pickle=False) as z:
@@ -37,13 +39,14 @@ def read_npz_clips(spark: SparkSession, path: str, with_cnn: bool = True) -> tup
                     if missing:
                         return out | {"issue": f"missing key: {missing[0]}"}
                     x, mask = z["X"], z["mask"]
+                    out |= {"x_type": str(x.dtype), "mask_type": str(mask.dtype), "t_type": str(z["timestamps_ms"].dtype)}
                     out |= {"x": list(x.astype(np.float32)), "mask": list(mask.astype(bool)), "t_ms": z["timestamps_ms"].astype(np.int64), "meta": str(z["meta"][()]), "n_frames": len(x), "x_width": x.shape[1], "mask_width": mask.shape[1]}
                     if "X2048" in z.files:
                         out["x2048_width"] = z["X2048"].shape[1]
                         if with_cnn:
                             out["x2048"] = list(z["X2048"].astype(np.float32))
-            except (OSError, ValueError, EOFError, IndexError, KeyError) as e:
-                return out | {"issue": f"npz load error: {e}"}
+            except (OSError, ValueError, EOFError, IndexError, KeyError, NotImplementedError, zipfile.BadZipFile, zlib.error) as e:
+                return out | {"issue": f"npz load error: {e}", "x": None, "mask": None, "t_ms": None, "n_frames": 0}
             return out
 
         for part in parts:
@@ -53,7 +56,7 @@ def read_npz_clips(spark: SparkSession, path: str, with_cnn: bool = True) -> tup
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
     decoded = files.select("path", "content").mapInPandas(decode, _DECODED)
     clip = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.npz$", "")
-    clips = decoded.select(clip.alias("clip_id"), "path", "meta", "n_frames", (F.col("x2048_width") > 0).alias("has_x2048"), "bytes", "x_width", "mask_width", "x2048_width", "issue")
+    clips = decoded.select(clip.alias("clip_id"), "path", "meta", "n_frames", (F.col("x2048_width") > 0).alias("has_x2048"), "bytes", "x_width", "mask_width", "x2048_width", "x_type", "mask_type", "t_type", "issue")
     zipped = F.arrays_zip("t_ms", "x", "mask", F.coalesce("x2048", F.array().cast("array<array<float>>")).alias("x2048"))
     frames = decoded.filter("issue IS NULL").select(clip.alias("clip_id"), F.posexplode(zipped).alias("frame_idx", "f"))
     return clips, frames.select("clip_id", "frame_idx", "f.t_ms", "f.x", "f.mask", "f.x2048")
@@ -65,6 +68,23 @@ def write_npz(path: str, x: np.ndarray, mask: np.ndarray, t_ms: np.ndarray, meta
     np.savez(path, X=x.astype(np.float32), mask=mask.astype(bool), timestamps_ms=t_ms.astype(np.int64), meta=np.array(json.dumps(meta)), **more)
 
 
+def write_npz_clips(frames: DataFrame, meta: DataFrame, folder: str) -> DataFrame:
+    """One archive for each clip in a folder that all executors reach by the same path: ``clip_id``, ``path``, ``n_frames``.
+
+    A clip's frames meet in one task, as they do in its file. ``meta`` has ``clip_id`` and JSON text.
+    """
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("frame_idx")
+        name = str(part["clip_id"].iloc[0])
+        path = f"{folder}/{name}.npz"
+        x2048 = np.stack(part["x2048"].to_list()) if "x2048" in part and part["x2048"].notna().all() else None
+        write_npz(path, np.stack(part["x"].to_list()), np.stack(part["mask"].to_list()), part["t_ms"].to_numpy(), json.loads(part["meta"].iloc[0] or "{}"), x2048)
+        return pd.DataFrame({"clip_id": [name], "path": [path], "n_frames": [len(part)]})
+
+    return frames.join(meta.select("clip_id", "meta"), "clip_id", "left").groupBy("clip_id").applyInPandas(write, "clip_id string, path string, n_frames int")
+
+
 def wide_frames(frames: DataFrame) -> DataFrame:
     """Columns "0" to "155", ``t_ms`` and ``mask_bits``; ``clip_id`` and ``frame_idx`` stay."""
     bits = F.array_join(F.transform("mask", lambda m: F.when(m, "1").otherwise("0")), "")
@@ -90,11 +110,24 @@ def read_frame_parquet(spark: SparkSession, path: str) -> DataFrame:
     return narrow_frames(spark.read.parquet(path))
 
 
-def file_inventory(files: DataFrame) -> DataFrame:
-    """Files, bytes and a size text by type: npz, video (.mp4 and .mov only), unknown."""
+def _size_text(b: Column) -> Column:
+    text = F.when(b < 1024, F.format_string("%d B", b)).when(b < 1024**2, F.format_string("%.1f KB", F.round(b / 1024, 1)))
+    return text.when(b < 1024**3, F.format_string("%.1f MB", F.round(b / 1024**2, 1))).otherwise(F.format_string("%.1f GB", F.round(b / 1024**3, 1)))
+
+
+def file_inventory(files: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Files, bytes and a size text by type: npz, video (.mp4 and .mov only), unknown.
+
+    With ``labels`` (``file``, ``occluded``) also ``labelled``, the files whose base name has a
+    label, and ``occluded``, those of them that are.
+    """
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     kind = F.when(ext == ".npz", "npz").when(ext.isin(".mp4", ".mov"), "video").otherwise("unknown")
-    sums = files.groupBy(kind.alias("type")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
-    b = F.col("bytes")
-    text = F.when(b < 1024, F.format_string("%d B", b)).when(b < 1024**2, F.format_string("%.1f KB", b / 1024)).when(b < 1024**3, F.format_string("%.1f MB", b / 1024**2)).otherwise(F.format_string("%.1f GB", b / 1024**3))
-    return sums.withColumn("size", text)
+    more = []
+    if labels is not None:
+        base = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]+$", "")
+        known = labels.groupBy(base("file").alias("_base")).agg(F.max("occluded").alias("_occluded"))
+        files = files.withColumn("_base", base("path")).join(known.withColumn("_known", F.lit(1)), "_base", "left")
+        more = [F.count("_known").alias("labelled"), F.count(F.when(F.col("_occluded") == 1, 1)).alias("occluded")]
+    sums = files.groupBy(kind.alias("type")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), *more)
+    return sums.withColumn("size", _size_text(F.col("bytes")))

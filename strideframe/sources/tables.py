@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,19 @@ def read_labels(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     return raw.select(file.alias("file"), *[F.col(c).try_cast("int").alias(c) for c in ("gloss", "cat", "occluded")], *more)
 
 
-def append_labels(df: DataFrame, path: str, with_occluded: bool = True, overwrite: bool = False) -> None:
-    columns = ["file", "gloss", "cat", *(["occluded"] if with_occluded else [])]
+def append_labels(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Append rows; ``occluded`` is written only if the table that is there has it. A new or overwritten table has it."""
+    spark, columns = df.sparkSession, ["file", "gloss", "cat", "occluded"]
+    if not overwrite:
+        try:
+            there = spark.read.option("header", "true").csv(path).columns
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            there = []
+        columns = [c for c in columns if c != "occluded" or not there or "occluded" in there]
+    if "occluded" in columns and "occluded" not in df.columns:
+        df = df.withColumn("occluded", F.lit(0))
     df.select(*columns).write.mode("overwrite" if overwrite else "append").option("header", "true").csv(path)
 
 
@@ -48,37 +60,39 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
         df.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
 
 
+#: Number and text columns of training tables; a header names some of them.
+EPOCH_NUMBERS = ("train_loss", "val_loss", "val_gloss_acc", "val_cat_acc", "lr", "epoch_time", "gpu_memory_allocated", "gpu_memory_reserved", "alpha", "beta")
+EPOCH_TEXTS = ("curriculum_phase", "loss_weighting_strategy")
+
+
 def parse_epoch_lines(lines: DataFrame) -> DataFrame:
-    """Epoch rows from the lines (``run``, ``value``) of training tables: comments and blanks dropped, columns by each run's header."""
+    """Epoch rows from the lines (``run``, ``value``) of training tables: comments and blanks dropped, columns by each run's header (null where it has none)."""
     clean = lines.filter("trim(value) <> '' AND NOT ltrim(replace(value, '\"', '')) LIKE '#%'")
-    header = clean.filter(F.col("value").startswith("epoch,")).groupBy("run").agg(F.split(F.first("value"), ",").alias("names"))
-    rows = clean.filter(~F.col("value").startswith("epoch,")).join(F.broadcast(header), "run").withColumn("cells", F.split("value", ","))
-    cell = lambda n: F.try_element_at("cells", F.array_position("names", n).cast("int"))
-    number = lambda n: F.when(F.array_contains("names", n), cell(n)).try_cast("double").alias(n)
-    return rows.select("run", cell("epoch").try_cast("int").alias("epoch"), *map(number, ("train_loss", "val_loss", "val_gloss_acc", "val_cat_acc", "lr", "epoch_time")))
+    header = clean.filter(F.col("value").startswith("epoch,")).groupBy("run").agg(F.split(F.min("value"), ",").alias("names"))
+    rows = clean.filter(~F.col("value").startswith("epoch,")).join(header, "run").withColumn("cells", F.split("value", ","))
+    cell = lambda n: F.when(F.array_contains("names", n), F.try_element_at("cells", F.array_position("names", n).cast("int")))
+    return rows.select("run", cell("epoch").try_cast("int").alias("epoch"), *[cell(n).try_cast("double").alias(n) for n in EPOCH_NUMBERS], *[F.trim(cell(n)).alias(n) for n in EPOCH_TEXTS])
 
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return parse_epoch_lines(spark.read.text(path).select(F.input_file_name().alias("run"), "value"))
 
 
-#: The shape of an epoch line in a console log.
+#: The shapes of an epoch line and of the weights line that may follow it in a console log.
 EPOCH_LINE = r"Epoch\s+(\d+)/(\d+) \| Train Loss: ([\d.]+) \| Val Loss: ([\d.]+) \| Val Gloss Acc: ([\d.]+) \| Val Cat Acc: ([\d.]+) \| Time: ([\d.]+)s"
+WEIGHTS_LINE = r"^\s*(?:Curriculum|Loss Weighting): (.*) \| Weights: α=([\d.]+), β=([\d.]+)"
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
-    """Epoch rows from console log lines (``run``, ``value``)."""
+    """Epoch rows from console log lines (``run``, ``line``, ``value``), with ``weighting``, ``alpha``, ``beta`` of the next line if it tells them."""
     part = lambda i, n, t: F.regexp_extract("value", EPOCH_LINE, i).cast(t).alias(n)
-    hits = lines.filter(F.col("value").rlike(EPOCH_LINE))
+    after = F.lead("value").over(Window.partitionBy("run").orderBy("line"))
+    hits = lines.filter(F.col("value").rlike(EPOCH_LINE) | F.col("value").rlike(WEIGHTS_LINE)).withColumn("after", after).filter(F.col("value").rlike(EPOCH_LINE))
     names = ("train_loss", "val_loss", "val_gloss_acc", "val_cat_acc", "epoch_time")
-    return hits.select("run", part(1, "epoch", "int"), part(2, "epochs", "int"), *[part(i + 3, n, "double") for i, n in enumerate(names)])
+    told = lambda i, n, t: F.nullif(F.regexp_extract("after", WEIGHTS_LINE, i), F.lit("")).cast(t).alias(n)
+    return hits.select("run", part(1, "epoch", "int"), part(2, "epochs", "int"), *[part(i + 3, n, "double") for i, n in enumerate(names)], told(1, "weighting", "string"), told(2, "alpha", "double"), told(3, "beta", "double"))
 
 
 def parse_training_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_log_lines(spark.read.text(path).select(F.input_file_name().alias("run"), "value"))
-
-
-def last_row_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key, the last by ``order``."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_p", place).filter("_p = 1").drop("_p")
+    lines = spark.read.text(path).select(F.input_file_name().alias("run"), "value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("line"))
+    return parse_log_lines(lines)

@@ -50,3 +50,12 @@ def test_query_without_sql(spark, name):
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_no_query_compares_empty_results(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    empty = [name for name, sql in catalog.oracle_sql().items() if not con.sql(f"SELECT count(*) FROM ({sql})").fetchone()[0]]
+    assert empty == []

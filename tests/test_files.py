@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strideframe.operators import evaluation as E
 from strideframe.operators import labels as L
@@ -15,11 +16,16 @@ def test_archives_and_dumps(spark, tmp_path):
         C.write_npz(f"{tmp_path}/clip_{i}.npz", rng.random((4, 156)), rng.random((4, 78)) > 0.2, np.arange(4) * 33, {"model_type": "B"}, rng.random((4, 2048)) if i else None)
     (tmp_path / "broken.npz").write_bytes(b"no archive")
     np.savez(f"{tmp_path}/part.npz", X=np.zeros((1, 156)))
+    whole = (tmp_path / "clip_0.npz").read_bytes()
+    (tmp_path / "cut.npz").write_bytes(b"PK\x03\x04" + bytes(40))
+    (tmp_path / "torn.npz").write_bytes(whole[: len(whole) // 2])
     (tmp_path / "film.MOV").write_bytes(b"x")
     clips, frames = C.read_npz_clips(spark, str(tmp_path))
     rows = {r.clip_id: r for r in clips.collect()}
     assert rows["clip_1"].has_x2048 and not rows["clip_0"].has_x2048 and rows["clip_0"].issue is None
     assert "load error" in rows["broken"].issue and rows["part"].issue == "missing key: mask"
+    assert "load error" in rows["cut"].issue and "load error" in rows["torn"].issue
+    assert (rows["clip_1"].x_type, rows["clip_1"].mask_type, rows["clip_1"].t_type) == ("float32", "bool", "int64")
     assert frames.count() == 12
     assert [r.path.rsplit("/", 1)[1] for r in C.list_media(spark, str(tmp_path)).collect()] == ["film.MOV"]
     C.write_frame_parquet(frames, f"{tmp_path}/dump")
@@ -42,6 +48,11 @@ def test_labels_and_reference(spark, tmp_path):
     T.append_labels(df, f"{tmp_path}/out", overwrite=True)
     T.append_labels(df, f"{tmp_path}/out")
     assert T.read_labels(spark, f"{tmp_path}/out").count() == 4
+    # A table without the column stays without it.
+    df.drop("occluded").write.option("header", "true").csv(f"{tmp_path}/plain")
+    T.append_labels(df.withColumn("occluded", F.lit(1)), f"{tmp_path}/plain")
+    assert "occluded" not in spark.read.option("header", "true").csv(f"{tmp_path}/plain").columns
+    assert [r.occluded for r in T.read_labels(spark, f"{tmp_path}/plain").collect()] == [0] * 4
 
 
 def test_logs_and_reports(spark, tmp_path):
@@ -49,6 +60,9 @@ def test_logs_and_reports(spark, tmp_path):
     rows = sorted(T.read_training_csv(spark, f"{tmp_path}/t.csv").collect(), key=lambda r: r.epoch)
     assert [(r.epoch, r.train_loss, r.val_gloss_acc, r.epoch_time) for r in rows] == [(1, 2.5, 0.1, 3.0), (2, 2.0, 0.3, 3.0)]
     (tmp_path / "log.txt").write_text("Start\nEpoch  1/30 | Train Loss: 3.4921 | Val Loss: 3.4831 | Val Gloss Acc: 0.007 | Val Cat Acc: 0.115 | Time: 25.8s\nweights\n")
+    (tmp_path / "more.txt").write_text("Epoch  1/30 | Train Loss: 3.4 | Val Loss: 3.4 | Val Gloss Acc: 0.007 | Val Cat Acc: 0.115 | Time: 25.8s\n  Curriculum: Phase 1 | Weights: α=0.300, β=0.700\nEpoch  2/30 | Train Loss: 3.0 | Val Loss: 3.4 | Val Gloss Acc: 0.007 | Val Cat Acc: 0.115 | Time: 25.8s\nEpoch  3/30 | Train Loss: 2.0 | Val Loss: 3.4 | Val Gloss Acc: 0.007 | Val Cat Acc: 0.115 | Time: 25.8s\n  Loss Weighting: uncertainty | Weights: α=0.1, β=0.9\n", encoding="utf-8")
+    more = sorted((r.epoch, r.weighting, r.alpha, r.beta) for r in T.parse_training_log(spark, f"{tmp_path}/more.txt").collect())
+    assert more == [(1, "Phase 1", 0.3, 0.7), (2, None, None, None), (3, "uncertainty", 0.1, 0.9)]
     (row,) = T.parse_training_log(spark, f"{tmp_path}/log.txt").collect()
     assert (row.epoch, row.epochs, row.train_loss, row.epoch_time) == (1, 30, 3.4921, 25.8)
     df = spark.createDataFrame([(1, [1, 2])], "a int, b array<int>")
@@ -76,3 +90,16 @@ def test_single_class_and_empty_segments(spark):
     assert {r.segment for r in E.segment_metrics(preds).collect()} == {"overall", "non_occluded"}
     assert E.segment_differences(E.segment_metrics(preds)).first().gloss_accuracy is None
     assert E.overall_metrics(preds.limit(0)).first().n == 0
+
+
+def test_no_match_and_bad_splits_are_errors(spark):
+    labels = spark.createDataFrame([("a", 0, 0), ("b", 0, 0), ("c", 1, 0)], "file string, gloss int, cat int")
+    with pytest.raises(ValueError, match="no label has a clip"):
+        L.match_files(labels, spark.createDataFrame([("x/z.npz",)], "file string"))
+    assert L.match_files(labels, spark.createDataFrame([("x/b.npz",)], "file string")).count() == 1
+    assert tuple(L.match_counts(labels, spark.createDataFrame([("x/b.npz",), ("b",)], "file string")).first()) == (3, 1, 2)
+    with pytest.raises(ValueError, match="single row"):
+        L.stratified_split(labels)
+    with pytest.raises(ValueError, match="too few"):
+        L.stratified_split(labels.union(labels), ratio=0.9)
+    assert L.stratified_split(labels.limit(0)).count() == 0

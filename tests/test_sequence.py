@@ -105,7 +105,11 @@ def test_bad_values(spark):
     assert issues["a"] == set() and issues["e"] == {"empty sequence (T == 0)"}
     assert issues["b"] == {"X has non-finite values", "timestamps_ms contains negative values", "mask has no visible keypoints across all frames"}
     assert issues["c"] == {"X has non-finite values", "X outside [0,1]", "timestamps_ms not monotonic nondecreasing"}
-    assert issues["d"] == {"X bad shape/dtype", "mask bad shape/dtype"}
+    assert issues["d"] == {"X bad shape/dtype: (1, 155) float32", "mask bad shape/dtype: (1, 77) bool"}
+    ragged = spark.createDataFrame([("r", 0, 0, good, [True] * 78), ("r", 1, None, good, None)], df.schema)
+    typed = spark.createDataFrame([("r", None, "float64", "int32")], "clip_id string, meta string, x_type string, t_type string")
+    (row,) = Q.validate_clips(typed, ragged).collect()
+    assert set(row.issues) == {"meta is not valid JSON", "X bad shape/dtype: (2, 156) float64", "timestamps_ms bad shape/dtype: (2,) int32", "T mismatch among X/mask/timestamps_ms"}
 
 
 def test_gap_fill_shuffles_once(spark):
@@ -122,3 +126,31 @@ def test_prepare_keeps_shape(spark):
     frames = S.from_keypoints(fixture(spark, "/root/testdata/sf0.001", "fx_holistic"))
     out = analyses.prepare(frames, 15)
     assert out.filter("size(x) <> 156 OR size(mask) <> 78").count() == 0 and 0 < out.count() < frames.count()
+
+
+def test_each_face_and_hand_is_computed_once(spark):
+    frames = spark.createDataFrame([(1, 0, 0, *one_frame())], "clip_id long, frame_idx int, t_ms long, x array<double>, mask array<boolean>")
+    for df in (O.head_regions(O.valid_face(frames)), O.hand_points(O.head_regions(O.valid_face(frames))), O.region_confidence(O.approach(O.hand_points(O.head_regions(O.valid_face(frames)))))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # Eleven face points, two times ten hand points, and three counts of visible ones look at the mask.
+        assert plan.count("mask#") < 60, plan.count("mask#")
+
+
+def test_spikes(spark):
+    rows = [(1, 0, i, (0.5 if i == 20 else 0.01 * i), 0.0) for i in range(40)] + [(2, 0, i, 0.01 * i, 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "clip_id long, kp int, frame_idx int, x double, y double")
+    got = {r.clip_id: r for r in S.velocity(df).collect()}
+    assert got[1].vel_spike_frames == 2 and got[2].vel_spike_frames == 0 and got[1].vel_max == pytest.approx(0.31)
+
+
+def test_bone_outliers(spark):
+    def frame(stretch):
+        x = [0.0] * 156
+        for kp in range(78):
+            x[2 * kp], x[2 * kp + 1] = 0.01 * kp, 0.3
+        x[14] += stretch
+        return x
+
+    rows = [(1, i, 0, frame(0.3 if i == 7 else 0.001 * (i % 2)), [True] * 78) for i in range(30)]
+    (row,) = S.bone_stability(spark.createDataFrame(rows, "clip_id long, frame_idx int, t_ms long, x array<double>, mask array<boolean>")).collect()
+    assert row.bone_outlier_frames == 1 and row.bone_len_cv_pct > 0
