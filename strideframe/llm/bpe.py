@@ -1,9 +1,12 @@
-"""Byte-level BPE by merge replay over an inverted index from token pairs to word positions.
-
-The distinct words of a batch of documents are laid out as one array of tokens with links to the
-left and right neighbour. An index maps the rank of every mergeable pair to the places where it
-stands. Ranks are taken in order from a heap; a merge is applied at all its places, and only the
-two touched neighbours get new index entries. Words keep their ids for later batches, as bytes.
+"""Byte-level BPE of a corpus by merge replay over an inverted index from token pairs to word positions.
+
+One pass cuts the texts into words (matches of the pattern) and writes each text as numbers of the
+words of its batch of texts, and each batch's words once. Spark makes the words of all batches
+distinct, so that every word of the corpus is encoded once. A task lays out its part of these words
+as arrays of tokens with links to the left and right neighbour. An index maps the rank of every
+mergeable pair to the places where it stands, in whatever words. Ranks are taken in order from a
+heap; a merge is applied at all its places, and only the two touched neighbours get new index
+entries. The ids then go back to the batches that have the word, and a batch's texts become ids.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strideframe.llm._common import text_rows
+from strideframe.llm._common import stage, text_rows
 
-#: Characters of text that a worker encodes at a time, and words (matches of the pattern) that it remembers.
+#: Characters of text of a batch, and bytes of words that are laid out at a time (a longer word alone).
 BATCH_CHARS = 2_000_000
-CACHE_WORDS = 600_000
-CACHE_CHARS = 48
+REPLAY_BYTES = 1 << 19
+#: Batches that a task turns into ids, about.
+BATCHES_A_TASK = 8
 
 OUTPUTS = {"ids": "array<int>", "decoded": "binary", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 _ARROW = {"ids": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -41,7 +47,6 @@ class MergeReplay:
         self.find = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs: dict[int, int] = {}  # pair of ids -> rank of the merge, -1 for none
-        self.known: dict[str, bytes] = {}  # word -> its ids, 32 bits each
         most = max(self.words) + 1
         self.bytes_of, self.shown = np.empty(most, object), np.empty(most, object)
         for i, b in self.words.items():
@@ -130,19 +135,36 @@ class MergeReplay:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        known, split = self.known, [self.find(x) for x in texts]
-        every = set().union(*split)
-        new = list(every - known.keys())
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(every)
-        for word, ids in zip(new, self.replay([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            known[word] = ids.tobytes()
+        split = [self.find(x) for x in texts]
+        every = list(set().union(*split))
+        known = dict(zip(every, self.replay([w.encode("utf-8", "surrogatepass") for w in every]), strict=True))
         for words in split:
-            yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                known.pop(word, None)
+            yield np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.uint32)
+
+
+def _replayed(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``word``, ``ids`` (32 bits each) of distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = MergeReplay.load(ranks_path, pattern)
+        held: list[str] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            ids = [x.tobytes() for x in coder.replay([w.encode("utf-8", "surrogatepass") for w in held])]
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(ids, pa.binary())], ["word", "ids"])
+
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                if held and size + len(word) > REPLAY_BYTES:
+                    yield done()
+                    held, size = [], 0
+                held.append(word)
+                size += len(word)
+        if held:
+            yield done()
+
+    return words.mapInArrow(run, "word string, ids binary")
 
 
 def encode_documents(
@@ -173,8 +195,14 @@ def encode_documents(
         whole = coder.decode(ids)
         return whole if name == "decoded" else hashlib.sha256(whole).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MergeReplay.load(ranks_path, pattern)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, number = MergeReplay.load(ranks_path, pattern).find, TaskContext.get().partitionId() << 32
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string()]
+
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            names = ["id", "batch", "width", "codes", "code", "word"]
+            return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t) for c, t in zip(names, types, strict=True)], names)
+
         for batch in batches:
             texts, at = [x or "" for x in batch.column(1).to_pylist()], 0
             while at < len(texts):
@@ -182,11 +210,35 @@ def encode_documents(
                 while to < len(texts) and chars + len(texts[to]) <= BATCH_CHARS:
                     chars += len(texts[to])
                     to += 1
-                rows = [[made(coder, name, ids) for name in outputs] for ids in coder.encode(texts[at:to])]
-                cols = [batch.column(0).slice(at, to - at), *[pa.array([r[i] for r in rows], _ARROW[name]) for i, name in enumerate(outputs)]]
-                yield pa.RecordBatch.from_arrays(cols, ["id", *outputs])
-                at = to
-
-    rows = text_rows(docs, text_col, id=id_col)
+                split = [find(x) for x in texts[at:to]]
+                words = list(set().union(*split))
+                code = {w: i for i, w in enumerate(words)}
+                width = 2 if len(words) <= 1 << 16 else 4
+                codes = [np.fromiter(map(code.__getitem__, x), f"<u{width}", len(x)).tobytes() for x in split]
+                n = to - at
+                yield rows(n, id=batch.column(0).slice(at, n), batch=[number] * n, width=[width] * n, codes=codes)
+                n = len(words)
+                yield rows(n, batch=[number] * n, code=list(range(n)), word=words)
+                number, at = number + 1, to
+
+    def filled(texts: pa.Table, words: pa.Table) -> pa.Table:
+        coder = MergeReplay.load(ranks_path, pattern)
+        ids_of = dict(zip(words.column("code").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        made_rows = []
+        for width, codes in zip(texts.column("width").to_pylist(), texts.column("codes").to_pylist(), strict=True):
+            found = b"".join(map(ids_of.__getitem__, np.frombuffer(codes, f"<u{width}").tolist()))
+            made_rows.append([made(coder, name, np.frombuffer(found, np.uint32)) for name in outputs])
+        columns = [pa.array([r[i] for r in made_rows], _ARROW[name]) for i, name in enumerate(outputs)]
+        return pa.Table.from_arrays([texts.column("id"), *columns], ["id", *outputs])
+
+    both = stage(text_rows(docs, text_col, id=id_col).mapInArrow(cut, "id long, batch long, width int, codes binary, code int, word string"), "words")
+    words = both.filter("code IS NOT NULL").select("batch", "code", "word")
+    known = stage(_replayed(words.select("word").distinct(), ranks_path, pattern), "ids")
+    # A word is in a batch once, so no word is more than a tiny part of these rows.
+    placed = words.join(known, "word").select(F.col("batch").alias("of_batch"), "code", "ids")
+    texts = both.filter("codes IS NOT NULL").select("id", "batch", "width", "codes")
+    count = texts.agg(F.count_distinct("batch")).first()[0]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count // BATCHES_A_TASK))
     schema = "id long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs)
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    dealt = texts.repartition(parts, "batch").groupBy("batch").cogroup(placed.repartition(parts, "of_batch").groupBy("of_batch"))
+    return dealt.applyInArrow(filled, schema).withColumnRenamed("id", id_col)
