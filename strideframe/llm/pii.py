@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # --- proposals and votes -----------------------------------------------------------------------
 
-_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,256}+(?![A-Za-z0-9_/+-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+-])={0,2}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9.-])")
 _SPELT_EMAIL = re.compile(r"[A-Za-z0-9._-]{1,64}\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z]{2,24}")
 _TITLED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20[^\W\d_]{2,40}(?:\x20[^\W\d_]{2,40})?")
@@ -89,8 +89,18 @@ CONTEXT = {
     "name": ("dear", "by", "signed", "contact", "from", "regards"),
 }
 #: Common given names and mail providers.
-GIVEN_NAMES = frozenset("anna ben carlos david elena emma eva felix hans ines james jean john jose juan laura lena luis maria marie mark mary max michael paul peter pierre robert sarah sophie thomas".split())
-MAIL_HOSTS = ("example", "gmail", "outlook", "yahoo", "proton", "mail")
+GIVEN_NAMES = frozenset(
+    """
+    adam adele adrian agnes alain alan albert alejandro alex alexander alice alina amanda amelia amy ana andrea andreas andrew angela anita anna anne antoine antonio
+    barbara beatriz ben benjamin bernard bernd birgit brian brigitte camille carla carlos carmen caroline catherine charles charlotte chloe christian christine claire clara claudia
+    daniel david deborah diana diego dieter dominique donald edward elena elisabeth elizabeth emily emma enrique eric erik ernesto eva felix fernando francisco frank franz
+    gabriel george gerard gisela grace gregory guillermo hannah hans heinz helen helena henri henry ines irene isabel jacques jakob james jan jane javier jean jennifer jessica joan joao
+    john jonas jorge jose joseph juan julia julie julien karen karl katharina kevin klaus laura lea lena linda lisa louis louise lucas lucia luis luisa manuel marc maria marie mark marta
+    martin mary matthew max mia michael michel miguel monika nicolas nina olivia oscar patricia paul peter philippe pierre rachel raul rebecca richard robert rosa sandra sarah sebastian
+    simon sofia sophie stefan stephen susan sylvie teresa thomas ursula victor walter wolfgang
+    """.split()
+)
+MAIL_HOSTS = ("example", "gmail", "outlook", "hotmail", "yahoo", "proton", "icloud", "gmx", "web.de", "orange", "laposte", "libero", "yandex", "zoho", "fastmail", "aol", "live.", "t-online", "mail")
 #: Text of samples and placeholders.
 PLACEHOLDERS = ("xxxx", "0000000", "1234567", "placeholder", "changeme", "your_")
 LABELERS = ("shape", "gazetteer", "context", "quoted", "mixture", "placeholder")
@@ -118,6 +128,12 @@ def proposals(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
     return out
 
 
+def churn(span: str) -> float:
+    """How often, of all neighbours, lower-case letters, upper-case letters and digits take turns; marks don't count."""
+    kinds = [0 if c.islower() else 1 if c.isupper() else 2 for c in span if c.isalnum()]
+    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1)
+
+
 def votes(text: str, start: int, end: int, kind: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Votes of the labelers on a span, and its coarse features."""
     span, low = text[start:end], text[start:end].lower()
@@ -126,9 +142,11 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[tuple[int, ...],
     share = digits / max(1, len(span))
     if kind == "secret":
         mixed = span != low and span != span.upper()
-        shape = YES if re.fullmatch(r"[0-9a-f]{32,}", low) or (mixed and "-" not in span and len(span) >= 24) else NO if span.count("-") >= 2 else ABSTAIN
+        # Paths and lists of words have slashes too, but letters of one case stand together there.
+        wordy = ("/" in span or "+" in span) and churn(span) < 0.35
+        shape = NO if wordy else YES if re.fullmatch(r"[0-9a-f]{32,}", low) or (mixed and "-" not in span and len(span) >= 24) else NO if span.count("-") >= 2 else ABSTAIN
         named = YES if re.match(r"(?:sk|pk|ghp|xox|akia)", low) else ABSTAIN
-        mixture = YES if 0.15 <= share <= 0.85 and "-" not in span.strip("-") else NO
+        mixture = YES if 0.15 <= share <= 0.85 and "-" not in span.strip("-") and not wordy else NO
     elif kind == "name":
         shape = YES if all(p[:1].isupper() for p in span.split()[1:]) else NO
         named = YES if any(p in GIVEN_NAMES for p in low.split()[1:]) else ABSTAIN
@@ -257,7 +275,7 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
 def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", threshold: float = 0.5, model: SpanModel | None = None) -> DataFrame:
     """``docs`` with ``spans_col``: array of (start, end, kind, base) by start, then kind.
 
-    Offsets are code points, ends exclusive. ``base`` tells base spans from those that the method
+    Offsets are code points, ends exclusive; spans have any length. ``base`` tells base spans from those that the method
     added. Without a ``model`` one is fitted on the vote counts of all of ``docs``.
 
     Null and empty texts have no spans. A corpus without any proposals leaves the model unfitted,

@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strideframe.llm.pii import BASE_KINDS, base_spans, find_pii, fit_spans, redact, vote_counts
+from strideframe.llm.pii import BASE_KINDS, KINDS, _code, base_spans, find_pii, fit_spans, proposals, redact, vote_counts, votes
 from strideframe.llm.queries import op9_weak_pii
 
 PATTERNS = {
@@ -78,3 +78,52 @@ def test_reliabilities_and_secrets_held_out(spark):
     got = {r.doc_id: [s.kind for s in r.spans] for r in find_pii(rest, model=model).collect()}
     assert sum(got[i] == ["secret"] for i in range(100)) >= 95
     assert sum("secret" in got[i] for i in range(100, 200)) <= 5
+
+
+def plain_proposals(text):
+    """Looser patterns, leftmost first, longest of one start, none over a base span or an earlier one."""
+    taken = [(s, e) for s, e, _ in plain(text)]
+    runs = [(m.start(), m.end() + len(re.match("={0,2}", text[m.end() :])[0]), "secret") for m in re.finditer(r"[A-Za-z0-9_/+-]+", text) if m.end() - m.start() >= 20 and re.search("[0-9]", m[0]) and not m[0].isdigit()]
+    phones = [(m.start(), m.end(), "phone") for m in re.finditer(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9.-])", text)]
+    mails = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,24}", text)]
+    names = [(m.start(), m.end(), "name") for m in re.finditer(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20[^\W\d_]{2,40}(?:\x20[^\W\d_]{2,40})?", text) if m[0].split(" ", 1)[1][0].isupper()]
+    out = []
+    for s, e, kind in sorted(runs + phones + mails + names, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
+        if all(e <= a or s >= b for a, b in taken) and all(s >= b for _, b, _ in out):
+            out.append((s, e, kind))
+    return out
+
+
+def test_added_spans_against_plain_loops(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest table has no secrets
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    counts = {}
+    for r in docs:
+        for span in (*plain(r.text or ""), *plain_proposals(r.text or "")):
+            code = _code(*votes(r.text, *span))
+            counts[code] = counts.get(code, 0) + 1
+    model = fit_spans(counts)
+    got = {r.doc_id: r.spans for r in op9_weak_pii(spark, sf_dir).collect()}
+    added = 0
+    for r in docs:
+        text = r.text or ""
+        base = plain(text)
+        more = [s for s in plain_proposals(text) if model.probability(_code(*votes(text, *s))) >= 0.5]
+        added += len(more)
+        want = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+        assert got[r.doc_id] == ",".join(f"{k}:{s}:{e}" for s, e, k in want)
+    assert added > 0
+
+
+def test_secrets_of_any_length_and_alphabet():
+    import base64
+
+    long = hashlib.sha512(b"a").hexdigest() * 2 + hashlib.sha1(b"b").hexdigest()
+    coded = base64.b64encode(hashlib.sha512(b"c").digest()).decode()
+    for secret in (long[:280], coded, "ghp_" + coded.replace("/", "x").replace("+", "y").rstrip("=")):
+        text = f'token = "{secret}" end'
+        ((s, e, kind),) = proposals(text, [])
+        assert text[s:e] == secret and kind == "secret"
+        assert votes(text, s, e, kind)[0][0] == 1
+    path = "see src/main/java/org/project2/module/Service for it"
+    assert all(votes(path, *p)[0][0] == 0 for p in proposals(path, []))
