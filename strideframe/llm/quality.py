@@ -96,17 +96,19 @@ class Classifier:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Classifier:
-    """Fit on at most ``rows`` labelled documents, chosen by a hash of their ids."""
+    """Fit on at most ``rows`` labelled documents, chosen by a hash of their ids; of repeated ids one row counts."""
     marked = labels.select(column(id_col).cast("long").alias("id"), column(label_col).cast("int").alias("good")).filter("id IS NOT NULL AND good IN (0, 1)")
     chosen = marked.groupBy("id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [text_features(x.as_py()).tolist() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["good", "features"])
+            made = [text_features(x.as_py()).tolist() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["id", "good", "features"])
 
     texts = text_rows(docs, text_col, id=id_col)
-    got = texts.join(F.broadcast(chosen), "id").select("good", "text").mapInArrow(run, "good int, features array<double>").collect()
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "good", "text").mapInArrow(run, "id long, good int, features array<double>")
+    # One row a labelled id, however many rows have it: the driver gets ``rows`` of them at most.
+    got = rows.groupBy("id").agg(F.min(F.struct("good", "features")).alias("r")).select("r.*").collect()
     got = sorted((r.good, r.features) for r in got)
     return Classifier.fit(np.array([f for _, f in got]).reshape(len(got), N_FEATURES), np.array([g for g, _ in got], float))
 
@@ -157,8 +159,9 @@ def score_quality(
     """``docs`` with the document's own probability, those of its host and path, the posterior and the decision.
 
     ``host`` defaults to the part of ``source`` before the first slash, ``path`` to the host and
-    the document's ``lang``; a missing column counts as one empty host or path. ``outputs`` are
-    the names of the five added columns; columns of ``docs`` with these names are replaced.
+    the document's ``lang``; a missing column counts as one empty host or path. What a path says
+    moves a document's log odds by ``SITE_REACH`` at most, so that no site, however bad, takes a
+    clearly good document with it. ``outputs`` are the names of the five added columns; columns of ``docs`` with these names are replaced.
 
     Null hosts and paths are a site of their own. Null or empty texts have all features zero and
     are scored like any other. Null ids and repeated rows are scored each; an id labelled more
