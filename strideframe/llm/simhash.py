@@ -19,6 +19,10 @@ Links between fingerprints are found in three steps:
    task joins the forests of its buckets, as near copies meet in many of them.
 
 Buckets beyond ``cell_rows`` are dealt out as cells (pairs of hash chunks) over many tasks.
+
+Fingerprints only estimate how alike two texts are. With ``confirm`` the groups found so are
+candidates: the texts of a group are compared by their exact sets of shingles, again in cells of
+hash chunks, and only pairs with that Jaccard similarity or more are links.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import join_hot, stage, text_rows
-from strideframe.llm.components import connected_components, starred, thin_edges
+from strideframe.llm._common import column, fresh, join_hot, keyed, stage, text_rows
+from strideframe.llm.components import connected_components, starred, stars, thin_edges
 
 WORD = 64
 SEED = 42
@@ -48,29 +52,53 @@ N_PIVOTS = {1: 16, 2: 8}
 WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 24, 20, 3
 
 
-def majority(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
-    """For each bit of a text's SimHash, votes for one less votes for zero; no words (or null) gives zeros, fewer words than a shingle one shingle."""
+#: Distinct texts of a group in a chunk; a task compares two chunks at a time.
+CHUNK = 256
+#: Shingles counted at a time when sets are compared.
+COLUMNS = 2048
+
+
+def digests(text: str | None, shingle: int, words: int) -> Iterator[np.ndarray]:
+    """Hashes [shingle, byte] of a text's shingles, in parts; a text with fewer words than a shingle has one, one without words (or null) none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return np.zeros(WORD * words, np.int64)
+        return
     size = min(shingle, len(tokens))
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(tokens) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
-    votes = np.zeros(WORD * words, np.int64)
     for at in range(0, len(starts), STEP):
         spans = zip(starts[at : at + STEP], ends[at : at + STEP], strict=True)
         if words == 1:
             digest = xxhash.xxh64_intdigest
-            hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8").view(np.uint8)
+            yield np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8").view(np.uint8).reshape(-1, 8)
         else:
             digest = xxhash.xxh3_128_digest
-            hashes = np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in spans]), np.uint8)
-        bits = np.unpackbits(hashes.reshape(-1, 8 * words), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return 2 * votes - len(starts)
+            yield np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in spans]), np.uint8).reshape(-1, 16)
+
+
+def _votes(parts: list[np.ndarray], words: int) -> np.ndarray:
+    votes, n = np.zeros(WORD * words, np.int64), 0
+    for part in parts:
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return 2 * votes - n
+
+
+def majority(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """For each bit of a text's SimHash, votes for one less votes for zero; no words (or null) gives zeros."""
+    return _votes(digests(text, shingle, words), words)
+
+
+def _set(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct shingles of 128-bit hashes, as 64 of their bits, sorted."""
+    return np.unique(np.concatenate([np.ascontiguousarray(p).view("<u8")[:, 0] for p in parts])) if parts else np.zeros(0, "<u8")
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return _set(list(digests(text, shingle, 2)))
 
 
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
@@ -85,20 +113,26 @@ def _as_words(votes: np.ndarray) -> list[int]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` and ``fp_high`` (words as signed longs; the second is 0 for 64 bits).
 
-    With two words also ``weak``: the places of all bits, one byte each, the least decided first.
+    With two words also ``weak``: the places of all bits, one byte each, the least decided first; and
+    ``mark``: a hash of the set of shingles.
     """
-    names = ["id", "fp", "fp_high", "weak"][: 3 if words == 1 else 4]
+    names = ["id", "fp", "fp_high", "weak", "mark"][: 3 if words == 1 else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [majority(x.as_py(), shingle, words) for x in batch.column(1)]
+            votes, marks = [], []
+            for text in batch.column(1):
+                parts = list(digests(text.as_py(), shingle, words))
+                votes.append(_votes(parts, words))
+                if words > 1:
+                    marks.append(xxhash.xxh3_64_intdigest(_set(parts).tobytes()))
             got = np.array([_as_words(v) for v in votes], np.uint64).reshape(-1, words).view(np.int64)
             high = got[:, 1].copy() if words > 1 else np.zeros(len(got), np.int64)
             weak = [np.argsort(np.abs(v), kind="stable").astype(np.uint8).tobytes() for v in votes] if words > 1 else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].copy()), pa.array(high), pa.array(weak, pa.binary())][: len(names)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].copy()), pa.array(high), pa.array(weak, pa.binary()), pa.array(np.array(marks, np.uint64).view(np.int64))][: len(names)], names)
 
     rows = text_rows(docs, text_col, id=id_col)
-    return rows.mapInArrow(run, "id long, fp long, fp_high long" + (", weak binary" if words > 1 else "")).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, fp long, fp_high long" + (", weak binary, mark long" if words > 1 else "")).withColumnRenamed("id", id_col)
 
 
 def _block_masks(blocks: int) -> list[list[int]]:
@@ -283,24 +317,99 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
     return keys.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, words: int = 1) -> DataFrame:
+def alike(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among sets (sorted, distinct) with a Jaccard similarity of ``least`` or more, all pairs compared."""
+    sizes = np.array([len(x) for x in sets])
+    whole, n = np.unique(np.concatenate(sets), return_counts=True)
+    shared = whole[n > 1]
+    common = np.zeros((len(sets), len(sets)))
+    at = [np.flatnonzero(np.isin(shared, x, assume_unique=True)) for x in sets]
+    for first in range(0, len(shared), COLUMNS):
+        block = np.zeros((len(sets), min(COLUMNS, len(shared) - first)), np.float32)
+        for i, own in enumerate(at):
+            block[i, own[np.searchsorted(own, first) : np.searchsorted(own, first + COLUMNS)] - first] = 1
+        common += block @ block.T
+    either = sizes[:, None] + sizes[None, :] - common
+    a, b = np.nonzero(np.triu(common >= least * np.maximum(either, 1), 1))
+    return stars(nodes[a], nodes[b])
+
+
+def confirmed_links(docs: DataFrame, members: DataFrame, shingle: int, least: float, chunk: int = CHUNK) -> DataFrame:
+    """Links ``a``, ``b`` among the candidates of each group whose shingle sets are alike.
+
+    ``docs`` has ``id`` (telling rows apart) and ``text``; ``members`` has each candidate ``node``
+    once with its group's ``root``, the number of candidates ``members`` and the ``id`` of a text.
+    A group of many chunks is many cells: its texts go to as many tasks as it has chunks.
+    """
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["node", "root", "members", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                a, b = alike(np.array(nodes, np.int64), sets, least)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        # Rows come sorted by cell.
+        for batch in batches:
+            for *cell, node, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if cell != key:
+                    yield from done()
+                    key, nodes, sets = cell, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(raw, "<u8"))
+        yield from done()
+
+    texts = docs.join(members, "id").select("node", "root", "members", "text").mapInArrow(to_sets, "node long, root long, members long, shingles binary")
+    chunks = F.ceil(F.col("members") / chunk).cast("long")
+    dealt = texts.withColumns({"chunks": chunks, "own": F.pmod(F.xxhash64("node"), chunks)})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cells = dealt.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles")
+    return cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, words: int = 1, confirm: float | None = None) -> DataFrame:
     """Groups of documents whose fingerprints of 64 * ``words`` bits link at ``bits`` or fewer differing bits.
 
-    Returns one row per input row: ``id_col``, ``fingerprint`` (16 hex digits for each word) and
+    With ``confirm`` (two words only) documents link if their sets of shingles have that Jaccard
+    similarity or more; fingerprints find the candidates, with a small chance to miss one. Returns
+    one row per input row: ``id_col``, ``fingerprint`` (16 hex digits for each word) and
     ``component_id``, the smallest id reachable over links (itself included).
 
-    Null or word-less texts have fingerprint zero and link like any other. Null ids stay as rows
-    with a null id; a group of null ids only has a null component. Repeated rows are kept and
-    share a component. Other columns are ignored, whatever their names. An empty table gives an
-    empty result. Texts of any length are hashed whole.
+    Null or word-less texts have fingerprint zero and no shingles and link like any other, with
+    ``confirm`` to each other. Null ids stay as rows with a null id; a group of null ids only has a
+    null component. Repeated rows are kept and share a component. Other columns are ignored,
+    whatever their names. An empty table gives an empty result. Texts of any length are hashed whole.
     """
-    mark = ["fp", "fp_high"][:words]
-    marks = stage(fingerprints(docs, id_col, text_col, shingle, words).toDF("id", "fp", "fp_high", *["weak"][: words - 1]), "fingerprints")
-    least = [F.min("weak").alias("weak")] if words > 1 else []
+    mark = ["fp"] if words == 1 else ["fp", "fp_high", "mark"] if confirm else ["fp", "fp_high"]
+    wanted = ["id", *mark, *(["weak", "row"] if words > 1 else [])]
+    if confirm:
+        (key,) = fresh(docs, "own_row")
+        docs = keyed(docs, id_col, key, text_col)
+        rows = fingerprints(docs, key, text_col, shingle, words).withColumnRenamed(key, "row")
+        ids = docs.select(column(key).alias("row"), column(id_col).cast("long").alias("id"))
+        # The key is the id where ids tell rows apart, so a join is needed for others only.
+        marks = rows.withColumn("id", F.col("row")) if getattr(docs, "_staged_path", None) is None else rows.join(ids, "row")
+    else:
+        marks = fingerprints(docs, id_col, text_col, shingle, words).withColumnRenamed(id_col, "id").withColumn("row", F.lit(None).cast("long"))
+    marks = stage(marks.select(*wanted), "fingerprints")
+    least = [F.min("weak").alias("weak"), F.min("row").alias("row")] if words > 1 else []
     firsts = marks.groupBy(*mark).agg(F.min("id").alias("first"), F.count("*").alias("n"), *least)
     # The bits of two words don't fit a node's long: a number stands for them.
     firsts = stage(firsts.withColumn("node", F.col("fp") if words == 1 else F.monotonically_increasing_id()), "firsts")
-    roots = connected_components(thin_edges(stage(near_links(firsts, bits, words), "links")))
+    roots = connected_components(thin_edges(stage(near_links(firsts, bits, words, 2048 if words == 1 else 512), "links")))
+    if confirm:
+        sizes = roots.groupBy("root").agg(F.count("*").alias("members")).filter("members > 1")
+        members = join_hot(roots, stage(sizes, "sizes"), ["root"], "members").join(firsts.select("node", F.col("row").alias("id")), "node")
+        texts = docs.select(column(key).alias("id"), column(text_col).cast("string").alias("text"))
+        links = confirmed_links(texts, stage(members.select("id", "node", "root", "members"), "members"), shingle, confirm)
+        roots = connected_components(thin_edges(stage(links, "confirmed")))
     grouped = stage(firsts.join(roots, "node", "left").select(*mark, "first", "n", F.coalesce("root", "node").alias("root")), "grouped")
     classes = stage(grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "classes")
     of = stage(join_hot(grouped, classes, ["root"], "members").select(*mark, "n", "component_id"), "of")

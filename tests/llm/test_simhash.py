@@ -6,7 +6,7 @@ import xxhash
 from strideframe.llm._common import stage
 from strideframe.llm.components import connected_components, thin_edges
 from strideframe.llm.queries import op1_simhash_pivot
-from strideframe.llm.simhash import bucket_keys, bucket_links, fingerprint, majority, near_duplicates, pivot_table, probe_keys
+from strideframe.llm.simhash import alike, bucket_keys, bucket_links, confirmed_links, fingerprint, majority, near_duplicates, pivot_table, probe_keys
 
 
 def plain_fingerprint(text, size):
@@ -174,3 +174,63 @@ def test_hubs_and_hot_groups(spark, monkeypatch):
     assert got == {i: 0 for i in range(50)} | {60: 60, 61: 60, 62: 60, 69: 69, 70: 69}
     rows = [(i, "one text that many rows share, word for word") for i in range(40)] + [(100 + i, f"text number {i} of its own {i * i}") for i in range(20)]
     check(None, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
+def test_confirmed_groups_against_all_pairs(spark):
+    """Bases with copies of rising distance, a shared passage, short texts, null and repeated ids."""
+    from tests.llm.test_pipeline import shingles
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(2000)]
+    rows, passage = [], " ".join(rng.choice(words, 120))
+    for g in range(12):
+        base = rng.choice(words, 150).tolist()
+        for changes in (0, 1, 2, 3, 5, 8, 12):
+            copy = list(base)
+            for at in rng.choice(150, changes, replace=False):
+                copy[at] = "x" + copy[at]
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), passage + " " + " ".join(rng.choice(words, 60))))
+    rows += [(900, ""), (901, None), (902, "one two"), (903, "one two"), (904, "One two"), (None, rows[0][1]), (None, "one two three"), (3, rows[3][1])]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, bits=32, words=2, confirm=0.8).collect()
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if not sets[i] and not sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    least = {}
+    for (i, _), p in zip(rows, parent, strict=True):
+        if i is not None:
+            least[p] = min(i, least.get(p, i))
+    assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == sorted(((i, least.get(p)) for (i, _), p in zip(rows, parent, strict=True)), key=str)
+
+
+def test_cells_of_a_large_group_see_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for at in rng.choice(100, rng.integers(1, 8), replace=False):
+            own[at] = f"c{i}_{at}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members = docs.selectExpr("id", "id AS node", "0L AS root", "60L AS members")
+    from strideframe.llm.simhash import shingle_set
+    from tests.llm.test_pipeline import shingles
+
+    sets = [shingles(t) for t in texts]
+    parent = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    for chunk in (7, 256):
+        links = confirmed_links(docs, members, 5, 0.8, chunk)
+        got = {r.node: r.root for r in connected_components(links).collect()}
+        assert [got.get(i, i) for i in range(60)] == parent
+    a, b = alike(np.arange(60), [shingle_set(t, 5) for t in texts], 0.8)
+    assert len(a) == 60 - len(set(parent))
