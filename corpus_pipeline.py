@@ -13,8 +13,10 @@ from strideframe.llm.pii import redact
 from strideframe.llm.quality import keep_good
 from strideframe.llm.simhash import near_duplicates
 
-#: Words of a shingle; 64-bit words of a fingerprint and the bits of them that may differ: 0.8 or more of the bits are equal.
-SHINGLE, WORDS, BITS = 5, 2, 25
+#: Words of a shingle, and the Jaccard similarity of near copies.
+SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a fingerprint, and how many of its bits may differ in a candidate.
+WORDS, BITS = 2, 32
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -46,6 +48,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest (id, text hash) of each group of near copies, a null id after all others.
 
+    Two texts are near copies if their sets of five-word shingles have a similarity of 0.8 or more.
+
     Documents whose text is empty or null (emptied by the line stage) are one group of their own.
     Rows are told apart by a number where ids are null or repeated, so that rows of different
     groups stay whatever their ids; of repeated rows one stays. An empty table stays empty; all
@@ -53,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     (key,) = fresh(docs, "row_key")
     rows = keyed(docs, "doc_id", key, "text")
-    groups = near_duplicates(rows, id_col=key, shingle=SHINGLE, bits=BITS, words=WORDS)
+    groups = near_duplicates(rows, id_col=key, shingle=SHINGLE, bits=BITS, words=WORDS, confirm=SIMILARITY)
     # Row keys grow with the id, so the smallest key of a group, its component's name, is its first row.
     return rows.join(groups.filter(F.col(key) == F.col("component_id")).select(key), key, "left_semi").drop(key)
 
