@@ -1,12 +1,13 @@
 """Byte-level BPE of a corpus by merge replay over an inverted index from token pairs to word positions.
 
 One pass cuts the texts into words (matches of the pattern) and writes each text as numbers of the
-words of its batch of texts, and each batch's words once. Spark makes the words of all batches
-distinct, so that every word of the corpus is encoded once. A task lays out its part of these words
-as arrays of tokens with links to the left and right neighbour. An index maps the rank of every
-mergeable pair to the places where it stands, in whatever words. Ranks are taken in order from a
-heap; a merge is applied at all its places, and only the two touched neighbours get new index
-entries. The ids then go back to the batches that have the word, and a batch's texts become ids.
+words of its batch of texts. A batch's distinct words go, packed, to parts by a hash of the word, so
+that equal words of all batches meet and every word of the corpus is encoded once. A task lays out
+the words of its part as arrays of tokens with links to the left and right neighbour. An index maps
+the rank of every mergeable pair to the places where it stands, in whatever words. Ranks are taken
+in order from a heap; a merge is applied at all its places, and only the two touched neighbours get
+new index entries. The ids go back, packed, to the batches that have the words, and a batch's texts
+become ids.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import stage, text_rows
+from strideframe.llm._common import column, stage, text_rows
 
 #: Characters of text of a batch, and bytes of words that are laid out at a time (a longer word alone).
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 REPLAY_BYTES = 1 << 19
+#: Bytes of text for each part of the words, the most parts, and words that a task remembers at a time.
+PART_BYTES = 8_000_000
+MOST_PARTS = 4096
+KNOWN_WORDS = 1_000_000
 #: Batches that a task turns into ids, about.
-BATCHES_A_TASK = 8
+BATCHES_A_TASK = 2
+#: Stands between packed words; no byte of UTF-8.
+BETWEEN = b"\xff"
 
 OUTPUTS = {"ids": "array<int>", "decoded": "binary", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 _ARROW = {"ids": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -142,29 +150,39 @@ class MergeReplay:
             yield np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.uint32)
 
 
-def _replayed(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``word``, ``ids`` (32 bits each) of distinct words."""
+def _pack(data: bytes) -> bytes:
+    return zlib.compress(data, 1)
+
+
+def _replayed(packs: DataFrame, parts: int, ranks_path: str, pattern: str) -> DataFrame:
+    """``of_batch``, ``part``, ``lengths`` and ``ids`` (32 bits each, packed) of the words of each pack (``batch``, ``part``, ``words``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = MergeReplay.load(ranks_path, pattern)
-        held: list[str] = []
-        size = 0
+        known: dict[bytes, bytes] = {}
 
-        def done() -> pa.RecordBatch:
-            ids = [x.tobytes() for x in coder.replay([w.encode("utf-8", "surrogatepass") for w in held])]
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(ids, pa.binary())], ["word", "ids"])
+        def learn(words: list[bytes]) -> None:
+            at, size = 0, 0
+            for to, word in enumerate([*words, None]):
+                if word is None or (to > at and size + len(word) > REPLAY_BYTES):
+                    some = words[at:to]
+                    known.update(zip(some, [x.tobytes() for x in coder.replay(some)], strict=True))
+                    at, size = to, 0
+                size += len(word or b"")
 
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                if held and size + len(word) > REPLAY_BYTES:
-                    yield done()
-                    held, size = [], 0
-                held.append(word)
-                size += len(word)
-        if held:
-            yield done()
+            for first in range(0, batch.num_rows, 64):  # packs whose new words are replayed together
+                some = batch.slice(first, 64)
+                split = [zlib.decompress(x).split(BETWEEN) for x in some.column(2).to_pylist()]
+                every = set().union(*split)
+                if len(known) + len(every) > KNOWN_WORDS:
+                    known.clear()
+                learn(list(every - known.keys()))
+                found = [list(map(known.__getitem__, x)) for x in split]
+                lengths = [_pack((np.fromiter(map(len, x), "<u4", len(x)) // 4).tobytes()) for x in found]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(lengths, pa.binary()), pa.array([_pack(b"".join(x)) for x in found], pa.binary())], ["of_batch", "part", "lengths", "ids"])
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return packs.repartitionById(parts, "part").mapInArrow(run, "of_batch long, part int, lengths binary, ids binary")
 
 
 def encode_documents(
@@ -195,12 +213,15 @@ def encode_documents(
         whole = coder.decode(ids)
         return whole if name == "decoded" else hashlib.sha256(whole).hexdigest()
 
+    size = docs.agg(F.sum(F.octet_length(column(text_col).cast("string")).cast("long"))).first()[0] or 0
+    parts = int(min(MOST_PARTS, max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, number = MergeReplay.load(ranks_path, pattern).find, TaskContext.get().partitionId() << 32
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string()]
+        names = ["id", "batch", "codes", "part", "words"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
-        def rows(n: int, **columns) -> pa.RecordBatch:
-            names = ["id", "batch", "width", "codes", "code", "word"]
+        def rows(n: int, columns: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t) for c, t in zip(names, types, strict=True)], names)
 
         for batch in batches:
@@ -212,33 +233,41 @@ def encode_documents(
                     to += 1
                 split = [find(x) for x in texts[at:to]]
                 words = list(set().union(*split))
-                code = {w: i for i, w in enumerate(words)}
-                width = 2 if len(words) <= 1 << 16 else 4
-                codes = [np.fromiter(map(code.__getitem__, x), f"<u{width}", len(x)).tobytes() for x in split]
+                coded = [w.encode("utf-8", "surrogatepass") for w in words]
+                part = np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % parts
+                order = np.argsort(part, kind="stable")
+                # A word's number is its place in the order of parts.
+                code = dict(zip([words[i] for i in order.tolist()], range(len(words)), strict=True))
+                codes = [_pack(np.fromiter(map(code.__getitem__, x), "<u4", len(x)).tobytes()) for x in split]
                 n = to - at
-                yield rows(n, id=batch.column(0).slice(at, n), batch=[number] * n, width=[width] * n, codes=codes)
-                n = len(words)
-                yield rows(n, batch=[number] * n, code=list(range(n)), word=words)
+                yield rows(n, {"id": batch.column(0).slice(at, n), "batch": [number] * n, "codes": codes})
+                held, starts = np.unique(part[order], return_index=True)
+                ends = np.append(starts[1:], len(order))[: len(starts)].tolist()
+                packs = [_pack(BETWEEN.join([coded[i] for i in order[a:b].tolist()])) for a, b in zip(starts.tolist(), ends, strict=True)]
+                yield rows(len(held), {"batch": [number] * len(held), "part": held.astype(np.int32).tolist(), "words": packs})
                 number, at = number + 1, to
 
     def filled(texts: pa.Table, words: pa.Table) -> pa.Table:
         coder = MergeReplay.load(ranks_path, pattern)
-        ids_of = dict(zip(words.column("code").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        packs = sorted(zip(*[words.column(c).to_pylist() for c in ("part", "lengths", "ids")], strict=True))
+        lengths = np.frombuffer(b"".join([zlib.decompress(x) for _, x, _ in packs]), "<u4").astype(np.int64)
+        ids = np.frombuffer(b"".join([zlib.decompress(x) for _, _, x in packs]), np.uint32)
+        first = np.cumsum(lengths) - lengths
         made_rows = []
-        for width, codes in zip(texts.column("width").to_pylist(), texts.column("codes").to_pylist(), strict=True):
-            found = b"".join(map(ids_of.__getitem__, np.frombuffer(codes, f"<u{width}").tolist()))
-            made_rows.append([made(coder, name, np.frombuffer(found, np.uint32)) for name in outputs])
+        for raw in texts.column("codes").to_pylist():
+            codes = np.frombuffer(zlib.decompress(raw), "<u4")
+            own = lengths[codes]
+            # The places of each word's ids, one word after the other.
+            places = np.arange(own.sum()) + np.repeat(first[codes] - (np.cumsum(own) - own), own)
+            made_rows.append([made(coder, name, ids[places]) for name in outputs])
         columns = [pa.array([r[i] for r in made_rows], _ARROW[name]) for i, name in enumerate(outputs)]
         return pa.Table.from_arrays([texts.column("id"), *columns], ["id", *outputs])
 
-    both = stage(text_rows(docs, text_col, id=id_col).mapInArrow(cut, "id long, batch long, width int, codes binary, code int, word string"), "words")
-    words = both.filter("code IS NOT NULL").select("batch", "code", "word")
-    known = stage(_replayed(words.select("word").distinct(), ranks_path, pattern), "ids")
-    # A word is in a batch once, so no word is more than a tiny part of these rows.
-    placed = words.join(known, "word").select(F.col("batch").alias("of_batch"), "code", "ids")
-    texts = both.filter("codes IS NOT NULL").select("id", "batch", "width", "codes")
+    both = stage(text_rows(docs, text_col, id=id_col).mapInArrow(cut, "id long, batch long, codes binary, part int, words binary"), "words")
+    placed = _replayed(both.filter("words IS NOT NULL").select("batch", "part", "words"), parts, ranks_path, pattern)
+    texts = both.filter("codes IS NOT NULL").select("id", "batch", "codes")
     count = texts.agg(F.count_distinct("batch")).first()[0]
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count // BATCHES_A_TASK))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count // BATCHES_A_TASK))
     schema = "id long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs)
-    dealt = texts.repartition(parts, "batch").groupBy("batch").cogroup(placed.repartition(parts, "of_batch").groupBy("of_batch"))
+    dealt = texts.repartition(tasks, "batch").groupBy("batch").cogroup(placed.repartition(tasks, "of_batch").groupBy("of_batch"))
     return dealt.applyInArrow(filled, schema).withColumnRenamed("id", id_col)

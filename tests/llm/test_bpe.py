@@ -61,3 +61,13 @@ def test_long_runs():
 
 def test_empty_table(no_docs):
     assert encode_documents(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_small_batches_parts_and_memory(odd_docs, known, monkeypatch):
+    from strideframe.llm import bpe
+
+    for name, value in (("BATCH_CHARS", 100), ("REPLAY_BYTES", 20), ("PART_BYTES", 10_000), ("KNOWN_WORDS", 30)):
+        monkeypatch.setattr(bpe, name, value)
+    out = encode_documents(odd_docs.repartition(3), PATH, public_tokenizers.PATTERN, outputs=("ids",)).collect()
+    got = sorted(((r.doc_id, list(r.ids)) for r in out), key=str)
+    assert got == sorted(((r.doc_id, known.encode_ordinary(r.text or "")) for r in odd_docs.collect()), key=str)
