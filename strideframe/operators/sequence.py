@@ -114,28 +114,61 @@ def coverage(frames: DataFrame, low: int = LOW_VISIBLE) -> DataFrame:
 
 
 def sanity(frames: DataFrame) -> DataFrame:
-    """Audit figures of each clip: length, finiteness, range, times, coverage, motion, bones."""
+    """Audit figures of each clip: length, finiteness, range, times, coverage, motion, bones.
+
+    One exchange by clip serves the windows and the one aggregation, which sees each frame once a
+    keypoint: frame figures count in the first of these rows, steps and bones in their own.
+    """
+    order, whole = Window.partitionBy("clip_id").orderBy("frame_idx"), Window.partitionBy("clip_id")
     finite = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))
-    rows = frames.select(
-        "clip_id",
-        "frame_idx",
-        "t_ms",
-        F.exists("x", F.isnan).alias("nan"),
-        F.exists("x", lambda v: F.abs(v) == float("inf")).alias("inf"),
-        F.size(F.filter("x", lambda v: ~F.isnan(v) & ((v < 0) | (v > 1)))).alias("out"),
-        (F.size("x") == 2 * F.size("mask")).alias("fits"),
+    x, mask = F.col("x"), F.coalesce("mask", F.array().cast("array<boolean>"))
+    rows = A.once(
+        frames.select("clip_id", "frame_idx", "t_ms", "x", "mask"),
+        nan=F.exists(x, F.isnan),
+        inf=F.exists(x, lambda v: F.abs(v) == float("inf")),
+        out=F.size(F.filter(x, lambda v: ~F.isnan(v) & ((v < 0) | (v > 1)))),
+        fits=F.coalesce(F.size(x) == 2 * F.size("mask"), F.lit(False)),
+        n=F.aggregate(mask, F.lit(0), lambda a, v: a + v.cast("int")),
+        of=F.size(mask),
+        has=F.col("mask").isNotNull(),
+        c=F.transform(x, lambda v: F.when(finite(v), v.cast("double"))),
     )
-    basic = rows.groupBy("clip_id").agg(
-        F.count("*").alias("T"),
+    rows = rows.select(*[c for c in rows.columns if c not in ("x", "mask")], F.lag("c").over(order).alias("p"), F.coalesce(F.col("t_ms") < F.lag("t_ms").over(order), F.lit(False)).alias("down"))
+    square = lambda a, b: (a - b) ** 2
+    at = lambda col, i: F.get(F.col(col), i)
+    step = lambda i: F.sqrt(square(at("c", 2 * i), at("p", 2 * i)) + square(at("c", 2 * i + 1), at("p", 2 * i + 1)))
+    bone = lambda a, b: F.sqrt(square(at("c", F.lit(2 * a)), at("c", F.lit(2 * b))) + square(at("c", F.lit(2 * a + 1)), at("c", F.lit(2 * b + 1))))
+    places = F.when(F.col("of") > 0, F.sequence(F.lit(0), F.greatest(F.col("of") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    rows = A.once(rows, steps=F.transform(places, step), bones=F.array(*[bone(a, b) for a, b in BONES])).drop("c", "p")
+    each = [F.get(F.col("bones"), F.lit(i)) for i in range(len(BONES))]
+    limits = {f"m{i}": F.avg(b).over(whole) for i, b in enumerate(each)} | {f"s{i}": F.stddev_pop(b).over(whole) for i, b in enumerate(each)}
+    rows = rows.withColumn("top", F.array_max("steps"))
+    rows = rows.withColumns(limits | {"limit": F.percentile("top", 0.5).over(whole) + SPIKE_SIGMA * F.stddev_pop("top").over(whole)})
+    odd = F.coalesce(F.array_max(F.array(*[F.abs((b - F.col(f"m{i}")) / (F.col(f"s{i}") + 1e-9)) for i, b in enumerate(each)])) > BONE_Z, F.lit(False))
+    spike = F.coalesce(F.col("top") > F.col("limit") + SPIKE_SLACK, F.lit(False))
+    figures = ("clip_id", "frame_idx", "t_ms", "nan", "inf", "out", "fits", "n", "of", "has", "down")
+    long = rows.select(*figures, "bones", odd.alias("odd"), spike.alias("spike"), F.posexplode_outer("steps").alias("kp", "v"))
+    long = long.withColumns({"first": F.coalesce("kp", F.lit(0)) == 0, "b": F.get(F.col("bones"), F.col("kp"))})
+    once = lambda c: F.when(F.col("first"), c)
+    count = lambda c: F.count(once(F.when(c, 1)))
+    return long.groupBy("clip_id").agg(
+        F.count(once(F.lit(1))).alias("T"),
         F.bool_or("nan").alias("x_has_nan"),
         F.bool_or("inf").alias("x_has_inf"),
-        F.sum("out").alias("x_out_of_range"),
+        F.sum(once(F.col("out"))).alias("x_out_of_range"),
         (F.max_by("t_ms", "frame_idx") - F.min_by("t_ms", "frame_idx")).alias("duration_ms"),
-        F.bool_and(F.coalesce("fits", F.lit(False))).alias("temporal_consistent"),
+        F.bool_and("fits").alias("temporal_consistent"),
+        (~F.bool_or("down")).alias("timestamps_monotonic"),
+        F.coalesce(F.sum(once(F.col("n"))) / F.nullif(F.sum(once(F.col("of"))), F.lit(0)) * 100, F.lit(0.0)).alias("coverage_pct"),
+        F.min("n").alias("min_visible"),
+        F.max("n").alias("max_visible"),
+        count(F.col("has") & (F.col("n") < LOW_VISIBLE)).alias("low_vis_frames"),
+        F.coalesce(F.percentile("v", 0.95), F.lit(0.0)).alias("vel_p95"),
+        F.coalesce(F.max("v"), F.lit(0.0)).alias("vel_max"),
+        count(F.col("spike")).alias("vel_spike_frames"),
+        (F.stddev_pop("b") / (F.avg("b") + 1e-9) * 100).alias("bone_len_cv_pct"),
+        count(F.col("odd")).alias("bone_outlier_frames"),
     )
-    clean = frames.withColumn("x", F.transform("x", lambda v: F.when(finite(v), v)))
-    out = basic.join(monotonic(frames), "clip_id").join(coverage(frames), "clip_id")
-    return out.join(velocity(to_keypoints(clean)), "clip_id").join(bone_stability(clean), "clip_id")
 
 
 def feature_stats(frames: DataFrame, col: Column | str = "x") -> DataFrame:

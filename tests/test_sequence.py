@@ -154,3 +154,29 @@ def test_bone_outliers(spark):
     rows = [(1, i, 0, frame(0.3 if i == 7 else 0.001 * (i % 2)), [True] * 78) for i in range(30)]
     (row,) = S.bone_stability(spark.createDataFrame(rows, "clip_id long, frame_idx int, t_ms long, x array<double>, mask array<boolean>")).collect()
     assert row.bone_outlier_frames == 1 and row.bone_len_cv_pct > 0
+
+
+def test_sanity_is_one_pass_and_agrees_with_its_parts(spark):
+    rng = random.Random(9)
+    nan = float("nan")
+    rows = []
+    for c in range(4):
+        for i in range(12):
+            x = [rng.random() for _ in range(156)]
+            if (c, i) == (1, 3):
+                x[5] = nan
+            rows.append((c, i, i * 33 - (c == 2 and i == 7) * 100, x, [rng.random() < 0.5 for _ in range(78)]))
+    rows.append((9, 0, 0, [], []))
+    df = spark.createDataFrame(rows, "clip_id long, frame_idx int, t_ms long, x array<double>, mask array<boolean>").repartition("clip_id")
+    out = S.sanity(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {r.clip_id: r for r in out.collect()}
+    assert got[9].T == 1 and got[9].coverage_pct == 0 and got[9].vel_max == 0
+    full = df.filter("clip_id < 9")
+    clean = full.withColumn("x", F.transform("x", lambda v: F.when(~F.isnan(v), v)))
+    for part in (S.coverage(full), S.velocity(S.to_keypoints(clean)), S.bone_stability(clean), S.monotonic(full)):
+        for r in part.collect():
+            for name, value in r.asDict().items():
+                assert getattr(got[r.clip_id], name) == (pytest.approx(value) if isinstance(value, float) else value), name
+    assert got[1].x_has_nan and not got[0].x_has_nan and not got[2].timestamps_monotonic
