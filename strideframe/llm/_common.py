@@ -51,10 +51,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame | None) -> None:
-    """Delete a staged table that no later plan reads."""
-    path = getattr(df, "_staged_path", None)
-    if path:
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables that no later plan reads; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if not path:
+            continue
         sc = df.sparkSession.sparkContext
         target = sc._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

@@ -103,4 +103,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels._staged_path = moved._staged_path  # noqa: SLF001
         if not changed:
             release(both)
-            return labels.select("node", "root")
+            out = labels.select("node", "root")
+            out._staged_path = labels._staged_path  # noqa: SLF001 - for release()
+            return out

@@ -94,7 +94,7 @@ def ranked(pairs: DataFrame) -> DataFrame:
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """Copies of windows that began earlier elsewhere: ``key``, ``pos``, ``k`` (lines ``pos`` to ``pos + k - 1``).
 
-    ``lines`` is staged. A line, pair or window that a great part of all rows repeat goes to all tasks.
+    ``lines`` is staged, and released where there are any windows. A line, pair or window that a great part of all rows repeat goes to all tasks.
     """
     repeated = lines.groupBy(F.col("h1").alias("a"), F.col("h2").alias("b")).agg(F.count("*").alias("n")).filter("n > 1")
     ids = stage(ranked(repeated), "ids")
@@ -123,8 +123,8 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     if not runs:
         return lines.select("key", "pos", F.col("least").alias("k")).limit(0)
     runs = stage(reduce(DataFrame.unionByName, runs), "runs")
-    for x in spent:
-        release(x)
+    release(lines)
+    release(*spent)
     name = ["level", "k", "first", "last"]
     heads = stage(runs.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("head")).filter("n > 1"), "heads")
     later = join_hot(runs, heads, name, "n").filter(F.struct("key", "pos") != F.col("head"))

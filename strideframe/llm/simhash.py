@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column, fresh, join_hot, keyed, stage, text_rows
+from strideframe.llm._common import column, fresh, join_hot, keyed, release, stage, text_rows
 from strideframe.llm.components import connected_components, starred, stars, thin_edges
 
 WORD = 64
@@ -403,16 +403,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = marks.groupBy(*mark).agg(F.min("id").alias("first"), F.count("*").alias("n"), *least)
     # The bits of two words don't fit a node's long: a number stands for them.
     firsts = stage(firsts.withColumn("node", F.col("fp") if words == 1 else F.monotonically_increasing_id()), "firsts")
-    roots = connected_components(thin_edges(stage(near_links(firsts, bits, words, 2048 if words == 1 else 512), "links")))
+    links = thin_edges(stage(near_links(firsts, bits, words, 2048 if words == 1 else 512), "links"))
+    roots = connected_components(links)
+    release(links)
     if confirm:
         sizes = roots.groupBy("root").agg(F.count("*").alias("members")).filter("members > 1")
-        members = join_hot(roots, stage(sizes, "sizes"), ["root"], "members").join(firsts.select("node", F.col("row").alias("id")), "node")
+        sizes = stage(sizes, "sizes")
+        members = join_hot(roots, sizes, ["root"], "members").join(firsts.select("node", F.col("row").alias("id")), "node")
         texts = docs.select(column(key).alias("id"), column(text_col).cast("string").alias("text"))
-        links = confirmed_links(texts, stage(members.select("id", "node", "root", "members"), "members"), shingle, confirm)
-        roots = connected_components(thin_edges(stage(links, "confirmed")))
+        members = stage(members.select("id", "node", "root", "members"), "members")
+        links = thin_edges(stage(confirmed_links(texts, members, shingle, confirm), "confirmed"))
+        release(roots, sizes, members)
+        roots = connected_components(links)
+        release(links)
     grouped = stage(firsts.join(roots, "node", "left").select(*mark, "first", "n", F.coalesce("root", "node").alias("root")), "grouped")
     classes = stage(grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "classes")
     of = stage(join_hot(grouped, classes, ["root"], "members").select(*mark, "n", "component_id"), "of")
+    release(firsts, roots, grouped, classes)
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     shown = digits("fp") if words == 1 else F.concat(digits("fp_high"), digits("fp"))
     return join_hot(marks, of, mark, "n").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")

@@ -124,8 +124,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     bound = int(min(float(MOST), a * b * max(dim, 1))) + 1
     bound = min(bound, MOST)
 
-    def paired(state: DataFrame) -> DataFrame:
-        blocks = stage(_blocks(asked.join(state, "id"), QUERIES, scale, "low"), "asked").toDF("q_dim", "q_size", "q_ids", "q_vecs", "q_low")
+    def blocked(state: DataFrame) -> DataFrame:
+        return stage(_blocks(asked.join(state, "id"), QUERIES, scale, "low"), "asked")
+
+    def paired(blocks: DataFrame) -> DataFrame:
+        blocks = blocks.toDF("q_dim", "q_size", "q_ids", "q_vecs", "q_low")
         # The stated query set meets all rows block by block. Lengths are compared in the task: as a
         # condition here they would be a join key, and all vectors of one length one task.
         return body.drop("extra").crossJoin(blocks)
@@ -162,12 +165,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     up = Window.partitionBy("id").orderBy("bin")
     while span > 1:
         width = -(-span // BINS)
-        counts = paired(state).mapInArrow(histogram(span, width), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+        blocks = blocked(state)
+        counts = paired(blocks).mapInArrow(histogram(span, width), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         # At most BINS rows for a query: the highest bin that reaches k, or the lowest one there is.
         counts = counts.join(state, "id").withColumn("over", F.sum("n").over(down) + F.col("above"))
         reached = counts.filter((F.col("over") - F.col("n") < k)).withColumn("place", F.row_number().over(up)).filter("place = 1")
         found = stage(reached.select("id", (F.col("low") + F.col("bin") * width).alias("low"), (F.col("over") - F.col("n")).alias("above")), "range")
-        release(state)
+        release(state, blocks)
         state, span = found, width
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +189,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                 shown = [min((1 << 63) - 1, max(-(1 << 63), int(x))) for x in exact[q, c].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(c_ids[c]), pa.array(score), pa.array(far, pa.string()), pa.array(shown, pa.int64())], ["id", "other", "short", "far", "score"])
 
-    best = paired(state).mapInArrow(last, "id long, other long, short long, far string, score long")
+    blocks = blocked(state)
+    release(asked, state)
+    best = paired(blocks).mapInArrow(last, "id long, other long, short long, far string, score long")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("short"), F.desc("far"), "other"))
     best = best.withColumn("rank", place).filter(F.col("rank") <= k)
     return best.select(F.col("id").alias("query_id"), "rank", F.col("other").alias(id_col), "score")
