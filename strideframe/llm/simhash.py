@@ -49,11 +49,11 @@ PIVOTS = np.random.default_rng(2024).integers(0, 2**64, (16, 2), dtype=np.uint64
 #: hardly any pair differs so much in a coordinate, so half as many are carried along.
 N_PIVOTS = {1: 16, 2: 8}
 #: With 128 bits: blocks, places of a block, and the least decided of them that are flipped.
-WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 24, 20, 3
+WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 16, 20, 3
 
 
 #: Distinct texts of a group in a chunk; a task compares two chunks at a time.
-CHUNK = 256
+CHUNK = 128
 #: Shingles counted at a time when sets are compared.
 COLUMNS = 2048
 
