@@ -16,10 +16,13 @@ import base64
 import hashlib
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from strideframe.llm._common import column, stage, text_rows
 
 #: Characters of text of a batch, and bytes of words that are laid out at a time (a longer word alone).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 REPLAY_BYTES = 1 << 19
 #: Bytes of text for each part of the words, the most parts, and words that a task remembers at a time.
 PART_BYTES = 8_000_000
@@ -150,8 +153,13 @@ class MergeReplay:
             yield np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.uint32)
 
 
-def _pack(data: bytes) -> bytes:
-    return zlib.compress(data, 1)
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all their lowest bytes first, then all second ones and so on: those of small numbers are zeros."""
+    return zlib.compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _replayed(packs: DataFrame, parts: int, ranks_path: str, pattern: str) -> DataFrame:
@@ -179,8 +187,9 @@ def _replayed(packs: DataFrame, parts: int, ranks_path: str, pattern: str) -> Da
                     known.clear()
                 learn(list(every - known.keys()))
                 found = [list(map(known.__getitem__, x)) for x in split]
-                lengths = [_pack((np.fromiter(map(len, x), "<u4", len(x)) // 4).tobytes()) for x in found]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(lengths, pa.binary()), pa.array([_pack(b"".join(x)) for x in found], pa.binary())], ["of_batch", "part", "lengths", "ids"])
+                lengths = [_pack(np.fromiter(map(len, x), "<u4", len(x)) // 4) for x in found]
+                ids = [_pack(np.frombuffer(b"".join(x), "<u4")) for x in found]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], ["of_batch", "part", "lengths", "ids"])
 
     return packs.repartitionById(parts, "part").mapInArrow(run, "of_batch long, part int, lengths binary, ids binary")
 
@@ -224,38 +233,56 @@ def encode_documents(
         def rows(n: int, columns: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t) for c, t in zip(names, types, strict=True)], names)
 
+        def written(ids: list[pa.Array], texts: list[str]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            split = [find(x) for x in texts]
+            # The most frequent words have the smallest numbers.
+            words = [w for w, _ in Counter(chain.from_iterable(split)).most_common()]
+            code = dict(zip(words, range(len(words)), strict=True))
+            coded = [w.encode("utf-8", "surrogatepass") for w in words]
+            part = np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % parts
+            n = len(texts)
+            yield rows(n, {"id": pa.concat_arrays(ids), "batch": [number] * n, "codes": [_pack(np.fromiter(map(code.__getitem__, x), "<u4", len(x))) for x in split]})
+            # The parts of all words, from which the batch tells whose ids come back.
+            yield rows(1, {"batch": [number], "part": [-1], "codes": [_pack(part)]})
+            order = np.argsort(part, kind="stable")
+            held, starts = np.unique(part[order], return_index=True)
+            ends = np.append(starts[1:], len(order))[: len(starts)].tolist()
+            packs = [zlib.compress(BETWEEN.join([coded[i] for i in order[a:b].tolist()]), 1) for a, b in zip(starts.tolist(), ends, strict=True)]
+            yield rows(len(held), {"batch": [number] * len(held), "part": held.astype(np.int32).tolist(), "words": packs})
+            number += 1
+
+        ids: list[pa.Array] = []
+        texts: list[str] = []
+        chars = 0
         for batch in batches:
-            texts, at = [x or "" for x in batch.column(1).to_pylist()], 0
-            while at < len(texts):
-                to, chars = at + 1, len(texts[at])
-                while to < len(texts) and chars + len(texts[to]) <= BATCH_CHARS:
-                    chars += len(texts[to])
-                    to += 1
-                split = [find(x) for x in texts[at:to]]
-                words = list(set().union(*split))
-                coded = [w.encode("utf-8", "surrogatepass") for w in words]
-                part = np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % parts
-                order = np.argsort(part, kind="stable")
-                # A word's number is its place in the order of parts.
-                code = dict(zip([words[i] for i in order.tolist()], range(len(words)), strict=True))
-                codes = [_pack(np.fromiter(map(code.__getitem__, x), "<u4", len(x)).tobytes()) for x in split]
-                n = to - at
-                yield rows(n, {"id": batch.column(0).slice(at, n), "batch": [number] * n, "codes": codes})
-                held, starts = np.unique(part[order], return_index=True)
-                ends = np.append(starts[1:], len(order))[: len(starts)].tolist()
-                packs = [_pack(BETWEEN.join([coded[i] for i in order[a:b].tolist()])) for a, b in zip(starts.tolist(), ends, strict=True)]
-                yield rows(len(held), {"batch": [number] * len(held), "part": held.astype(np.int32).tolist(), "words": packs})
-                number, at = number + 1, to
+            at = 0
+            for to, text in enumerate(batch.column(1).to_pylist(), 1):
+                texts.append(text or "")
+                chars += len(texts[-1])
+                if chars >= BATCH_CHARS:
+                    yield from written([*ids, batch.column(0).slice(at, to - at)], texts)
+                    ids, texts, chars, at = [], [], 0, to
+            ids.append(batch.column(0).slice(at))
+        if texts:
+            yield from written(ids, texts)
 
     def filled(texts: pa.Table, words: pa.Table) -> pa.Table:
         coder = MergeReplay.load(ranks_path, pattern)
+        heads = pc.is_valid(texts.column("part"))
+        part = _unpack(texts.filter(heads).column("codes")[0].as_py())
         packs = sorted(zip(*[words.column(c).to_pylist() for c in ("part", "lengths", "ids")], strict=True))
-        lengths = np.frombuffer(b"".join([zlib.decompress(x) for _, x, _ in packs]), "<u4").astype(np.int64)
-        ids = np.frombuffer(b"".join([zlib.decompress(x) for _, _, x in packs]), np.uint32)
-        first = np.cumsum(lengths) - lengths
+        none = [np.zeros(0, "<u4")]
+        # Packs hold the words of their part by number.
+        order = np.argsort(part, kind="stable")
+        packed = np.concatenate([*none, *[_unpack(x) for _, x, _ in packs]]).astype(np.int64)
+        lengths, first = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        lengths[order], first[order] = packed, np.cumsum(packed) - packed
+        ids = np.concatenate([*none, *[_unpack(x) for _, _, x in packs]])
+        texts = texts.filter(pc.invert(heads))
         made_rows = []
         for raw in texts.column("codes").to_pylist():
-            codes = np.frombuffer(zlib.decompress(raw), "<u4")
+            codes = _unpack(raw)
             own = lengths[codes]
             # The places of each word's ids, one word after the other.
             places = np.arange(own.sum()) + np.repeat(first[codes] - (np.cumsum(own) - own), own)
@@ -265,7 +292,7 @@ def encode_documents(
 
     both = stage(text_rows(docs, text_col, id=id_col).mapInArrow(cut, "id long, batch long, codes binary, part int, words binary"), "words")
     placed = _replayed(both.filter("words IS NOT NULL").select("batch", "part", "words"), parts, ranks_path, pattern)
-    texts = both.filter("codes IS NOT NULL").select("id", "batch", "codes")
+    texts = both.filter("codes IS NOT NULL").select("id", "batch", "codes", "part")
     count = texts.agg(F.count_distinct("batch")).first()[0]
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count // BATCHES_A_TASK))
     schema = "id long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs)
