@@ -13,6 +13,7 @@ from strideframe.llm.licenses import scan_licenses
 from strideframe.llm.lines import remove_repeated_lines
 from strideframe.llm.media import text_as_audio
 from strideframe.llm.packing import pack_documents
+from strideframe.llm.pieces import encode_pieces
 from strideframe.llm.pii import BASE_KINDS, find_pii
 from strideframe.llm.quality import score_quality
 from strideframe.llm.runs import periodic_runs
@@ -78,6 +79,10 @@ def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "source", "lang", "doc_score", "host_posterior", "path_posterior", "posterior", "keep")
 
 
+def op11_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(_table(spark, sf_dir, "documents"), plant=True, outputs=("n_runs", "best", "runs_sha256", "collapsed_sha256"))
     milli = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period"))
@@ -85,7 +90,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash_pivot, op2_bounded_packing, op3_line_runs, op4_merge_replay, op5_wav_peaks, op6_histogram_topk, op7_license_scan, op8_histogram_shards, op9_weak_pii, op10_bayes_quality, op13_word_runs)
+    own = (op1_simhash_pivot, op2_bounded_packing, op3_line_runs, op4_merge_replay, op5_wav_peaks, op6_histogram_topk, op7_license_scan, op8_histogram_shards, op9_weak_pii, op10_bayes_quality, op11_piece_agenda, op13_word_runs)
     return {f.__name__: f for f in own}
 
 
