@@ -19,6 +19,7 @@ from strideframe.llm.quality import score_quality
 from strideframe.llm.runs import periodic_runs
 from strideframe.llm.sharding import shard_by_bytes
 from strideframe.llm.simhash import near_duplicates
+from strideframe.llm.spelling import spelling_variants
 from strideframe.llm.topk import top_k
 
 
@@ -83,6 +84,10 @@ def op11_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), min_length=7, min_count=2, times=10, plant=True)
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(_table(spark, sf_dir, "documents"), plant=True, outputs=("n_runs", "best", "runs_sha256", "collapsed_sha256"))
     milli = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period"))
@@ -90,7 +95,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash_pivot, op2_bounded_packing, op3_line_runs, op4_merge_replay, op5_wav_peaks, op6_histogram_topk, op7_license_scan, op8_histogram_shards, op9_weak_pii, op10_bayes_quality, op11_piece_agenda, op13_word_runs)
+    own = (op1_simhash_pivot, op2_bounded_packing, op3_line_runs, op4_merge_replay, op5_wav_peaks, op6_histogram_topk, op7_license_scan, op8_histogram_shards, op9_weak_pii, op10_bayes_quality, op11_piece_agenda, op12_spelling_forms, op13_word_runs)
     return {f.__name__: f for f in own}
 
 
@@ -123,6 +128,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: The checksum is taken byte by byte from its table; near words agree where one letter is left out.
+_OP12_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) ORDER BY b) AS v FROM range(256) AS r(b)),
+u AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM u WHERE length(run) >= 7 GROUP BY doc_id, run),
+b AS (SELECT r.*, list_transform(range(strlen(hex(encode(s))) // 2), lambda i: ('0x' || substr(hex(encode(s)), CAST(2 * i + 1 AS INTEGER), 2))::UBIGINT) AS bytes FROM r),
+h AS (SELECT run, c, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, x: xor(a // 256, t.v[CAST(xor(a % 256, x) AS INTEGER) + 1]))) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM h GROUP BY word),
+v AS MATERIALIZED (SELECT word, n FROM w WHERE length(word) >= 7 AND n >= 2),
+d AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+m AS (SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest FROM d),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM m a JOIN m b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT m.word, v.word, v.n FROM m JOIN v ON m.rest = v.word UNION SELECT v.word, m.word, m.n FROM m JOIN v ON m.rest = v.word),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(g.n_near, 0) AS n_near,
+  CASE WHEN g.most >= 10 * v.n THEN (SELECT min(p.near) FROM p WHERE p.word = v.word AND p.near_n = g.most) END AS form, CASE WHEN g.most >= 10 * v.n THEN g.most END AS form_n FROM v LEFT JOIN g ON v.word = g.word),
+c AS (SELECT word AS first, word, form FROM f UNION ALL SELECT c.first, f.word, f.form FROM c JOIN f ON f.word = c.form)
+SELECT f.word, f.form, c.word AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.first = f.word AND c.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_runs": _OP3_SQL, "op6_histogram_topk": _OP6_SQL}
+    return {"op3_line_runs": _OP3_SQL, "op6_histogram_topk": _OP6_SQL, "op12_spelling_forms": _OP12_SQL}
