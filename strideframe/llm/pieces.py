@@ -2,10 +2,11 @@
 
 A text is normalized and cut before each row of word starts: no piece of the vocabulary holds a
 word start after another character (looked up when the model is loaded; a model that has such a
-piece gets whole texts), so no merge crosses a cut. The agenda of a unit is a heap of its adjacent
+piece gets whole texts), so no merge crosses a cut. The agenda of a unit are its adjacent
 symbol pairs that form a piece, best score first, then leftmost. The top pair is joined and its two
-new neighbours enter; pairs that one of their symbols has left are passed over. Symbols that are no
-piece become bytes. Every unit is encoded once while a worker remembers it, and all new units of
+new neighbours enter; pairs that one of their symbols has left are passed over. Short units, nearly
+all, have their agendas side by side in arrays, and each takes its top pair in the same round; long
+ones have a heap each. Symbols that are no piece become bytes. Every unit is encoded once while a worker remembers it, and all new units of
 some texts are held against the sentencepiece library together.
 """
 
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame
 from strideframe.llm._common import text_rows
 
 #: Units that a worker remembers at a time, and characters of texts that are encoded together.
-KNOWN_UNITS = 400_000
+KNOWN_UNITS = 1_200_000
 BATCH_CHARS = 2_000_000
+#: Characters of a unit that is merged beside others (a longer one has a heap), and the rank of a pair that forms no piece.
+SHORT, NO_PIECE = 40, 1 << 60
 #: Stands for a blank within pieces.
 BLANK = "▁"
 #: Fixed values of the model's format: the merge type, and the kinds of pieces.
@@ -53,6 +56,16 @@ class PieceAgenda:
         order = {score: at for at, score in enumerate(sorted({s for _, _, s in normal}, reverse=True))}
         self.ids = {piece: i for i, piece, _ in normal}
         self.ranks = {piece: order[score] for _, piece, score in normal}
+        most = len(model.pieces)
+        self.span = most + 0x110000
+        self.char = most + np.arange(0x110000, dtype=np.int64)  # a character that is no piece has a symbol of its own
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+        symbol = lambda x: int(self.char[ord(x)]) if len(x) == 1 else self.ids.get(x, -1)
+        cuts = [(symbol(p[:k]), symbol(p[k:]), self.ranks[p], i) for p, i in self.ids.items() for k in range(1, len(p))]
+        pairs = sorted((a * self.span + b, r, i) for a, b, r, i in cuts if a >= 0 and b >= 0)
+        self.pair_keys, self.pair_ranks, self.pair_pieces = np.array(pairs, np.int64).reshape(-1, 3).T.copy()
         self.byte_ids = [i for i, p in enumerate(model.pieces) if p.type == BYTE]
         self.prefix = model.normalizer_spec.add_dummy_prefix
         self.units = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if not any(re.search(f"[^{BLANK}]{BLANK}", p) for _, p, _ in normal) else r"(?s).+").findall
@@ -73,8 +86,75 @@ class PieceAgenda:
             _coders[path] = cls(path)
         return _coders[path]
 
-    def merge(self, unit: str) -> list[int]:
-        """The ids of one unit."""
+    def merge(self, units: list[str]) -> list[list[int]]:
+        """The ids of each unit."""
+        out: list[list[int]] = [[]] * len(units)
+        short = [i for i, u in enumerate(units) if len(u) <= SHORT]
+        symbols, sizes = self._short([units[i] for i in short])
+        ends = np.cumsum(sizes).tolist()
+        flat = symbols.tolist()
+        for i, a, b in zip(short, [0, *ends], ends, strict=False):
+            out[i] = flat[a:b]
+        for i, unit in enumerate(units):
+            if len(unit) > SHORT:
+                out[i] = [self.char[ord(x)] if len(x) == 1 else self.ids[x] for x in self._long(unit)]
+        # Symbols that are no piece become bytes.
+        most = len(self.surface)
+        for i in {*np.searchsorted(ends, np.flatnonzero(symbols >= most), "right").tolist()}:
+            out[short[i]] = self._bytes(out[short[i]])
+        return [self._bytes(x) if len(u) > SHORT else x for u, x in zip(units, out, strict=True)]
+
+    def _bytes(self, symbols: list[int]) -> list[int]:
+        most = len(self.surface)
+        return [int(y) for x in symbols for y in ([x] if x < most else [self.byte_ids[b] for b in chr(x - most).encode()])]
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of the pairs of symbols; ``NO_PIECE`` where they form none."""
+        keys = left * self.span + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_PIECE), self.pair_pieces[at]
+
+    def _short(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All units side by side: in each round every unit takes the first of its agenda."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        symbols = self.char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        final, owner = [], np.repeat(np.arange(len(units)), sizes)
+        # The agenda: rank and piece of each symbol with its right neighbour, none at the end of a unit.
+        rank, piece = np.full(len(symbols), NO_PIECE), np.zeros(len(symbols), np.int64)
+
+        def renew(at: np.ndarray) -> None:
+            inner = at[(at >= 0) & (at + 1 < len(symbols))]
+            inner = inner[owner[inner] == owner[inner + 1]]
+            rank[at[at >= 0]] = NO_PIECE
+            rank[inner], piece[inner] = self._pairs(symbols[inner], symbols[inner + 1])
+
+        renew(np.arange(len(symbols)))
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rank, starts)
+            each = np.repeat(best, np.diff(np.append(starts, len(symbols))))
+            # Units without a pair leave.
+            done = each >= NO_PIECE
+            if done.any():
+                final.append((owner[done], symbols[done]))
+                symbols, owner, rank, piece, each = symbols[~done], owner[~done], rank[~done], piece[~done], each[~done]
+            hits = np.flatnonzero(rank == each)
+            hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])] if len(hits) else hits
+            symbols[hits] = piece[hits]
+            stay = np.ones(len(symbols), bool)
+            stay[hits + 1] = False
+            hits -= np.arange(len(hits))  # so many symbols before have gone
+            symbols, owner, rank, piece = symbols[stay], owner[stay], rank[stay], piece[stay]
+            renew(hits)
+            before = hits - 1
+            before = before[before >= 0]
+            renew(before[owner[before] == owner[before + 1]])
+        if not final:
+            return np.zeros(0, np.int64), np.zeros(len(units), np.int64)
+        owners, values = (np.concatenate(x) for x in zip(*final, strict=True))
+        return values[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(units))
+
+    def _long(self, unit: str) -> list[str]:
         ranks, n = self.ranks, len(unit)
         symbols: list[str | None] = list(unit)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -95,16 +175,11 @@ class PieceAgenda:
                     heapq.heappush(agenda, (r, i, size + len(symbols[after])))
             if before >= 0 and (r := ranks.get(symbols[before] + joined)) is not None:
                 heapq.heappush(agenda, (r, before, size + len(symbols[before])))
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol is not None:
-                found = self.ids.get(symbol)
-                out += [found] if found is not None else [self.byte_ids[b] for b in symbol.encode()]
-        return out
+        return [x for x in symbols if x is not None]
 
     def learn(self, units: list[str]) -> None:
         """Encode new units and hold them against the library, all in one call."""
-        made = [self.merge(u) for u in units]
+        made = self.merge(units)
         # The library puts a blank of its own before each text, but for an empty one.
         texts = [(u[1:] if self.prefix else u).replace(BLANK, " ") for u in units]
         for unit, own, theirs in zip(units, made, self.library.encode(texts, num_threads=1), strict=True):

@@ -75,7 +75,7 @@ def test_small_batches_and_memory(odd_docs, library, monkeypatch):
 
 def test_a_wrong_unit_is_found():
     coder = PieceAgenda(PATH)
-    coder.ranks.clear()
+    coder.pair_keys -= 1
     with pytest.raises(ValueError, match="disagree"):
         list(coder.encode(["the theatre heard here"]))
 
