@@ -1,12 +1,14 @@
 """Spelling variants of a corpus: words one edit apart, found by blocked Gram matrices of letter counts.
 
-Letters are dealt into groups by how often they occur in the vocabulary, and a word's cell is the
-number of its letters of each group (so its length too). One edit changes at most two counts of
-letters by one: two near words lie in one cell, or in two cells that differ by one letter moved
-between groups or one letter more. Cells are packed into blocks of bounded size; a block visits the
-cells on one side of its own, so that each pair of cells meets once. Where blocks meet, a NumPy product of
-their letter counts (the Gram matrix) gives all squared distances; pairs at most two apart stay and
-their edit is verified letter by letter. More groups for a larger vocabulary keep cells small.
+Letters are dealt into groups by how often they occur in the vocabulary. One edit changes at most
+two counts of letters by one, so the counts of two near words by group differ by one letter moved
+between groups, one letter more, or not at all. The counts of the first few groups are the cell of
+a word on Spark's side: cells are cut into blocks of bounded size, and a block visits the cells on
+one side of its own, so that each pair of blocks meets once. Where blocks meet, the counts of all groups
+part their words further (lengths too), and a NumPy product of the letter counts of each such part
+(the Gram matrix) with those of the parts around it gives all squared distances; pairs at most two
+apart stay, and their edit is verified letter by letter. More groups for a larger vocabulary keep
+cells and parts small.
 """
 
 from __future__ import annotations
@@ -19,11 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column, join_hot, release, stage
-
-#: Words of a block, and visiting words that are multiplied with one at a time.
-BLOCK_WORDS = 1024
-VISITORS = 4096
+from strideframe.llm._common import column, join_hot, stage
+
+#: Words of a block, words that travel in a row, visiting words that meet a block at a time, and columns of a product.
+BLOCK_WORDS = 16_384
+ROW_WORDS = 1024
+VISITORS = 65_536
+COLUMNS = 8192
+#: Groups of letters beyond those of a cell, by which the words of a block are parted.
+FINER = 5
+#: Longer words are verified one by one.
+LONG = 64
 #: Letters that make words, and the one case that is folded.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = LOWER + "".join(map(chr, range(0xC0, 0x100)))
@@ -35,80 +43,128 @@ _column_of = np.zeros(256, np.int64)
 _column_of[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Code points of words of one length, a row each."""
-    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
-
-
-def _counts(codes: np.ndarray) -> np.ndarray:
-    """How often each word has each letter; exact in the products, which stay below 2**24 or 2**53."""
-    n, length = codes.shape
-    flat = (np.arange(n)[:, None] * len(LETTERS) + _column_of[codes]).ravel()
-    return np.bincount(flat, minlength=n * len(LETTERS)).reshape(n, -1).astype(np.float32 if length < 4000 else np.float64)
-
-
-def _one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a != b).sum(1) == 1
-
-
-def _one_more(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether a row of ``a`` is the shorter row of ``b`` with one letter put in."""
-    n = b.shape[1]
-    lead = np.where((d := a[:, :-1] != b).any(1), d.argmax(1), n)
-    trail = np.where((d := (a[:, 1:] != b)[:, ::-1]).any(1), d.argmax(1), n)
-    return lead + trail >= n
-
-
-def near_pairs(home: np.ndarray, visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``home`` and ``visitors`` (words of the same length or one less) whose words are one edit apart."""
-    a, b = _counts(home), _counts(visitors)
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    i, j = np.nonzero(squared <= 2)
-    verify = _one_replaced if home.shape[1] == visitors.shape[1] else _one_more
-    step = max(1, 4_000_000 // home.shape[1])
-    good = [verify(home[i[k : k + step]], visitors[j[k : k + step]]) for k in range(0, len(i), step)]
-    good = np.concatenate([np.zeros(0, bool), *good])
+class Block:
+    """Words with their occurrences in the order of their parts: letter counts, and the places where each part begins."""
+
+    def __init__(self, words: list[str], n: np.ndarray, groups: np.ndarray, weights: np.ndarray) -> None:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = _column_of[np.frombuffer("".join(words).encode("latin-1"), np.uint8)]
+        counts = np.bincount(np.repeat(np.arange(len(words)), sizes) * len(LETTERS) + letters, minlength=len(words) * len(LETTERS)).reshape(len(words), -1)
+        # A part's number is linear in the counts by group, so that one letter moved adds a constant.
+        key = counts @ weights[groups]
+        order = np.argsort(key, kind="stable")
+        self.words, self.n, self.sizes = np.array(words, object)[order], n[order], sizes[order]
+        # Products of counts are whole numbers and exact below 2**24 (or 2**53).
+        self.counts = counts[order].astype(np.float32 if sizes.max() < 4000 else np.float64)
+        self.squares = (self.counts * self.counts).sum(1)
+        self.keys, self.starts = np.unique(key[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(words))
+        short = np.minimum(self.sizes, LONG)
+        places = np.arange(short.sum()) - np.repeat(np.cumsum(short) - short, short)
+        self.codes = np.zeros((len(words), LONG), np.uint8)
+        self.codes[np.repeat(np.arange(len(words)), short), places] = np.frombuffer("".join([w[:LONG] for w in self.words]).encode("latin-1"), np.uint8)
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one inserted, deleted or replaced letter parts two different words."""
+    if len(a) > len(b):
+        a, b = b, a
+    lead = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a != b and (a[lead + 1 :] == b[lead + 1 :] if len(a) == len(b) else a[lead:] == b[lead + 1 :])
+
+
+def _verified(home: Block, i: np.ndarray, guest: Block, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs are one edit apart."""
+    good, more = np.zeros(len(i), bool), home.sizes[i] - guest.sizes[j]
+    long = (home.sizes[i] > LONG) | (guest.sizes[j] > LONG)
+    good[long] = [one_edit(x, y) for x, y in zip(home.words[i[long]], guest.words[j[long]], strict=True)]
+    for step in range(0, len(i), 100_000):
+        at = np.arange(step, min(step + 100_000, len(i)))
+        same = at[(more[at] == 0) & ~long[at]]
+        good[same] = (home.codes[i[same]] != guest.codes[j[same]]).sum(1) == 1
+        for sign, longer, x, shorter, y in ((1, home, i, guest, j), (-1, guest, j, home, i)):
+            one = at[(more[at] == sign) & ~long[at]]
+            a, b = longer.codes[x[one]], shorter.codes[y[one]]
+            # Up to the first difference both agree; from there on the longer one is a place behind.
+            lead = np.cumprod(a == b, 1, dtype=np.uint8)
+            shifted = np.concatenate([a[:, 1:], np.zeros((len(a), 1), np.uint8)], 1) == b
+            good[one] = ((lead == 1) | shifted).all(1)
+    return good
+
+
+def near_pairs(home: Block, guest: Block, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``home`` and ``guest`` of words one edit apart, in parts that differ by one of ``moves``."""
+    wanted = guest.keys[:, None] + moves[None, :]
+    found = np.minimum(np.searchsorted(home.keys, wanted), len(home.keys) - 1)
+    of_guest, which = np.nonzero(home.keys[found] == wanted)
+    of_home = found[of_guest, which]
+    order = np.argsort(of_home, kind="stable")
+    of_home, of_guest = of_home[order], of_guest[order]
+    # The guests of each part, one part after the other.
+    sizes = guest.ends[of_guest] - guest.starts[of_guest]
+    upto = np.cumsum(sizes)
+    guests = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - sizes - guest.starts[of_guest], sizes)
+    parts, first = np.unique(of_home, return_index=True)
+    bounds = np.append(0, upto)[np.append(first, len(of_home))].tolist() if len(parts) else [0]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part, a, b in zip(parts.tolist(), bounds, bounds[1:], strict=False):
+        start, end = home.starts[part], home.ends[part]
+        for k in range(a, b, COLUMNS):
+            some = guests[k : min(b, k + COLUMNS)]
+            squared = home.squares[start:end, None] + guest.squares[some][None, :] - 2 * (home.counts[start:end] @ guest.counts[some].T)
+            i, j = np.nonzero(squared <= 2)
+            left.append(i + start)
+            right.append(some[j])
+    i, j = np.concatenate(left), np.concatenate(right)
+    if home is guest:  # a part meets itself from both sides
+        once = (i < j) | (np.searchsorted(home.starts, i, "right") != np.searchsorted(home.starts, j, "right"))
+        i, j = i[once], j[once]
+    good = _verified(home, i, guest, j)
     return i[good], j[good]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near words of blocks and their visitors: ``a``, ``a_n``, ``b``, ``b_n``."""
-    names = ["a", "a_n", "b", "b_n"]
-
-    class Block:
-        def __init__(self, words: str, counts: pa.ListScalar) -> None:
-            self.list = words.split("\n")
-            self.words, self.n, self.codes = np.array(self.list, object), counts.values.to_numpy(), _codes(self.list)
-
-    def products(home: Block, guests: list[tuple[bool, str, pa.ListScalar]]) -> Iterator[pa.RecordBatch]:
-        blocks = [(own, Block(words, counts)) for own, words, counts in guests]
-        for length in {g.codes.shape[1] for _, g in blocks}:
-            some = [(own, g) for own, g in blocks if g.codes.shape[1] == length]
-            i, j = near_pairs(home.codes, np.concatenate([g.codes for _, g in some]))
-            if not len(i):
-                continue
-            words, n = np.concatenate([g.words for _, g in some]), np.concatenate([g.n for _, g in some])
-            own = np.repeat([o for o, _ in some], [len(g.list) for _, g in some])
-            # Blocks of one cell meet from both sides: each pair counts from its first word.
-            once = ~own[j] | (home.words[i] < words[j])
-            i, j = i[once], j[once]
-            yield pa.RecordBatch.from_arrays([pa.array(home.words[i], pa.string()), pa.array(home.n[i], pa.int64()), pa.array(words[j], pa.string()), pa.array(n[j], pa.int64())], names)
-
-    now, home, guests, size = None, None, [], 0
-    for batch in batches:
-        key, home_words, home_n, own, words, n = batch.columns
-        for r in range(batch.num_rows):
-            at = key[r].as_py()
-            if at != now or size >= VISITORS:
-                if guests:
-                    yield from products(home, guests)
-                guests, size = [], 0
-                if at != now:
-                    now, home = at, Block(home_words[r].as_py(), home_n[r])
-            guests.append((own[r].as_py(), words[r].as_py(), n[r]))
-            size += len(n[r])
-    if guests:
-        yield from products(home, guests)
+def _met(groups: list[str]):
+    """Near words of blocks and their visitors (rows of ``key``, ``visits``, ``words``, ``ns`` in this order): ``a``, ``a_n``, ``b``, ``b_n``."""
+    group_of = np.array([next(k for k, g in enumerate(groups) if c in g) for c in LETTERS])
+    weights = np.random.default_rng(1).integers(1 << 40, 1 << 56, len(groups))  # fixed, so that every task has the same
+    one_side = np.unique(np.concatenate([[0], weights, [b - a for k, a in enumerate(weights) for b in weights[k + 1 :]]]))
+    every = np.unique(np.concatenate([one_side, -one_side]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows: list[tuple[str, pa.ListScalar]]) -> Block:
+            return Block([w for words, _ in rows for w in words.split("\n")], np.concatenate([n.values.to_numpy() for _, n in rows]), group_of, weights)
+
+        def products(a: Block, b: Block, moves: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j = near_pairs(a, b, moves)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(a.words[i], pa.string()), pa.array(a.n[i], pa.int64()), pa.array(b.words[j], pa.string()), pa.array(b.n[j], pa.int64())], ["a", "a_n", "b", "b_n"])
+
+        now, own, home, guests, size = None, [], None, [], 0
+        for batch in batches:
+            keys, visits = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for r, (key, visiting) in enumerate(zip(keys, visits, strict=True)):
+                if guests and (key != now or size >= VISITORS):
+                    yield from products(home, block(guests), every)
+                    guests, size = [], 0
+                if (key != now or visiting) and own:  # the block is whole
+                    home, own = block(own), []
+                    yield from products(home, home, one_side)
+                if key != now and visiting:  # no word fell into this block
+                    home = None
+                now = key
+                row = (batch.column(2)[r].as_py(), batch.column(3)[r])
+                if not visiting:
+                    own.append(row)
+                elif home is not None:
+                    guests.append(row)
+                    size += len(row[1])
+        if own:
+            home = block(own)
+            yield from products(home, home, one_side)
+        if guests:
+            yield from products(home, block(guests), every)
+
+    return run
 
 
 def count_words(docs: DataFrame, id_col: str, text_col: str, min_length: int, min_count: int, plant: bool) -> DataFrame:
@@ -137,33 +193,35 @@ def _groups(words: DataFrame, count: int) -> list[str]:
 
 def near_words(words: DataFrame, total: int) -> DataFrame:
     """All pairs of ``words`` (distinct, with ``n``; staged) that are one edit apart, once each: ``a``, ``a_n``, ``b``, ``b_n``."""
-    count = max(3, math.ceil(math.log2(max(1, total) / 4096))) if total > 4096 else 3
-    groups = _groups(words, count)
+    count = max(1, math.ceil(math.log(max(1, total) / BLOCK_WORDS, 3)))
+    groups = _groups(words, count + FINER)
+    names = [f"c{k}" for k in range(count)]
 
     def cell(counts: list[Column]) -> Column:
         return F.concat_ws(",", *[c.cast("string") for c in counts])
 
     # A translation without a counterpart deletes: what is left are the letters of the group.
-    sizes = [F.length(F.translate("word", "".join(g for g in groups if g is not group), "")).cast("int") for group in groups]
-    celled = stage(words.select("word", "n", *[s.alias(f"c{k}") for k, s in enumerate(sizes)]).withColumn("cell", cell([F.col(f"c{k}") for k in range(count)])), "cells")
-    held = stage(celled.groupBy("cell").agg(F.count("*").alias("held")).withColumn("chunks", F.ceil(F.col("held") / BLOCK_WORDS).cast("int")), "cell_sizes")
-    chunked = join_hot(celled, held, ["cell"], "held").withColumn("chunk", F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int"))
-    blocks = chunked.groupBy("cell", "chunk").agg(F.collect_list(F.struct("word", "n")).alias("w"), *[F.first(f"c{k}").alias(f"c{k}") for k in range(count)])
-    blocks = stage(blocks.select("cell", "chunk", *[f"c{k}" for k in range(count)], F.array_join("w.word", "\n").alias("words"), F.col("w.n").alias("ns")), "blocks")
+    sizes = [F.length(F.translate("word", "".join(g for g in groups if g is not group), "")).cast("int").alias(c) for group, c in zip(groups, names, strict=False)]
+    celled = words.select("word", "n", *sizes).withColumn("cell", cell([F.col(c) for c in names]))
+    held = celled.groupBy("cell").agg(F.count("*").alias("held")).withColumn("chunks", F.ceil(F.col("held") / BLOCK_WORDS).cast("int"))
+    held = stage(held.withColumn("rows", F.ceil(F.col("held") / F.col("chunks") / ROW_WORDS).cast("int")), "cells")
+    mark = F.xxhash64("word")
+    chunked = join_hot(celled, held, ["cell"], "held").withColumn("chunk", F.pmod(mark, F.col("chunks")).cast("int")).withColumn("row", F.pmod(F.shiftright(mark, 32), F.col("rows")))
+    rows = chunked.groupBy("cell", "chunk", "row").agg(F.collect_list(F.struct("word", "n")).alias("w"), *[F.first(c).alias(c) for c in names])
+    blocks = stage(rows.select("cell", "chunk", *names, F.array_join("w.word", "\n").alias("words"), F.col("w.n").alias("ns")), "blocks")
 
     def moved(more: int | None, less: int | None) -> Column:
-        return cell([F.col(f"c{k}") + (int(k == more) - int(k == less)) for k in range(count)])
-
-    targets = [moved(k, None) for k in range(count)] + [F.when(F.col(f"c{a}") > 0, moved(b, a)) for a in range(count) for b in range(a + 1, count)]
-    visits = blocks.select(F.explode(F.array(F.struct(F.col("cell").alias("to"), F.lit(True).alias("own")), *[F.struct(t.alias("to"), F.lit(False).alias("own")) for t in targets])).alias("v"), "words", "ns")
-    visits = visits.select(F.col("v.to").alias("cell"), F.col("v.own").alias("own"), "words", "ns").filter("cell IS NOT NULL")
-    # Rows are blocks here: a cell has few, and every block of it is a key of its own.
-    visits = visits.join(held.select("cell", "chunks"), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    homes = blocks.select("cell", "chunk", F.col("words").alias("home_words"), F.col("ns").alias("home_ns"))
-    meet = visits.join(homes, ["cell", "chunk"]).select(F.concat_ws("/", "cell", "chunk").alias("key"), "home_words", "home_ns", "own", "words", "ns")
-    out = stage(meet.mapInArrow(_met, "a string, a_n long, b string, b_n long"), "near_words")
-    release(celled, held, blocks)
-    return out
+        return cell([F.col(c) + (int(k == more) - int(k == less)) for k, c in enumerate(names)])
+
+    targets = [moved(k, None) for k in range(count)] + [F.when(F.col(names[a]) > 0, moved(b, a)) for a in range(count) for b in range(a + 1, count)]
+    # Of the blocks of its own cell, a block visits those after it.
+    to = F.array(F.struct(F.col("cell").alias("to"), (F.col("chunk") + 1).alias("since")), *[F.struct(t.alias("to"), F.lit(0).alias("since")) for t in targets])
+    visits = blocks.select(F.explode(to).alias("v"), "words", "ns").select(F.col("v.to").alias("cell"), "v.since", "words", "ns").filter("cell IS NOT NULL")
+    # Rows are hundreds of words here: a cell has few, and every block of it is a key of its own.
+    visits = visits.join(held.select("cell", "chunks"), "cell").filter("since < chunks").withColumn("chunk", F.explode(F.sequence("since", F.col("chunks") - 1)))
+    both = [df.select(F.concat_ws("/", "cell", "chunk").alias("key"), F.lit(visiting).alias("visits"), "words", "ns") for df, visiting in ((blocks, False), (visits, True))]
+    meet = both[0].unionByName(both[1]).repartition("key").sortWithinPartitions("key", "visits")
+    return meet.mapInArrow(_met(groups), "a string, a_n long, b string, b_n long")
 
 
 def spelling_variants(

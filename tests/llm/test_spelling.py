@@ -58,13 +58,24 @@ def found(df):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.integers(1, 8), st.booleans(), st.data())
-def test_pairs_of_two_blocks(length, shorter, data):
-    word = lambda n: st.text("abÿ×", min_size=n, max_size=n)
-    a = data.draw(st.lists(word(length + 1), min_size=1, max_size=8))
-    b = data.draw(st.lists(word(length if shorter else length + 1), min_size=1, max_size=8))
-    i, j = near_pairs(S._codes(a), S._codes(b))
-    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(x, y) for x in range(len(a)) for y in range(len(b)) if near(a[x], b[y])]
+@given(st.lists(st.text("abÿ×", min_size=1, max_size=9), min_size=1, max_size=30, unique=True), st.integers(1, 40), st.integers(1, 5))
+def test_pairs_of_a_block_and_its_visitor(words, cut, count):
+    groups = np.arange(90) % count
+    weights = np.random.default_rng(0).integers(1 << 40, 1 << 56, count)
+    moves = np.unique([0, *weights, *-weights, *(a - b for a in weights for b in weights)])
+    sides = [x for x in (words[:cut], words[cut:]) if x]
+    blocks = [S.Block(x, np.ones(len(x), np.int64), groups, weights) for x in sides]
+    pairs = lambda a, b, m: sorted(tuple(sorted((a.words[i], b.words[j]))) for i, j in zip(*near_pairs(a, b, m), strict=True))
+    if len(blocks) == 2:
+        assert pairs(*blocks, moves) == sorted(tuple(sorted((x, y))) for x in sides[0] for y in sides[1] if near(x, y))
+    half = np.unique([0, *weights, *(b - a for k, a in enumerate(weights) for b in weights[k + 1 :])])
+    assert pairs(blocks[0], blocks[0], half) == sorted((x, y) for x in sides[0] for y in sides[0] if x < y and near(x, y))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=6), st.text("ab", max_size=6))
+def test_one_edit(a, b):
+    assert S.one_edit(a, b) == near(a, b)
 
 
 def test_query_against_plain_loops(spark, sf_dir):
@@ -77,6 +88,8 @@ def test_query_against_plain_loops(spark, sf_dir):
 def test_chains_ties_and_blocks_of_two(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_WORDS", 2)
     monkeypatch.setattr(S, "VISITORS", 3)
+    monkeypatch.setattr(S, "ROW_WORDS", 1)
+    monkeypatch.setattr(S, "COLUMNS", 2)
     rng = random.Random(3)
     counts = {"abcdefgh": 2000, "abcdefg": 100, "abcdefgi": 100, "abcdefi": 9, "bcdefgh": 9, "ßbcdefi": 2, "abcdéfi": 1}
     for _ in range(300):  # few letters: many words of one cell
@@ -106,5 +119,13 @@ def test_empty_table_and_parameters(no_docs):
         spelling_variants(no_docs, times=1)
 
 
+def test_words_longer_than_the_matrix(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdef") for _ in range(n)) for n in (62, 63, 64, 65, 66, 130) for _ in range(3)]
+    words = base + [w[:k] + c + w[k + d :] for w in base for k, c, d in ((0, "z", 0), (len(w), "z", 0), (len(w) // 2, "", 1), (len(w) - 1, "q", 1), (63, "k", 1))]
+    docs = [(1, " ".join(words + words + base * 20))]
+    assert found(spelling_variants(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
+
+
 def test_letters():
     assert len(set(LETTERS)) == 90 and np.array_equal(S._column_of[[ord(c) for c in LETTERS]], np.arange(90))
