@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import arrays as A
+from strideframe.operators.quantiles import percentiles
 
 #: Bounds of the F1 tiers and of the verdicts.
 TIERS = ((0.8, "excellent"), (0.6, "good"), (0.4, "fair"))
@@ -178,7 +179,9 @@ def error_summary(preds: DataFrame, y: str = "gloss_gt", yhat: str = "gloss_pred
 
 
 def confidence_stats(preds: DataFrame, p: str = "gloss_prob") -> DataFrame:
-    return preds.agg(F.avg(p).alias("mean"), F.percentile(p, 0.5).alias("median"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"), F.percentile(p, 0.25).alias("p25"), F.percentile(p, 0.75).alias("p75"))
+    """Mean, quartiles, deviation and range of ``p``; the quartiles are exact, without all values in one task."""
+    others = [F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max")]
+    return percentiles(preds, [], p, {"median": 0.5, "p25": 0.25, "p75": 0.75}, *others)
 
 
 def accuracy_by_confidence(preds: DataFrame, p: str = "gloss_prob", y: str = "gloss_gt", yhat: str = "gloss_pred", above=(0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import arrays as A
+from strideframe.operators.numbering import dense_number
 
 #: Bits of the hash that make a slice of a class.
 SLICE_BITS = 12
@@ -60,31 +62,54 @@ def lookup_labels(df: DataFrame, ref: DataFrame, id_col: str, key: str, name: st
     return df.join(names, F.col(id_col) == F.col("_k"), "left").withColumn(out, F.coalesce("_n", F.lit("Unknown"))).drop("_k", "_n")
 
 
+def contains_any(text: Column, words: list[str]) -> Column:
+    """Whether ``text`` holds one of ``words``: one automaton of all words, built once a worker, reads each text once."""
+    words = sorted(set(words))
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for word in filter(None, words):
+            automaton.add_word(word)
+        automaton.make_automaton()
+        every = "" in words
+        return texts.map(lambda t: t is not None and (every or next(automaton.iter(t), None) is not None)).astype(bool)
+
+    return found(text)
+
+
 def restrict_pairs(labels: DataFrame, ref: DataFrame, cats: list | None = None, glosses: list | None = None) -> DataFrame:
-    """Rows whose (cat, gloss) is allowed; lists hold ids or names. An empty list allows all.
+    """Rows whose category and gloss are allowed; lists hold ids or names. An empty list allows all.
 
-    A gloss name that is not in ``ref`` also matches file names that contain it. Names of which
-    none is known raise an error.
+    A gloss name that is not in ``ref`` allows the glosses of all rows whose file name contains it.
+    Category names of which none is known raise an error. Repeated rows stay; rows of a null id are
+    allowed only by an empty list.
     """
 
-    def chosen(values: list | None, key: str, name: str) -> Column:
-        if not values:
-            return F.lit(True)
-        ids, names = [v for v in values if isinstance(v, int)], [v.upper() for v in values if not isinstance(v, int)]
-        return F.col(key).isin(ids) | F.upper(name).isin(names)
-
-    texts = [v.upper() for v in glosses or [] if not isinstance(v, int)]
-    known = {r.n for r in ref.select(F.upper("label").alias("n")).filter(F.col("n").isin(texts)).distinct().collect()} if texts else set()
-    allowed = ref.filter(chosen(cats, "cat_id", "category") & chosen(glosses, "gloss_id", "label")).select(F.col("cat_id").alias("cat"), F.col("gloss_id").alias("gloss")).distinct()
-    named = [v for v in (cats or []) if not isinstance(v, int)]
-    if named and ref.filter(F.upper("category").isin([v.upper() for v in named])).limit(1).count() == 0:
-        raise ValueError(f"no known category in {named}")
-    out = labels.join(allowed, ["cat", "gloss"], "left_semi")
-    unknown = [v for v in texts if v not in known]
-    if unknown:
-        extra = labels.filter(F.exists(F.array(*map(F.lit, unknown)), lambda v: F.contains(F.upper("file"), v)))
-        out = out.unionByName(extra.select(out.columns)).distinct()
-    return out
+    def ids(values: list | None, key: str, name: str) -> tuple[list[int], list[str], list[int]]:
+        """Ids asked for, names asked for, and the ids of known names: as many as were asked for, about."""
+        texts = sorted({v.upper() for v in values or [] if not isinstance(v, int)})
+        wanted = labels.sparkSession.createDataFrame([(t,) for t in texts], "_name string")
+        known = ref.select(F.col(key).alias("id"), F.upper(name).alias("_name")).join(F.broadcast(wanted), "_name").distinct().collect() if texts else []
+        return [v for v in values or [] if isinstance(v, int)], [t for t in texts if t not in {r[0] for r in known}], [r.id for r in known if r.id is not None]
+
+    asked, strange, named = ids(cats, "cat_id", "category")
+    if cats and strange and not asked and not named:
+        raise ValueError(f"no known category in {strange}")
+    out = labels.filter(F.col("cat").isin(asked + named)) if cats else labels
+    if not glosses:
+        return out
+    asked, strange, named = ids(glosses, "gloss_id", "label")
+    spark = labels.sparkSession
+    allowed = spark.createDataFrame([(i,) for i in asked + named], "gloss long")
+    if strange:
+        matched = labels.filter(contains_any(F.upper("file"), strange)).select(F.col("gloss").cast("long").alias("gloss"))
+        allowed = allowed.union(matched).distinct()
+    if not asked and not named and strange and allowed.isEmpty():
+        return out  # nothing is known of any name: it restricts nothing
+    return out.join(allowed, "gloss", "left_semi").select(*labels.columns)
 
 
 def missing_classes(labels: DataFrame, n: int, col: str = "gloss") -> DataFrame:
@@ -150,45 +175,30 @@ def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def number_clips(files: DataFrame, ref: DataFrame, suffix: str = ".MOV") -> DataFrame:
-    """``number`` and ``name`` (clip_NNNN_label): by id, numeric stems first; unknown ids are left out and use no number.
-
-    A number is the files of earlier slices of the order plus a place within the slice. Slices are
-    an id's stems of one kind, length and beginning, so no window spans all rows, nor all of an id.
-    """
-    known = files.join(ref.select(F.col("id"), "label"), "id")
-    stem = F.col("stem").cast("string")
-    value = F.expr("try_cast(stem AS bigint)")
-    digits = F.coalesce(value.cast("string"), F.lit(""))
-    numeric = stem.rlike("^[0-9]+$")
-    known = known.withColumns({"_kind": (~numeric).cast("int"), "_length": F.when(numeric, F.length(digits)).otherwise(0), "_start": F.substring(F.when(numeric, digits).otherwise(stem), 1, 3)})
-    order = ["id", "_kind", "_length", "_start"]
-    slices = known.groupBy(*order).agg(F.count("*").alias("_m"))
-    before = Window.partitionBy("id").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)  # over slices, not rows
-    slices = slices.withColumn("_in_id", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    ids = slices.groupBy("id").agg(F.sum("_m").alias("_m"))
-    whole = Window.partitionBy().orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one row an id
-    ids = ids.select("id", F.coalesce(F.sum("_m").over(whole), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_all"))
-    slices = slices.join(ids, "id").select(*order, (F.col("_before") + F.col("_in_id")).alias("_before"), "_all")
-    own = F.row_number().over(Window.partitionBy(*order).orderBy(value, "stem"))
-    out = known.withColumn("_own", own).join(slices, order)
-    number = F.col("_before") + F.col("_own")
-    width = F.greatest(F.lit(4), F.length(F.col("_all").cast("string")))
-    name = F.concat(F.lit("clip_"), F.lpad(number.cast("string"), width, F.lit("0")), F.lit("_"), A.slugify(F.col("label")), F.lit(suffix))
-    return out.select("id", "stem", number.alias("number"), name.alias("name"))
+    """``number`` and ``name`` (clip_NNNN_label): by id, numeric stems first; unknown ids are left out and use no number."""
+    known = files.join(ref.select(F.col("id"), "label"), "id").select("id", "stem", "label")
+    numeric = F.col("stem").cast("string").rlike("^[0-9]+$")
+    placed = dense_number(known, [F.col("id"), (~numeric).cast("int"), F.expr("try_cast(stem AS bigint)"), F.col("stem")], "number")
+    most = placed.agg(F.max("number").alias("most"))
+    width = F.greatest(F.lit(4), F.length(F.col("most").cast("string")))
+    name = F.concat(F.lit("clip_"), F.lpad(F.col("number").cast("string"), width, F.lit("0")), F.lit("_"), A.slugify(F.col("label")), F.lit(suffix))
+    return placed.crossJoin(F.broadcast(most)).select("id", "stem", "number", name.alias("name"))  # one row
 
 
 def unique_names(files: DataFrame) -> DataFrame:
     """``name``: the stem for its first holder, with 8 digits of md5(path) for later ones."""
-    place = F.row_number().over(Window.partitionBy("stem").orderBy("path"))
-    return files.withColumn("_p", place).withColumn("name", F.when(F.col("_p") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.substring(F.md5(F.col("path").cast("binary")), 1, 8)))).drop("_p")
+    placed = dense_number(files, [F.col("stem"), F.col("path")], "_n")
+    first = placed.groupBy("stem").agg(F.min("_n").alias("_n")).select("_n", F.lit(True).alias("_first"))
+    later = F.concat("stem", F.lit("-"), F.substring(F.md5(F.col("path").cast("binary")), 1, 8))
+    # Numbers are unique: a stem of many rows fills no task.
+    return placed.join(first, "_n", "left").withColumn("name", F.when(F.col("_first"), F.col("stem")).otherwise(later)).select(*files.columns, "name")
 
 
 def encode_categories(labels: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """``col`` as integers: kept where all values are integers, else places in the sorted distinct values; and the mapping."""
     values = labels.select(F.trim(F.col(col).cast("string")).alias("value")).filter("value IS NOT NULL").distinct()
-    textual = values.filter(~F.col("value").rlike("^-?[0-9]+$")).limit(1).count() > 0
-    place = (F.row_number().over(Window.partitionBy().orderBy("value")) - 1) if textual else F.col("value").cast("int")  # over distinct values
-    mapping = values.withColumn("code", place)
+    textual = not values.filter(~F.col("value").rlike("^-?[0-9]+$")).isEmpty()
+    mapping = dense_number(values, [F.col("value")], "code").withColumn("code", F.col("code") - 1) if textual else values.withColumn("code", F.col("value").cast("int"))
     out = labels.join(mapping, F.trim(F.col(col).cast("string")) == F.col("value"), "left").withColumn(col, F.col("code")).drop("value", "code")
     return out, mapping
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import arrays as A
+from strideframe.operators.scans import in_blocks, numbered, own, with_neighbours
 from strideframe.schema import LAYOUT
 
 #: Fixed values: (x from, x to, y from, y to) in which each face landmark is plausible, by its number.
@@ -155,10 +156,11 @@ def consecutive_filter(det: DataFrame, size: int = 5, skips: int = 2, min_conf:
     are. For an even size either of the two windows around a frame is enough.
     """
     half, need = size // 2, size - skips
-    order = Window.partitionBy("clip_id").orderBy("frame_idx")
+    # Windows reach ``half`` rows: blocks with so many rows of their neighbours see all of them.
+    det, order = with_neighbours(numbered(det, ["clip_id"]), half, half), own(["clip_id"], "_i")
     around = order.rowsBetween(-half, half)
     ok = F.col("detected") & (F.col("confidence") >= min_conf)
-    det = det.withColumn("_ok", ok).withColumn("_all", F.count("*").over(Window.partitionBy("clip_id")))
+    det = det.withColumn("_ok", ok)
     spans = [(-half, half)] if size % 2 else [(-half, half - 1), (-half + 1, half)]
     hits = [(F.count("*").over(order.rowsBetween(a, b)) >= size) & (F.count(F.when(F.col("_ok"), 1)).over(order.rowsBetween(a, b)) >= need) for a, b in spans]
     hit = hits[0] if len(hits) == 1 else hits[0] | hits[1]
@@ -168,7 +170,7 @@ def consecutive_filter(det: DataFrame, size: int = 5, skips: int = 2, min_conf:
     kept = F.array_sort(F.filter(F.array_distinct("_list"), lambda n: F.size(F.filter("_list", lambda m: m == n)) >= often))
     short = F.col("_all") < 2
     pick = lambda old, new: F.when(short, F.col(old)).otherwise(new).alias(old)
-    return det.select("clip_id", "frame_idx", pick("detected", F.col("_hit")), pick("regions", kept), pick("confidence", F.col("_conf")))
+    return det.filter("NOT _copy").select("clip_id", "frame_idx", pick("detected", F.col("_hit")), pick("regions", kept), pick("confidence", F.col("_conf")))
 
 
 def occlusion_summary(det: DataFrame) -> DataFrame:
@@ -202,13 +204,24 @@ def majority_vote(counts: DataFrame, size: int = 5, limit: int = 100) -> DataFra
 
 def visibility_run_flag(frames: DataFrame, visible: float = 0.6, share: float = 0.4, run: int = 15) -> DataFrame:
     """Clips with too many frames, or too long a run of frames, in which too few points are visible."""
-    order = Window.partitionBy("clip_id").orderBy("frame_idx")
     seen = F.size(F.filter("mask", lambda v: v)) / F.size("mask")
-    rows = frames.select("clip_id", "frame_idx", (seen < visible).alias("bad")).withColumn("i", F.row_number().over(order))
-    rows = rows.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("clip_id", "bad").orderBy("frame_idx")))
-    runs = rows.groupBy("clip_id", "bad", "island").agg(F.count("*").alias("n"))
+    key, order = ["clip_id", "_block"], own(["clip_id"])
+    rows = in_blocks(frames.select("clip_id", "frame_idx", (seen < visible).alias("bad"))).withColumn("i", F.row_number().over(order))
+    rows = rows.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*key, "bad").orderBy("frame_idx")))
+    runs = rows.groupBy(*key, "bad", "island").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"))
+    # A block's summary: its frames, its bad ones, its longest bad run and those at its two ends.
     bad = F.when(F.col("bad"), F.col("n")).otherwise(0)
-    out = runs.groupBy("clip_id").agg(F.sum("n").alias("frames"), F.sum(bad).alias("bad_frames"), F.max(bad).alias("longest_run"))
+    blocks = runs.groupBy(*key).agg(
+        F.sum("n").alias("n"), F.sum(bad).alias("bad"), F.max(bad).alias("best"),
+        F.max_by(bad, -F.col("first")).alias("head"), F.max_by(bad, "last").alias("tail"),
+    )
+    # A run that goes on through whole blocks grows by them: since the last block that ended it, its tail and those frames.
+    before = Window.partitionBy("clip_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.col("head") == F.col("n")
+    blocks = blocks.withColumn("upto", F.sum(F.when(whole, F.col("n")).otherwise(0)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("open", F.coalesce(F.last("upto").over(before), F.lit(0)) + F.coalesce(F.last(F.when(~whole, F.col("tail") - F.col("upto")), True).over(before), F.lit(0)))
+    longest = F.greatest("best", F.col("open") + F.col("head"))
+    out = blocks.groupBy("clip_id").agg(F.sum("n").alias("frames"), F.sum("bad").alias("bad_frames"), F.max(longest).alias("longest_run"))
     return out.withColumn("occluded", ((F.col("bad_frames") / F.col("frames")) >= share) | (F.col("longest_run") >= run))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import arrays as A
+from strideframe.operators.quantiles import percentiles
+from strideframe.operators.scans import handed_on, in_blocks, own
 
 #: Keypoint pairs whose distance should stay stable.
 BONES = ((5, 7), (7, 9), (6, 8), (8, 10), (11, 13), (13, 15), (12, 14), (14, 16), (5, 6), (5, 11), (6, 12), (11, 12))
@@ -41,23 +43,39 @@ def pad_batch(df: DataFrame, group: str, col: str) -> DataFrame:
 
 
 def downsample(frames: DataFrame, fps: int) -> DataFrame:
-    """Frames whose time reaches the next multiple of 1/``fps``, counting only frames that were kept."""
-    order = Window.partitionBy("clip_id").orderBy("frame_idx")
-    i = F.row_number().over(order)
+    """Frames whose time reaches the next multiple of 1/``fps``, counting only frames that were kept.
+
+    How many are kept up to a frame is its place plus the least slack so far, a running minimum: a
+    block hands on its rows and its least slack, so no task sorts a whole clip.
+    """
+    order = own(["clip_id"])
     step = F.floor(F.col("t_ms") * fps / 1000) + 1
-    frames = frames.withColumn("_i", i).withColumn("_c", step)
-    kept = F.col("_i") + F.least(F.lit(0), F.min(F.col("_c") - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    frames = frames.withColumn("_k", kept)
-    return frames.withColumn("_b", F.lag("_k", 1, 0).over(order)).filter("_k > _b").drop("_i", "_c", "_k", "_b")
+    rows = in_blocks(frames).withColumns({"_i": F.row_number().over(order), "_c": step})
+    rows = rows.withColumn("_low", F.min(F.col("_c") - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    # A block's slack counts its places from 1 on; before it come the rows of earlier blocks.
+    rows = handed_on(rows, ["clip_id"], {"_n": F.count("*"), "_least": F.min(F.col("_c") - F.col("_i"))}, lambda before, _: {
+        "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+        "_past": F.min(F.col("_least") - F.col("_before")).over(before),
+    })
+    kept = lambda i, low: i + F.least(F.lit(0), F.col("_past"), low)
+    rows = rows.withColumn("_k", kept(F.col("_before") + F.col("_i"), F.col("_low") - F.col("_before")))
+    first = kept(F.col("_before"), F.lit(None).cast("long"))
+    return rows.withColumn("_b", F.coalesce(F.lag("_k").over(order), first)).filter("_k > _b").select(*frames.columns)
 
 
 def interpolate_gaps(keypoints: DataFrame, max_gap: int = 5, clamp: bool = False) -> DataFrame:
     """Linear fill of inner gaps of 1 to ``max_gap`` invisible frames; filled points become visible."""
-    order = Window.partitionBy("clip_id", "kp").orderBy("frame_idx")
+    key = ["clip_id", "kp"]
+    order = own(key)
     seen = F.when(F.col("visible"), F.struct(F.col("frame_idx").alias("i"), "x", "y"))
+    # The nearest visible points of other blocks are the last of an earlier and the first of a later one.
+    point = F.struct("frame_idx", F.struct(F.col("frame_idx").alias("i"), "x", "y").alias("p"))
+    ends = {"_head": F.min(F.when(F.col("visible"), point)), "_tail": F.max(F.when(F.col("visible"), point))}
+    rows = handed_on(in_blocks(keypoints), key, ends, lambda before, after: {"_past": F.max("_tail").over(before), "_next": F.min("_head").over(after)})
     before = F.last(seen, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(seen, True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    df = keypoints.withColumn("_p", before).withColumn("_n", after)
+    df = rows.withColumn("_p", F.coalesce(before, F.col("_past.p"))).withColumn("_n", F.coalesce(after, F.col("_next.p")))
     gap = F.col("_n.i") - F.col("_p.i") - 1
     fill = F.coalesce(~F.col("visible") & gap.between(1, max_gap), F.lit(False))
     part = (F.col("frame_idx") - F.col("_p.i")) / (F.col("_n.i") - F.col("_p.i"))
@@ -66,20 +84,29 @@ def interpolate_gaps(keypoints: DataFrame, max_gap: int = 5, clamp: bool = False
         v = F.when(fill, F.col(f"_p.{c}") + (F.col(f"_n.{c}") - F.col(f"_p.{c}")) * part).otherwise(F.col(c))
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) if clamp else v
 
-    return df.withColumns({"x": value("x"), "y": value("y"), "visible": F.col("visible") | fill}).drop("_p", "_n")
+    return df.withColumns({"x": value("x"), "y": value("y"), "visible": F.col("visible") | fill}).select(*keypoints.columns)
+
+
+def steps(keypoints: DataFrame) -> DataFrame:
+    """``v``: the length of each point's step from its frame before, null for the first one and where it is not a number."""
+    key, point = ["clip_id", "kp"], F.struct("x", "y")
+    rows = handed_on(in_blocks(keypoints), key, {"_last": F.max_by(point, "frame_idx")}, lambda before, _: {"_past": F.last("_last").over(before)})
+    was = F.coalesce(F.lag(point).over(own(key)), F.col("_past"))
+    rows = rows.withColumn("_was", was)
+    step = F.sqrt((F.col("x") - F.col("_was.x")) ** 2 + (F.col("y") - F.col("_was.y")) ** 2)
+    return rows.withColumn("v", A.nan_to_null(step)).select(*keypoints.columns, "v")
 
 
 def velocity(keypoints: DataFrame, sigma: float = SPIKE_SIGMA) -> DataFrame:
     """For each clip the 95th percentile and maximum of step lengths, and frames whose largest step is a spike."""
-    order = Window.partitionBy("clip_id", "kp").orderBy("frame_idx")
-    step = F.sqrt((F.col("x") - F.lag("x").over(order)) ** 2 + (F.col("y") - F.lag("y").over(order)) ** 2)
-    steps = keypoints.withColumn("v", A.nan_to_null(step))
+    made = steps(keypoints).select("clip_id", "frame_idx", "v")
     # A clip's steps spread over its frames: a frame's list is bounded by its keypoints.
-    frames = steps.groupBy("clip_id", "frame_idx").agg(F.max("v").alias("top"))
-    spread = frames.groupBy("clip_id").agg((F.percentile("top", 0.5) + sigma * F.stddev_pop("top")).alias("limit"))
+    frames = made.groupBy("clip_id", "frame_idx").agg(F.max("v").alias("top"))
+    middle = percentiles(frames, ["clip_id"], "top", {"middle": 0.5}, F.stddev_pop("top").alias("spread"), counted=keypoints)
+    spread = middle.select("clip_id", (F.col("middle") + sigma * F.col("spread")).alias("limit"))
     spikes = frames.join(spread, "clip_id").groupBy("clip_id").agg(F.count(F.when(F.col("top") > F.col("limit") + SPIKE_SLACK, 1)).alias("vel_spike_frames"))
-    whole = steps.groupBy("clip_id").agg(F.coalesce(F.percentile("v", 0.95), F.lit(0.0)).alias("vel_p95"), F.coalesce(F.max("v"), F.lit(0.0)).alias("vel_max"))
-    return whole.join(spikes, "clip_id")
+    whole = percentiles(made, ["clip_id"], "v", {"vel_p95": 0.95}, F.coalesce(F.max("v"), F.lit(0.0)).alias("vel_max"), counted=keypoints)
+    return whole.withColumn("vel_p95", F.coalesce("vel_p95", F.lit(0.0))).join(spikes, "clip_id")
 
 
 def bone_stability(frames: DataFrame, bones=BONES, limit: float = BONE_Z) -> DataFrame:
@@ -96,9 +123,13 @@ def bone_stability(frames: DataFrame, bones=BONES, limit: float = BONE_Z) -> Dat
 
 def monotonic(frames: DataFrame) -> DataFrame:
     """Whether the times of each clip never decrease."""
-    order = Window.partitionBy("clip_id").orderBy("frame_idx")
-    down = F.coalesce(F.col("t_ms") < F.lag("t_ms").over(order), F.lit(False))
-    return frames.select("clip_id", down.alias("down")).groupBy("clip_id").agg((~F.bool_or("down")).alias("timestamps_monotonic"))
+    down = lambda now, was: F.coalesce(now < was, F.lit(False))
+    rows = in_blocks(frames).select("clip_id", "_block", "frame_idx", "t_ms")
+    rows = rows.withColumn("_down", down(F.col("t_ms"), F.lag("t_ms").over(own(["clip_id"]))))
+    ends = [F.min_by("t_ms", "frame_idx").alias("first"), F.max_by("t_ms", "frame_idx").alias("last"), F.bool_or("_down").alias("inside")]
+    blocks = rows.groupBy("clip_id", "_block").agg(*ends)
+    between = down(F.col("first"), F.lag("last").over(Window.partitionBy("clip_id").orderBy("_block")))
+    return blocks.select("clip_id", (F.col("inside") | between).alias("down")).groupBy("clip_id").agg((~F.bool_or("down")).alias("timestamps_monotonic"))
 
 
 def coverage(frames: DataFrame, low: int = LOW_VISIBLE) -> DataFrame:

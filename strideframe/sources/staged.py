@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: For local sessions that name no shared folder.
 LOCAL_ROOT = "/tmp/checkpoints"
@@ -24,3 +24,10 @@ def staged_folder(spark: SparkSession, name: str, make: bool = False) -> str:
         path = path.removeprefix("file://").removeprefix("file:")
         os.makedirs(path)
     return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: every later reader sees the same rows."""
+    path = staged_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
