@@ -13,8 +13,11 @@ become ids.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
+import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import column, stage, text_rows
+from strideframe.llm._common import column, shared_root, text_rows
 
 #: Characters of text of a batch, and bytes of words that are laid out at a time (a longer word alone).
 BATCH_CHARS = 8_000_000
@@ -38,6 +41,8 @@ MOST_PARTS = 4096
 KNOWN_WORDS = 1_000_000
 #: Batches that a task turns into ids, about.
 BATCHES_A_TASK = 2
+#: Neither a letter nor a number nor white space: stands for characters that only the regex module knows.
+OTHER = "\ue000"
 #: Stands between packed words; no byte of UTF-8.
 BETWEEN = b"\xff"
 
@@ -47,6 +52,32 @@ _ARROW = {"ids": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.in
 _coders: dict[tuple[str, str], MergeReplay] = {}
 
 
+@functools.cache
+def _newer_characters() -> tuple[re.Pattern, re.Pattern]:
+    r"""The characters that are letters or numbers (``\p{L}``, ``\p{N}``) to the regex module but not to tiktoken, whose Unicode tables are older.
+
+    Those of two bytes (a bit map, looked up at once) and those beyond (ranges).
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    extra: set[int] = set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        lists = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        own, theirs = set(regex.findall(kind, every)), set(lists.decode(lists.encode_ordinary(every)))
+        if theirs - own:
+            raise ValueError("the regex module is older than tiktoken: a character can't be made a letter")
+        extra |= set(map(ord, own - theirs))
+
+    def listed(codes: list[int]) -> re.Pattern:
+        starts = [c for c in codes if c - 1 not in extra]
+        ends = [c for c in codes if c + 1 not in extra]
+        return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]") if codes else re.compile("(?!)")
+
+    return listed(sorted(c for c in extra if c < 0x10000)), listed(sorted(c for c in extra if c >= 0x10000))
+
+
 class MergeReplay:
     """Encoder and decoder of one rank file."""
 
@@ -55,7 +86,8 @@ class MergeReplay:
 
         self.ranks = ranks
         self.words = {r: b for b, r in ranks.items()}
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.newer = _newer_characters()
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs: dict[int, int] = {}  # pair of ids -> rank of the merge, -1 for none
         most = max(self.words) + 1
@@ -71,6 +103,13 @@ class MergeReplay:
             _coders[path, pattern] = cls(ranks, pattern)
         return _coders[path, pattern]
 
+    def find(self, text: str) -> list[str]:
+        """The matches of the pattern, with tiktoken's classes of characters."""
+        near, far = self.newer
+        if text.isascii() or not (near.search(text) or (max(text) > "\uffff" and far.search(text))):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(near.sub(OTHER, far.sub(OTHER, text)))]
+
     def rank(self, a: int, b: int) -> int:
         code = a << 32 | b
         found = self.pairs.get(code)
@@ -290,11 +329,15 @@ def encode_documents(
         columns = [pa.array([r[i] for r in made_rows], _ARROW[name]) for i, name in enumerate(outputs)]
         return pa.Table.from_arrays([texts.column("id"), *columns], ["id", *outputs])
 
-    both = stage(text_rows(docs, text_col, id=id_col).mapInArrow(cut, "id long, batch long, codes binary, part int, words binary"), "words")
+    spark = docs.sparkSession
+    tasks = int(max(spark.sparkContext.defaultParallelism, -(-size // (BATCH_CHARS * BATCHES_A_TASK))))
+    # Buckets by batch: the texts, by far the most of it, are read where they were written and never exchanged.
+    rows_of = text_rows(docs, text_col, id=id_col).mapInArrow(cut, "id long, batch long, codes binary, part int, words binary")
+    name = f"merge_replay_{uuid.uuid4().hex}"
+    rows_of.write.bucketBy(tasks, "batch").option("path", f"{shared_root(spark)}/staged/{name}").saveAsTable(name)
+    both = spark.table(name)
     placed = _replayed(both.filter("words IS NOT NULL").select("batch", "part", "words"), parts, ranks_path, pattern)
     texts = both.filter("codes IS NOT NULL").select("id", "batch", "codes", "part")
-    count = texts.agg(F.count_distinct("batch")).first()[0]
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count // BATCHES_A_TASK))
     schema = "id long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs)
-    dealt = texts.repartition(tasks, "batch").groupBy("batch").cogroup(placed.repartition(tasks, "of_batch").groupBy("of_batch"))
+    dealt = texts.groupBy("batch").cogroup(placed.repartition(tasks, "of_batch").groupBy("of_batch"))
     return dealt.applyInArrow(filled, schema).withColumnRenamed("id", id_col)

@@ -39,7 +39,7 @@ def test_query(spark, sf_dir, known):
         assert got.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1000, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab AB\n\t 'st12é_.日  \x1c\x85"), st.characters(codec="utf-8")), max_size=60))
 def test_any_text(text):
     global _known
@@ -51,6 +51,19 @@ def test_any_text(text):
     assert coder.decode(ids) == text.encode()
 
 
+def test_all_characters_in_some_contexts(known):
+    """Every character in one context, and those whose class the regex module sees otherwise in more."""
+    coder = MergeReplay.load(PATH, public_tokenizers.PATTERN)
+    every = list(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    odd = [c for c in every if any(p.search(c) for p in coder.newer)]
+    assert len(odd) > 10_000
+    for around, chars in (("a{}b ", every), ("1{}2 ", odd), (".{}. {}a", odd), ("'{}s {}\n", odd), ("\ue000{}뀀", odd)):
+        texts = ["".join(around.replace("{}", c) for c in chars[i : i + 3000]) for i in range(0, len(chars), 3000)]
+        for text in texts:
+            (ids,) = coder.encode([text])
+            assert ids.tolist() == known.encode_ordinary(text)
+
+
 def test_long_runs():
     coder = MergeReplay.load(PATH, public_tokenizers.PATTERN)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
