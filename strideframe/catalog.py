@@ -969,8 +969,8 @@ def s9_epoch_table(spark, sf):
 
 def _archives(spark, sf) -> str:
     """Archives of all clips, written by the executors."""
-    folder = staged_folder(spark, "archives", make=True)
-    C.write_npz_clips(frames(spark, sf), clip_meta(spark, sf).withColumn("meta", F.lit('{"model_type": "T"}')), folder).write.format("noop").mode("overwrite").save()
+    folder = staged_folder(spark, "archives")
+    C.write_npz_clips(frames(spark, sf), clip_meta(spark, sf).withColumn("meta", F.lit('{"model_type": "T"}')), folder)
     return folder
 
 

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.schema import LAYOUT
+from strideframe.sources.archives import FRAMES, NpzClips, NpzFrames
 
 VIDEO = (".mp4", ".mov", ".avi", ".mkv")
-_DECODED = "path string, issue string, n_frames int, x_width int, mask_width int, x2048_width int, bytes long, meta string, x_type string, mask_type string, t_type string, t_ms array<long>, x array<array<float>>, mask array<array<boolean>>, x2048 array<array<float>>"
 
 
 def list_media(spark: SparkSession, root: str, exts: tuple[str, ...] = VIDEO) -> DataFrame:
@@ -26,63 +19,35 @@ def list_media(spark: SparkSession, root: str, exts: tuple[str, ...] = VIDEO) ->
     return files.select("path", F.col("length").alias("bytes")).filter(ext.isin([e.lower() for e in exts])).dropDuplicates(["path"])
 
 
-def read_npz_clips(spark: SparkSession, path: str, with_cnn: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``clips`` and ``frames`` from .npz archives. One that can't be read is a clip with an ``issue``."""
-
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(name: str, content: bytes) -> dict:
-            out = dict.fromkeys(("issue", "x", "mask", "x2048", "t_ms", "meta", "x_type", "mask_type", "t_type"))
-            out |= {"path": name, "bytes": len(content), "n_frames": 0, "x_width": 0, "mask_width": 0, "x2048_width": 0}
-            try:
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    missing = [k for k in ("X", "mask", "timestamps_ms", "meta") if k not in z.files]
-                    if missing:
-                        return out | {"issue": f"missing key: {missing[0]}"}
-                    x, mask = z["X"], z["mask"]
-                    out |= {"x_type": str(x.dtype), "mask_type": str(mask.dtype), "t_type": str(z["timestamps_ms"].dtype)}
-                    out |= {"x": list(x.astype(np.float32)), "mask": list(mask.astype(bool)), "t_ms": z["timestamps_ms"].astype(np.int64), "meta": str(z["meta"][()]), "n_frames": len(x), "x_width": x.shape[1], "mask_width": mask.shape[1]}
-                    if "X2048" in z.files:
-                        out["x2048_width"] = z["X2048"].shape[1]
-                        if with_cnn:
-                            out["x2048"] = list(z["X2048"].astype(np.float32))
-            except (OSError, ValueError, EOFError, IndexError, KeyError, NotImplementedError, zipfile.BadZipFile, zlib.error) as e:
-                return out | {"issue": f"npz load error: {e}", "x": None, "mask": None, "t_ms": None, "n_frames": 0}
-            return out
-
-        for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                yield pd.DataFrame([one(name, content)])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
-    decoded = files.select("path", "content").mapInPandas(decode, _DECODED)
-    clip = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.npz$", "")
-    clips = decoded.select(clip.alias("clip_id"), "path", "meta", "n_frames", (F.col("x2048_width") > 0).alias("has_x2048"), "bytes", "x_width", "mask_width", "x2048_width", "x_type", "mask_type", "t_type", "issue")
-    zipped = F.arrays_zip("t_ms", "x", "mask", F.coalesce("x2048", F.array().cast("array<array<float>>")).alias("x2048"))
-    frames = decoded.filter("issue IS NULL").select(clip.alias("clip_id"), F.posexplode(zipped).alias("frame_idx", "f"))
-    return clips, frames.select("clip_id", "frame_idx", "f.t_ms", "f.x", "f.mask", "f.x2048")
-
-
-def write_npz(path: str, x: np.ndarray, mask: np.ndarray, t_ms: np.ndarray, meta: dict, x2048: np.ndarray | None = None) -> None:
-    """One archive; for fixtures."""
-    more = {} if x2048 is None else {"X2048": x2048.astype(np.float32)}
-    np.savez(path, X=x.astype(np.float32), mask=mask.astype(bool), timestamps_ms=t_ms.astype(np.int64), meta=np.array(json.dumps(meta)), **more)
+def read_npz_clips(spark: SparkSession, path: str, with_cnn: bool = True, columns: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``clips`` and ``frames`` from .npz archives. One that can't be read is a clip with an ``issue`` and has no frames.
+
+    ``columns`` (of ``FRAMES``) are those that ``frames`` has: the members behind others are not read.
+    """
+    for source in (NpzFrames, NpzClips):
+        spark.dataSource.register(source)
+    kinds = dict(c.strip().split(" ", 1) for c in FRAMES.split(","))
+    wanted = columns or tuple(c for c in kinds if with_cnn or c != "x2048")
+    frames = spark.read.format("npz_frames").schema(", ".join(f"{c} {kinds[c]}" for c in wanted)).load(path)
+    if not columns and not with_cnn:
+        frames = frames.withColumn("x2048", F.lit(None).cast("array<float>"))
+    return spark.read.format("npz_clips").load(path), frames
 
 
 def write_npz_clips(frames: DataFrame, meta: DataFrame, folder: str) -> DataFrame:
-    """One archive for each clip in a folder that all executors reach by the same path: ``clip_id``, ``path``, ``n_frames``.
+    """One archive for each clip below ``folder``, on a file system that all executors reach: ``clip_id``, ``path``, ``n_frames``.
 
-    A clip's frames meet in one task, as they do in its file. ``meta`` has ``clip_id`` and JSON text.
+    A clip's frames meet in one task, as they do in its file; files show up when all are written
+    (see ``archives``). ``meta`` has ``clip_id`` and JSON text.
     """
-
-    def write(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame_idx")
-        name = str(part["clip_id"].iloc[0])
-        path = f"{folder}/{name}.npz"
-        x2048 = np.stack(part["x2048"].to_list()) if "x2048" in part and part["x2048"].notna().all() else None
-        write_npz(path, np.stack(part["x"].to_list()), np.stack(part["mask"].to_list()), part["t_ms"].to_numpy(), json.loads(part["meta"].iloc[0] or "{}"), x2048)
-        return pd.DataFrame({"clip_id": [name], "path": [path], "n_frames": [len(part)]})
-
-    return frames.join(meta.select("clip_id", "meta"), "clip_id", "left").groupBy("clip_id").applyInPandas(write, "clip_id string, path string, n_frames int")
+    spark = frames.sparkSession
+    spark.dataSource.register(NpzFrames)
+    ready = frames.join(meta.select("clip_id", "meta"), "clip_id", "left").withColumn("clip_id", F.col("clip_id").cast("string"))
+    columns = [c for c in ("clip_id", "frame_idx", "t_ms", "x", "mask", "x2048", "meta") if c in ready.columns]
+    kinds = {"t_ms": "long", "x": "array<float>", "mask": "array<boolean>", "x2048": "array<float>"}
+    ready = ready.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else c for c in columns])
+    ready.repartition("clip_id").sortWithinPartitions("clip_id", "frame_idx").write.format("npz_frames").mode("append").save(folder)
+    return read_npz_clips(spark, folder)[0].select("clip_id", "path", "n_frames")
 
 
 def wide_frames(frames: DataFrame) -> DataFrame:

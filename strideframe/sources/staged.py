@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_ROOT = "/tmp/checkpoints"
 
 
-def staged_folder(spark: SparkSession, name: str, make: bool = False) -> str:
-    """A new path below ``spark.checkpoint.dir``, which driver and executors share; only a local session may leave that unset.
-
-    With ``make`` the folder is made and its plain path returned, for workers that write files themselves.
-    """
+def staged_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share; only a local session may leave that unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(root or LOCAL_ROOT).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-    if make:
-        path = path.removeprefix("file://").removeprefix("file:")
-        os.makedirs(path)
-    return path
+    return f"{(root or LOCAL_ROOT).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -9,15 +9,28 @@ from pyspark.sql import functions as F
 from strideframe.schema import LABEL_REF
 
 
-def read_labels(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Labels with typed columns; ``occluded`` is 0 where absent; ``file`` loses its .npz ending."""
-    raw = spark.read.option("header", "true").option("encoding", encoding).csv(path)
+def decoded_csv(spark: SparkSession, path: str, encodings: tuple[str, ...]) -> DataFrame:
+    """A table with a header in the first encoding that leaves no character undecoded; the last one is taken as it is."""
+    for encoding in encodings[:-1]:
+        raw = spark.read.option("header", "true").option("encoding", encoding).csv(path)
+        odd = [F.contains(F.col(f"`{c}`"), F.lit("\ufffd")) for c in raw.columns]
+        if "\ufffd" not in "".join(raw.columns) and raw.filter(F.coalesce(F.array_contains(F.array(*odd), True), F.lit(False))).isEmpty():
+            return raw
+    return spark.read.option("header", "true").option("encoding", encodings[-1]).csv(path)
+
+
+def read_labels(spark: SparkSession, path: str, encoding: str | tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """Labels with typed columns; ``occluded`` is 0 where absent; ``file`` loses its extension, whichever it is.
+
+    Of several encodings the first that decodes the table is taken.
+    """
+    raw = decoded_csv(spark, path, (encoding,) if isinstance(encoding, str) else encoding)
     missing = {"file", "gloss", "cat"} - set(raw.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
     if "occluded" not in raw.columns:
         raw = raw.withColumn("occluded", F.lit("0"))
-    file = F.regexp_replace("file", r"(?i)\.npz$", "")
+    file = F.regexp_replace("file", r"(?<=[^/.])\.[^./]*$", "")
     more = ["split"] if "split" in raw.columns else []
     return raw.select(file.alias("file"), *[F.col(c).try_cast("int").alias(c) for c in ("gloss", "cat", "occluded")], *more)
 

@@ -1,19 +1,29 @@
 """Sources and sinks on small files."""
 
+import json
+import zipfile
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strideframe.operators import evaluation as E
 from strideframe.operators import labels as L
+from strideframe.sources import archives as Z
 from strideframe.sources import clips as C
 from strideframe.sources import tables as T
 
 
+def write_npz(path, x, mask, t_ms, meta, x2048=None):
+    more = {} if x2048 is None else {"X2048": x2048.astype(np.float32)}
+    np.savez(path, X=x.astype(np.float32), mask=mask.astype(bool), timestamps_ms=t_ms.astype(np.int64), meta=np.array(json.dumps(meta)), **more)
+
+
 def test_archives_and_dumps(spark, tmp_path):
     rng = np.random.default_rng(0)
     for i in range(3):
-        C.write_npz(f"{tmp_path}/clip_{i}.npz", rng.random((4, 156)), rng.random((4, 78)) > 0.2, np.arange(4) * 33, {"model_type": "B"}, rng.random((4, 2048)) if i else None)
+        write_npz(f"{tmp_path}/clip_{i}.npz", rng.random((4, 156)), rng.random((4, 78)) > 0.2, np.arange(4) * 33, {"model_type": "B"}, rng.random((4, 2048)) if i else None)
     (tmp_path / "broken.npz").write_bytes(b"no archive")
     np.savez(f"{tmp_path}/part.npz", X=np.zeros((1, 156)))
     whole = (tmp_path / "clip_0.npz").read_bytes()
@@ -103,3 +113,72 @@ def test_no_match_and_bad_splits_are_errors(spark):
     with pytest.raises(ValueError, match="too few"):
         L.stratified_split(labels.union(labels), ratio=0.9)
     assert L.stratified_split(labels.limit(0)).count() == 0
+
+
+def test_only_wanted_members_are_read(spark, tmp_path):
+    """``X`` is damaged: frames without ``x`` are whole, with it the archive has none, and its clip has an issue."""
+    rng = np.random.default_rng(1)
+    path = f"{tmp_path}/a.npz"
+    write_npz(path, rng.random((50, 156)), rng.random((50, 78)) > 0.2, np.arange(50) * 33, {})
+    with zipfile.ZipFile(path) as z:
+        at = z.getinfo("X.npy").header_offset + 2000
+    with open(path, "r+b") as f:
+        f.seek(at)
+        f.write(b"\x00\x01\x02\x03\x04\x05")
+    clips, times = C.read_npz_clips(spark, str(tmp_path), columns=("clip_id", "frame_idx", "t_ms"))
+    assert times.columns == ["clip_id", "frame_idx", "t_ms"]
+    assert [r.t_ms for r in times.orderBy("frame_idx").collect()] == [33 * i for i in range(50)]
+    assert C.read_npz_clips(spark, f"file://{tmp_path}")[1].count() == 0
+    assert "checksum" in clips.first().issue
+
+
+def test_archives_share_partitions(spark, tmp_path, monkeypatch):
+    for i in range(7):
+        write_npz(f"{tmp_path}/{i}.npz", np.zeros((2, 156)), np.zeros((2, 78)), np.arange(2), {})
+    reader = Z.NpzFrames({"path": str(tmp_path)}).reader(None or spark.createDataFrame([], Z.FRAMES).schema)
+    assert [len(p.files) for p in reader.partitions()] == [7]
+    monkeypatch.setattr(Z, "PARTITION_FILES", 3)
+    assert [len(p.files) for p in reader.partitions()] == [3, 3, 1]
+    monkeypatch.setattr(Z, "PARTITION_BYTES", 1)
+    assert [len(p.files) for p in reader.partitions()] == [1] * 7
+    assert C.read_npz_clips(spark, str(tmp_path))[1].count() == 14
+
+
+def test_frames_round_trip_with_features(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(f"c{c}", i, 33 * i, rng.random(156).astype(np.float32).tolist(), (rng.random(78) > 0.5).tolist(), rng.random(2048).astype(np.float32).tolist() if c else None) for c in range(3) for i in range(5)]
+    frames = spark.createDataFrame(rows, Z.FRAMES)
+    meta = spark.createDataFrame([("c0", '{"model_type": "T"}'), ("c1", None)], "clip_id string, meta string")
+    done = C.write_npz_clips(frames, meta, f"file://{tmp_path}/out")
+    assert sorted((r.clip_id, r.n_frames) for r in done.collect()) == [("c0", 5), ("c1", 5), ("c2", 5)]
+    clips, back = C.read_npz_clips(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, frames.collect()))
+    assert sorted((r.clip_id, r.meta, r.has_x2048) for r in clips.collect()) == [("c0", '{"model_type": "T"}', False), ("c1", "{}", True), ("c2", "{}", True)]
+    names = [p.name for p in (tmp_path / "out").iterdir()]
+    assert "_SUCCESS" in names and not list((tmp_path / "out").glob("_temporary/*"))
+
+
+def test_a_lost_and_a_doubled_task_leave_one_file(tmp_path):
+    one = pa.table({"clip_id": ["a", "a", "b"], "frame_idx": pa.array([0, 1, 0], pa.int32()), "t_ms": [0, 33, 0], "x": [[0.5] * 156] * 3, "mask": [[True] * 78] * 3}).to_batches()
+    writer = Z.NpzFrames({"path": str(tmp_path / "out")}).writer(None, False)
+
+    def killed():
+        yield one[0].slice(0, 2)
+        yield one[0].slice(2, 1)
+        raise InterruptedError("lost executor")
+
+    with pytest.raises(InterruptedError):
+        writer.write(killed())
+    first, second = writer.write(iter(one)), writer.write(iter(one))
+    assert first.folder != second.folder
+    assert not list((tmp_path / "out").glob("part-*")), "nothing is seen before the commit"
+    writer.commit([first, None, writer.write(iter([]))])
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.npz")) == ["a.npz", "b.npz"]
+    assert not list((tmp_path / "out" / "_temporary").iterdir())
+    again = Z.NpzFrames({"path": str(tmp_path / "out")}).writer(None, True)
+    again.abort([again.write(iter(one))])
+    assert len(list((tmp_path / "out").rglob("*.npz"))) == 2
+    again.commit([again.write(iter([one[0].slice(2, 1)]))])
+    assert [p.name for p in (tmp_path / "out").rglob("*.npz")] == ["b.npz"]
+    with np.load(next((tmp_path / "out").rglob("*.npz"))) as z:
+        assert z["X"].shape == (1, 156) and z["timestamps_ms"].tolist() == [0]
