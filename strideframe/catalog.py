@@ -448,6 +448,14 @@ def j5_restrict_pairs(spark, sf):
     return L.restrict_pairs(labels(spark, sf), ref(spark, sf), ["asia", "Europe", "AMERICA"], names).select("cat", "gloss", "file", "occluded")
 
 
+@query(f"{_LB}, r AS (SELECT * FROM fx_labels UNION ALL SELECT * FROM fx_labels WHERE gloss % 5 = 0), g AS (SELECT DISTINCT gloss FROM r WHERE contains(upper(file), 'ION_2.') UNION SELECT n_nationkey FROM nation WHERE n_name IN ('NATION_6', 'NATION_13')) SELECT cat, gloss, file, occluded FROM r WHERE cat IN (1, 2, 3) AND gloss IN (SELECT gloss FROM g)")
+def j5_restrict_by_file_names(spark, sf):
+    """A name that no gloss has is looked for in file names; repeated rows stay."""
+    rows = labels(spark, sf)
+    rows = rows.unionByName(rows.filter("gloss % 5 = 0"))
+    return L.restrict_pairs(rows, ref(spark, sf), [1, "ASIA", 3], ["nation_6", "Nation_13", "ion_2."]).select("cat", "gloss", "file", "occluded")
+
+
 @query(f"{_LB} SELECT c::INT AS gloss FROM (SELECT unnest(range(40)) AS c) WHERE c NOT IN (SELECT gloss FROM fx_labels)")
 def j7_missing_classes(spark, sf):
     return L.missing_classes(labels(spark, sf), 40)
@@ -689,7 +697,8 @@ _AT_ORIGIN = "(clip_id + frame_idx + kp) % 11 = 0"
 
 @query(
     f"{_H}, pt AS (SELECT clip_id, frame_idx, kp, CASE WHEN {_AT_ORIGIN} THEN 0.0::DOUBLE ELSE x END AS x, CASE WHEN {_AT_ORIGIN} THEN 0.0::DOUBLE ELSE y END AS y FROM fx_holistic), e AS (SELECT * FROM (VALUES {_EDGES}) v(a, b)) "
-    "SELECT p.clip_id, p.frame_idx, e.a, e.b, round(p.x, 6) AS x1, round(p.y, 6) AS y1, round(q.x, 6) AS x2, round(q.y, 6) AS y2 FROM e JOIN pt p ON p.kp = e.a JOIN pt q ON q.kp = e.b AND q.clip_id = p.clip_id AND q.frame_idx = p.frame_idx WHERE NOT (p.x = 0 AND p.y = 0) AND NOT (q.x = 0 AND q.y = 0)"
+    ", fr AS MATERIALIZED (SELECT clip_id, frame_idx, list(x ORDER BY kp) AS xs, list(y ORDER BY kp) AS ys FROM pt GROUP BY 1, 2), sg AS (SELECT clip_id, frame_idx, a, b, xs[a + 1] AS x1, ys[a + 1] AS y1, xs[b + 1] AS x2, ys[b + 1] AS y2 FROM fr, e) "
+    "SELECT clip_id, frame_idx, a, b, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM sg WHERE NOT (x1 = 0 AND y1 = 0) AND NOT (x2 = 0 AND y2 = 0)"
 )
 def j10_skeleton_segments(spark, sf):
     df = points(spark, sf)
@@ -709,7 +718,8 @@ hp AS (SELECT h.clip_id, h.frame_idx, CASE WHEN kp < 46 THEN 'left_hand' ELSE 'r
 hs AS (SELECT clip_id, frame_idx, hand, count(*) FILTER (ok AND j IN (5, 9, 13, 17)) AS m, avg(x) FILTER (ok AND j IN (5, 9, 13, 17)) AS mx, avg(y) FILTER (ok AND j IN (5, 9, 13, 17)) AS my, max(x) FILTER (ok AND j = 0) AS wx, max(y) FILTER (ok AND j = 0) AS wy, count(*) FILTER (ok AND j IN (4, 8, 12, 16, 20)) AS nt FROM hp GROUP BY 1, 2, 3 HAVING count(*) FILTER (visible) >= 3),
 hd AS MATERIALIZED (SELECT clip_id, frame_idx, hand, nt, CASE WHEN m >= 2 THEN mx ELSE wx END AS px, CASE WHEN m >= 2 THEN my ELSE wy END AS py FROM hs),
 hn AS MATERIALIZED (SELECT *, count(px) OVER (PARTITION BY clip_id, hand ORDER BY frame_idx) AS n FROM hd),
-tr AS (SELECT a.clip_id, a.hand, a.frame_idx, b.n - a.n + 5 AS q, b.px, b.py FROM hn a JOIN hn b ON a.clip_id = b.clip_id AND a.hand = b.hand AND b.px IS NOT NULL AND b.n BETWEEN a.n - 4 AND a.n WHERE a.n >= 5),
+hk AS (SELECT clip_id, hand, frame_idx, q, n - 5 + q AS n FROM hn, (SELECT unnest(range(1, 6)) AS q) WHERE n >= 5),
+tr AS MATERIALIZED (SELECT a.clip_id, a.hand, a.frame_idx, a.q, b.px, b.py FROM hk a JOIN (SELECT * FROM hn WHERE px IS NOT NULL) b ON a.clip_id = b.clip_id AND a.hand = b.hand AND a.n = b.n),
 td AS (SELECT tr.clip_id, tr.hand, tr.frame_idx, region, q, sqrt(pow(px - cx, 2) + pow(py - cy, 2)) AS d, r FROM tr JOIN rg ON rg.clip_id = tr.clip_id AND rg.frame_idx = tr.frame_idx),
 tl AS (SELECT *, lag(d) OVER (PARTITION BY clip_id, hand, frame_idx, region ORDER BY q) AS b FROM td),
 ap AS (SELECT clip_id, hand, frame_idx, region, count(*) FILTER (d < b) AS falls, max(d) FILTER (q = 1) AS d0, max(d) FILTER (q = 5) AS d4 FROM tl GROUP BY 1, 2, 3, 4),
@@ -843,6 +853,76 @@ def a22_audit_totals(spark, sf):
     return Q.audit_totals(Q.readiness(frames(spark, sf)))
 
 
+# Clips with one defect each, by their number: widths, missing and wild values, times, masks, X2048.
+DEFECTS = 14
+_BROKEN = f"""{_H}, {_META_SQL}, bf AS (SELECT clip_id, frame_idx, clip_id % {DEFECTS} AS d, max(t_ms) AS t0, list(greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) ORDER BY kp) || list(greatest(0.0::DOUBLE, least(1.0::DOUBLE, y)) ORDER BY kp) AS v0, list(visible ORDER BY kp) AS m0 FROM fx_holistic GROUP BY 1, 2, 3),
+bb AS (SELECT clip_id, frame_idx, d, CASE WHEN d = 7 AND frame_idx = 3 THEN 0 WHEN d = 8 THEN t0 - 100000 ELSE t0 END AS t,
+  CASE WHEN d = 3 AND frame_idx = 1 THEN NULL WHEN d = 1 THEN v0[1:155] WHEN d = 4 AND frame_idx = 2 THEN ['nan'::DOUBLE] || v0[2:156] WHEN d = 5 AND frame_idx = 2 THEN ['-inf'::DOUBLE] || v0[2:156] WHEN d = 6 AND frame_idx = 0 THEN [1.5::DOUBLE] || v0[2:156] ELSE v0 END AS v,
+  CASE WHEN d = 2 THEN m0[1:77] WHEN d = 9 THEN list_transform(m0, lambda b: false) ELSE m0 END AS m,
+  CASE WHEN d = 13 OR (d = 11 AND frame_idx >= 10) THEN NULL WHEN d = 10 THEN 2047 ELSE 2048 END AS c, d = 12 AND frame_idx = 0 AS cw FROM bf),
+bl AS (SELECT *, lag(t) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS was FROM bb),
+fa AS (SELECT clip_id, count(*) AS n, bool_or(len(v) <> 156) AS bad_x, bool_or(len(m) <> 78) AS bad_m, count(v) AS x_n, max(len(v)) FILTER (len(v) <> 156) AS x_w, max(len(m)) FILTER (len(m) <> 78) AS m_w, bool_or(v IS NULL) AS ragged,
+  bool_or(len(list_filter(v, lambda a: isnan(a) OR isinf(a))) > 0) AS wild, bool_or(len(list_filter(v, lambda a: NOT isnan(a) AND (a < 0 OR a > 1))) > 0) AS out, bool_or(list_contains(m, true)) AS seen,
+  bool_or(t < was) AS down, bool_or(t < 0) AS negative, count(c) AS cnn_n, bool_or(c <> 2048) AS bad_c, bool_or(cw) AS c_wild FROM bl GROUP BY 1)"""
+_BROKEN_READY = _BROKEN + """, rd AS (SELECT clip_id, list_filter([CASE WHEN bad_x THEN 'X shape/dtype incorrect (expected [T,156] float32)' END, CASE WHEN bad_m THEN 'mask shape/dtype incorrect (expected [T,78] bool)' END, CASE WHEN wild THEN 'non-finite values in X' END,
+  CASE WHEN out THEN 'X outside [0,1] range (expected normalized)' END, CASE WHEN down THEN 'timestamps not monotonic' END], lambda i: i IS NOT NULL) AS ti,
+  list_filter([CASE WHEN cnn_n = 0 THEN 'X2048 missing (required for IV3-GRU)' END, CASE WHEN bad_c THEN 'X2048 shape/dtype incorrect (expected [T,2048] float32)' END, CASE WHEN cnn_n > 0 AND cnn_n <> n THEN 'X2048 temporal mismatch: X(' || n || ') vs X2048(' || cnn_n || ')' END, CASE WHEN c_wild THEN 'non-finite values in X2048' END], lambda i: i IS NOT NULL) AS ii FROM fa)"""
+
+
+def broken(spark, sf):
+    """Valid frames with features, but for the defect of each clip."""
+    x, m, d, i = F.col("x"), F.col("mask"), F.col("clip_id") % DEFECTS, F.col("frame_idx")
+    rest = F.slice(x, 2, 155)
+    first = lambda v: F.concat(F.array(F.lit(v)), rest)
+    features = F.array_repeat(F.lit(0.5).cast("float"), 2048)
+    return (
+        frames(spark, sf)
+        .withColumn("x", A.clip_unit(x))
+        .withColumns(
+            {
+                "t_ms": F.when((d == 7) & (i == 3), 0).when(d == 8, F.col("t_ms") - 100000).otherwise(F.col("t_ms")),
+                "x": F.when((d == 3) & (i == 1), None).when(d == 1, F.slice(x, 1, 155)).when((d == 4) & (i == 2), first(float("nan"))).when((d == 5) & (i == 2), first(float("-inf"))).when((d == 6) & (i == 0), first(1.5)).otherwise(x),
+                "mask": F.when(d == 2, F.slice(m, 1, 77)).when(d == 9, F.transform(m, lambda _: F.lit(False))).otherwise(m),
+                "x2048": F.when((d == 13) | ((d == 11) & (i >= 10)), None).when(d == 10, F.slice(features, 1, 2047)).when((d == 12) & (i == 0), F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice(features, 1, 2047))).otherwise(features),
+            }
+        )
+    )
+
+
+@query(
+    _BROKEN
+    + """, mi AS (SELECT clip_id, CASE k WHEN 2 THEN ['meta.dims_per_frame != 156 (got 150)', 'meta.keypoints_total != 78 (got None)', 'meta.order unexpected: other'] WHEN 3 THEN ['meta.dims_per_frame != 156 (got None)', 'meta.keypoints_total != 78 (got None)', 'meta.order unexpected: None'] ELSE [] END AS i, k > 3 AS bad FROM m)
+SELECT clip_id, array_to_string(list_filter([CASE WHEN bad THEN 'meta is not valid JSON' END, CASE WHEN n IS NULL THEN 'empty sequence (T == 0)' END,
+  CASE WHEN bad_x THEN 'X bad shape/dtype: (' || x_n || ', ' || coalesce(x_w, 156) || ') float32' END, CASE WHEN bad_m THEN 'mask bad shape/dtype: (' || n || ', ' || coalesce(m_w, 78) || ') bool' END, CASE WHEN ragged THEN 'T mismatch among X/mask/timestamps_ms' END,
+  CASE WHEN wild THEN 'X has non-finite values' END, CASE WHEN out THEN 'X outside [0,1]' END, CASE WHEN down THEN 'timestamps_ms not monotonic nondecreasing' END, CASE WHEN negative THEN 'timestamps_ms contains negative values' END,
+  CASE WHEN NOT seen THEN 'mask has no visible keypoints across all frames' END] || i || [CASE WHEN cnn_n = 0 THEN 'missing key: X2048 (required)' END, CASE WHEN cnn_n > 0 AND (bad_c OR cnn_n <> n) THEN 'X2048 bad shape/dtype' END,
+  CASE WHEN c_wild THEN 'X2048 has non-finite values' END], lambda t: t IS NOT NULL), '; ') AS issues FROM mi LEFT JOIN fa USING (clip_id)"""
+)
+def v1_broken_clips(spark, sf):
+    return Q.validate_clips(clip_meta(spark, sf), broken(spark, sf), require_cnn=True).select("clip_id", F.array_join("issues", "; ").alias("issues"))
+
+
+@query(_BROKEN_READY + " SELECT clip_id, len(ti) = 0 AS transformer_ready, len(ii) = 0 AS iv3_ready, array_to_string(ti, '; ') AS transformer_issues, array_to_string(ii, '; ') AS iv3_issues FROM rd")
+def v2_broken_clips(spark, sf):
+    out = Q.readiness(broken(spark, sf))
+    return out.select("clip_id", "transformer_ready", "iv3_ready", F.array_join("transformer_issues", "; ").alias("transformer_issues"), F.array_join("iv3_issues", "; ").alias("iv3_issues"))
+
+
+@query(_BROKEN + " SELECT clip_id, NOT coalesce(bad_x, false) AS x_ok, NOT bad_m AS mask_ok, NOT down AS monotonic, cnn_n > 0 AND NOT bad_c AS x2048_ok FROM fa")
+def v4_broken_clips(spark, sf):
+    return Q.data_checks(broken(spark, sf))
+
+
+@query(_BROKEN_READY + ", i AS (SELECT unnest(ti || ii) AS issue FROM rd), n AS (SELECT issue, count(*) AS n FROM i GROUP BY 1) SELECT issue, n FROM n ORDER BY n DESC, issue LIMIT 20")
+def a22_broken_summary(spark, sf):
+    return Q.audit_summary(Q.readiness(broken(spark, sf)))
+
+
+@query(_BROKEN_READY + " SELECT count(*) AS total, count(*) FILTER (len(ti) = 0) AS transformer_ready, count(*) FILTER (len(ii) = 0) AS iv3_ready FROM rd")
+def a22_broken_totals(spark, sf):
+    return Q.audit_totals(Q.readiness(broken(spark, sf)))
+
+
 @query(f"WITH {_META_SQL} SELECT clip_id, CASE WHEN k IN (0, 1) THEN true WHEN k IN (2, 3) THEN false ELSE true END AS transformer, CASE WHEN k IN (1, 2) THEN true WHEN k IN (0, 3) THEN false ELSE x2048_width = 2048 END AS iv3_gru, CASE WHEN k = 1 THEN true WHEN k IN (0, 2, 3) THEN false ELSE x2048_width = 2048 END AS both FROM m")
 def p8_model_compat(spark, sf):
     return Q.model_compat(clip_meta(spark, sf)).select("clip_id", "transformer", "iv3_gru", "both")

@@ -58,5 +58,5 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def duck(*names: str) -> str:
-    """``name AS (...)`` for a WITH clause in DuckDB."""
-    return ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', SQL[n])})" for n in names)
+    """``name AS MATERIALIZED (...)`` for a WITH clause in DuckDB: an input is made once however often it is read."""
+    return ",\n".join(f"{n} AS MATERIALIZED ({re.sub(r'[{}]', '', SQL[n])})" for n in names)
