@@ -22,7 +22,9 @@ Buckets beyond ``cell_rows`` are dealt out as cells (pairs of hash chunks) over
 
 Fingerprints only estimate how alike two texts are. With ``confirm`` the groups found so are
 candidates: the texts of a group are compared by their exact sets of shingles, again in cells of
-hash chunks, and only pairs with that Jaccard similarity or more are links.
+hash chunks, and only pairs with that Jaccard similarity or more are links. Short texts have few
+shingles, so their fingerprints are coarse: those of up to ``INDEXED`` distinct shingles are also
+matched exactly, by a prefix-filtered index of shingles over the groups found so far.
 """
 
 from __future__ import annotations
@@ -54,6 +56,11 @@ WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 16, 20, 3
 
 #: Distinct texts of a group in a chunk; a task compares two chunks at a time.
 CHUNK = 128
+#: Distinct shingles of a text that is also matched by the index: with a similarity of 0.8, every pair
+#: whose smaller text has 256 or fewer is found.
+INDEXED = 320
+#: A shingle in more texts than this is put last in the order of the index; so many of them are told apart, the most frequent ones.
+FREQUENT, MOST_FREQUENT = 32, 100_000
 #: Shingles counted at a time when sets are compared.
 COLUMNS = 2048
 
@@ -113,26 +120,28 @@ def _as_words(votes: np.ndarray) -> list[int]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` and ``fp_high`` (words as signed longs; the second is 0 for 64 bits).
 
-    With two words also ``weak``: the places of all bits, one byte each, the least decided first; and
-    ``mark``: a hash of the set of shingles.
+    With two words also ``weak``: the places of all bits, one byte each, the least decided first;
+    ``mark``: a hash of the set of shingles; and ``small``: the set, if it is not too large for the index.
     """
-    names = ["id", "fp", "fp_high", "weak", "mark"][: 3 if words == 1 else 5]
+    names = ["id", "fp", "fp_high", "weak", "mark", "small"][: 3 if words == 1 else 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes, marks = [], []
+            votes, marks, small = [], [], []
             for text in batch.column(1):
                 parts = list(digests(text.as_py(), shingle, words))
                 votes.append(_votes(parts, words))
                 if words > 1:
-                    marks.append(xxhash.xxh3_64_intdigest(_set(parts).tobytes()))
+                    own = _set(parts)
+                    marks.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                    small.append(own.tobytes() if 0 < len(own) <= INDEXED else None)
             got = np.array([_as_words(v) for v in votes], np.uint64).reshape(-1, words).view(np.int64)
             high = got[:, 1].copy() if words > 1 else np.zeros(len(got), np.int64)
             weak = [np.argsort(np.abs(v), kind="stable").astype(np.uint8).tobytes() for v in votes] if words > 1 else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].copy()), pa.array(high), pa.array(weak, pa.binary()), pa.array(np.array(marks, np.uint64).view(np.int64))][: len(names)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].copy()), pa.array(high), pa.array(weak, pa.binary()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(small, pa.binary())][: len(names)], names)
 
     rows = text_rows(docs, text_col, id=id_col)
-    return rows.mapInArrow(run, "id long, fp long, fp_high long" + (", weak binary, mark long" if words > 1 else "")).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, fp long, fp_high long" + (", weak binary, mark long, small binary" if words > 1 else "")).withColumnRenamed("id", id_col)
 
 
 def _block_masks(blocks: int) -> list[list[int]]:
@@ -374,11 +383,102 @@ def confirmed_links(docs: DataFrame, members: DataFrame, shingle: int, least: fl
     return cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(compare, "a long, b long")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows [column, row] of longs sorted by their first column, so that each of its values lies in one piece."""
+    held = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows = rows if held is None else np.concatenate([held, rows], axis=1)
+        ends = np.flatnonzero(rows[0, 1:] != rows[0, :-1])
+        cut = ends[-1] + 1 if len(ends) else 0
+        if cut:
+            yield rows[:, :cut]
+        held = rows[:, cut:]
+    if held is not None and held.shape[1]:
+        yield held
+
+
+def indexed_links(sets: DataFrame, least: float) -> DataFrame:
+    """All pairs ``a``, ``b`` of nodes of different ``root`` whose sets have a similarity of ``least`` or more.
+
+    ``sets`` (staged) has ``node``, ``root`` and ``small``, the sorted set. Two such sets share one of
+    their first shingles in any common order of shingles, floor((1 - ``least``) n) + 1 of n: the
+    order is by hash, frequent shingles last, so lists of texts with the same shingle stay short.
+    Where two meet, sizes and 128 parities of the sets bound the similarity; what is left is verified once.
+    """
+    longs = ["h", "node", "root", "n", "even", "odd"]
+    apart = (1 - least) / (1 + least)  # of both sizes: the most that may lie in one set alone
+
+    def prefix(n: int) -> int:
+        return n - int(np.ceil(least * n - 1e-9)) + 1
+
+    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                own = np.frombuffer(raw.as_py(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(own[: 2 * prefix(len(own))])], ["h"])
+
+    counts = sets.select("small").mapInArrow(first_ones, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > FREQUENT)
+    frequent = [r.h for r in counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()]
+    late = np.sort(np.array(frequent, np.int64))
+    place = np.zeros(len(late), np.int64)
+    place[np.searchsorted(late, np.array(frequent, np.int64))] = -np.arange(len(late))  # the most frequent is the last
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for node, root, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = np.frombuffer(raw, "<i8")
+                at = np.minimum(np.searchsorted(late, own), max(0, len(late) - 1))
+                last = late[at] == own if len(late) else np.zeros(len(own), bool)
+                order = np.lexsort((np.where(last, place[at] if len(late) else 0, own), last))
+                chosen = own[order[: prefix(len(own))]]
+                parity = np.packbits(np.bincount(own & 127, minlength=128).astype(np.uint8) & 1, bitorder="little").view("<i8")
+                parts.append(np.stack([chosen, *[np.full(len(chosen), v, np.int64) for v in (node, root, len(own), *parity)]]))
+            if parts:
+                whole = np.concatenate(parts, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], longs)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            h, node, root, n, even, odd = rows
+            left, lag = np.arange(max(0, len(h) - 1)), 1
+            while len(left):
+                left = left[left + lag < len(h)]
+                left = left[h[left] == h[left + lag]]
+                for at in range(0, len(left), STEP):
+                    i = left[at : at + STEP]
+                    j = i + lag
+                    both = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+                    i, j = i[both], j[both]
+                    differ = np.bitwise_count(even[i] ^ even[j]).astype(np.int64) + np.bitwise_count(odd[i] ^ odd[j])
+                    near = differ <= apart * (n[i] + n[j]) + 1e-9
+                    i, j = i[near], j[near]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+                lag += 1
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= least * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    dealt = sets.select("node", "root", "small").mapInArrow(entries, ", ".join(f"{c} long" for c in longs)).repartition("h").sortWithinPartitions("h")
+    pairs = dealt.mapInArrow(meet, "a long, b long").distinct()
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("small").alias(f"{c}_set"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, words: int = 1, confirm: float | None = None) -> DataFrame:
     """Groups of documents whose fingerprints of 64 * ``words`` bits link at ``bits`` or fewer differing bits.
 
     With ``confirm`` (two words only) documents link if their sets of shingles have that Jaccard
-    similarity or more; fingerprints find the candidates, with a small chance to miss one. Returns
+    similarity or more; fingerprints find the candidates, with a small chance to miss one, and an
+    exact index those of texts of up to ``INDEXED`` distinct shingles. Returns
     one row per input row: ``id_col``, ``fingerprint`` (16 hex digits for each word) and
     ``component_id``, the smallest id reachable over links (itself included).
 
@@ -388,7 +488,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever their names. An empty table gives an empty result. Texts of any length are hashed whole.
     """
     mark = ["fp"] if words == 1 else ["fp", "fp_high", "mark"] if confirm else ["fp", "fp_high"]
-    wanted = ["id", *mark, *(["weak", "row"] if words > 1 else [])]
+    wanted = ["id", *mark, *(["weak", "row"] if words > 1 else []), *(["small"] if confirm else [])]
     if confirm:
         (key,) = fresh(docs, "own_row")
         docs = keyed(docs, id_col, key, text_col)
@@ -416,6 +516,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release(roots, sizes, members)
         roots = connected_components(links)
         release(links)
+        sets = marks.filter("small IS NOT NULL").select("row", "small").join(firsts.select("node", "row"), "row").join(roots, "node", "left")
+        sets = stage(sets.select("node", F.coalesce("root", "node").alias("root"), "small"), "small_sets")
+        more = stage(indexed_links(sets, confirm), "indexed")
+        if not more.isEmpty():
+            joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            again = connected_components(thin_edges(stage(joined, "joined")))
+            release(roots)
+            roots = again
+        release(sets, more)
     grouped = stage(firsts.join(roots, "node", "left").select(*mark, "first", "n", F.coalesce("root", "node").alias("root")), "grouped")
     classes = stage(grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "classes")
     of = stage(join_hot(grouped, classes, ["root"], "members").select(*mark, "n", "component_id"), "of")
