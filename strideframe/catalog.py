@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strideframe.fixtures import duck, fixture
 from strideframe.functions import arrays as A
+from strideframe.operators import cube as K
 from strideframe.operators import evaluation as E
 from strideframe.operators import labels as L
 from strideframe.operators import occlusion as O
@@ -187,6 +188,35 @@ def a5_segment_metrics(spark, sf):
     return E.segment_metrics(preds(spark, sf))
 
 
+def _cube(spark, sf):
+    """The cube of all predictions, kept by day and read back; a day that is added twice counts once."""
+    folder, rows = staged_folder(spark, "cube"), preds(spark, sf)
+    for day, part in enumerate((2, 0, 1, 2)):
+        K.add_to_cube(rows.filter(F.col("clip_id") % 3 == part if day else F.col("clip_id") % 5 == 1), folder, f"2024-01-0{part + 1}")
+    return K.read_cube(spark, folder)
+
+
+@query(f"{_P} SELECT head, model, occluded, y, yhat, count(*) AS n FROM (SELECT 'gloss' AS head, model, occluded, gloss_gt AS y, gloss_pred AS yhat FROM fx_predictions UNION ALL SELECT 'cat', model, occluded, cat_gt, cat_pred FROM fx_predictions) GROUP BY ALL")
+def a2_cube(spark, sf):
+    return _cube(spark, sf)
+
+
+@query(_report_sql() + " SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rep")
+def a3_cube_report(spark, sf):
+    return E.report_of(K.of_head(_cube(spark, sf), "gloss"))
+
+
+@query(_segments_sql(6) + " SELECT * FROM seg")
+def a5_cube_segments(spark, sf):
+    cube = _cube(spark, sf)
+    return E.segments_of(*[K.of_head(cube, h, "occluded") for h in K.HEADS])
+
+
+@query(f"{_P} SELECT model, count(*) AS n, round(avg((gloss_gt = gloss_pred)::INT), 6) AS gloss_accuracy, round(avg((cat_gt = cat_pred)::INT), 6) AS cat_accuracy FROM fx_predictions GROUP BY 1")
+def a17_cube_models(spark, sf):
+    return K.model_accuracies(_cube(spark, sf))
+
+
 _METRICS = [f"{h}_{m}" for h in ("gloss", "cat") for m in ("accuracy", "precision", "recall", "f1")]
 
 
@@ -208,10 +238,11 @@ def a7_top_k_accuracy(spark, sf):
     return E.top_k_accuracy(vectors(spark, sf), "x", "gloss")
 
 
-_HASHED = """hs AS (SELECT *, ('0x' || substr(md5(concat_ws('|', cast(clip_id AS VARCHAR), '42')), 1, 8))::BIGINT % 2147483647 AS ha, ('0x' || substr(md5(concat_ws('|', cast(clip_id AS VARCHAR), '42')), 9, 8))::BIGINT % 2147483647 AS hb FROM fx_predictions),
+_HASHED = """pa AS (SELECT ('0x' || substr(md5(concat_ws('|', cast(clip_id AS VARCHAR), '42')), 17, 8))::BIGINT % """ + str(E.STRATA) + """ AS part, count(*) AS m, count(*) FILTER (gloss_gt = gloss_pred) AS g, count(*) FILTER (cat_gt = cat_pred) AS k FROM fx_predictions GROUP BY 1),
+hs AS (SELECT *, ('0x' || substr(md5(concat_ws('|', cast(part AS VARCHAR), '42')), 1, 8))::BIGINT % 2147483647 AS ha, ('0x' || substr(md5(concat_ws('|', cast(part AS VARCHAR), '42')), 9, 8))::BIGINT % 2147483647 AS hb FROM pa),
 rp AS (SELECT rep, (rep * 1103515245 + 12345) % 2147483647 AS c, (rep * rep * 69069 + rep * 362437 + 1) % 2147483647 AS d FROM (SELECT unnest(range(1, 1001)) AS rep)),
-uu AS (SELECT rep, gloss_gt = gloss_pred AS g, cat_gt = cat_pred AS k, (ha * c + hb * d) % 2147483647 AS u FROM hs, rp),
-wt AS (SELECT rep, g, k, """ + " + ".join(f"(u >= {int(x * E.PRIME)})::INT" for x in E.POISSON) + " AS w FROM uu), br AS (SELECT rep, sum(w) FILTER (g)::DOUBLE / sum(w)::DOUBLE AS acc, sum(w) FILTER (k)::DOUBLE / sum(w)::DOUBLE AS cat FROM wt GROUP BY rep)"
+uu AS (SELECT rep, m, g, k, (ha * c + hb * d) % 2147483647 AS u FROM hs, rp),
+wt AS (SELECT rep, m, g, k, """ + " + ".join(f"(u >= {int(x * E.PRIME)})::INT" for x in E.POISSON) + " AS w FROM uu), br AS (SELECT rep, sum(w * g)::DOUBLE / sum(w * m)::DOUBLE AS acc, sum(w * k)::DOUBLE / sum(w * m)::DOUBLE AS cat FROM wt GROUP BY rep)"
 
 
 @query(f"{_P}, {_HASHED} SELECT round(avg(acc), 6) AS mean, round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high FROM br")

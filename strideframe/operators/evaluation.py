@@ -58,7 +58,12 @@ def _per_class(conf: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def classification_report(preds: DataFrame, y: str = "gloss_gt", yhat: str = "gloss_pred") -> DataFrame:
     """Precision, recall, F1 and support of each class that occurs as truth or prediction."""
-    return _per_class(confusion(preds, y, yhat)).select("cls", "precision", "recall", "f1", "support")
+    return report_of(confusion(preds, y, yhat))
+
+
+def report_of(conf: DataFrame) -> DataFrame:
+    """``classification_report`` from counts of pairs."""
+    return _per_class(conf).select("cls", "precision", "recall", "f1", "support")
 
 
 def report_averages(report: DataFrame) -> DataFrame:
@@ -76,21 +81,30 @@ def _overall(per: DataFrame, by: tuple[str, ...], prefix: str) -> DataFrame:
 
 def overall_metrics(preds: DataFrame) -> DataFrame:
     """One row: accuracy, weighted precision, recall and F1 of both heads, rows; nulls without rows."""
-    heads = [_overall(_per_class(confusion(preds, f"{h}_gt", f"{h}_pred")), (), h) for h in ("gloss", "cat")]
+    return overall_of(*[confusion(preds, f"{h}_gt", f"{h}_pred") for h in ("gloss", "cat")])
+
+
+def overall_of(gloss: DataFrame, cat: DataFrame) -> DataFrame:
+    """``overall_metrics`` from the counts of pairs of both heads."""
+    heads = [_overall(_per_class(conf), (), h) for h, conf in (("gloss", gloss), ("cat", cat))]
     both = heads[0].crossJoin(heads[1])  # one row each
     return both.withColumn("n", F.coalesce("gloss_n", F.lit(0))).drop("gloss_n", "cat_n")
 
 
 def segment_metrics(preds: DataFrame) -> DataFrame:
     """``overall_metrics`` for all rows, occluded and non-occluded ones: ``segment`` and the metrics; absent segments have no row."""
+    return segments_of(*[confusion(preds, f"{h}_gt", f"{h}_pred", ("occluded",)) for h in ("gloss", "cat")])
+
 
-    def head(h: str) -> DataFrame:
-        conf = confusion(preds, f"{h}_gt", f"{h}_pred", ("occluded",))
+def segments_of(gloss: DataFrame, cat: DataFrame) -> DataFrame:
+    """``segment_metrics`` from the counts of pairs of both heads by ``occluded``."""
+
+    def head(h: str, conf: DataFrame) -> DataFrame:
         segments = F.array(F.lit("overall"), F.when(F.col("occluded") == 1, "occluded").otherwise("non_occluded"))
         conf = conf.select(F.explode(segments).alias("segment"), "y", "yhat", "n").groupBy("segment", "y", "yhat").agg(F.sum("n").alias("n"))
         return _overall(_per_class(conf, ("segment",)), ("segment",), h)
 
-    return head("gloss").join(head("cat"), "segment").withColumn("n", F.col("gloss_n")).drop("gloss_n", "cat_n")
+    return head("gloss", gloss).join(head("cat", cat), "segment").withColumn("n", F.col("gloss_n")).drop("gloss_n", "cat_n")
 
 
 def segment_differences(segments: DataFrame) -> DataFrame:
@@ -102,7 +116,12 @@ def segment_differences(segments: DataFrame) -> DataFrame:
 
 def agreement(preds: DataFrame, y: str = "gloss_gt", yhat: str = "gloss_pred") -> DataFrame:
     """Cohen's kappa and the multiclass Matthews correlation; 0 where the denominator is."""
-    per = _per_class(confusion(preds, y, yhat))
+    return agreement_of(confusion(preds, y, yhat))
+
+
+def agreement_of(conf: DataFrame) -> DataFrame:
+    """``agreement`` from counts of pairs."""
+    per = _per_class(conf)
     s = per.agg(*[F.sum(c).cast("double").alias(a) for c, a in (("tp", "c"), ("support", "s"))], *[F.sum(F.col(a).cast("double") * F.col(b)).alias(n) for a, b, n in (("predicted", "support", "pt"), ("predicted", "predicted", "pp"), ("support", "support", "tt"))])
     c, n, pt, pp, tt = map(F.col, ("c", "s", "pt", "pp", "tt"))
     pe = pt / (n * n)
@@ -126,23 +145,28 @@ def top_k_accuracy(df: DataFrame, probs: str, y: str, ks: tuple[int, ...] = (3,
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991675)
 #: A prime below 2**31: two products of numbers below it add up to less than 2**63.
 PRIME = 2147483647
+#: Parts of the rows that a bootstrap weighs; rows of one part go together, so with fewer rows than that it is the plain one.
+STRATA = 4096
 
 
 def _resampled(preds: DataFrame, right: dict[str, Column], key: str, n: int, seed: int) -> DataFrame:
     """The accuracy of each head in each of ``n`` resamples: ``rep`` and one column a head.
 
-    A row is hashed once; its weight in a resample is then a step of a linear combination of the
-    two halves of its hash, so that the rows times resamples stay plain integers within a task,
-    which gives one sum a resample and head.
+    Rows are counted, all and right ones, in ``STRATA`` parts by a hash of their key, and a resample
+    weighs the parts: what it costs does not depend on the number of rows. A part is hashed once;
+    its weight in a resample is a step of a linear combination of the two halves of its hash, so all
+    is plain integers, and a task gives one sum a resample and head.
     """
-    half = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), i, 8), 16, 10).cast("long") % PRIME
-    rows = A.once(preds.select(key, *[c.cast("int").alias(h) for h, c in right.items()]), a=half(1), b=half(9))
-    rows = rows.select("a", "b", *right, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("rep"))
+    digest = lambda c, i: F.conv(F.substring(F.md5(F.concat_ws("|", c.cast("string"), F.lit(str(seed))).cast("binary")), i, 8), 16, 10).cast("long")
+    rows = preds.select((digest(F.col(key), 17) % STRATA).alias("part"), *[c.cast("int").alias(h) for h, c in right.items()])
+    parts = rows.groupBy("part").agg(F.count("*").alias("m"), *[F.sum(h).alias(h) for h in right])
+    parts = A.once(parts, a=digest(F.col("part"), 1) % PRIME, b=digest(F.col("part"), 9) % PRIME)
+    parts = parts.select("a", "b", "m", *right, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("rep"))
     r = F.col("rep")
     u = (F.col("a") * ((r * 1103515245 + 12345) % PRIME) + F.col("b") * ((r * r * 69069 + r * 362437 + 1) % PRIME)) % PRIME
-    rows = rows.select("rep", *right, u.alias("u"))
+    parts = parts.select("rep", "m", *right, u.alias("u"))
     weight = sum((F.col("u") >= int(s * PRIME)).cast("int") for s in POISSON)
-    return rows.groupBy("rep").agg(*[(F.sum(weight * F.col(h)) / F.sum(weight)).alias(h) for h in right])
+    return parts.groupBy("rep").agg(*[(F.sum(weight * F.col(h)) / F.sum(weight * F.col("m"))).alias(h) for h in right])
 
 
 def bootstrap_ci(preds: DataFrame, key: str = "clip_id", y: str = "gloss_gt", yhat: str = "gloss_pred", n: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
@@ -170,7 +194,12 @@ def loss_metrics(losses: DataFrame, batch: str | None = None) -> DataFrame:
 
 def confused_pairs(preds: DataFrame, n: int = 10, y: str = "gloss_gt", yhat: str = "gloss_pred") -> DataFrame:
     """The ``n`` most frequent wrong pairs."""
-    return top_n(confusion(preds, y, yhat).filter("y <> yhat"), "n", n, ("y", "yhat"))
+    return pairs_of(confusion(preds, y, yhat), n)
+
+
+def pairs_of(conf: DataFrame, n: int = 10) -> DataFrame:
+    """``confused_pairs`` from counts of pairs."""
+    return top_n(conf.filter("y <> yhat"), "n", n, ("y", "yhat"))
 
 
 def error_summary(preds: DataFrame, y: str = "gloss_gt", yhat: str = "gloss_pred") -> DataFrame:

@@ -14,6 +14,10 @@ from strideframe.functions import arrays as A
 PREDS = "clip_id long, gloss_pred int, cat_pred int, gloss_prob double, cat_prob double, gloss_top array<struct<id:int,prob:double>>, cat_top array<struct<id:int,prob:double>>"
 
 
+#: Frames of a batch of clips at most, padding included.
+FRAMES_A_BATCH = 4096
+
+
 def pack_sequences(frames: DataFrame, most: int = 300) -> DataFrame:
     """One row for each clip: the first ``most`` frames in order and their number."""
     # Later frames are never used by models, so a clip's list is bounded by `most`.
@@ -21,9 +25,23 @@ def pack_sequences(frames: DataFrame, most: int = 300) -> DataFrame:
     return seq.select("clip_id", F.transform("s", lambda f: f["x"]).alias("sequence"), F.size("s").alias("length"))
 
 
-def score_clips(frames: DataFrame, make_model: Callable[[], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]], batch: int = 32, most: int = 300) -> DataFrame:
+def batches_of(lengths: list[int], batch: int, budget: int) -> Iterator[tuple[int, int]]:
+    """Where batches of clips of rising length begin and end; a longer clip than ``budget`` is a batch of its own."""
+    at = 0
+    for to, length in enumerate(lengths):
+        if to > at and (to - at == batch or (to - at + 1) * length > budget):
+            yield at, to
+            at = to
+    if len(lengths) > at:
+        yield at, len(lengths)
+
+
+def score_clips(frames: DataFrame, make_model: Callable[[], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]], batch: int = 32, most: int = 300, budget: int = FRAMES_A_BATCH) -> DataFrame:
     """Predictions of both heads.
 
+    A task takes its clips by length, so that a batch is padded little: it ends at ``batch`` clips,
+    or where its clips, padded to the longest, would have more than ``budget`` frames.
+
     ``make_model`` runs once in each task and returns a function of (padded batch [n, T, d],
     lengths [n]) to gloss and category probabilities.
     """
@@ -36,8 +54,8 @@ def score_clips(frames: DataFrame, make_model: Callable[[], Callable[[np.ndarray
             return [{"id": int(i), "prob": float(row[i])} for i in order]
 
         for part in parts:
-            for at in range(0, len(part), batch):
-                some = part.iloc[at : at + batch]
+            for at, to in batches_of(part["length"].tolist(), batch, budget):
+                some = part.iloc[at:to]
                 lengths = some["length"].to_numpy()
                 rows = [np.stack([np.asarray(f, np.float64) for f in s]) for s in some["sequence"]]
                 padded = np.zeros((len(rows), lengths.max(), rows[0].shape[1]))
@@ -57,7 +75,7 @@ def score_clips(frames: DataFrame, make_model: Callable[[], Callable[[np.ndarray
                     }
                 )
 
-    return pack_sequences(frames, most).mapInPandas(run, PREDS)
+    return pack_sequences(frames, most).sortWithinPartitions("length").mapInPandas(run, PREDS)
 
 
 def fit_clip_classifier(pooled: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("gloss", "cat"), max_iter: int = 50) -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import arrays as A
 from strideframe.operators.quantiles import percentiles
 from strideframe.operators.scans import handed_on, in_blocks, own
+from strideframe.operators.vectors import array_stats
 
 #: Keypoint pairs whose distance should stay stable.
 BONES = ((5, 7), (7, 9), (6, 8), (8, 10), (11, 13), (13, 15), (12, 14), (14, 16), (5, 6), (5, 11), (6, 12), (11, 12))
@@ -204,9 +205,9 @@ def sanity(frames: DataFrame) -> DataFrame:
 
 def feature_stats(frames: DataFrame, col: Column | str = "x") -> DataFrame:
     """For each clip and place of the array: mean, population deviation, least, most, range (4 decimals)."""
-    long = frames.select("clip_id", F.posexplode(F.col(col) if isinstance(col, str) else col).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
-    stats = long.groupBy("clip_id", "dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    return stats.select("clip_id", "dim", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")], F.round(F.col("max") - F.col("min"), 4).alias("range"))
+    stats = array_stats(frames.select("clip_id", (F.col(col) if isinstance(col, str) else col).alias("v")), "clip_id", "v")
+    each = stats.select("clip_id", F.posexplode(F.arrays_zip("mean", "std", F.col("low").alias("min"), F.col("high").alias("max"))).alias("dim", "s"))
+    return each.select("clip_id", "dim", *[F.round(f"s.{c}", 4).alias(c) for c in ("mean", "std", "min", "max")], F.round(F.col("s.max") - F.col("s.min"), 4).alias("range"))
 
 
 def vector_stats(frames: DataFrame, col: str) -> DataFrame:
@@ -230,11 +231,10 @@ def sequence_overview(frames: DataFrame, target: int) -> DataFrame:
 
 def pool_sequence(frames: DataFrame, method: str = "mean", valid: Column | None = None) -> DataFrame:
     """One vector for each clip: mean (zeros without a valid frame) or maximum over its valid frames."""
-    valid = F.lit(True) if valid is None else valid
-    long = frames.select("clip_id", valid.alias("ok"), F.posexplode("x").alias("dim", "v")).withColumn("v", F.when(F.col("ok"), F.col("v").cast("double")))
-    agg = F.coalesce(F.avg("v"), F.lit(0.0)) if method == "mean" else F.max("v")
-    pooled = long.groupBy("clip_id", "dim").agg(agg.alias("v"))
-    return pooled.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("pooled"))
+    kept = F.col("x") if valid is None else F.when(valid, F.col("x")).otherwise(F.transform("x", lambda v: F.lit(None)))
+    stats = array_stats(frames.select("clip_id", kept.cast("array<double>").alias("v")), "clip_id", "v")
+    pooled = F.transform("mean", lambda v: F.coalesce(v, F.lit(0.0))) if method == "mean" else F.col("high")
+    return stats.select("clip_id", pooled.alias("pooled"))
 
 
 def augment(frames: DataFrame, noise_std: float = 0.01, p_noise: float = 0.3, p_mask: float = 0.1, ratio: float = 0.1, seed: int = 42) -> DataFrame:
