@@ -74,3 +74,48 @@ def test_targets_lie_in_several_frames():
     time, code = peak_pairs(noise)
     assert set((code & 15).tolist()) == {0, 1, 2, 3}
     assert np.bincount(time[code & 15 == 0]).min() == 3
+
+
+def plain_feature(payload):
+    """The peak pairs by a transform written out as sums, frame by frame, and pairs written out as loops."""
+    n = 512
+    quiet = [128] * 256
+    x = quiet + list(payload) + quiet + [128] * (-len(payload) % 256)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]
+    angle = 2 * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n
+    cosines, sines = np.cos(angle), np.sin(angle)
+    peaks = []
+    for at in range(0, len(x) - n + 1, 256):
+        frame = np.array([(x[at + i] - 128) * window[i] for i in range(n)])
+        power = np.sqrt((cosines @ frame) ** 2 + (sines @ frame) ** 2)
+        local = [(power[k], k) for k in range(1, n // 2) if power[k] > power[k - 1] and power[k] >= power[k + 1] and power[k] > 1e-6]
+        peaks.append([k for _, k in sorted(sorted(local, reverse=True)[:3], key=lambda p: p[1])])
+    pairs = []
+    for t, own in enumerate(peaks):
+        pairs += [(t, a << 16 | b << 4) for i, a in enumerate(own) for b in own[i + 1 :]]
+        for gap in (1, 2, 3):
+            if t + gap < len(peaks):
+                pairs += [(t, a << 16 | b << 4 | gap) for a in own for b in peaks[t + gap]]
+    return sorted(pairs)
+
+
+def test_feature_against_a_plain_transform(spark, sf_dir):
+    """Whole documents of all kinds: the stored feature is that of sums written out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in op5_wav_peaks(spark, sf_dir).collect()}
+    seen = 0
+    for r in docs.orderBy("doc_id").collect():
+        payload = to_payload((r.text or "").encode())
+        if len(payload) > 6000:
+            continue
+        want = plain_feature(payload)
+        assert got[r.doc_id].feature == " ".join(f"{t:x}:{h:x}" for t, h in want)
+        seen += 1
+    assert seen > 60
+
+
+def test_feature_of_short_and_flat_payloads():
+    rng = np.random.default_rng(4)
+    for payload in (to_payload(b""), to_payload(b"a" * 1000), to_payload(b"ab" * 700), rng.integers(32, 127, 640, dtype=np.uint8).tobytes(), rng.integers(0, 256, 64, dtype=np.uint8).tobytes()):
+        time, code = peak_pairs(payload)
+        assert sorted(zip(time.tolist(), code.tolist(), strict=True)) == plain_feature(payload)
