@@ -81,24 +81,29 @@ def head_regions(frames: DataFrame) -> DataFrame:
     return A.once(frames, regions=F.filter(F.array(*[circle(n, c) for n, c in centers.items()]), lambda r: r.isNotNull()))
 
 
-def hand_points(frames: DataFrame) -> DataFrame:
-    """One row for each hand with enough visible points: ``hand``, ``palm`` (may be null), ``tips``."""
+def hand_points(frames: DataFrame, every: bool = False) -> DataFrame:
+    """One row for each hand with enough visible points: ``hand``, ``palm`` (may be null), ``tips``.
+
+    With ``every`` a hand without them, or of a frame whose ``face`` is null, has a row of nulls, so that no frame is lost.
+    """
 
     def points(name: str, places: tuple[int, ...]) -> Column:
         first = LAYOUT.groups[name][0]
         return F.filter(F.array(*[_point(first + i) for i in places]), lambda p: p.isNotNull())
 
     def hand(name: str) -> Column:
-        seen = F.when(_seen(*LAYOUT.groups[name]) >= MIN_HAND, F.lit(name))
+        shown = _seen(*LAYOUT.groups[name]) >= MIN_HAND
+        seen = F.when(shown & F.col("face").isNotNull() if every else shown, F.lit(name))
         return F.struct(seen.alias("hand"), points(name, KNUCKLES).alias("mcp"), points(name, (WRIST,)).alias("wrist"), points(name, TIPS).alias("tips"))
 
     keep = [c for c in frames.columns if c not in ("x", "mask")]
     # An outer explode: the filter that Spark infers for an inner one would copy the whole expression below it.
-    rows = frames.select(*keep, F.explode_outer(F.array(hand("left_hand"), hand("right_hand"))).alias("one_hand")).filter("one_hand.hand IS NOT NULL")
+    rows = frames.select(*keep, F.explode_outer(F.array(hand("left_hand"), hand("right_hand"))).alias("one_hand"))
+    rows = rows if every else rows.filter("one_hand.hand IS NOT NULL")
     rows = rows.select(*keep, "one_hand.*")
     mean = lambda c: F.aggregate("mcp", F.lit(0.0), lambda a, p: a + p[c]) / F.size("mcp")
     palm = F.when(F.size("mcp") >= 2, F.struct(mean("x").alias("x"), mean("y").alias("y")).cast(POINT)).otherwise(F.try_element_at("wrist", F.lit(1)))
-    return A.once(rows, palm=palm).select(*keep, "hand", "palm", "tips")
+    return A.once(rows, palm=F.when(F.col("hand").isNotNull(), palm) if every else palm).select(*keep, "hand", "palm", "tips")
 
 
 def _dist(p: Column, r: Column) -> Column:
@@ -120,9 +125,10 @@ def approach(hands: DataFrame, last: int = 5) -> DataFrame:
     return hands.withColumn("recent", F.when(F.col("_n") >= last, recent)).drop("_n")
 
 
-def region_confidence(hands: DataFrame) -> DataFrame:
-    """One row for each hand and region with ``confidence`` in [0, 1]."""
-    each = hands.select("clip_id", "frame_idx", "hand", "palm", "tips", "recent", F.explode_outer("regions").alias("circle")).filter("circle IS NOT NULL")
+def region_confidence(hands: DataFrame, every: bool = False) -> DataFrame:
+    """One row for each hand and region with ``confidence`` in [0, 1]; with ``every`` also one with nulls for other hands."""
+    each = hands.select("clip_id", "frame_idx", "hand", "palm", "tips", "recent", F.explode_outer("regions").alias("circle"))
+    each = each if every else each.filter("circle IS NOT NULL")
     r = F.col("circle")
     away = lambda ps: F.transform(ps, lambda p: _dist(p, r))
     each = A.once(each.withColumn("region", r["name"]).withColumn("radius", r["r"]), d=_dist(F.col("palm"), r), tip=F.array_min(away("tips")), track=away("recent"))
@@ -137,16 +143,16 @@ def region_confidence(hands: DataFrame) -> DataFrame:
     least, wide = F.least(d, tip), radius * 1.8
     facing = F.when(d.isNotNull() & (F.size("tips") >= 2) & (least <= wide), F.greatest(F.lit(0.0), 1 - least / wide) * 0.05).otherwise(0.0)
     score = F.least(F.lit(1.0), inside + near + closing + facing)
+    score = F.when(F.col("hand").isNotNull() & F.col("circle").isNotNull(), score) if every else score
     return each.select("clip_id", "frame_idx", "hand", "region", score.alias("confidence"))
 
 
 def detect_frames(frames: DataFrame) -> DataFrame:
     """For each frame of the input: ``detected``, sorted ``regions`` and ``confidence`` (0 without detection)."""
-    faces = head_regions(valid_face(frames)).filter("face IS NOT NULL")
-    scores = region_confidence(approach(hand_points(faces))).filter(F.col("confidence") > DETECT)
-    hits = scores.groupBy("clip_id", "frame_idx").agg(F.array_sort(F.collect_set("region")).alias("regions"), F.max("confidence").alias("confidence"))
-    out = frames.select("clip_id", "frame_idx").join(hits, ["clip_id", "frame_idx"], "left")
-    return out.select("clip_id", "frame_idx", F.col("confidence").isNotNull().alias("detected"), F.coalesce("regions", F.array().cast("array<string>")).alias("regions"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    scores = region_confidence(approach(hand_points(head_regions(valid_face(frames)), every=True)), every=True)
+    hit = F.col("confidence") > DETECT
+    out = scores.groupBy("clip_id", "frame_idx").agg(F.array_sort(F.collect_set(F.when(hit, F.col("region")))).alias("regions"), F.max(F.when(hit, F.col("confidence"))).alias("confidence"))
+    return out.select("clip_id", "frame_idx", F.col("confidence").isNotNull().alias("detected"), "regions", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def consecutive_filter(det: DataFrame, size: int = 5, skips: int = 2, min_conf: float = 0.2) -> DataFrame:
