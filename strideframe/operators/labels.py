@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,11 +65,11 @@ def lookup_labels(df: DataFrame, ref: DataFrame, id_col: str, key: str, name: st
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """Whether ``text`` holds one of ``words``: one automaton of all words, built once a worker, reads each text once."""
+    """Whether ``text`` holds one of ``words``: one automaton of all words, built once a task, reads each text once."""
     words = sorted(set(words))
 
     @F.pandas_udf("boolean")
-    def found(texts: pd.Series) -> pd.Series:
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -75,7 +77,9 @@ def contains_any(text: Column, words: list[str]) -> Column:
             automaton.add_word(word)
         automaton.make_automaton()
         every = "" in words
-        return texts.map(lambda t: t is not None and (every or next(automaton.iter(t), None) is not None)).astype(bool)
+        has = lambda t: t is not None and (every or (len(automaton) > 0 and next(automaton.iter(t), None) is not None))
+        for texts in parts:
+            yield texts.map(has).astype(bool)
 
     return found(text)
 
