@@ -24,7 +24,7 @@ Fingerprints only estimate how alike two texts are. With ``confirm`` the groups
 candidates: the texts of a group are compared by their exact sets of shingles, again in cells of
 hash chunks, and only pairs with that Jaccard similarity or more are links. Short texts have few
 shingles, so their fingerprints are coarse: those of up to ``INDEXED`` distinct shingles are also
-matched exactly, by a prefix-filtered index of shingles over the groups found so far.
+matched exactly, by a prefix-filtered index of shingles between the groups of candidates.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 16, 20, 3
 #: Distinct texts of a group in a chunk; a task compares two chunks at a time.
 CHUNK = 128
 #: Distinct shingles of a text that is also matched by the index: with a similarity of 0.8, every pair
-#: whose smaller text has 256 or fewer is found.
-INDEXED = 320
+#: whose smaller text has 128 or fewer is found.
+INDEXED = 160
 #: A shingle in more texts than this is put last in the order of the index; so many of them are told apart, the most frequent ones.
 FREQUENT, MOST_FREQUENT = 32, 100_000
 #: Shingles counted at a time when sets are compared.
@@ -512,12 +512,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = join_hot(roots, sizes, ["root"], "members").join(firsts.select("node", F.col("row").alias("id")), "node")
         texts = docs.select(column(key).alias("id"), column(text_col).cast("string").alias("text"))
         members = stage(members.select("id", "node", "root", "members"), "members")
+        # Within a group of candidates all pairs are compared; the index is for pairs of different groups.
+        sets = marks.filter("small IS NOT NULL").select("row", "small").join(firsts.select("node", "row"), "row").join(roots, "node", "left")
+        sets = stage(sets.select("node", F.coalesce("root", "node").alias("root"), "small"), "small_sets")
         links = thin_edges(stage(confirmed_links(texts, members, shingle, confirm), "confirmed"))
         release(roots, sizes, members)
         roots = connected_components(links)
         release(links)
-        sets = marks.filter("small IS NOT NULL").select("row", "small").join(firsts.select("node", "row"), "row").join(roots, "node", "left")
-        sets = stage(sets.select("node", F.coalesce("root", "node").alias("root"), "small"), "small_sets")
         more = stage(indexed_links(sets, confirm), "indexed")
         if not more.isEmpty():
             joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
