@@ -1121,6 +1121,40 @@ def s8_write_report(spark, sf):
     return spark.read.schema("cls long, precision double, f1 double, support long").json(folder)
 
 
+def _records(spark, sf):
+    """Predictions with a second best class of either head, as nested records."""
+    second = lambda h, n: F.array(F.struct(F.col(f"{h}_pred").alias("id"), F.col(f"{h}_prob").alias("prob")), F.struct(((F.col(f"{h}_pred") + 1) % n).cast("int").alias("id"), (1 - F.col(f"{h}_prob")).alias("prob")))
+    return E.format_predictions(preds(spark, sf).withColumns({"gloss_top": second("gloss", 26), "cat_top": second("cat", 5)}), ref(spark, sf))
+
+
+_RECORD = "file long, ground_truth struct<gloss:string,category:string,occluded:boolean>, prediction struct<gloss:string,category:string,gloss_prob:double,cat_prob:double>, correct struct<gloss:boolean,category:boolean>, gloss_top array<struct<label:string,prob:double>>, category_top array<struct<label:string,prob:double>>"
+_RECORD_SQL = (
+    f"WITH {_FX['fx_predictions']}, {_FX['fx_label_ref']}, c AS (SELECT DISTINCT cat_id, category FROM fx_label_ref) SELECT p.clip_id AS file, g.label || ' (' || p.gloss_gt || ')' AS gt_gloss, p.occluded = 1 AS gt_occluded, d.category || ' (' || p.cat_pred || ')' AS pred_cat, round(p.gloss_prob, 6) AS gloss_prob, p.cat_gt = p.cat_pred AS cat_ok, "
+    "coalesce(h.label, 'Unknown') || ' (' || ((p.gloss_pred + 1) % 26) || ')' AS second_gloss, round(1 - p.cat_prob, 6) AS second_cat_prob FROM fx_predictions p JOIN fx_label_ref g ON g.gloss_id = p.gloss_gt LEFT JOIN fx_label_ref h ON h.gloss_id = (p.gloss_pred + 1) % 26 JOIN c d ON d.cat_id = p.cat_pred"
+)
+
+
+def _record_columns(df):
+    return df.select("file", F.col("ground_truth.gloss").alias("gt_gloss"), F.col("ground_truth.occluded").alias("gt_occluded"), F.col("prediction.category").alias("pred_cat"), F.round("prediction.gloss_prob", 6).alias("gloss_prob"), F.col("correct.category").alias("cat_ok"), F.col("gloss_top")[1]["label"].alias("second_gloss"), F.round(F.col("category_top")[1]["prob"], 6).alias("second_cat_prob"))
+
+
+@query(_RECORD_SQL)
+def s8_nested_report(spark, sf):
+    folder = staged_folder(spark, "records")
+    T.write_report(_records(spark, sf), folder)
+    return _record_columns(spark.read.schema(_RECORD).json(folder))
+
+
+@query(_RECORD_SQL)
+def s8_csv_report(spark, sf):
+    """Nested columns are JSON texts in the table."""
+    folder = staged_folder(spark, "records")
+    T.write_report(_records(spark, sf), folder, "csv")
+    raw = spark.read.option("header", "true").option("escape", '"').csv(folder)
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], _RECORD).schema}
+    return _record_columns(raw.select(F.col("file").cast("long").alias("file"), *[F.from_json(c, kinds[c]).alias(c) for c in raw.columns if c != "file"]))
+
+
 def _mean_model():
     """A model for scoring: the mean of the real frames, split into two heads."""
     import numpy as np

@@ -363,7 +363,12 @@ def performance_summary(preds: DataFrame, logits: str | None = None, key: str =
 
 
 def format_predictions(preds: DataFrame, ref: DataFrame) -> DataFrame:
-    """Nested records: file, ground truth, prediction and correctness, with ``LABEL (id)`` texts."""
+    """Nested records: file, ground truth, prediction and correctness, with ``LABEL (id)`` texts.
+
+    Where ``preds`` has them, ``occluded`` is part of the ground truth, and the best classes
+    ``gloss_top`` and ``cat_top`` (arrays of id and prob) become ``gloss_top`` and ``category_top``
+    with such texts.
+    """
     gloss = ref.groupBy("gloss_id").agg(F.max("label").alias("label"))
     cats = ref.groupBy("cat_id").agg(F.max("category").alias("category"))
 
@@ -375,11 +380,24 @@ def format_predictions(preds: DataFrame, ref: DataFrame) -> DataFrame:
         preds = named(preds, gloss, "gloss_id", "label", col)
     for col in ("cat_gt", "cat_pred"):
         preds = named(preds, cats, "cat_id", "category", col)
+
+    def top(col: str, known: str) -> Column:
+        text = lambda i: F.concat(F.coalesce(F.col(known)[i], F.lit("Unknown")), F.lit(" ("), i.cast("string"), F.lit(")"))
+        return F.transform(col, lambda t: F.struct(text(t["id"]).alias("label"), t["prob"].alias("prob")))
+
+    tops = []
+    for col, out, names, key, name in (("gloss_top", "gloss_top", gloss, "gloss_id", "label"), ("cat_top", "category_top", cats, "cat_id", "category")):
+        if col in preds.columns:
+            known = names.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("int"), name))).alias(f"_{col}"))  # one row, classes only
+            preds = preds.crossJoin(F.broadcast(known))
+            tops.append(top(col, f"_{col}").alias(out))
+    truth = [F.col("gloss_gt_text").alias("gloss"), F.col("cat_gt_text").alias("category"), *([F.col("occluded").cast("boolean").alias("occluded")] if "occluded" in preds.columns else [])]
     return preds.select(
         F.col("clip_id").alias("file"),
-        F.struct(F.col("gloss_gt_text").alias("gloss"), F.col("cat_gt_text").alias("category")).alias("ground_truth"),
+        F.struct(*truth).alias("ground_truth"),
         F.struct(F.col("gloss_pred_text").alias("gloss"), F.col("cat_pred_text").alias("category"), "gloss_prob", "cat_prob").alias("prediction"),
         F.struct((F.col("gloss_gt") == F.col("gloss_pred")).alias("gloss"), (F.col("cat_gt") == F.col("cat_pred")).alias("category")).alias("correct"),
+        *tops,
     )
 
 

@@ -65,12 +65,12 @@ def read_label_ref(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """JSON lines (nested columns as they are) or CSV with a header (nested columns as JSON)."""
+    """JSON lines (nested columns as they are) or CSV with a header (nested columns as JSON, quotes doubled)."""
     if fmt == "json":
         df.write.mode("overwrite").json(path)
     else:
         flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in df.dtypes]
-        df.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
+        df.select(*flat).write.mode("overwrite").option("header", "true").option("escape", "\"").csv(path)
 
 
 #: Number and text columns of training tables; a header names some of them.
