@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,28 +149,51 @@ def top_k_accuracy(df: DataFrame, probs: str, y: str, ks: tuple[int, ...] = (3,
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991675)
 #: A prime below 2**31: two products of numbers below it add up to less than 2**63.
 PRIME = 2147483647
-#: Parts of the rows that a bootstrap weighs; rows of one part go together, so with fewer rows than that it is the plain one.
-STRATA = 4096
+#: Rows that are weighed at a time, against all resamples: one matrix of integers that stays in a core's cache.
+STRATA = 128
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], n: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """For rows of (a, b, right of each head): ``rep``, the sum of the weights, and of those of the right rows of each head.
+
+    The weight is the number of ``POISSON`` steps that (a c + b d) mod ``PRIME`` reaches, c and d being those of the resample.
+    """
+    rep = np.arange(1, n + 1, dtype=np.uint64)
+    prime, c, d = np.uint64(PRIME), (rep * 1103515245 + 12345) % PRIME, (rep * rep * 69069 + rep * 362437 + 1) % PRIME
+    sums = None
+    for batch in batches:
+        a, b, *right = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        sums = np.zeros((1 + len(right), n), np.int64) if sums is None else sums
+        counted = np.stack([np.ones(len(a), np.float32), *[np.nan_to_num(x).astype(np.float32) for x in right]])
+        a, b = a.astype(np.uint64), b.astype(np.uint64)
+        for at in range(0, len(a), rows):
+            u = a[at : at + rows, None] * c + b[at : at + rows, None] * d
+            u = (u & prime) + (u >> np.uint64(31))  # 2**31 is 1 modulo this prime
+            u = ((u & prime) + (u >> np.uint64(31))).astype(np.uint32)
+            u[u >= PRIME] -= np.uint32(PRIME)
+            weight = np.zeros(u.shape, np.uint8)
+            for step in POISSON:
+                weight += u >= np.uint32(step * PRIME)
+            sums += (counted[:, at : at + rows] @ weight.astype(np.float32)).astype(np.int64)
+    if sums is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int64)), *map(pa.array, sums)], ["rep", "total", *[f"h{i}" for i in range(len(sums) - 1)]])
 
 
 def _resampled(preds: DataFrame, right: dict[str, Column], key: str, n: int, seed: int) -> DataFrame:
     """The accuracy of each head in each of ``n`` resamples: ``rep`` and one column a head.
 
-    Rows are counted, all and right ones, in ``STRATA`` parts by a hash of their key, and a resample
-    weighs the parts: what it costs does not depend on the number of rows. A part is hashed once;
-    its weight in a resample is a step of a linear combination of the two halves of its hash, so all
-    is plain integers, and a task gives one sum a resample and head.
+    Every row has a weight of its own in every resample. A row is hashed once; its weight is then
+    a step of a linear combination of the two halves of its hash, so all is plain integers. The rows
+    are dealt over all cores, as a row costs as much as its resamples, and a task gives one sum a
+    resample and head. A resample in which all weights are zero has no number.
     """
-    digest = lambda c, i: F.conv(F.substring(F.md5(F.concat_ws("|", c.cast("string"), F.lit(str(seed))).cast("binary")), i, 8), 16, 10).cast("long")
-    rows = preds.select((digest(F.col(key), 17) % STRATA).alias("part"), *[c.cast("int").alias(h) for h, c in right.items()])
-    parts = rows.groupBy("part").agg(F.count("*").alias("m"), *[F.sum(h).alias(h) for h in right])
-    parts = A.once(parts, a=digest(F.col("part"), 1) % PRIME, b=digest(F.col("part"), 9) % PRIME)
-    parts = parts.select("a", "b", "m", *right, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("rep"))
-    r = F.col("rep")
-    u = (F.col("a") * ((r * 1103515245 + 12345) % PRIME) + F.col("b") * ((r * r * 69069 + r * 362437 + 1) % PRIME)) % PRIME
-    parts = parts.select("rep", "m", *right, u.alias("u"))
-    weight = sum((F.col("u") >= int(s * PRIME)).cast("int") for s in POISSON)
-    return parts.groupBy("rep").agg(*[(F.sum(weight * F.col(h)) / F.sum(weight * F.col("m"))).alias(h) for h in right])
+    digest = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), i, 8), 16, 10).cast("long")
+    rows = preds.select((digest(1) % PRIME).alias("a"), (digest(9) % PRIME).alias("b"), *[c.cast("int").alias(h) for h, c in right.items()])
+    rows = rows.repartition(preds.sparkSession.sparkContext.defaultParallelism)
+    heads, strata = [f"h{i}" for i in range(len(right))], STRATA
+    parts = rows.mapInArrow(lambda batches: _weighed(batches, n, strata), ", ".join(f"{c} long" for c in ("rep", "total", *heads)))
+    sums = parts.groupBy("rep").agg(F.sum("total").alias("total"), *[F.sum(h).alias(h) for h in heads])
+    return sums.select("rep", *[F.when(F.col("total") == 0, F.lit(float("nan"))).otherwise(F.col(h) / F.nullif(F.col("total"), F.lit(0))).alias(c) for h, c in zip(heads, right, strict=True)])
 
 
 def bootstrap_ci(preds: DataFrame, key: str = "clip_id", y: str = "gloss_gt", yhat: str = "gloss_pred", n: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cubes, array statistics, stratified bootstrap and batches by length."""
 
+import hashlib
 import math
 import random
 
@@ -118,6 +119,30 @@ def test_bootstrap_costs_no_more_for_more_rows(spark, monkeypatch):
     assert got.high - got.low == pytest.approx(2 * spread, rel=0.15)
 
 
+def test_every_row_has_its_own_weight_in_every_resample(spark, monkeypatch):
+    monkeypatch.setattr(E, "STRATA", 7)
+    df = predictions(spark, 300)
+    got = {r.rep: r for r in E._resampled(df, {"g": F.col("gloss_gt") == F.col("gloss_pred"), "k": F.col("cat_gt") == F.col("cat_pred")}, "clip_id", 40, 42).collect()}
+    assert sorted(got) == list(range(1, 41))
+    rows = [(hashlib.md5(f"{r.clip_id}|42".encode()).hexdigest(), r.gloss_gt == r.gloss_pred, r.cat_gt == r.cat_pred) for r in df.collect()]
+    for rep in got:
+        c, d = (rep * 1103515245 + 12345) % E.PRIME, (rep * rep * 69069 + rep * 362437 + 1) % E.PRIME
+        weighed = []
+        for h, g, k in rows:
+            u = (int(h[:8], 16) % E.PRIME * c + int(h[8:16], 16) % E.PRIME * d) % E.PRIME
+            weighed.append((sum(u >= int(s * E.PRIME) for s in E.POISSON), g, k))
+        total = sum(w for w, _, _ in weighed)
+        assert got[rep].g == sum(w for w, g, _ in weighed if g) / total
+        assert got[rep].k == sum(w for w, _, k in weighed if k) / total
+
+
+@pytest.mark.parametrize("keep", ["clip_id < 0", "clip_id = 5", "gloss_gt <> gloss_pred", "gloss_gt = gloss_pred"])
+def test_bootstrap_of_few_or_like_rows(spark, keep):
+    got = E.bootstrap_ci(predictions(spark, 300).filter(keep)).first()
+    want = {"clip_id < 0": [None] * 3, "gloss_gt <> gloss_pred": [0.0] * 3, "gloss_gt = gloss_pred": [1.0] * 3}.get(keep)
+    assert list(got) == pytest.approx(want) if want and want[0] is not None else want is None or list(got) == want
+
+
 def test_batches_by_length_are_padded_little():
     rng = random.Random(7)
     lengths = sorted(rng.choice((10, 33, 40, 80, 300, 290)) for _ in range(2000))
