@@ -153,3 +153,13 @@ def test_batches_by_length_are_padded_little():
     assert all((b - a) <= 32 and (b - a == 1 or (b - a) * lengths[b - 1] <= 4096) for a, b in cuts)
     assert list(U.batches_of([5000, 6000], 32, 4096)) == [(0, 1), (1, 2)]
     assert list(U.batches_of([], 32, 4096)) == []
+
+
+def test_intervals_of_the_summary_weigh_rows(spark, monkeypatch):
+    df = predictions(spark, 300)
+    monkeypatch.setattr(E, "STRATA", 1)  # one part of all rows would give every resample the same accuracy
+    got = {r.metric: r.confidence_interval for r in E.performance_summary(df).collect()}
+    heads = {"Gloss Accuracy": "gloss", "Category Accuracy": "cat"}
+    for metric, h in heads.items():
+        want = E.bootstrap_ci(df, y=f"{h}_gt", yhat=f"{h}_pred").first()
+        assert want.low < want.high and got[metric] == f"[{want.low:.4f}, {want.high:.4f}]"
