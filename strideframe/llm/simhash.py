@@ -52,6 +52,8 @@ PIVOTS = np.random.default_rng(2024).integers(0, 2**64, (16, 2), dtype=np.uint64
 N_PIVOTS = {1: 16, 2: 8}
 #: With 128 bits: blocks, places of a block, and the least decided of them that are flipped.
 WIDE_BLOCKS, WIDE_PLACES, WIDE_FLIPS = 16, 20, 3
+#: Fingerprints of 128 bits that a task enters into the tables, 128 keys each: the keys are sorted in its executor's memory.
+ENTERED = 8192
 
 
 #: Distinct texts of a group in a chunk; a task compares two chunks at a time.
@@ -312,7 +314,10 @@ def near_links(distinct: DataFrame, bits: int = 4, words: int = 1, cell_rows: in
         if held.shape[1]:
             yield links(held)
 
-    keys = distinct.select(*own, *["weak"][: words - 1]).mapInArrow(explode, f"key long, {typed}")
+    entered = distinct.select(*own, *["weak"][: words - 1])
+    if words > 1:
+        entered = entered.repartition(max(1, -(-distinct.count() // ENTERED)))
+    keys = entered.mapInArrow(explode, f"key long, {typed}")
     hot = stage(keys.groupBy("key").count().filter(F.col("count") > cell_rows), "hot")
     if hot.limit(1).count():
         # A member of a hot bucket goes to one cell with every chunk of the bucket.

@@ -202,6 +202,27 @@ def test_both_words_count(spark):
     assert {frozenset(r) for r in links} == {frozenset((10, 12))}
 
 
+def test_keys_of_wide_fingerprints_are_made_in_small_tasks(spark, monkeypatch):
+    from strideframe.llm import simhash
+
+    rng = np.random.default_rng(11)
+    fps = rng.integers(-(2**63), 2**63 - 1, (90, 2))
+    fps[50:] = fps[10:50] ^ (1 << rng.integers(0, 60, (40, 1)))  # near copies of 40 others
+    rows = [(i, *map(int, f), rng.permutation(128).astype(np.uint8).tobytes()) for i, f in enumerate(fps)]
+    distinct = spark.createDataFrame(rows, "node long, fp long, fp_high long, weak binary").coalesce(1)
+
+    def groups():
+        links = simhash.near_links(distinct, bits=4, words=2)
+        plan = links._jdf.queryExecution().optimizedPlan().toString()
+        return plan, sorted((r.node, r.root) for r in connected_components(links).collect())
+
+    plan, want = groups()
+    monkeypatch.setattr(simhash, "ENTERED", 16)
+    small, got = groups()
+    assert got == want and {n for n, r in got if n != r} == set(range(50, 90))
+    assert "Repartition 6, true" in small and "Repartition 1, true" in plan
+
+
 def test_hubs_and_hot_groups(spark, monkeypatch):
     import strideframe.llm._common as common
 
