@@ -15,29 +15,32 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm._common import stage, text_rows
 
-#: Distinct chunks of text whose ids a Python worker remembers between batches.
-CACHE_CHUNKS = 500_000
+#: Distinct chunks of text whose ids a task remembers between groups of texts.
+CACHE_CHUNKS = 250_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 48
+#: Bytes of texts that are encoded at a time (a longer text alone): they share the lookup of their distinct chunks.
+GROUP_BYTES = 1 << 19
 #: Letters that normalization turns into one letter: a token never crosses the place between one of them and a mark or blank.
 LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
-#: A full stop or comma between such a letter, or a digit, and white space or the end.
-LAST_MARK = re.compile(f"(?<=[{LETTERS}0-9])[.,](?!\\S)")
 WORD = re.compile(f"[{LETTERS}]+").fullmatch
+#: Which bytes are an ASCII letter or digit.
+_PLAIN = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+#: The characters that stand for bytes in a byte-level vocabulary.
+_SHOWN = dict(zip([i for i in range(256) if not (33 <= i <= 126 or 161 <= i <= 172 or i >= 174)], map(chr, range(256, 324)), strict=True))
 #: Partitions whose leftover windows meet in one task.
 MERGE_PARTITIONS = 8
 ID_BYTES = 4
 
 _tokenizers: dict[str, object] = {}
-_word_ends: dict[str, np.ndarray] = {}
 _specials: dict[str, re.Pattern] = {}
 _chunks: dict[str, dict[str, bytes]] = {}
 
@@ -53,57 +56,92 @@ def _tokenizer(path: str):
         _tokenizers[path] = found
         # A special token in a text is matched as it stands, before anything else; a text with one is not cut into chunks.
         _specials[path] = re.compile("|".join(re.escape(t.content) for t in found.get_added_tokens_decoder().values()) or r"(?!)")
-        # The vocabulary marks the token at the end of a word.
-        vocabulary = found.get_vocab()
-        _word_ends[path] = np.zeros(max(vocabulary.values()) + 1, bool)
-        _word_ends[path][[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     return _tokenizers[path]
 
 
-def _chunks_of(text: str | None) -> list[str]:
-    """A text between blanks and line ends, with a full stop or comma after a letter or digit as a chunk of its own."""
-    if not text:
-        return []
-    if text.isascii() and "<" not in text:
-        text = text.lower()  # as the vocabulary does; copies of a chunk then meet in one
-    return LAST_MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+def _chunks_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of all texts in order, and after how many of them each text ends.
+
+    A chunk is what stands between blanks and line ends, but a full stop or comma at its end, after a
+    letter of ``LETTERS`` or a digit, is a chunk of its own. ASCII chunks get small letters, as the
+    vocabulary has no others, so that copies meet; not those that could become a special token's name.
+    """
+    data = np.frombuffer(b"".join(x + b" " for x in texts), np.uint8)
+    blank = (data == ord(" ")) | (data == ord("\n"))
+    first = ~blank
+    first[1:] &= blank[:-1]
+    marks = 1 + np.flatnonzero(((data[1:-1] == ord(".")) | (data[1:-1] == ord(","))) & blank[2:])
+    before, lead = data[marks - 1], data[np.maximum(marks - 2, 0)]
+    # In UTF-8 À to ÿ are the byte C3 and one more; × and ÷ among them are no letters.
+    first[marks[_PLAIN[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))]] = True
+    kept = data[~blank]
+    offsets = np.append(np.flatnonzero(first[~blank]), len(kept)).astype(np.int32)
+    if len(kept):
+        other = np.repeat(np.logical_or.reduceat((kept >= 0x80) | (kept == ord("<")), offsets[:-1]), np.diff(offsets))
+        kept |= np.where((kept >= ord("A")) & (kept <= ord("Z")) & ~other, np.uint8(0x20), np.uint8(0))
+    chunks = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(kept))
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return chunks.dictionary_encode(), np.searchsorted(np.flatnonzero(first), ends)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit words.
 
     The vocabulary drops white space and no token crosses it, nor the place between a letter or
-    digit and a mark, so a text's ids are those of its chunks; chunks repeat and are looked up.
+    digit and a mark, so a text's ids are those of its chunks; distinct chunks of the texts are
+    looked up once, and the ids are laid out by their places.
     """
+    if not texts:
+        return []
     known = _chunks.setdefault(path, {})
     coder = _tokenizer(path)
     special = _specials[path].search
     whole = {i: array("I", coder.encode(x, add_special_tokens=False).ids).tobytes() for i, x in enumerate(texts) if x and "<" in x and special(x)}
-    split = [[] if i in whole else _chunks_of(x) for i, x in enumerate(texts)]
-    every = set().union(*split)
-    new = list(every - known.keys())
+    chunks, ends = _chunks_of([b"" if not x or i in whole else x.encode() for i, x in enumerate(texts)])
+    every = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+    new = [c for c in every if c not in known]
     if len(known) + len(new) > CACHE_CHUNKS:
+        recent = {c: known[c] for c in every if c in known}  # frequent ones are among these
         known.clear()
-        new = list(every)
-    # Words go many to a call, as most of a short call is its overhead; their ids part at the ends of words.
-    words = [c for c in new if WORD(c)]
-    for at in range(0, len(words), 512):
-        part = words[at : at + 512]
-        ids = np.array(coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(_word_ends[path][ids]) + 1).tolist()
-        raw = ids.tobytes()
-        for word, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
-            known[word] = raw[ID_BYTES * a : ID_BYTES * b]
-    rest = [c for c in new if not WORD(c)]
+        known.update(recent)
+    model = coder.model
+    for word in filter(WORD, new):  # one word, whose normal form is small letters: only the merges are left to do
+        shown = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_SHOWN)
+        known[word] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+    rest = [c for c in new if c not in known]
     for at in range(0, len(rest), 4096):
         part = rest[at : at + 4096]
         for chunk, got in zip(part, coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[chunk] = array("I", got.ids).tobytes()
-    out = [whole[i] if i in whole else b"".join(map(known.__getitem__, chunks)) for i, chunks in enumerate(split)]
+    values = list(map(known.__getitem__, every))
     for chunk in new:
         if len(chunk) > CACHE_CHARS:
             known.pop(chunk, None)
-    return out
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // ID_BYTES
+    places = chunks.indices.to_numpy()
+    lengths = sizes[places]
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    ids = np.frombuffer(b"".join(values), "<u4")[np.repeat((np.cumsum(sizes) - sizes)[places] - upto[:-1], lengths) + np.arange(upto[-1])]
+    bounds = [0, *upto[ends].tolist()]
+    return [whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(texts))]
+
+
+def forget_chunks() -> None:
+    """At the end of a task: its worker lives on, idle or in other operators' tasks, next to those that pack."""
+    _chunks.clear()
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where groups of texts of ``GROUP_BYTES`` or fewer, or of one longer text, begin and end."""
+    begin = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > begin and size + (n or 0) > GROUP_BYTES:
+            yield begin, i
+            begin = i
+            size = 0
+        size += n or 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 class OpenWindows:
@@ -171,6 +209,12 @@ _FIELDS = [
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, part long, sequence long, offset long, left boolean, ids array<int>"
 
 
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    """The columns of ``_FIELDS``, from rows of them."""
+    cols = zip(*rows, strict=True) if rows else [()] * len(_FIELDS)
+    return [pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)]
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -197,43 +241,44 @@ def pack_documents(
 
     def rows(windows: list[list], part: int, left: bool) -> pa.RecordBatch:
         flat = [(i, s, n, zlib.crc32(ids), total, part, seq, off, left, np.frombuffer(ids, "<i4") if left or with_ids else None) for seq, _, pieces in windows for i, s, ids, total, n, off in pieces]
-        cols = list(zip(*flat, strict=True)) if flat else [[]] * len(_FIELDS)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+        return pa.RecordBatch.from_arrays(_columns(flat), schema=pa.schema(_FIELDS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         windows = OpenWindows(window, open_windows, least_cut)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for begin, end in _groups(batch.column(1)):
+                some = batch.slice(begin, end - begin)
                 for ident, ids in zip(some.column(0).to_pylist(), encode_texts(some.column(1).to_pylist(), tokenizer_path), strict=True):
                     windows.add(ident, ids + closing, len(ids) // ID_BYTES + 1)
                 if windows.closed:
                     yield rows(windows.closed, part, False)
                     windows.closed.clear()
         yield rows(windows.open, part, True)
+        forget_chunks()
 
-    def merge(key, pdf):
+    def merge(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         # Bounded: MERGE_PARTITIONS x open_windows windows, each of at most `window` tokens.
-        pdf = pdf.sort_values(["part", "sequence", "offset"])
+        table = table.sort_by([(c, "ascending") for c in ("part", "sequence", "offset")]).combine_chunks()
+        lists = pa.concat_arrays(table["ids"].chunks)
+        every, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        merged = -1 - key[0].as_py()
         seq, used, out = 0, 0, []
-        for r in pdf.itertuples(index=False):
-            start, ids, rest = r.start, np.asarray(r.ids, "<i4"), r.length
+        for at, (ident, start, rest, total) in enumerate(zip(*[table[c].to_pylist() for c in ("id", "start", "length", "doc_tokens")], strict=True)):
+            ids = every[ends[at] : ends[at + 1]]
             while rest:
                 take = min(rest, window - used)
                 part = ids[:take]
-                out.append((r.id, start, take, zlib.crc32(part.tobytes()), r.doc_tokens, -1 - int(key[0]), seq, used, True, part if with_ids else None))
+                out.append((ident, start, take, zlib.crc32(part.tobytes()), total, merged, seq, used, True, part if with_ids else None))
                 start, ids, rest, used = start + take, ids[take:], rest - take, used + take
                 if used == window:
                     seq, used = seq + 1, 0
-        made = pd.DataFrame(out, columns=[n for n, _ in _FIELDS])
-        made["id"] = pd.array([None if pd.isna(x) else int(x) for x in made["id"]], "Int64")
-        return made
+        return pa.table(_columns(out), schema=pa.schema(_FIELDS))
 
     rows_in = text_rows(docs, text_col, id=id_col)
     placed = stage(rows_in.mapInArrow(place, _SCHEMA), "pieces")
     group = F.floor(F.col("part") / MERGE_PARTITIONS).cast("long")
-    merged = placed.filter("left").groupBy(group.alias("merged_in")).applyInPandas(merge, _SCHEMA)
+    merged = placed.filter("left").groupBy(group.alias("merged_in")).applyInArrow(merge, _SCHEMA)
     both = placed.filter("NOT left").unionByName(merged)
     # Merged windows have negative parts; the sign keeps their numbers apart from the others.
     both = both.withColumn("sequence_id", F.col("part") * F.lit(1 << 32) + F.col("sequence"))

@@ -3,11 +3,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from strideframe.llm import packing
 from strideframe.llm.packing import OpenWindows, encode_texts, pack_documents
 from strideframe.llm.queries import op2_bounded_packing
 
@@ -85,3 +87,32 @@ def test_special_tokens_in_a_text(coder):
     got = [np.frombuffer(x, "<u4").tolist() for x in encode_texts(texts, PATH)]
     assert got == [coder.encode(x or "", add_special_tokens=False).ids for x in texts]
     assert got[0] == [320, 49407, 321]
+
+
+def test_chunks_of_many_texts_at_once(coder, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 20)
+    packing._chunks.clear()
+    odd = ["", None, " ", ".", "\n.\n", "a", ".a", "a. b, C.\n\nÉ. ×. ÷, ÿ, 7. ７.", "THE the The.", "H̱. ẖ", "<|ENDOFTEXT|> <|endoftext|>", "<B> B", "x" * 60, "It's don'T", "á. Á,", "K. K", "ÀÖØÞßöøÿ. ẞ", "a.\tb,\xa0c. d."]
+    for texts in (odd, odd[::-1], [x for x in odd for _ in range(3)], [None, ""], []):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encode_texts(texts, PATH)]
+        assert got == [coder.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert len(packing._chunks.get(PATH, {})) <= 60  # those of one call, and what was remembered before
+
+
+def test_a_worker_keeps_no_chunks_and_loads_no_pandas(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).coalesce(1)
+    assert pack_documents(docs, PATH).count() >= 50
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"pandas_of_packing": ["pd" in vars(packing)], "chunks": [sum(map(len, packing._chunks.values()))]})
+
+    for r in spark.range(8).repartition(8).mapInArrow(held, "pandas_of_packing boolean, chunks long").collect():
+        assert not r.pandas_of_packing and r.chunks == 0
+
+
+def test_groups_of_texts(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 6, "c", "d" * 30, "", "é" * 5, "e"]
+    assert list(packing._groups(pa.array(texts))) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)]
+    assert list(packing._groups(pa.array([], pa.string()))) == []
