@@ -116,3 +116,11 @@ def test_groups_of_texts(monkeypatch):
     texts = ["a" * 4, None, "b" * 6, "c", "d" * 30, "", "é" * 5, "e"]
     assert list(packing._groups(pa.array(texts))) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)]
     assert list(packing._groups(pa.array([], pa.string()))) == []
+
+
+def test_remembered_chunks_stay_few_over_many_groups(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 300)
+    packing.forget_chunks()
+    for i in range(50):
+        encode_texts([f"the q{i * 100 + j} of" for j in range(100)], PATH)
+        assert {"the", "of"} <= packing._chunks[PATH].keys() and len(packing._chunks[PATH]) <= 300
