@@ -201,25 +201,29 @@ class PieceAgenda:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids in UTF-8: control ids say nothing, the blank before the first piece goes."""
-        ids = ids[~self.control[ids]]
+        shown = np.flatnonzero(~self.control[ids])
+        ids = ids[shown]
         parts = self.surface[ids].tolist()
         if len(parts) and self.prefix and self.normal[ids[0]] and parts[0].startswith(b" "):
             parts[0] = parts[0][1:]
         whole = b"".join(parts)
+        if len(shown) and shown[-1] - shown[0] >= len(shown):  # control ids in between: bytes around one form no character
+            return self._mended(ids, parts, shown)
         try:
             whole.decode()
         except UnicodeDecodeError:  # bytes that form no character
-            whole = self._mended(ids, parts)
+            whole = self._mended(ids, parts, shown)
         return whole
 
-    def _mended(self, ids: np.ndarray, parts: list[bytes]) -> bytes:
+    def _mended(self, ids: np.ndarray, parts: list[bytes], shown: np.ndarray) -> bytes:
         is_byte, out, at = np.isin(ids, self.byte_ids), [], 0
         while at < len(parts):
             if not is_byte[at]:
                 out.append(parts[at])
                 at += 1
                 continue
-            run = b"".join(parts[at : at + 4][: int(np.argmin(np.append(is_byte[at : at + 4], False)))])
+            next_to = shown[at : at + 4] - shown[at] == np.arange(len(shown[at : at + 4]))
+            run = b"".join(parts[at : at + 4][: int(np.argmin(np.append(is_byte[at : at + 4] & next_to, False)))])
             for size in range(1, len(run) + 1):
                 try:
                     out.append(run[:size].decode().encode())

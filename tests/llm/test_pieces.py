@@ -59,6 +59,12 @@ def test_decoding_of_any_ids(ids):
     assert coder.decode(np.array(ids, np.int64)) == coder.library.decode(ids).encode()
 
 
+def test_bytes_around_a_control_id(library):
+    coder = PieceAgenda.load(PATH)
+    for ids in ([197, 1, 131], [1, 197, 131, 2], [197, 131, 1], [229, 154, 2, 168], [197, 1, 2, 131, 197, 131], [227, 131, 1, 133, 300], [1, 2]):
+        assert coder.decode(np.array(ids, np.int64)) == library.decode(ids).encode(), ids
+
+
 def test_long_units(library):
     coder = PieceAgenda.load(PATH)
     for text in ("a" * 5000, "=" * 3000 + "x", "ab" * 4000, " " * 900 + "z" + "\n" * 300, "日本語のテキスト" * 300, "aGVsbG8gd29ybGQ" * 500):
