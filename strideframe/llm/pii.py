@@ -272,6 +272,23 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     return {r.code: r.n for r in rows.collect()}
 
 
+def _accepted(texts: pa.Array, model: SpanModel, threshold: float) -> Iterator[list[tuple[int, int, str, bool]]]:
+    """The spans of each text as (start, end, kind, base), by start, then kind."""
+    accepted: dict[int, bool] = {}
+    for text in texts:
+        text = text.as_py() or ""
+        base = base_spans(text)
+        rows = [(*s, True) for s in base]
+        for s in proposals(text, base):
+            code = _code(*votes(text, *s))
+            if code not in accepted:
+                accepted[code] = model.probability(code) >= threshold
+            if accepted[code]:
+                rows.append((*s, False))
+        rows.sort(key=lambda r: (r[0], KINDS.index(r[2]), r[1]))
+        yield rows
+
+
 def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", threshold: float = 0.5, model: SpanModel | None = None) -> DataFrame:
     """``docs`` with ``spans_col``: array of (start, end, kind, base) by start, then kind.
 
@@ -287,20 +304,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "spans",
 
     @F.arrow_udf("array<struct<start:int,end:int,kind:string,base:boolean>>")
     def spans(texts: pa.Array) -> pa.Array:
-        accepted: dict[int, bool] = {}
-        out = []
-        for text in texts:
-            text = text.as_py() or ""
-            base = base_spans(text)
-            rows = [(*s, True) for s in base]
-            for s in proposals(text, base):
-                code = _code(*votes(text, *s))
-                if code not in accepted:
-                    accepted[code] = model.probability(code) >= threshold
-                if accepted[code]:
-                    rows.append((*s, False))
-            rows.sort(key=lambda r: (r[0], KINDS.index(r[2]), r[1]))
-            out.append([{"start": a, "end": b, "kind": k, "base": own} for a, b, k, own in rows])
+        out = [[{"start": a, "end": b, "kind": k, "base": own} for a, b, k, own in rows] for rows in _accepted(texts, model, threshold)]
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())])))
 
     return docs.withColumn(spans_col, spans(column(text_col).cast("string")))
@@ -312,22 +316,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans are replaced together by the kind of the first. Null texts stay null; the
     other cases are those of ``find_pii``.
     """
-    (spans_col,) = fresh(docs, "pii_spans")
-    found = find_pii(docs, text_col, spans_col)
+    model = fit_spans(vote_counts(docs, text_col))
 
+    # Spans are found and replaced in one function: with one on top of the other each task has two Python workers.
     @F.arrow_udf("string")
-    def masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def masked(texts: pa.Array) -> pa.Array:
         out = []
-        for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        for text, own in zip(texts.to_pylist(), _accepted(texts, model, 0.5), strict=True):
             if own:
                 parts, end = [], 0
-                for s in own:
-                    if s["start"] >= end:
-                        parts += [text[end : s["start"]], f"[{s['kind'].upper()}]"]
-                    end = max(end, s["end"])
+                for start, stop, kind, _ in own:
+                    if start >= end:
+                        parts += [text[end:start], f"[{kind.upper()}]"]
+                    end = max(end, stop)
                 text = "".join([*parts, text[end:]])
             out.append(text)
         return pa.array(out, pa.string())
 
-    text = masked(column(text_col).cast("string"), F.col(spans_col))
-    return found.select(*[text.alias(c) if c == text_col else column(c) for c in docs.columns])
+    text = masked(column(text_col).cast("string"))
+    return docs.select(*[text.alias(c) if c == text_col else column(c) for c in docs.columns])

@@ -202,4 +202,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` whose posterior reaches ``threshold``, with their columns (see ``score_quality``)."""
     names = fresh(docs, "q_doc", "q_host", "q_path", "q_posterior", "q_keep")
     scored = score_quality(docs, labels, id_col, text_col, threshold=threshold, outputs=tuple(names))
-    return scored.filter(F.col(names[4])).select(*[column(c) for c in docs.columns])
+    # A bare condition says that the log odds are not null, which is tested below the join: they are computed twice, in two workers a task.
+    return scored.filter(F.coalesce(F.col(names[4]), F.lit(False))).select(*[column(c) for c in docs.columns])

@@ -127,3 +127,20 @@ def test_secrets_of_any_length_and_alphabet():
         assert votes(text, s, e, kind)[0][0] == 1
     path = "see src/main/java/org/project2/module/Service for it"
     assert all(votes(path, *p)[0][0] == 0 for p in proposals(path, []))
+
+
+def test_texts_are_masked_in_one_worker(odd_docs):
+    clean = redact(odd_docs)
+    assert clean._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    want = []
+    for r in find_pii(odd_docs).collect():
+        text, end = r.text, 0
+        for s in reversed([s for i, s in enumerate(r.spans) if s.start >= max([0, *[x.end for x in r.spans[:i]]])]):
+            # The whole stretch of spans that overlap goes; its first one names it.
+            end = s.end
+            for x in r.spans:
+                if s.start <= x.start < end:
+                    end = max(end, x.end)
+            text = text[: s.start] + f"[{s.kind.upper()}]" + text[end:]
+        want.append((r.doc_id, text))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(want, key=str)

@@ -91,3 +91,10 @@ def test_an_id_of_many_rows_is_one_row_to_the_driver(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
     alone = fit_classifier(docs.groupBy("doc_id").agg(F.min("text").alias("text")).filter("doc_id > 1"), labels.filter("doc_id > 1"))
     assert np.isfinite(fit_classifier(docs, labels).weights).all() and np.isfinite(alone.weights).all()
+
+
+def test_kept_rows_are_scored_once(odd_docs, labels):
+    kept = keep_good(odd_docs, labels)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    names = score_quality(odd_docs, labels).filter("keep").select("doc_id", "text").collect()
+    assert sorted(kept.select("doc_id", "text").collect(), key=str) == sorted(names, key=str)
