@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions import arrays as A
+
 
 def best_epoch(epochs: DataFrame) -> DataFrame:
     """For each run the first epoch with its highest gloss accuracy."""
@@ -49,7 +51,7 @@ def batch_files(clips: DataFrame, preds: DataFrame, ref: DataFrame) -> DataFrame
 
     def top(name: str, pred: str, prob: str) -> Column:
         label = F.coalesce(F.col(name), F.format_string("Unknown (%d)", F.col(pred)))
-        return F.when(F.col(pred).isNull(), "Prediction Failed").otherwise(F.format_string("%s (%.1f%%)", label, F.round(F.col(prob) * 100, 1)))
+        return F.when(F.col(pred).isNull(), "Prediction Failed").otherwise(F.format_string("%s (%.1f%%)", label, A.rounded(F.col(prob) * 100, 1)))
 
     return rows.select(
         F.col("clip_id").alias("file"),

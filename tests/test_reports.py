@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import cube as K
 from strideframe.operators import evaluation as E
+from strideframe.operators import runs as R
 from strideframe.operators import scoring as U
 from strideframe.operators import sequence as S
 from strideframe.operators import vectors as V
@@ -163,3 +164,16 @@ def test_intervals_of_the_summary_weigh_rows(spark, monkeypatch):
     for metric, h in heads.items():
         want = E.bootstrap_ci(df, y=f"{h}_gt", yhat=f"{h}_pred").first()
         assert want.low < want.high and got[metric] == f"[{want.low:.4f}, {want.high:.4f}]"
+
+
+def test_percent_texts_of_a_batch_round_as_their_sql(spark):
+    """Halves that only the scaled double has: 0.301 / 2 * 100 is just below 15.05, ten times that is 150.5."""
+    import duckdb
+
+    probs = [k / 1000 for k in range(300, 1000)]
+    clips = spark.createDataFrame([(i, 20, True, True, False, "No") for i in range(len(probs))], "clip_id long, n_frames int, from_video boolean, transformer boolean, iv3_gru boolean, occlusion_text string")
+    found = spark.createDataFrame([(i, 1, 2, p, p / 2) for i, p in enumerate(probs)], "clip_id long, gloss_pred int, cat_pred int, gloss_prob double, cat_prob double")
+    ref = spark.createDataFrame([(1, "A", 2, "B")], "gloss_id int, label string, cat_id int, category string")
+    got = {r.file: (r.top_gloss, r.top_category) for r in R.batch_files(clips, found, ref).collect()}
+    want = duckdb.sql("SELECT k - 300, printf('A (%.1f%%)', round(k::DOUBLE / 1000 * 100, 1)), printf('B (%.1f%%)', round(k::DOUBLE / 1000 / 2 * 100, 1)) FROM range(300, 1000) t(k)").fetchall()
+    assert got == {i: (a, b) for i, a, b in want} and got[1] == ("A (30.1%)", "B (15.1%)")
