@@ -180,3 +180,30 @@ def test_sanity_is_one_pass_and_agrees_with_its_parts(spark):
             for name, value in r.asDict().items():
                 assert getattr(got[r.clip_id], name) == (pytest.approx(value) if isinstance(value, float) else value), name
     assert got[1].x_has_nan and not got[0].x_has_nan and not got[2].timestamps_monotonic
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_clips_are_made_in_many_tasks(spark, monkeypatch):
+    """Suppliers lie in one file of one task: the points of a hundred of them are made in five tasks and more, and not exchanged."""
+    from strideframe import catalog, fixtures
+
+    monkeypatch.setattr(fixtures, "CLIPS", 20)
+    points = fixtures.fixture(spark, "/root/testdata/sf0.01", "fx_holistic")
+    tasks = points.select("clip_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in tasks}) == 5 and len(tasks) == len({r.clip_id for r in tasks}) == 100
+    plan = plan_of(catalog.queries()["a25_sequence_overview"](spark, "/root/testdata/sf0.01"))
+    assert "hashpartitioning(clip_id" not in plan and plan.count("Exchange hashpartitioning(s_suppkey") == 1
+
+
+def test_frames_of_scattered_points(spark):
+    """Points in any order, of which some occur twice; both ways to deal give the same frames, points by number."""
+    rows = [(c, f, k, float(k + f), None if k == 2 else float(c), k != 1, 10 * f) for c in range(3) for f in range(4) for k in (*range(5), 3)]
+    df = spark.createDataFrame(rows, "clip_id long, frame_idx int, kp int, x double, y double, visible boolean, t_ms long").repartition(7)
+    want = {(c, f, 10 * f, tuple(v for k in (0, 1, 2, 3, 3, 4) for v in (float(k + f), None if k == 2 else float(c))), tuple(k != 1 for k in (0, 1, 2, 3, 3, 4))) for c in range(3) for f in range(4)}
+    for dealt in (False, True):
+        out = S.from_keypoints(df, dealt)
+        assert out.columns == ["clip_id", "frame_idx", "t_ms", "x", "mask"]
+        assert {(r.clip_id, r.frame_idx, r.t_ms, tuple(r.x), tuple(r["mask"])) for r in out.collect()} == want
