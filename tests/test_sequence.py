@@ -207,3 +207,25 @@ def test_frames_of_scattered_points(spark):
         out = S.from_keypoints(df, dealt)
         assert out.columns == ["clip_id", "frame_idx", "t_ms", "x", "mask"]
         assert {(r.clip_id, r.frame_idx, r.t_ms, tuple(r.x), tuple(r["mask"])) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("name, times", [("p15_augment", 1), ("p18_frame_summary", 1), ("o6_detect_frames", 1), ("w7_consecutive_filter", 0), ("o7_occlusion", 0), ("j6_join_frame_occlusion", 0), ("a19_sanity", 1), ("v1_broken_clips", 1), ("v2_readiness", 1)])
+def test_arrays_of_frames_are_made_once_and_not_exchanged(spark, name, times):
+    """Points are collected once (not again where detections were written), and no exchange moves their arrays."""
+    from strideframe import catalog
+
+    plan = plan_of(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("partial_collect_list(struct(kp") == times
+    if name not in ("p18_frame_summary", "j6_join_frame_occlusion"):  # their join exchanges figures of frames
+        assert plan.count("BroadcastNestedLoopJoin") == 2 * times
+
+
+def test_compared_times_are_sorted_without_arrays(spark):
+    """The window that compares the times of a clip's frames sorts figures, not arrays of 156 and 2,048 numbers."""
+    from strideframe import catalog
+
+    for name in ("v1_broken_clips", "v2_readiness"):
+        df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        below = next(b for a, b in zip(lines, lines[1:]) if "Window [lag(t_ms" in a)
+        assert " AS w#" in below and " AS cnn_wild#" in below
