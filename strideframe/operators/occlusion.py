@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import arrays as A
 from strideframe.operators.scans import in_blocks, numbered, own, with_neighbours
 from strideframe.schema import LAYOUT
+from strideframe.sources.staged import staged
 
 #: Fixed values: (x from, x to, y from, y to) in which each face landmark is plausible, by its number.
 FACE_BOXES = (
@@ -159,9 +160,11 @@ def consecutive_filter(det: DataFrame, size: int = 5, skips: int = 2, min_conf:
     """Smooth detections over a centred window of ``size`` frames, of which ``skips`` may miss.
 
     A window cut by the start or end of its clip detects nothing; clips of one frame stay as they
-    are. For an even size either of the two windows around a frame is enough.
+    are. For an even size either of the two windows around a frame is enough. Detections are written and
+    read back, as both the numbering and the windows read them: else each would be made twice.
     """
     half, need = size // 2, size - skips
+    det = staged(det.select("clip_id", "frame_idx", "detected", "regions", "confidence"), "detections")
     # Windows reach ``half`` rows: blocks with so many rows of their neighbours see all of them.
     det, order = with_neighbours(numbered(det, ["clip_id"]), half, half), own(["clip_id"], "_i")
     around = order.rowsBetween(-half, half)
@@ -191,12 +194,12 @@ def occlusion_summary(det: DataFrame) -> DataFrame:
     )
 
 
-def occlusion(frames: DataFrame) -> DataFrame:
+def occlusion(frames: DataFrame, dealt: bool = False) -> DataFrame:
     """The whole analysis: faces, regions, hands, confidence, smoothing, summary of each clip.
 
-    Frames are dealt by clip once, and every window, join and sum below reuses that.
+    Frames are dealt by clip once, unless they come so (``dealt``), and the whole detection keeps to that.
     """
-    frames = frames.repartition("clip_id")
+    frames = frames if dealt else frames.repartition("clip_id")
     return occlusion_summary(consecutive_filter(detect_frames(frames)))
 
 
