@@ -23,23 +23,27 @@ def _issues(*pairs: tuple[Column, Column | str]) -> Column:
 
 
 def clip_facts(frames: DataFrame) -> DataFrame:
-    """Figures of each clip that the rules below read: one shuffle by clip."""
+    """Figures of each clip that the rules below read: one shuffle by clip.
+
+    A frame's own figures are made first, so that no array is sorted for the comparison of times.
+    """
     order = Window.partitionBy("clip_id").orderBy("frame_idx")
     wild = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
     cnn = F.col("x2048") if "x2048" in frames.columns else F.lit(None).cast("array<float>")
     rows = frames.select(
         "clip_id",
+        "frame_idx",
         "t_ms",
         F.size("x").alias("w"),
         F.size("mask").alias("m"),
         F.exists("x", wild).alias("wild"),
         F.exists("x", lambda v: ~F.isnan(v) & ((v < 0) | (v > 1))).alias("out"),
         F.exists("mask", lambda v: v).alias("seen"),
-        (F.col("t_ms") < F.lag("t_ms").over(order)).alias("down"),
         F.size(cnn).alias("c"),
         F.exists(cnn, wild).alias("cnn_wild"),
         (F.col("x").isNull() | F.col("mask").isNull() | F.col("t_ms").isNull()).alias("ragged"),
     )
+    rows = rows.withColumn("down", F.col("t_ms") < F.lag("t_ms").over(order))
     return rows.groupBy("clip_id").agg(
         F.count("*").alias("n"),
         F.bool_or(F.col("w") != X_WIDTH).alias("bad_x"),
